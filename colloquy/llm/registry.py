@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import simhash
+from colloquy.llm import decontaminate, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +24,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: The best alignment of each pair, by joining all equal words: what the seeds must find.
+ORACLE_SQL["op1_spaced_seed_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) GROUP BY w HAVING len(w) >= 5),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM b),
+m AS (SELECT doc_id, item_id, n, count(*) AS k FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, n, i - j HAVING count(*) >= 0.6 * n)
+SELECT doc_id, item_id, n::BIGINT AS n_item_words, max(k)::BIGINT AS n_matched, round(max(k) / n, 6) AS overlap FROM m GROUP BY doc_id, item_id, n
+"""
