@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontaminate, simhash
+from colloquy.llm import decontaminate, licenses, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +40,9 @@ bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1)
 m AS (SELECT doc_id, item_id, n, count(*) AS k FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, n, i - j HAVING count(*) >= 0.6 * n)
 SELECT doc_id, item_id, n::BIGINT AS n_item_words, max(k)::BIGINT AS n_matched, round(max(k) / n, 6) AS overlap FROM m GROUP BY doc_id, item_id, n
 """
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scanned(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
