@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.spans import matches
+
 #: A word's characters after A-Z in lower case, said so that letters of either case are in it.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -103,6 +105,9 @@ NOTICES = (
 GATE = rf"(?i)licen[cs]|spdx|copyright|permission|redistribut|public\s+domain|rights\s+reserved|proprietary|creative\s+commons|cc{BREAK}*by|cc0|altered\s+source|just\s+do\s+what"
 
 
+DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -142,48 +147,34 @@ def _phrase(phrase: str) -> str:
     return rf"(?i)(?<!{WORD}){rf'{BREAK}+'.join(map(re.escape, phrase.split()))}(?!{WORD})"
 
 
-def _intervals(text: Column, pattern: Column, build) -> Column:
-    """``build(start, end)`` for each match, from the lengths of the matches and of what lies between them."""
-    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    parts = F.zip_with(F.transform(found, F.length), F.slice(F.transform(between, F.length), 1, F.size(found)), lambda f, b: F.struct(b.alias("gap"), f.alias("size")))
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(a["spans"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["size"]).alias("stop")))).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return F.transform(placed, lambda s: build(s["start"], s["stop"]))
-
-
-def detections(text: Column, known: list[Rule] | None = None) -> Column:
-    """What stays of all matches: an array of (start, stop, priority, rule, label, score) in order of place."""
+def detections(lower: Column, known: list[Rule] | None = None) -> Column:
+    """What stays of all matches in a lower-cased text: an array of (start, stop, label, score) in order of place."""
     known = known if known is not None else rules()
-    lower = ascii_lower(text)
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(-i).alias("rule"), F.lit(r.score).alias("score")) for i, r in enumerate(known)))
+    fields = (("label", str), ("keyword", str), ("pattern", str), ("priority", int), ("score", float))
+    table = F.array(*(F.struct(F.lit(i).alias("rule"), *(F.lit(kind(getattr(r, name))).alias(name) for name, kind in fields)) for i, r in enumerate(known)))
 
     def matched(rule: Column) -> Column:
-        return _intervals(
-            lower, rule["pattern"],
-            lambda a, b: F.struct(a.alias("start"), (-b).alias("_stop"), (-rule["priority"]).alias("_priority"), (-rule["rule"]).alias("_rule"), rule["label"].alias("label"), rule["score"].alias("score")),
+        return F.transform(
+            matches(lower, rule["pattern"]),
+            lambda m: F.struct(
+                m["start"].alias("start"), (-m["stop"]).alias("last"), (-rule["priority"]).alias("weakness"), rule["rule"].alias("rule"),
+                rule["label"].alias("label"), rule["score"].alias("score"),
+            ),
         )
 
     every = F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matched)))
     levels = sorted({r.priority for r in known})
-    # in order of (start, -stop, -priority, rule) a match lies inside an earlier one iff the furthest stop so far reaches its own
-    state = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels), F.slice(every, 1, 0).alias("kept"))
+    # in this order a match lies inside an earlier one of its priority or above iff the furthest stop of those reaches its own
+    state = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels), F.array().cast(DETECTIONS).alias("kept"))
 
     def step(a: Column, d: Column) -> Column:
-        stop, priority = -d["_stop"], -d["_priority"]
+        stop, priority = -d["last"], -d["weakness"]
         covered = reduce(lambda x, y: x | y, ((priority <= p) & (a[f"p{p}"] >= stop) for p in levels))
         reach = (F.when(priority == p, F.greatest(a[f"p{p}"], stop)).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels)
-        return F.struct(*reach, F.when(covered, a["kept"]).otherwise(F.concat(a["kept"], F.array(d))).alias("kept"))
+        new = F.struct(d["start"].alias("start"), stop.alias("stop"), d["label"].alias("label"), d["score"].alias("score"))
+        return F.struct(*reach, F.when(covered, a["kept"]).otherwise(F.concat(a["kept"], F.array(new))).alias("kept"))
 
-    kept = F.aggregate(every, state, step, lambda a: a["kept"])
-    return F.transform(kept, lambda d: F.struct(d["start"].alias("start"), (-d["_stop"]).alias("stop"), d["label"].alias("label"), d["score"].alias("score")))
+    return F.aggregate(every, state, step, lambda a: a["kept"])
 
 
 def _words(text: Column) -> Column:
@@ -196,12 +187,14 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
     phrases = {label: _phrase(phrase) for phrase, label in BASE.items()}
     any_phrase = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in phrases.values())
     found = docs.select("doc_id", text.alias("_text")).withColumn("_gated", F.col("_text").rlike(GATE))
-    counted = found.withColumn("_base", F.when(F.col("_gated"), F.regexp_count("_text", F.lit(any_phrase))).otherwise(0))
+    counted = found.withColumn("_base", F.when(F.col("_gated"), F.regexp_count("_text", F.lit(any_phrase))).otherwise(0)).withColumn(
+        "_lower", F.when(F.col("_gated"), ascii_lower(F.col("_text")))
+    )
     has = F.col("_base") > 0
     pieces = F.split("_text", any_phrase, -1)
     tail = F.element_at(pieces, -1)
     labels = F.array(*(F.when(F.col("_text").rlike(p), F.lit(label)) for label, p in phrases.items()))
-    spans = F.when(F.col("_gated"), detections(F.col("_text"), known))
+    spans = F.when(F.col("_gated"), detections(F.col("_lower"), known))
     table = counted.select(
         "doc_id", "_base", spans.alias("detections"),
         _words(F.col("_text")).cast("long").alias("n_words"),
@@ -210,7 +203,7 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
         F.when(has, F.array_sort(F.array_compact(labels))).otherwise(F.array().cast("array<string>")).alias("_labels"),
         F.when(has, F.size(F.split(F.element_at(F.regexp_extract_all("_text", F.lit(any_phrase), F.lit(0)), -1), f"{BREAK}+"))).alias("_size"),
     )
-    own = F.transform(F.coalesce("detections", F.array().cast("array<struct<start:int,stop:int,label:string,score:double>>")), lambda d: d["label"])
+    own = F.transform(F.coalesce("detections", F.array().cast(DETECTIONS)), lambda d: d["label"])
     best = F.array_max(F.transform("detections", lambda d: d["score"]))
     return table.select(
         "doc_id", "n_words", F.col("_base").cast("long").alias("n_base"), "first_word",

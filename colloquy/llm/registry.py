@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, licenses, simhash
+from colloquy.llm import decontaminate, licenses, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,3 +47,12 @@ SELECT doc_id, item_id, n::BIGINT AS n_item_words, max(k)::BIGINT AS n_matched,
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scanned(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(_read(spark, sf_dir, "documents"))
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
+    return rows.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"))
