@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, licenses, pii, simhash
+from colloquy.llm import decontaminate, licenses, pii, simhash, toxicity
+from colloquy.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,3 +57,10 @@ def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
     base = F.filter("spans", lambda s: s["kind"] < len(pii.BASE))
     return rows.select("doc_id", *counts, F.sha2(pii.described(base), 256).alias("base_sha256"), pii.described(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs, toxicity.fitted(docs, _read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
