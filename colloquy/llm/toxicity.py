@@ -86,6 +86,7 @@ class Model:
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, first = _words(data, offsets)
         ratios = self.ratios(hashes, first) if len(hashes) else np.zeros(0)
+        ratios = np.round(ratios * 2**20) / 2**20  # so that sums are exact wherever in a batch a text stands
         sums = np.concatenate([[0.0], np.cumsum(ratios)])
         n = np.diff(first)
         mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
