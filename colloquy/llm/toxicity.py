@@ -80,7 +80,7 @@ class Model:
             seen = self.seen[c][b]
             left = np.where(seen > 0, self.backoff[c][b] / np.maximum(seen, 1), 1.0)
             high = np.where(seen > 0, self.bigrams[c][p] / np.maximum(seen, 1), 0.0)
-            logs.append(np.log2(high + left * self.unigrams[c][w] + 1e-12))
+            logs.append(np.log2((high + left * self.unigrams[c][w]).astype(np.float64) + 1e-12))
         return logs[1] - logs[0]
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
