@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, licenses, packing, pii, quality, sharding, simhash, toxicity
+from colloquy.llm import decontaminate, licenses, media, packing, pii, quality, sharding, simhash, toxicity
 from colloquy.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digested(_read(spark, sf_dir, "documents"))
