@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, licenses, media, packing, pii, quality, sharding, simhash, toxicity
+from colloquy.llm import decontaminate, licenses, media, mixing, packing, pii, quality, sharding, simhash, toxicity
 from colloquy.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op5_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digested(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.scored(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", held_out(parts=7, part=2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
