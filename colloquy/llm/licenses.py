@@ -1,8 +1,8 @@
 """License detection by ordered signature rules, in DataFrame functions alone and without a shuffle.
 
 Base phrases are found at every place. Beyond them, several hundred signatures (license families in the forms that notices,
-identifiers, links and tags give them) run in order of priority. A signature's regex runs on a text only if its keyword is in
-it, and no signature runs unless one gate pattern matches. Every match is an interval; one that lies inside a match of no
+identifiers, links and tags give them) run in order of priority. A signature's regex runs on a text only if one of its
+keywords is in it, and no signature runs unless one gate pattern matches. Every match is an interval; one that lies inside a match of no
 lower priority is suppressed, of equal intervals the earlier rule stays, and the rest name the labels.
 
 Defined cases: null and empty texts have no words, places or labels and score 0; texts are searched whole; repeated rows
@@ -25,66 +25,66 @@ WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, keyword that must be present, name of the license as a regex, SPDX-style identifier as a regex.
+#: Label, keywords of which one must be present, name of the license as a regex, SPDX-style identifier as a regex.
 FAMILIES = (
-    ("mit", "mit", r"(?:mit|expat|x11)", r"mit(?:-0)?"),
+    ("mit", "mit|expat|x11", r"(?:mit|expat|x11)", r"mit(?:-0)?"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?,? ?(?:version|v)? ?2(?:\.0)?", r"apache-2\.0"),
     ("apache-1", "apache", r"apache(?: software)?(?: license)?,? ?(?:version|v)? ?1\.[01]", r"apache-1\.[01]"),
-    ("gpl-1", "g", r"gnu general public license,? ?(?:version|v) ?1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?"),
-    ("gpl-2", "g", r"gnu general public license,? ?(?:version|v) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
-    ("gpl-3", "g", r"gnu general public license,? ?(?:version|v) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gpl", "g", r"gnu (?:general public license|gpl)", r"gpl"),
-    ("lgpl-2", "l", r"gnu (?:lesser|library) general public license,? ?(?:version|v) ?2(?:\.0)?", r"lgpl-2\.0(?:-only|-or-later|\+)?"),
-    ("lgpl-2.1", "l", r"gnu lesser general public license,? ?(?:version|v) ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
-    ("lgpl-3", "l", r"gnu lesser general public license,? ?(?:version|v) ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
-    ("lgpl", "l", r"gnu (?:lesser|library) general public license", r"lgpl"),
-    ("agpl-3", "affero", r"gnu affero general public license,? ?(?:version|v) ?3(?:\.0)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public license", r"agpl"),
-    ("gfdl", "documentation", r"gnu free documentation license(?:,? ?(?:version|v) ?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?"),
+    ("gpl-1", "gnu|gpl", r"gnu general public license,? ?(?:version|v) ?1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?"),
+    ("gpl-2", "gnu|gpl", r"gnu general public license,? ?(?:version|v) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
+    ("gpl-3", "gnu|gpl", r"gnu general public license,? ?(?:version|v) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
+    ("gpl", "gnu|gpl", r"gnu (?:general public license|gpl)", r"gpl"),
+    ("lgpl-2", "gnu|lgpl", r"gnu (?:lesser|library) general public license,? ?(?:version|v) ?2(?:\.0)?", r"lgpl-2\.0(?:-only|-or-later|\+)?"),
+    ("lgpl-2.1", "gnu|lgpl", r"gnu lesser general public license,? ?(?:version|v) ?2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
+    ("lgpl-3", "gnu|lgpl", r"gnu lesser general public license,? ?(?:version|v) ?3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
+    ("lgpl", "gnu|lgpl", r"gnu (?:lesser|library) general public license", r"lgpl"),
+    ("agpl-3", "affero|agpl", r"gnu affero general public license,? ?(?:version|v) ?3(?:\.0)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
+    ("agpl", "affero|agpl", r"(?:gnu )?affero general public license", r"agpl"),
+    ("gfdl", "gnu free|gfdl", r"gnu free documentation license(?:,? ?(?:version|v) ?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?"),
     ("bsd-2-clause", "bsd", r"(?:2|two)[- ]clause bsd|simplified bsd|freebsd", r"bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:3|three)[- ]clause bsd|(?:new|modified|revised) bsd", r"bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:4|four)[- ]clause bsd|original bsd", r"bsd-4-clause"),
-    ("bsd", "bsd", r"(?:berkeley software distribution|bsd)(?:-style)?", r"bsd"),
+    ("bsd", "berkeley|bsd", r"(?:berkeley software distribution|bsd)(?:-style)?", r"bsd"),
     ("0bsd", "bsd", r"zero[- ]clause bsd|0bsd", r"0bsd"),
-    ("isc", "isc", r"isc|internet systems consortium", r"isc"),
-    ("mpl-1", "mozilla", r"mozilla public license,? ?(?:version|v)? ?1\.[01]", r"mpl-1\.[01]"),
-    ("mpl-2", "mozilla", r"mozilla public license,? ?(?:version|v)? ?2(?:\.0)?", r"mpl-2\.0"),
-    ("mpl", "mozilla", r"mozilla public license", r"mpl"),
-    ("epl-1", "eclipse", r"eclipse public license,? ?(?:version|v|-)? ?1(?:\.0)?", r"epl-1\.0"),
-    ("epl-2", "eclipse", r"eclipse public license,? ?(?:version|v|-)? ?2(?:\.0)?", r"epl-2\.0"),
-    ("cddl", "distribution", r"common development and distribution license", r"cddl-1\.[01]"),
-    ("cpl", "common", r"common public license", r"cpl-1\.0"),
-    ("eupl", "european", r"european union public licen[cs]e", r"eupl-1\.[012]"),
+    ("isc", "isc|internet systems", r"isc|internet systems consortium", r"isc"),
+    ("mpl-1", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?1\.[01]", r"mpl-1\.[01]"),
+    ("mpl-2", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?2(?:\.0)?", r"mpl-2\.0"),
+    ("mpl", "mozilla|mpl", r"mozilla public license", r"mpl"),
+    ("epl-1", "eclipse|epl", r"eclipse public license,? ?(?:version|v|-)? ?1(?:\.0)?", r"epl-1\.0"),
+    ("epl-2", "eclipse|epl", r"eclipse public license,? ?(?:version|v|-)? ?2(?:\.0)?", r"epl-2\.0"),
+    ("cddl", "common development|cddl", r"common development and distribution license", r"cddl-1\.[01]"),
+    ("cpl", "common public|cpl", r"common public license", r"cpl-1\.0"),
+    ("eupl", "european union|eupl", r"european union public licen[cs]e", r"eupl-1\.[012]"),
     ("artistic-1", "artistic", r"artistic license(?:,? ?(?:version|v)? ?1(?:\.0)?)?", r"artistic-1\.0"),
     ("artistic-2", "artistic", r"artistic license,? ?(?:version|v)? ?2(?:\.0)?", r"artistic-2\.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", r"zlib"),
     ("libpng", "libpng", r"libpng", r"libpng(?:-2\.0)?"),
-    ("boost", "boost", r"boost software license", r"bsl-1\.0"),
-    ("busl", "business", r"business source license", r"busl-1\.1"),
-    ("sspl", "server", r"server side public license", r"sspl-1\.0"),
+    ("boost", "boost|bsl", r"boost software license", r"bsl-1\.0"),
+    ("busl", "business source|busl", r"business source license", r"busl-1\.1"),
+    ("sspl", "server side|sspl", r"server side public license", r"sspl-1\.0"),
     ("elastic", "elastic", r"elastic license(?: 2(?:\.0)?)?", r"elastic-2\.0"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"do what the f\w+ you want to public license|wtfpl", r"wtfpl"),
-    ("python", "python", r"python software foundation license|psf license", r"(?:psf|python)-2\.0"),
+    ("python", "python|psf", r"python software foundation license|psf license", r"(?:psf|python)-2\.0"),
     ("postgresql", "postgresql", r"postgresql", r"postgresql"),
     ("php", "php", r"php license(?:,? ?version 3(?:\.01?)?)?", r"php-3\.01?"),
     ("openssl", "openssl", r"openssl", r"openssl"),
-    ("ofl", "font", r"sil open font license", r"ofl-1\.[01]"),
-    ("odbl", "database", r"open database license", r"odbl-1\.0"),
-    ("odc-by", "data", r"open data commons attribution license", r"odc-by-1\.0"),
-    ("pddl", "dedication", r"public domain dedication and license", r"pddl-1\.0"),
-    ("cc0", "cc", r"cc0|creative commons zero", r"cc0-1\.0"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution)(?: [1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
-    ("cc-by-sa", "c", r"(?:cc by-sa|creative commons attribution-?share-?alike)(?: [1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]"),
-    ("cc-by-nd", "c", r"(?:cc by-nd|creative commons attribution-?no-?deriv\w+)(?: [1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]"),
-    ("cc-by-nc", "c", r"(?:cc by-nc|creative commons attribution-?non-?commercial)(?: [1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]"),
-    ("cc-by-nc-sa", "c", r"(?:cc by-nc-sa|creative commons attribution-?non-?commercial-?share-?alike)(?: [1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]"),
-    ("cc-by-nc-nd", "c", r"(?:cc by-nc-nd|creative commons attribution-?non-?commercial-?no-?deriv\w+)(?: [1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]"),
+    ("ofl", "sil open|ofl", r"sil open font license", r"ofl-1\.[01]"),
+    ("odbl", "open database|odbl", r"open database license", r"odbl-1\.0"),
+    ("odc-by", "open data|odc", r"open data commons attribution license", r"odc-by-1\.0"),
+    ("pddl", "dedication|pddl", r"public domain dedication and license", r"pddl-1\.0"),
+    ("cc0", "cc0|creative", r"cc0|creative commons zero", r"cc0-1\.0"),
+    ("cc-by", "cc|creative", r"(?:cc by|creative commons attribution)(?: [1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
+    ("cc-by-sa", "cc|creative", r"(?:cc by-sa|creative commons attribution-?share-?alike)(?: [1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]"),
+    ("cc-by-nd", "cc|creative", r"(?:cc by-nd|creative commons attribution-?no-?deriv\w+)(?: [1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]"),
+    ("cc-by-nc", "cc|creative", r"(?:cc by-nc|creative commons attribution-?non-?commercial)(?: [1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]"),
+    ("cc-by-nc-sa", "cc|creative", r"(?:cc by-nc-sa|creative commons attribution-?non-?commercial-?share-?alike)(?: [1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]"),
+    ("cc-by-nc-nd", "cc|creative", r"(?:cc by-nc-nd|creative commons attribution-?non-?commercial-?no-?deriv\w+)(?: [1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]"),
     ("openrail", "rail", r"(?:creativeml )?open ?rail(?:-[ms]+)?", r"openrail"),
-    ("ms-pl", "microsoft", r"microsoft public license", r"ms-pl"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal license", r"ms-rl"),
-    ("apsl", "apple", r"apple public source license", r"apsl-2\.0"),
-    ("ncsa", "illinois", r"university of illinois/?(?:ncsa)? open source license", r"ncsa"),
+    ("ms-pl", "microsoft|ms-pl", r"microsoft public license", r"ms-pl"),
+    ("ms-rl", "microsoft|ms-rl", r"microsoft reciprocal license", r"ms-rl"),
+    ("apsl", "apple|apsl", r"apple public source license", r"apsl-2\.0"),
+    ("ncsa", "illinois|ncsa", r"university of illinois/?(?:ncsa)? open source license", r"ncsa"),
     ("w3c", "w3c", r"w3c software notice", r"w3c"),
     ("vim", "vim", r"vim", r"vim"),
 )
@@ -111,7 +111,7 @@ DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
+    keywords: str  # alternatives, with bars between
     pattern: str
     priority: int
     score: float
@@ -125,17 +125,17 @@ def _spaced(pattern: str) -> str:
 def rules() -> list[Rule]:
     """All signatures, strongest first: whole notices, identifiers and links, licensing sentences, bare names."""
     out = [Rule(label, key, rf"(?<![\w]){_spaced(p)}", 4 if s == 1.0 else 1, s) for label, key, p, s in NOTICES]
-    for label, key, name, spdx in FAMILIES:
+    for label, keys, name, spdx in FAMILIES:
         name = _spaced(name)
         forms = (
-            ("spdx", rf"spdx-license-identifier:[ \t]*\(?(?:[\w.+-]+ (?:or|and) )*{spdx}(?![\w.-])", 4, 1.0),
-            ("licen", rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
-            ("/licenses/", rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
-            ("under", _spaced(r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
-            ("licen", rf"(?<![\w])(?:{name})(?:[- ]style)?[\s*#/>]+licen[cs]e(?![\w])", 2, 0.8),
-            (key, rf"(?<![\w])(?:{name if 'licen' in name or 'creative' in name else name + r'[\s*#/>]+licen[cs]e'})(?![\w])", 2, 0.7),
+            (rf"spdx-license-identifier:[ \t]*\(?(?:[\w.+-]+ (?:or|and) )*{spdx}(?![\w.-])", 4, 1.0),
+            (rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
+            (rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
+            (_spaced(r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
+            (rf"(?<![\w])(?:{name})(?:[- ]style)?[\s*#/>]+licen[cs]e(?![\w])", 2, 0.8),
+            (rf"(?<![\w])(?:{name if 'licen' in name or 'creative' in name else name + r'[\s*#/>]+licen[cs]e'})(?![\w])", 2, 0.7),
         )
-        out += [Rule(label, keyword, pattern, priority, score) for keyword, pattern, priority, score in forms]
+        out += [Rule(label, keys, pattern, priority, score) for pattern, priority, score in forms]
     return sorted(dict.fromkeys(out), key=lambda r: -r.priority)
 
 
@@ -150,8 +150,11 @@ def _phrase(phrase: str) -> str:
 def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     """What stays of all matches in a lower-cased text: an array of (start, stop, label, score) in order of place."""
     known = known if known is not None else rules()
-    fields = (("label", str), ("keyword", str), ("pattern", str), ("priority", int), ("score", float))
-    table = F.array(*(F.struct(F.lit(i).alias("rule"), *(F.lit(kind(getattr(r, name))).alias(name) for name, kind in fields)) for i, r in enumerate(known)))
+    fields = (("label", str), ("pattern", str), ("priority", int), ("score", float))
+    families: dict[str, list[Column]] = {}
+    for i, r in enumerate(known):
+        families.setdefault(r.keywords, []).append(F.struct(F.lit(i).alias("rule"), *(F.lit(kind(getattr(r, name))).alias(name) for name, kind in fields)))
+    table = F.array(*(F.struct(F.array(*map(F.lit, k.split("|"))).alias("keys"), F.array(*v).alias("rules")) for k, v in families.items()))
 
     def matched(rule: Column) -> Column:
         return F.transform(
@@ -162,7 +165,8 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
             ),
         )
 
-    every = F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matched)))
+    present = F.filter(table, lambda f: F.exists(f["keys"], lambda k: F.contains(lower, k)))
+    every = F.sort_array(F.flatten(F.transform(F.flatten(F.transform(present, lambda f: f["rules"])), matched)))
     levels = sorted({r.priority for r in known})
     # in this order a match lies inside an earlier one of its priority or above iff the furthest stop of those reaches its own
     state = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels), F.array().cast(DETECTIONS).alias("kept"))

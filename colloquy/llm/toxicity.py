@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.materialize import cut
+from colloquy.functions.materialize import written
 from colloquy.llm.common import distinct_labels, fold, held_out, lowered, runs, scrambled, slices, utf8, word_hashes
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 SLOTS = 1 << 20
 PAIR_SLOTS = 1 << 21
 DISCOUNT = 0.75
@@ -161,7 +161,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     rows = sampled(docs, labels, label, most)
     counts = rows.filter("fold in (0, 1)").select("label", "text").mapInArrow(_counted, "kind int, label int, key long, before int, word int, n long")
     n_of = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)) for c in (0, 1)]
-    summed = cut(counts.groupBy("kind", "key", "before", "word").agg(*(n.alias(f"n{c}") for c, n in enumerate(n_of))))
+    summed = written(counts.groupBy("kind", "key", "before", "word").agg(*(n.alias(f"n{c}") for c, n in enumerate(n_of))), "ngrams")
     words, pairs = summed.filter(F.col("kind") == _WORD), summed.filter(F.col("kind") == _PAIR)
     kept = F.col("n0") + F.col("n1") >= RARE_PAIR
     high = [F.when(kept, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0))).otherwise(0.0) for c in (0, 1)]
