@@ -46,8 +46,19 @@ def scoring_tokens(text: Column) -> Column:
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct lower-cased character n-grams; a shorter text is its own gram, an empty one has none."""
     low = F.lower(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
-    return F.when(F.length(low) > 0, grams).otherwise(F.array().cast("array<string>"))
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
+    grams = chars
+    for k in range(1, n):  # the characters moved by k places: linear, where a substring at each place is not
+        grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+    whole = F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+    return F.when(F.length(low) >= n, whole).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
+
+
+def with_before(tokens: Column) -> Column:
+    """(before, token) for each token of an array, in order; the first has null before it."""
+    before = F.concat(F.array(F.lit(None).cast("string")), tokens)
+    pairs = F.zip_with(tokens, before, lambda t, b: F.struct(b.alias("before"), t.alias("token")))
+    return F.filter(pairs, lambda p: p["token"].isNotNull())  # the last has nothing after it
 
 
 def windows(text: Column, size: int = 1500) -> Column:

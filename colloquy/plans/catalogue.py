@@ -7,6 +7,7 @@ and their id the doc_id; knowledge vectors are embeddings, the category the labe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -367,8 +368,9 @@ _GOLD_SQL = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN d
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(_asked(spark, sf_dir))
-    return _table(spark, sf_dir, "documents").join(asked, F.col("text").contains(F.col("question"))).select("query_id", "doc_id")
+    docs = _table(spark, sf_dir, "documents")
+    found = [docs.join(F.broadcast(b), F.col("text").contains(F.col("question"))).select("query_id", "doc_id") for b in retrieval.blocks(_asked(spark, sf_dir), "query_id")]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query(f"""WITH {_OVERLAP_SQL}, {_GOLD_SQL}, b AS (SELECT query_id, min(n) AS best FROM o JOIN gold USING (query_id, doc_id) WHERE n <= 10 GROUP BY query_id)
@@ -387,11 +389,11 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COUNT_SQL = "SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower({x}), '([A-Za-z0-9]+)', 1)) AS w FROM documents) GROUP BY ALL"
 
 
-@query(f"""WITH a AS ({_COUNT_SQL.format(x='text')}), g AS ({_COUNT_SQL.format(x="substring(text, 1, 200)")}),
+@query(f"""WITH a AS ({_COUNT_SQL.format(x='text')}), g AS ({_COUNT_SQL.format(x="replace(text, 'er', 'or')")}),
 f AS (SELECT doc_id, sum(least(coalesce(a.n, 0), coalesce(g.n, 0))) AS b, coalesce(sum(a.n), 0) + coalesce(sum(g.n), 0) AS s FROM a FULL JOIN g USING (doc_id, w) GROUP BY doc_id)
 SELECT doc_id, round(coalesce(2 * b / s, 0), 6) AS f1 FROM documents LEFT JOIN f USING (doc_id)""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer"), F.substring("text", 1, 200).alias("gold"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("answer"), F.replace("text", F.lit("er"), F.lit("or")).alias("gold"))
     return metrics.token_f1(rows, "doc_id", "answer", "gold").select("doc_id", F.round("f1", 6).alias("f1"))
 
 
@@ -479,14 +481,12 @@ def spell_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", t.spelled(F.col("source"), {"S": "ess", "R": "ar", "C": "see"}).alias("spoken"))
 
 
-@query("""SELECT doc_id, at::INT AS at, token, lag(token) OVER (PARTITION BY doc_id ORDER BY at) AS before FROM (
-SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS at FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9]+)', 1) AS w FROM documents WHERE length(text) < 400))""")
+@query("""SELECT before, token, count(*)::BIGINT AS n FROM (SELECT token, lag(token) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
+SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9]+)', 1) AS w FROM documents))) GROUP BY ALL""")
 def prev_token_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter(F.length("text") < 400)
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("at", "token"))
-    from pyspark.sql.window import Window
-
-    return words.withColumn("before", F.lag("token").over(Window.partitionBy("doc_id").orderBy("at")))
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    rows = _table(spark, sf_dir, "documents").select(t.with_before(words).alias("_words")).select(F.explode("_words").alias("w"))
+    return rows.groupBy("w.before", "w.token").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -506,10 +506,11 @@ def json_route_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", t.route_of_reply(reply, ["view", "click"]).alias("route"))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1]), ' ') AS words FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z]+)', 1) AS w FROM documents WHERE length(text) < 1000)""")
+@query("""SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS digest FROM (SELECT doc_id, word, min(i) AS i FROM (
+SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z]+)', 1) AS w FROM documents)) GROUP BY doc_id, word) GROUP BY doc_id""")
 def ordered_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter(F.length("text") < 1000)
-    return docs.select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))), " ").alias("words"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    return _table(spark, sf_dir, "documents").withColumn("_words", words).filter(F.size("_words") > 0).select("doc_id", F.md5(F.array_join("_words", " ")).alias("digest"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN first = '' THEN 'New chat' WHEN length(first) > 80 THEN rtrim(substring(first, 1, 80), ' ') ELSE first END AS title FROM (
@@ -524,21 +525,21 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("item_id", "at", F.lit(1).alias("page"), "text", (F.col("at") % 8 * 10.0).alias("x"), (F.floor(F.col("at") / 8) * 12.0).alias("y"), F.lit(9.0).alias("width"), F.lit(10.0).alias("height"))
 
 
-_BOXES_SQL = """w AS (SELECT item_id, at, text, (at % 8) * 10.0::DOUBLE AS x, (at // 8) * 12.0::DOUBLE AS y FROM (SELECT item_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS at FROM (SELECT item_id, regexp_extract_all(text, '([A-Za-z]+)', 1) AS l FROM benchmark)))"""
+_BOXES_SQL = """w AS (SELECT item_id, "at", text, ("at" % 8) * 10.0::DOUBLE AS x, ("at" // 8) * 12.0::DOUBLE AS y FROM (SELECT item_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS "at" FROM (SELECT item_id, regexp_extract_all(text, '([A-Za-z]+)', 1) AS l FROM benchmark)))"""
 
 
-@query(f"WITH {_BOXES_SQL} SELECT item_id, at::INT AS at, (at // 8)::INT AS line FROM w")
+@query(f"""WITH {_BOXES_SQL} SELECT item_id, "at"::INT AS "at", ("at" // 8)::INT AS line FROM w""")
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.lines(_words(spark, sf_dir), ["item_id"], "at").select("item_id", "at", "line")
 
 
-@query(f"WITH {_BOXES_SQL} SELECT item_id, (at // 8)::INT AS line, arg_min(text, at) AS text, min(x) AS x, min(y) AS y, max(x + 9) - min(x) AS width, max(y + 10) - min(y) AS height FROM w GROUP BY ALL")
+@query(f"""WITH {_BOXES_SQL} SELECT item_id, ("at" // 8)::INT AS line, arg_min(text, "at") AS text, min(x) AS x, min(y) AS y, max(x + 9) - min(x) AS width, max(y + 10) - min(y) AS height FROM w GROUP BY ALL""")
 def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.boxes(layout.lines(_words(spark, sf_dir), ["item_id"], "at"), ["item_id", "line"], "at")
 
 
-@query(f"""WITH {_BOXES_SQL}, n AS (SELECT *, lead(text) OVER (PARTITION BY item_id ORDER BY at) AS after FROM w)
-SELECT item_id, term, min(at)::INT AS start FROM n, (VALUES ('th', NULL), ('er', 'th'), ('on', NULL)) t(term, next) WHERE starts_with(lower(text), term) AND (next IS NULL OR starts_with(lower(after), next)) GROUP BY item_id, term""")
+@query(f"""WITH {_BOXES_SQL}, n AS (SELECT *, lead(text) OVER (PARTITION BY item_id ORDER BY "at") AS after FROM w)
+SELECT item_id, term, min("at")::INT AS start FROM n, (VALUES ('th', NULL), ('er', 'th'), ('on', NULL)) t(term, next) WHERE starts_with(lower(text), term) AND (next IS NULL OR starts_with(lower(after), next)) GROUP BY item_id, term""")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("th", ["th"]), ("er", ["er", "th"]), ("on", ["on"])], "term string, parts array<string>")
     return layout.phrase_matches(_words(spark, sf_dir), terms, ["item_id"], "at").select("item_id", "term", "start")
