@@ -117,7 +117,7 @@ def is_table_separator(line: Column) -> Column:
 
 def row_phrase(line: Column, joint: str = "၊ ") -> Column:
     """The cells of a table row, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(line, r"\|"), F.trim), lambda c: c != ""), joint)
+    return F.array_join(F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != ""), joint)
 
 
 def sentences(text: Column) -> Column:

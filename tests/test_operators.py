@@ -60,7 +60,7 @@ def test_metrics_by_hand(spark):
 
 @pytest.mark.parametrize(
     ("text", "parts"),
-    [("One two. Three?", ["One two.", "Three?"]), ("It is 3.14 now.", ["It is 3.14 now."]), ("Ask Dr. Smith today.", ["Ask Dr. Smith today."]), ("", [])],
+    [("One three. Four?", ["One three.", "Four?"]), ("Put it in. Then go.", ["Put it in. Then go."]), ("It is 3.14 now.", ["It is 3.14 now."]), ("Ask Dr. Smith today.", ["Ask Dr. Smith today."]), ("", [])],
 )
 def test_sentences(spark, text, parts):
     assert value(spark, t.sentences(F.col("c0")), text) == parts
