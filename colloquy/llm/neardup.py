@@ -1,0 +1,142 @@
+"""Near duplicates by the Jaccard similarity of five-word shingles, each link confirmed on the texts.
+
+Equal shingle sets are one class. Classes that share one of ``BANDS`` bands of ``ROWS`` minimum hashes are candidates: a pair
+of similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS, 0.99997 at 0.8. In each band's bucket the members
+are first compared with one of them, the one with the most company over all its buckets; what that leaves in different
+components is then compared pair by pair. Every link counts by its true similarity, so no bucket joins what is not alike.
+
+Defined cases: words are runs between white space, A-Z in lower case; a text of fewer than five words has one shingle; null
+texts and texts without words are equal to each other; of a group the row with the smallest id stays, a null id only if
+there is no other; an empty table gives an empty result; all columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from colloquy.functions.materialize import cut, written
+from colloquy.llm.common import utf8
+from colloquy.llm.simhash import contracted
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS = 20
+ROWS = 4
+SEED = 42
+#: Classes whose texts are looked up by one broadcast.
+BLOCK = 1_000_000
+#: Odd multipliers and masks of the minimum hashes.
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.array([[[1]], [[0]]], np.uint64)
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    size = min(size, len(words))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A signed hash for each band of minimum hashes; none for an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(found), 4096):
+        np.minimum(least, ((found[None, first : first + 4096] ^ _FACTORS[1]) * _FACTORS[0]).min(axis=1), out=least)
+    raw = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        raw = data.tobytes()
+        sets, keys = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found = shingles(raw[a:b])
+            sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            keys.append(bands(found))
+        columns = [pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["_row", "doc_id", "_set", "_bands"])
+
+
+def _confirmed(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, left = a, shingles((x.as_py() or "").encode())
+                keep.append(jaccard(left, shingles((y.as_py() or "").encode())) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """The materialised pairs (a, b) of classes whose texts are as alike as ``least``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    needed = cut(classes.select("_set", "_row").join(wanted, "_set"))
+    blocks = max(1, -(-needed.count() // BLOCK))
+    texts = None
+    for k in range(blocks):
+        part = needed.filter(F.pmod(F.xxhash64("_set", F.lit(1)), F.lit(blocks)) == k)
+        found = marked.select("_row", "text").join(F.broadcast(part), "_row").select("_set", "text")
+        texts = found if texts is None else texts.unionByName(found)
+    left = pairs.join(texts.select(F.col("_set").alias("a"), F.col("text").alias("_left")), "a")
+    both = left.join(texts.select(F.col("_set").alias("b"), F.col("text").alias("_right")), "b")
+    return cut(both.select("a", "b", "_left", "_right").mapInArrow(_confirmed(least), "a long, b long"))
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return cut(rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+
+
+def _roots(prints: DataFrame, marked: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the classes that are not their component's root."""
+    classes = cut(prints.groupBy("_set").agg(F.min(F.struct("_row", "_bands")).alias("_m")).select("_set", "_m._row", "_m._bands"))
+    keyed = classes.select("_set", F.explode("_bands").alias("_key"))
+    shared = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    buckets = cut(keyed.join(shared, "_key"))
+    company = buckets.groupBy("_set").agg(F.sum("_n").alias("_company"))
+    lead = buckets.join(company, "_set").groupBy("_key").agg(F.max(F.struct("_company", "_set"))["_set"].alias("_lead"))
+    tried = _pairs(buckets.join(lead, "_key").filter("_set != _lead"), "_set", "_lead")
+    edges = _verified(tried, classes, marked, least)
+    roots = contracted(edges)
+    named = buckets.join(roots, F.col("_set") == F.col("node"), "left").select("_key", "_set", F.coalesce("root", "_set").alias("_root"))
+    open_ = named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).filter("_low != _high").select("_key")
+    rest = cut(named.join(open_, "_key"))
+    other = rest.select("_key", F.col("_set").alias("_other"), F.col("_root").alias("_other_root"))
+    left = _pairs(rest.join(other, "_key").filter("_root < _other_root"), "_set", "_other").join(tried, ["a", "b"], "left_anti")
+    more = _verified(cut(left), classes, marked, least)
+    return contracted(edges.unionByName(more))
+
+
+def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """All columns of the documents that stay: of each group the row with the smallest id (of several such, one)."""
+    marked = written(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup")
+    schema = marked.select("_row", "doc_id", F.lit(0).cast("long").alias("_set"), F.array().cast("array<long>").alias("_bands")).schema
+    prints = cut(marked.select("_row", "doc_id", "text").mapInArrow(_sketched, schema))
+    roots = _roots(prints, marked, least)
+    rooted = prints.select("_row", "doc_id", "_set").join(roots, F.col("_set") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_set"))
+    first = rooted.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return marked.join(first.select("_row"), "_row", "left_semi").drop("_row")

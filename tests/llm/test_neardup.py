@@ -1,0 +1,64 @@
+import random
+
+import pandas as pd
+
+import corpus_pipeline
+from colloquy.llm import neardup
+
+
+def kept_by_all_pairs(rows):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted(least.values())
+
+
+def test_stage_equals_all_pairs_at_planted_similarities(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(1, None), (2, ""), (3, "One two"), (4, "one  TWO"), (5, "one two three")]
+    planted = 0
+    for size in (60, 200, 1000):
+        for k in range(16):
+            base = [rng.choice(vocabulary) for _ in range(size)]
+            rows.append((len(rows) + 1, " ".join(base)))
+            for similarity in (0.7, 0.8, 0.85, 0.9, 0.95):
+                # one run at an end: (size - 4 - cut) of the shingles are left
+                cut, copy = int((size - 4) * (1 - similarity)), list(base)
+                for i in range(cut):
+                    copy[size - 1 - i] = f"x{len(rows)}_{i}"
+                rows.append((len(rows) + 1, " ".join(copy[: size - cut] if k % 2 else copy)))
+                planted += 1
+    hub = [rng.choice(vocabulary) for _ in range(300)]  # copies near to the first only, with edits at other places each
+    rows.append((len(rows) + 1, " ".join(hub)))
+    for k in range(40):
+        copy = list(hub)
+        for i in rng.sample(range(300), 5):
+            copy[i] = f"y{k}_{i}"
+        rows.append((len(rows) + 1, " ".join(copy)))
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = kept_by_all_pairs(rows)
+    assert len(want) < len(rows) - planted // 2
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_empty_table(spark):
+    assert neardup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
