@@ -66,7 +66,7 @@ SOURCES = {
         r"^\+(1|7|2[07]|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0", r"(?i)phone|tel|call|mobile|fax|cell|whatsapp", 9, 15,
     ),
     "secret": Source(
-        "", r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,512}+[\"']?",
+        "", r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
         r"(?i)[=:]\s*[\"']?(?=[^\"']*[0-9])(?=[^\"']*[a-z])[A-Za-z0-9+/_.-]{10,}", r"(?i)^(token|password|passwd|secret|api|access|private)", r"(?i)example|changeme|x{6}",
         r"(?i)auth|login|export|set|user|key",
     ),
@@ -75,8 +75,8 @@ SOURCES = {
     "local_phone": Source("", r"(?<![0-9+().-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", r"^(\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$", r"^\(?[2-9][0-9]{2}", r"^\(?[01]", r"(?i)phone|tel|call|mobile|fax|cell"),
     "spelled_email": Source("", r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}){1,4}", r"(?i)dot", r"(?i)(com|org|net|edu|de|fr|es)$", r"^$", r"(?i)mail|contact|write|reach"),
 }
-#: Cheap patterns that a text with candidates of the kind matches.
-GATES = {"card": r"[0-9](?:[\x20-]?[0-9]){12}", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "phone": r"\+[0-9][\x20().0-9-]", "email": r"@[A-Za-z0-9-]+\.", "secret": r"(?i)(?:token|secret|passw|pwd|key)[^A-Za-z0-9]{1,8}[A-Za-z0-9]", "ssn": r"-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "local_phone": r"[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "spelled_email": r"(?i)[\[(] ?dot ?[\])]"}
+#: Cheap patterns that every text with candidates of the kind matches: each says only what its pattern demands.
+GATES = {"card": r"[0-9](?:[\x20-]?[0-9]){12}", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "phone": r"\+[0-9][\x20().0-9-]", "email": r"@[A-Za-z0-9-]+\.", "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8}", "ssn": r"-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "local_phone": r"[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "spelled_email": r"(?i)[\[(] ?dot ?[\])]"}
 
 
 def _digits(value: Column) -> Column:

@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from colloquy.llm import pii, registry
+from colloquy.llm.spans import matches
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -59,3 +62,23 @@ def test_reliabilities():
     model = pii.fitted(rows)
     assert model.reliability[0] > 0.9 and model.reliability[2] < 0.7
     assert pii.fitted([]).prior == 0.5
+
+
+def test_gates_are_necessary(spark):
+    """Each text holds one span alone: what a gate lets by is what the pattern finds without it."""
+    token = "eyJhbGciOiJIUzI1NiJ9." + "a1B2_-" * 330
+    texts = [
+        "a@b.c", "1.2.3.4", "4441958802365443", "4441 9588 0236 5443", "+49.89.1234567", "123-45-6789", "DE89 3704 0044 0532 0130 00", "(569) 555-4877", "tom [at] mail [dot] org",
+        *(f"x {k}{rest}" for k in ("password", "Passwd", "pwd", "token", "SECRET", "api_key", "access-key", "privatekey") for rest in (" = hunter2hunter2", ": ca66aed311", "=64c43f68a3449845b4")),
+        "password'   =   '/hunter2hunter2'", 'passwd"   :   "_a1b2c3d4e5', "secret=+a1b2c3d4", "pwd=.a1b2c3d4", f"token: {token}", f"password={token} y",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ungated = F.array_sort(F.concat(*(F.transform(matches(F.col("text"), s.pattern), lambda m, k=k: F.struct(F.lit(k).alias("k"), m["start"], m["stop"])) for k, s in pii.SOURCES.items() if k == "secret")))
+    rows = docs.select("doc_id", pii.candidates(F.col("text")).alias("got"), ungated.alias("want")).collect()
+    for r in rows:
+        assert r.got, texts[r.doc_id]
+        assert [(s.start, s.stop) for s in r.got if pii.KINDS[s.kind] == "secret"] == [(w[1], w[2]) for w in r.want], texts[r.doc_id]
+    assert sum(bool(r.want) for r in rows) == len(texts) - 9
+    passwords = [(1, "my password = hunter2hunter2 ok"), (2, "passwd: hunter2hunter2"), (3, f"auth token: {token} ok")]
+    got = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(passwords, "doc_id long, text string")).collect()}
+    assert got == {1: "my [SECRET] ok", 2: "[SECRET]", 3: "auth [SECRET] ok"}
