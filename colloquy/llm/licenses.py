@@ -40,38 +40,38 @@ FAMILIES = (
     ("lgpl", "gnu|lgpl", r"gnu (?:lesser|library) general public license", r"lgpl"),
     ("agpl-3", "affero|agpl", r"gnu affero general public license,? ?(?:version|v) ?3(?:\.0)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
     ("agpl", "affero|agpl", r"(?:gnu )?affero general public license", r"agpl"),
-    ("gfdl", "gnu free|gfdl", r"gnu free documentation license(?:,? ?(?:version|v) ?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?"),
+    ("gfdl", "gnu|gfdl", r"gnu free documentation license(?:,? ?(?:version|v) ?1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?"),
     ("bsd-2-clause", "bsd", r"(?:2|two)[- ]clause bsd|simplified bsd|freebsd", r"bsd-2-clause"),
     ("bsd-3-clause", "bsd", r"(?:3|three)[- ]clause bsd|(?:new|modified|revised) bsd", r"bsd-3-clause"),
     ("bsd-4-clause", "bsd", r"(?:4|four)[- ]clause bsd|original bsd", r"bsd-4-clause"),
     ("bsd", "berkeley|bsd", r"(?:berkeley software distribution|bsd)(?:-style)?", r"bsd"),
     ("0bsd", "bsd", r"zero[- ]clause bsd|0bsd", r"0bsd"),
-    ("isc", "isc|internet systems", r"isc|internet systems consortium", r"isc"),
+    ("isc", "isc|internet", r"isc|internet systems consortium", r"isc"),
     ("mpl-1", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?1\.[01]", r"mpl-1\.[01]"),
     ("mpl-2", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?2(?:\.0)?", r"mpl-2\.0"),
     ("mpl", "mozilla|mpl", r"mozilla public license", r"mpl"),
     ("epl-1", "eclipse|epl", r"eclipse public license,? ?(?:version|v|-)? ?1(?:\.0)?", r"epl-1\.0"),
     ("epl-2", "eclipse|epl", r"eclipse public license,? ?(?:version|v|-)? ?2(?:\.0)?", r"epl-2\.0"),
-    ("cddl", "common development|cddl", r"common development and distribution license", r"cddl-1\.[01]"),
-    ("cpl", "common public|cpl", r"common public license", r"cpl-1\.0"),
-    ("eupl", "european union|eupl", r"european union public licen[cs]e", r"eupl-1\.[012]"),
+    ("cddl", "distribution|cddl", r"common development and distribution license", r"cddl-1\.[01]"),
+    ("cpl", "common|cpl", r"common public license", r"cpl-1\.0"),
+    ("eupl", "european|eupl", r"european union public licen[cs]e", r"eupl-1\.[012]"),
     ("artistic-1", "artistic", r"artistic license(?:,? ?(?:version|v)? ?1(?:\.0)?)?", r"artistic-1\.0"),
     ("artistic-2", "artistic", r"artistic license,? ?(?:version|v)? ?2(?:\.0)?", r"artistic-2\.0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?", r"zlib"),
     ("libpng", "libpng", r"libpng", r"libpng(?:-2\.0)?"),
     ("boost", "boost|bsl", r"boost software license", r"bsl-1\.0"),
-    ("busl", "business source|busl", r"business source license", r"busl-1\.1"),
-    ("sspl", "server side|sspl", r"server side public license", r"sspl-1\.0"),
+    ("busl", "business|busl", r"business source license", r"busl-1\.1"),
+    ("sspl", "server|sspl", r"server side public license", r"sspl-1\.0"),
     ("elastic", "elastic", r"elastic license(?: 2(?:\.0)?)?", r"elastic-2\.0"),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"do what the f\w+ you want to public license|wtfpl", r"wtfpl"),
+    ("wtfpl", "wtfpl|want", r"do what the f\w+ you want to public license|wtfpl", r"wtfpl"),
     ("python", "python|psf", r"python software foundation license|psf license", r"(?:psf|python)-2\.0"),
     ("postgresql", "postgresql", r"postgresql", r"postgresql"),
     ("php", "php", r"php license(?:,? ?version 3(?:\.01?)?)?", r"php-3\.01?"),
     ("openssl", "openssl", r"openssl", r"openssl"),
-    ("ofl", "sil open|ofl", r"sil open font license", r"ofl-1\.[01]"),
-    ("odbl", "open database|odbl", r"open database license", r"odbl-1\.0"),
-    ("odc-by", "open data|odc", r"open data commons attribution license", r"odc-by-1\.0"),
+    ("ofl", "font|ofl", r"sil open font license", r"ofl-1\.[01]"),
+    ("odbl", "database|odbl", r"open database license", r"odbl-1\.0"),
+    ("odc-by", "commons|odc", r"open data commons attribution license", r"odc-by-1\.0"),
     ("pddl", "dedication|pddl", r"public domain dedication and license", r"pddl-1\.0"),
     ("cc0", "cc0|creative", r"cc0|creative commons zero", r"cc0-1\.0"),
     ("cc-by", "cc|creative", r"(?:cc by|creative commons attribution)(?: [1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
@@ -94,15 +94,20 @@ NOTICES = (
     ("isc", "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose", 1.0),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification", 1.0),
     ("gpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public license", 1.0),
-    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", 1.0),
-    ("boost", "permission", r"obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
+    ("unlicense", "domain", r"this is free and unencumbered software released into the public domain", 1.0),
+    ("boost", "obtaining", r"obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
     ("zlib", "altered", r"altered source versions must be plainly marked as such", 1.0),
-    ("wtfpl", "just do", r"you just do what the f\w+ you want to", 1.0),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", 0.8),
+    ("wtfpl", "just", r"you just do what the f\w+ you want to", 1.0),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", 0.8),
     ("proprietary", "reserved", r"all rights reserved", 0.5),
     ("proprietary", "confidential", r"proprietary and confidential", 0.8),
 )
-GATE = rf"(?i)licen[cs]|spdx|copyright|permission|redistribut|public\s+domain|rights\s+reserved|proprietary|creative\s+commons|cc{BREAK}*by|cc0|altered\s+source|just\s+do\s+what"
+#: What stands for a space of a signature: white space and the marks of wrapped comments.
+GAP = r"[\s*#/>]+"
+#: Words before the name in a licensing sentence.
+UNDER = r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under"
+#: Every rule and base phrase demands one of these; names that can stand without the word license have their own.
+GATE = rf"(?i)licen[cs]|spdx|copyright|permission|redistribut|public{GAP}domain|rights{GAP}reserved|proprietary|creative{GAP}commons|cc{BREAK}*by|cc0|altered{GAP}source|just{GAP}do{GAP}what|{UNDER.replace(' ', GAP)}|apache|bsd|(?<!\w)isc(?!\w)|wtfpl|gnu{GAP}gpl|open{GAP}?rail|do{GAP}what{GAP}the"
 
 
 DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
@@ -111,7 +116,7 @@ DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: str  # alternatives, with bars between
+    keywords: str  # alternatives, with bars between; single words, which no line break can part
     pattern: str
     priority: int
     score: float
@@ -119,7 +124,7 @@ class Rule:
 
 def _spaced(pattern: str) -> str:
     """A space in a signature stands for any white space, quotes of wrapped comments included."""
-    return pattern.replace(", ", ",? ").replace(" ", r"[\s*#/>]+")
+    return pattern.replace(", ", ",? ").replace(" ", GAP)
 
 
 def rules() -> list[Rule]:
@@ -131,7 +136,7 @@ def rules() -> list[Rule]:
             (rf"spdx-license-identifier:[ \t]*\(?(?:[\w.+-]+ (?:or|and) )*{spdx}(?![\w.-])", 4, 1.0),
             (rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
             (rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
-            (_spaced(r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
+            (_spaced(UNDER + r"(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
             (rf"(?<![\w])(?:{name})(?:[- ]style)?[\s*#/>]+licen[cs]e(?![\w])", 2, 0.8),
             (rf"(?<![\w])(?:{name if 'licen' in name or 'creative' in name else name + r'[\s*#/>]+licen[cs]e'})(?![\w])", 2, 0.7),
         )

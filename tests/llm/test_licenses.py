@@ -1,4 +1,7 @@
+import random
 import re
+from dataclasses import replace
+from re import _parser
 
 from colloquy.llm import licenses
 
@@ -59,3 +62,53 @@ def test_hundreds_of_distinct_rules():
 
 def test_empty_table(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def sample(tree, rng, gap):
+    """A text that a parsed pattern matches, its branches and repeats at random."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng, gap)
+        elif name == "SUBPATTERN":
+            out += sample(arg[-1], rng, gap)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            is_gap = str(inner[0][0]) == "IN" and (_parser.LITERAL, ord("#")) in inner[0][1]
+            times = 1 if is_gap else rng.randint(least, min(most, least + 1))
+            out += gap if is_gap else "".join(sample(inner, rng, gap) for _ in range(times))
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else "x"
+        else:
+            assert name in ("ASSERT_NOT", "ASSERT"), name
+    return out
+
+
+def test_gate_and_keywords_are_necessary_for_every_rule():
+    rng = random.Random(2)
+    for rule in licenses.rules():
+        held, pattern = 0, rule.pattern.replace(f"[-{licenses.GAP}]", r"[-\s*#/>+]")  # a class in a class, which Python reads otherwise
+        for _ in range(60):
+            text = sample(_parser.parse(pattern), rng, rng.choice((" ", "\n", "\n * ", "\n# ", "\n// ")))
+            if re.search(pattern, text):
+                held += 1
+                assert re.search(licenses.GATE, text), (rule.label, text)
+                assert any(k in text for k in rule.keywords.split("|")), (rule.label, text)
+        assert held, rule
+
+
+def test_gated_equal_ungated(spark):
+    texts = [
+        "Released under MIT", "distributed under the GNU GPL", "wtfpl", "simplified BSD", "2-clause BSD", "available\n * under BSD", "all rights\n * reserved", "released into the public\n# domain", "GNU\nFree Documentation License", "Business\nSource License",
+        "SIL\nOpen Font License", "Server\n// Side Public License", "Common\n * Development and Distribution License", "Open\nDatabase License", "GNU\n GPL", "nothing here",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lower = licenses.ascii_lower(docs.text)
+    ungated = docs.select("doc_id", licenses.detections(lower, [replace(r, keywords="") for r in licenses.rules()]).alias("want"))
+    for r in licenses.scanned(docs).join(ungated, "doc_id").collect():
+        assert (r.detections or []) == r.want
+        assert (r.score > 0) == (texts[r.doc_id] != "nothing here"), texts[r.doc_id]
