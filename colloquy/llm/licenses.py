@@ -1,9 +1,11 @@
 """License detection by ordered signature rules, in DataFrame functions alone and without a shuffle.
 
-Base phrases are found at every place. Beyond them, several hundred signatures (license families in the forms that notices,
-identifiers, links and tags give them) run in order of priority. A signature's regex runs on a text only if one of its
-keywords is in it, and no signature runs unless one gate pattern matches. Every match is an interval; one that lies inside a match of no
-lower priority is suppressed, of equal intervals the earlier rule stays, and the rest name the labels.
+Base phrases are found at every place. Beyond them, several hundred signatures run in order of priority: hand-written ones
+of the licenses' own sentences, headers, exceptions, ranges and dual licensing (``license_texts``), and license families in
+the forms that identifiers, links, tags and plain sentences give them. A signature's regex runs on a text only if one of its keywords is in it,
+and no signature runs unless one gate pattern matches. Every match is an interval; one that lies inside a match of no lower
+priority is suppressed, of equal intervals the earlier rule stays, and the rest name the labels. The names of one identifier
+expression stand beside each other.
 
 Defined cases: null and empty texts have no words, places or labels and score 0; texts are searched whole; repeated rows
 are scanned each; an empty table gives an empty result; other columns do not matter.
@@ -11,13 +13,15 @@ are scanned each; an empty table gives an empty result; other columns do not mat
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm import license_texts
 from colloquy.llm.spans import matches
 
 #: A word's characters after A-Z in lower case, said so that letters of either case are in it.
@@ -88,28 +92,17 @@ FAMILIES = (
     ("w3c", "w3c", r"w3c software notice", r"w3c"),
     ("vim", "vim", r"vim", r"vim"),
 )
-#: Label, keyword, regex and confidence of notices that no family form covers.
-NOTICES = (
-    ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy", 1.0),
-    ("isc", "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose", 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification", 1.0),
-    ("gpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public license", 1.0),
-    ("unlicense", "domain", r"this is free and unencumbered software released into the public domain", 1.0),
-    ("boost", "obtaining", r"obtaining a copy of the software and accompanying documentation covered by this license", 1.0),
-    ("zlib", "altered", r"altered source versions must be plainly marked as such", 1.0),
-    ("wtfpl", "just", r"you just do what the f\w+ you want to", 1.0),
-    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", 0.8),
-    ("proprietary", "reserved", r"all rights reserved", 0.5),
-    ("proprietary", "confidential", r"proprietary and confidential", 0.8),
-)
 #: What stands for a space of a signature: white space and the marks of wrapped comments.
 GAP = r"[\s*#/>]+"
 #: Words before the name in a licensing sentence.
 UNDER = r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under"
 #: Every rule and base phrase demands one of these; names that can stand without the word license have their own.
-GATE = rf"(?i)licen[cs]|spdx|copyright|permission|redistribut|public{GAP}domain|rights{GAP}reserved|proprietary|creative{GAP}commons|cc{BREAK}*by|cc0|altered{GAP}source|just{GAP}do{GAP}what|{UNDER.replace(' ', GAP)}|apache|bsd|(?<!\w)isc(?!\w)|wtfpl|gnu{GAP}gpl|open{GAP}?rail|do{GAP}what{GAP}the"
+GATE = rf"(?i)licen[cs]|spdx|copyright|permi(?:ssion|tted)|redistribut|waive|public{GAP}domain|rights{GAP}reserved|proprietary|unauthorized|creative{GAP}?commons|cc{BREAK}*by|cc0|altered{GAP}source|just{GAP}do{GAP}what|{UNDER.replace(' ', GAP)}|apache|bsd|(?<!\w)isc(?!\w)|wtfpl|gnu{GAP}gpl|open{GAP}?rail|do{GAP}what{GAP}the|anyone{GAP}is{GAP}free|advertising|openssl|cryptographic{GAP}software|php{GAP}software|this{GAP}(?:stuff|font)|independent{GAP}jpeg|bcp{GAP}78|subject{GAP}to|(?:used|available){GAP}(?:for|to){GAP}(?:good|third)|special{GAP}exception|foss{GAP}exception|runtime{GAP}library|gpl{GAP}exception|font{GAP}|grants{GAP}to{GAP}you|managed{GAP}service|change{GAP}date|datenlizenz|mpl{GAP}1|no{GAP}restrictions|apple{GAP}software"
 
 
+_TABLE = "array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,priority:int,score:double>>>>"
+#: Names of one expression begin at its tag, so none of them hides another; they hide all that is weaker.
+EXPRESSION = 5
 DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
 
 
@@ -127,13 +120,22 @@ def _spaced(pattern: str) -> str:
     return pattern.replace(", ", ",? ").replace(" ", GAP)
 
 
+def _written() -> list[Rule]:
+    """The hand-written signatures."""
+    parts = [(license_texts.BODIES, 4, 1.0), (license_texts.EXCEPTIONS, 4, 1.0), (license_texts.NOTICES, 3, 0.95), (license_texts.CONTENT, 3, 0.95)]
+    out = [Rule(label, keys, rf"(?<![\w]){_spaced(p)}", priority, score) for rows, priority, score in parts for label, keys, p in rows]
+    return out + [Rule(label, keys, rf"(?<![\w]){_spaced(p)}", 1, score) for label, keys, p, score in license_texts.RIGHTS]
+
+
 def rules() -> list[Rule]:
-    """All signatures, strongest first: whole notices, identifiers and links, licensing sentences, bare names."""
-    out = [Rule(label, key, rf"(?<![\w]){_spaced(p)}", 4 if s == 1.0 else 1, s) for label, key, p, s in NOTICES]
+    """All signatures, strongest first: sentences of licenses, identifiers and links, licensing sentences, bare names."""
+    out = _written()
     for label, keys, name, spdx in FAMILIES:
         name = _spaced(name)
+        whole = rf"{spdx}(?![\w.-])"
         forms = (
-            (rf"spdx-license-identifier:[ \t]*\(?(?:[\w.+-]+ (?:or|and) )*{spdx}(?![\w.-])", 4, 1.0),
+            # names before this one in an expression are passed by without a step back
+            (rf"spdx-license-identifier:[ \t]*(?:(?!\(*{whole})[\w.+()-]++ (?:or|and|with) )*+\(*{whole}", EXPRESSION, 1.0),
             (rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
             (rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
             (_spaced(UNDER + r"(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
@@ -155,11 +157,11 @@ def _phrase(phrase: str) -> str:
 def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     """What stays of all matches in a lower-cased text: an array of (start, stop, label, score) in order of place."""
     known = known if known is not None else rules()
-    fields = (("label", str), ("pattern", str), ("priority", int), ("score", float))
-    families: dict[str, list[Column]] = {}
+    families: dict[str, list[dict]] = {}
     for i, r in enumerate(known):
-        families.setdefault(r.keywords, []).append(F.struct(F.lit(i).alias("rule"), *(F.lit(kind(getattr(r, name))).alias(name) for name, kind in fields)))
-    table = F.array(*(F.struct(F.array(*map(F.lit, k.split("|"))).alias("keys"), F.array(*v).alias("rules")) for k, v in families.items()))
+        families.setdefault(r.keywords, []).append({"rule": i, **asdict(r)})
+    # one literal, which is parsed once when the plan is made
+    table = F.from_json(F.lit(json.dumps([{"keys": k.split("|"), "rules": v} for k, v in families.items()])), _TABLE)
 
     def matched(rule: Column) -> Column:
         return F.transform(
@@ -178,7 +180,7 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
 
     def step(a: Column, d: Column) -> Column:
         stop, priority = -d["last"], -d["weakness"]
-        covered = reduce(lambda x, y: x | y, ((priority <= p) & (a[f"p{p}"] >= stop) for p in levels))
+        covered = reduce(lambda x, y: x | y, (((priority < p) if p == EXPRESSION else (priority <= p)) & (a[f"p{p}"] >= stop) for p in levels))
         reach = (F.when(priority == p, F.greatest(a[f"p{p}"], stop)).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels)
         new = F.struct(d["start"].alias("start"), stop.alias("stop"), d["label"].alias("label"), d["score"].alias("score"))
         return F.struct(*reach, F.when(covered, a["kept"]).otherwise(F.concat(a["kept"], F.array(new))).alias("kept"))
@@ -212,7 +214,7 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
         F.when(has, F.array_sort(F.array_compact(labels))).otherwise(F.array().cast("array<string>")).alias("_labels"),
         F.when(has, F.size(F.split(F.element_at(F.regexp_extract_all("_text", F.lit(any_phrase), F.lit(0)), -1), f"{BREAK}+"))).alias("_size"),
     )
-    own = F.transform(F.coalesce("detections", F.array().cast(DETECTIONS)), lambda d: d["label"])
+    own = F.flatten(F.transform(F.coalesce("detections", F.array().cast(DETECTIONS)), lambda d: F.split(d["label"], r"\|")))
     best = F.array_max(F.transform("detections", lambda d: d["score"]))
     return table.select(
         "doc_id", "n_words", F.col("_base").cast("long").alias("n_base"), "first_word",

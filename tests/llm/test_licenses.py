@@ -56,10 +56,32 @@ def test_suppression(spark):
 
 def test_hundreds_of_distinct_rules():
     known = licenses.rules()
-    assert len(known) > 300
+    assert len(known) > 500 and len({r.pattern for r in licenses._written()}) > 180
     assert [r.priority for r in known] == sorted((r.priority for r in known), reverse=True)
 
 
+def test_long_identifier_lists_and_runs_do_not_recurse(spark):
+    many = "SPDX-License-Identifier: " + "foo or " * 20_000
+    texts = [many + "MIT", many, "SPDX-License-Identifier: (Apache-2.0 OR (MIT AND BSD-3-Clause)) WITH x", "license " + "under the " * 50_000, "http://" + "licenses/" * 50_000, "license permission " * 20_000, "copyright " + "gnu " * 50_000]
+    got = [r.labels for r in licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:3] == ["mit", "", "apache-2,bsd-3-clause,mit"] and got[3:] == [""] * 4
+
+
+def test_hand_written_signatures(spark):
+    want = {
+        "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software": "mit",
+        "licensed under either of Apache License, Version 2.0 or MIT license at your option": "apache-2,mit",
+        "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version": "gpl-2-or-later",
+        "dual-licensed under MIT and Apache-2.0": "apache-2,mit",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "License :: OSI Approved :: MIT License": "mit",
+        "The Software shall be used for Good, not Evil.": "json",
+        "THE BEER: As long as you retain this notice you\n# can do whatever you want with this stuff": "beerware",
+    }
+    rows = licenses.scanned(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == list(want.values())
+
+
 def test_empty_table(spark):
     assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -71,11 +93,13 @@ def sample(tree, rng, gap):
         name = str(op)
         if name == "LITERAL":
             out += chr(arg)
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += "x"
         elif name == "BRANCH":
             out += sample(rng.choice(arg[1]), rng, gap)
         elif name == "SUBPATTERN":
             out += sample(arg[-1], rng, gap)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             least, most, inner = arg
             is_gap = str(inner[0][0]) == "IN" and (_parser.LITERAL, ord("#")) in inner[0][1]
             times = 1 if is_gap else rng.randint(least, min(most, least + 1))
