@@ -4,8 +4,8 @@ A document's ids and an end id are cut, if they are too many, into full pieces w
 single pieces: Spark counts the pieces of each length, at most as many rows as a sequence has tokens. Lengths above a small
 share of the capacity are sorted and cut into groups of equal cardinality, each rounded up to its largest length; the few
 sizes that result make a configuration problem, solved by column generation. Whole multiples of its configurations are
-opened and the real lengths take the places of the rounded ones, which leaves room; what is left over and the small
-lengths are then best-fitted, longest first, into the room that fits tightest. A plan row says which ranks of a length go
+opened and the real lengths take the places of the rounded ones, the last place going to the longest that then fits; what is
+left over and the small lengths are best-fitted, longest first, into the room that fits tightest. A plan row says which ranks of a length go
 to which sequences at which offset. Pieces get their rank within their length by two small windows over hash buckets and
 find their place by one broadcast join with the plan, whose size depends on the capacity alone.
 
@@ -16,7 +16,7 @@ an empty table gives no sequence; other columns do not matter.
 from __future__ import annotations
 
 import base64
-import heapq
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +32,7 @@ CAPACITY = 1024
 END = 2
 GROUPS = 64
 #: Lengths up to this share of the capacity are small.
-SMALL = 1 / 16
+SMALL = 1 / 8
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -117,7 +117,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 
 
 class _Runs:
-    """Sequences of like content, kept together: how many, from which number, the room left and what they hold.
+    """Sequences of like content, kept together: how many, from which number, and what they hold, by the room they have left.
 
     An item (length, rank, offset) of a run stands for the ranks from ``rank`` on, one for each of its sequences.
     """
@@ -125,13 +125,9 @@ class _Runs:
     def __init__(self, capacity: int) -> None:
         self.capacity, self.next = capacity, 0
         self.open: dict[int, list] = {}
-        self.rooms: list[int] = []
 
     def add(self, first: int, count: int, room: int, items: list[tuple[int, int, int]]) -> None:
-        if room not in self.open:
-            self.open[room] = []
-            heapq.heappush(self.rooms, room)
-        self.open[room].append((first, count, items))
+        self.open.setdefault(room, []).append((first, count, items))
 
     def fresh(self, count: int) -> int:
         self.next += count
@@ -158,50 +154,46 @@ class _Runs:
                 self.add(first + used, have - used, room, [(n, r + used, o) for n, r, o in items])
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, int, int, int, int]]:
-    """The better of the plans with and without groups."""
-    plans = [grouped_plan(histogram, capacity, groups, small), grouped_plan(histogram, capacity, groups, 1.0)]
-    return min(plans, key=lambda rows: max((row[3] + row[2] - row[1] for row in rows), default=0))
+class _Stock:
+    """The large lengths that are not placed yet: how many, and the rank of the first."""
+
+    def __init__(self, histogram: dict[int, int]) -> None:
+        self.rank = dict.fromkeys(histogram, 0)
+        self.count = dict(histogram)
+        self.lengths = sorted(histogram)
+
+    def longest(self, most: int) -> int | None:
+        """The longest length up to ``most`` of which some are left."""
+        at = bisect.bisect_right(self.lengths, most)
+        return self.lengths[at - 1] if at else None
 
+    def take(self, length: int, count: int) -> int:
+        """The rank of the first of ``count`` of one length."""
+        rank = self.rank[length]
+        self.rank[length] += count
+        self.count[length] -= count
+        if not self.count[length]:
+            self.lengths.remove(length)
+        return rank
 
-def grouped_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, int, int, int, int]]:
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, rank_from, rank_to, sequence, offset): rank r of a length goes to ``sequence + r - rank_from``."""
     state = _Runs(capacity)
     least = int(capacity * small)
-    queue = {n: [0, c] for n, c in histogram.items()}
-    lengths = np.array(sorted((n for n in histogram if least < n), reverse=True), int)
-    counts = np.array([histogram[n] for n in lengths], int)
-    if len(lengths):
-        total = int(counts.sum())
-        cuts = np.unique(np.linspace(0, total, min(groups, total) + 1).astype(int))
-        ends = np.cumsum(counts)
-        group_of: list[list[list[int]]] = []  # for each group its runs [length, rank, count], longest first
-        for a, b in zip(cuts, cuts[1:]):
-            members, at = [], int(np.searchsorted(ends, a, "right"))
-            while a < b:
-                n = min(int(ends[at]), int(b)) - int(a)
-                members.append([int(lengths[at]), int(a - (ends[at] - counts[at])), n])
-                a, at = a + n, at + 1
-            group_of.append(members)
-        merged: dict[int, list[list[int]]] = {}
-        for members in group_of:
-            merged.setdefault(members[0][0], []).extend(members)
-        sizes = np.array(sorted(merged), int)
-        demand = np.array([sum(m[2] for m in merged[s]) for s in sizes.tolist()], float)
-        for pattern, amount in configurations(sizes, demand, capacity):
-            times = int(amount + 1e-9)
-            slots = [int(sizes[k]) for k in np.flatnonzero(pattern) for _ in range(pattern[k])]
-            have = {s: sum(m[2] for m in merged[s]) for s in set(slots)}
-            times = min([times, *(have[s] // slots.count(s) for s in have)])
-            if times > 0:
-                _substitute(state, merged, slots, times)
-        left = sorted((tuple(m) for members in merged.values() for m in members if m[2]), reverse=True)
-    else:
-        left = []
-    for n, rank, count in left:
-        state.fit(n, rank, count)
+    large = {n: c for n, c in histogram.items() if n > least}
+    stock = _Stock(large)
+    if large:
+        sizes, demand = grouped(large, groups)
+        # patterns that hold the longest first: their lengths have the fewest places
+        for pattern, amount in sorted(configurations(sizes, demand, capacity), key=lambda p: [-int(n) for n in p[0][::-1]]):
+            slots = [int(sizes[k]) for k in np.flatnonzero(pattern)[::-1] for _ in range(pattern[k])]
+            below = {int(n): int(sizes[k - 1]) if k else 0 for k, n in enumerate(sizes)}
+            _substitute(state, stock, slots, below, int(amount + 1e-9), capacity)
+    for n in reversed(list(stock.lengths)):
+        state.fit(n, stock.rank[n], stock.count[n])
     for n in sorted((n for n in histogram if n <= least), reverse=True):
-        state.fit(n, *queue[n])
+        state.fit(n, 0, histogram[n])
     rows = []
     for runs in state.open.values():
         for first, count, items in runs:
@@ -209,28 +201,48 @@ def grouped_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
     return sorted(rows)
 
 
-def _substitute(state: _Runs, groups: dict[int, list[list[int]]], slots: list[int], times: int) -> None:
-    """Opens ``times`` sequences of one configuration and gives each slot the next real lengths of its group."""
-    first = state.fresh(times)
-    taken = []
-    for slot in slots:
-        need, parts = times, []
-        while need:
-            member = groups[slot][0]
-            n = min(member[2], need)
-            parts.append((times - need, member[0], member[1], n))
-            member[1], member[2], need = member[1] + n, member[2] - n, need - n
-            if not member[2]:
-                groups[slot].pop(0)
-        taken.append(parts)
-    marks = sorted({0, times, *(p[0] for parts in taken for p in parts)})
-    for a, b in zip(marks, marks[1:]):
-        items, offset = [], 0
-        for parts in taken:
-            begin, length, rank, _ = next(p for p in reversed(parts) if p[0] <= a)
-            items.append((length, rank + a - begin, offset))
-            offset += length
-        state.add(first + a, b - a, state.capacity - offset, items)
+def grouped(large: dict[int, int], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest length of each group of near equal cardinality and the number of its members; a length is in one group."""
+    lengths = np.array(sorted(large), int)
+    ends = np.cumsum([large[n] for n in lengths.tolist()])
+    group = np.minimum((ends - 1) * groups // ends[-1], groups - 1)
+    last = np.append(np.flatnonzero(np.diff(group)), len(group) - 1)
+    return lengths[last], np.diff(ends[last], prepend=0).astype(float)
+
+
+def _substitute(state: _Runs, stock: _Stock, slots: list[int], below: dict[int, int], times: int, capacity: int) -> None:
+    """Opens up to ``times`` sequences of one configuration.
+
+    Each slot but the last gets the longest real length of its group; the last one, as the real lengths leave more room than
+    the rounded ones, the longest that fits, and so on while one fits.
+    """
+    while times > 0:
+        chosen: list[int] = []
+        used: dict[int, int] = {}
+
+        def pick(most: int) -> int | None:
+            while (n := stock.longest(most)) is not None and used.get(n, 0) >= stock.count[n]:
+                most = n - 1
+            return n
+
+        for slot in slots[:-1]:
+            n = pick(slot)
+            if n is None or n <= below[slot]:  # its group is used up
+                return
+            chosen.append(n)
+            used[n] = used.get(n, 0) + 1
+        while (n := pick(capacity - sum(chosen))) is not None:
+            chosen.append(n)
+            used[n] = used.get(n, 0) + 1
+        if len(chosen) < len(slots):
+            return
+        many = min(times, *(stock.count[n] // k for n, k in used.items()))
+        first, offset, items = state.fresh(many), 0, []
+        for n in chosen:
+            items.append((n, stock.take(n, many), offset))
+            offset += n
+        state.add(first, many, capacity - offset, items)
+        times -= many
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, ids: bool = True, ranks_path: str | None = None) -> DataFrame:

@@ -33,9 +33,38 @@ def test_plans(seed):
     lengths = [rng.integers(1, 129, 3000), np.clip(rng.gamma(2, 20, 900).astype(int) + 1, 1, 128), rng.integers(40, 90, 500), rng.integers(1, 9, 7)][seed]
     histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
     least = -(-int(lengths.sum()) // 128)
-    grouped = checked(histogram, packing.grouped_plan(histogram, 128, 32, 1 / 16), 128)
-    both = checked(histogram, packing.plan(histogram, 128, 32), 128)
-    assert least <= both <= grouped <= 1.15 * least + 2
+    for small in (1 / 16, 1 / 4):
+        found = checked(histogram, packing.plan(histogram, 128, 32, small), 128)
+        assert least <= found <= 1.002 * best_fit(lengths, 128) + 1
+
+
+def best_fit(lengths, capacity):
+    """Sequences that best fit of single lengths, longest first, opens."""
+    rooms = [0] * capacity + [10**9]
+    for n in sorted(lengths.tolist(), reverse=True):
+        room = next(r for r in range(n, capacity + 1) if rooms[r])
+        rooms[room] -= 1
+        rooms[room - n] += 1
+    return 10**9 - rooms[capacity]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_of_billions_take_few_steps(seed):
+    rng = np.random.default_rng(seed)
+    histogram = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 1025), 700, replace=False), rng.integers(1, 10**9, 700))}
+    rows = packing.plan(histogram)
+    sequences = max(first + b - a for _, a, b, first, _ in rows)
+    plain = packing._Runs(1024)
+    for n in sorted(histogram, reverse=True):
+        plain.fit(n, 0, histogram[n])
+    assert len(rows) < 20_000 and sequences <= 1.001 * plain.next
+
+
+def test_grouping_alone_is_as_good_as_best_fit_of_single_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    histogram = {r.length: r.n for r in packing.pieces(docs).groupBy("length").count().withColumnRenamed("count", "n").collect()}
+    lengths = np.repeat(list(histogram), list(histogram.values()))
+    assert checked(histogram, packing.plan(histogram), 1024) <= best_fit(lengths, 1024)
 
 
 def test_known_optimum():
