@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.functions.materialize import cut
+
 #: Odd multiplier of the polynomial word hash, its inverse modulo 2**64 and a finalising multiplier.
 RADIX = 0x9E3779B97F4A7C15
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
@@ -105,3 +107,26 @@ def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     keys = [*group, "_bucket"]
     joined = keyed.join(shifts, keys)
     return joined.withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_bucket", "_rank", "_shift")
+
+
+#: Rows of ids and a few numbers that may be broadcast, some ten megabytes.
+BROADCAST_ROWS = 1 << 18
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have, in any case of letters."""
+    taken = {c.lower() for c in rows.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"_{name}{k or ''}").lower() not in taken)
+
+
+def broadcastable(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once, marked for a broadcast if they are few; else a join shuffles them."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key``, nulls included, is not in ``gone``; they stay where they are if few go."""
+    other = fresh(rows, "gone")
+    few = broadcastable(gone.select(F.col(key).alias(other)).distinct())
+    return rows.join(few, rows[key].eqNullSafe(few[other]), "left_anti")

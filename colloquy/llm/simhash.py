@@ -7,8 +7,8 @@ tile pair gives at most a spanning forest of its links, never all pairs, and a t
 blocks of bounded size. Components come from alternating star contraction over the distinct fingerprints.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; equal texts share a fingerprint; null
-ids are kept but never name a component unless it has no other; an empty table gives an empty result; other columns of
-the input are ignored by ``components`` and kept by ``deduplicated``.
+ids are kept but never name a component unless it has no other; an empty table gives an empty result; other columns do
+not matter.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.materialize import cut, written
+from colloquy.functions.materialize import cut
 from colloquy.llm.common import utf8
 
 SHINGLE = 3
@@ -29,6 +29,8 @@ RADIUS = 2
 SEED = 42
 #: Fingerprints in a block of a tile.
 BLOCK = 4096
+#: Fingerprints that may each hold 1 / HOT of the rows.
+HOT = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -195,12 +197,17 @@ def contracted(edges: DataFrame, most: int = 60) -> DataFrame:
 
 def with_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Materialised rows with ``_fp`` and ``doc_id`` to the same rows with ``component_id``."""
-    classes = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
+    classes = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")))
     roots = contracted(links(classes.select("_fp"), radius))
-    moved = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    moved = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root"))
     least = moved.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = moved.join(least, "_root").select("_fp", "_root", "component_id")
-    return prints.join(named, "_fp")
+    named = cut(moved.join(least, "_root").select("_fp", "_root", "_n", "component_id"))
+    # a fingerprint of many rows does not gather them: such, HOT in number at most, are looked up where the rows are
+    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.col("_n") > max(total / HOT, 1000)
+    often = F.broadcast(named.filter(hot))
+    rest = prints.join(often.select("_fp"), "_fp", "left_anti").join(named.filter(~hot), "_fp")
+    return prints.join(often, "_fp").unionByName(rest).drop("_n")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -208,11 +215,3 @@ def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) ->
     prints = cut(fingerprints(docs.select("doc_id", "text"), shingle))
     rows = with_components(prints, radius)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """All columns of the documents that stay: of each component the row with the smallest id (of several such, one)."""
-    marked = written(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash")
-    prints = cut(fingerprints(marked.select("_row", "doc_id", "text"), shingle))
-    first = with_components(prints, radius).groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return marked.join(first.select("_row"), "_row", "left_semi").drop("_row")

@@ -1,9 +1,13 @@
 import random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from colloquy.llm import neardup
+from colloquy.llm import simhash_near
+from colloquy.llm.common import utf8
 
 
 def kept_by_all_pairs(rows):
@@ -60,5 +64,36 @@ def test_stage_equals_all_pairs_at_planted_similarities(spark):
     assert sorted(r.doc_id for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("part,shingles", [(4096, 1 << 21), (8, 900)])
+def test_parts_of_any_size_give_the_same_groups(spark, part, shingles, monkeypatch):
+    monkeypatch.setattr(simhash_near, "PART", part)
+    monkeypatch.setattr(simhash_near, "PART_SHINGLES", shingles)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k + 10, " ".join(w if rng.random() > 0.02 else f"z{rng.randint(0, 99)}" for w in base)) for k in range(120)]
+    rows += [(500 + k, rows[k % 7][1]) for k in range(60)] + [(600 + k, " ".join(rng.choice(base) for _ in range(60))) for k in range(40)]
+    got = simhash_near.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == kept_by_all_pairs(rows)
+
+
+def test_nulls_ties_and_clashing_names(spark):
+    rows = [(7, "a b c d e f", 1), (7, "a b c d e f", 2), (None, "a b c d e f", 3), (None, "only here", 4), (3, None, 5), (2, "", 6), (9, "x " * 200_000, 7)]
+    names = ["_row", "_set", "_size", "_fp0", "_bands", "_key", "root", "node", "_n", "_gone", "_pair", "_side", "_first", "a", "b", "_text"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", *(f"k as {n}" for n in names))
+    got = simhash_near.deduplicated(docs)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept) == [("2", ""), ("7", "a b c d e"), ("9", "x x x x x"), ("None", "only here")]
+    assert all(r[n] == r.k for r in kept for n in names)
+
+
+def test_shingles_are_those_of_words():
+    texts = ["A b  c d e f", "a b c d e", "a b", "a", "", None, "a b c d e f a b c d e f", "b a"]
+    sets = simhash_near.shingle_sets(*utf8(pa.array(texts)))
+    assert [len(s) for s in sets] == [2, 1, 1, 1, 0, 0, 6, 1]
+    assert np.isin(sets[1], sets[0]).all() and np.isin(sets[0], sets[6]).all()
+    assert sets[2] != sets[7] and sets[2] != sets[3]
+
+
 def test_empty_table(spark):
-    assert neardup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert simhash_near.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
