@@ -1,32 +1,35 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Candidate spans come from patterns. Three labelers vote on each with 1, 0 or -1: a strict form (regex), a gazetteer of known
-values (top-level domains, calling codes, card prefixes, reserved addresses) and the words before it (context). How often
-each combination of votes occurs is counted over all documents; on that small table, whose size no corpus changes,
-expectation-maximisation estimates the labelers' reliabilities and a logistic span classifier is fitted to the posteriors.
-The classifier then runs as a column expression. Base spans always stay; of the others those it accepts.
+Candidate spans come from patterns. Three labelers vote on each with 1, 0 or -1: a strict form (regex), a gazetteer (tables of
+top-level domains, calling codes, card issuers, reserved addresses, country codes and key names) and the words before it
+(context). How often each combination of votes and of a span's shape (length, digits, letters, neighbouring characters, none
+of which a labeler sees) occurs is counted over all documents; on that table, whose size no corpus changes,
+expectation-maximisation estimates the labelers' reliabilities and a logistic span classifier over votes and shape is fitted
+to the posteriors. The classifier then runs as a column expression. Base spans always stay; of the others those it accepts.
 
 Positions are code points, the end exclusive. Defined cases: null and empty texts have no spans; texts are searched whole,
 with patterns that neither recurse nor rescan a run of characters; repeated rows are searched each; with no candidate at
-all the classifier keeps its prior; other columns are kept by ``redacted`` only.
+all the classifier keeps its prior; other columns are kept by ``redacted`` only, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.materialize import cut
+from colloquy.functions.materialize import cut, written
+from colloquy.llm.common import fresh
 from colloquy.llm.spans import let, matches
 
 #: Kinds in the order of reports; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "ssn", "iban", "local_phone", "spelled_email")
 KINDS = BASE + EXTRA
-SPAN = "array<struct<kind:int,start:int,stop:int,strict:int,known:int,context:int>>"
+SPAN = "array<struct<kind:int,start:int,stop:int,strict:int,known:int,context:int,shape:int>>"
 CONTEXT = 32
 
 
@@ -37,8 +40,6 @@ class Source:
     gate: str
     pattern: str
     strict: str
-    known: str
-    unknown: str
     context: str
     least: int = 0
     most: int = 1 << 30
@@ -48,33 +49,45 @@ class Source:
 SOURCES = {
     "email": Source(
         "@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)++",
-        r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*+(?<=\.[A-Za-z]{2,24})$",
-        r"(?i)\.(com|org|net|edu|gov|io|co|info|biz|de|fr|es|it|uk|us|eu|ch|nl|se|pl|jp|cn|in|br|au|ca)$", r"(?i)\.(png|jpg|gif|svg|js|css|local|test|invalid)$",
-        r"(?i)mail|contact|write|reach|from:|to:|correo|courriel",
+        r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*+(?<=\.[A-Za-z]{2,24})$", r"(?i)mail|contact|write|reach|from:|to:|correo|courriel",
     ),
     "ip": Source(
-        ".", r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-        r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$", r"^([1-9]|1[1-9]|[2-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.", r"^(0|10|127|255|169\.254|192\.168)\.",
+        ".", r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$",
         r"(?i)\bip\b|addr|host|server|client|login|from",
     ),
     "card": Source(
         "", r"[0-9]([\x20-]?[0-9])++", r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5}$",
-        r"^(4|5[ -]?[1-5]|2[ -]?[2-7]|3[ -]?[47]|6[ -]?0[ -]?1[ -]?1|6[ -]?5)", r"^0", r"(?i)card|visa|master|amex|credit|pay|karte|tarjeta|carte", 13, 19,
+        r"(?i)card|visa|master|amex|credit|pay|karte|tarjeta|carte", 13, 19,
     ),
     "phone": Source(
-        "+", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]+\)?([ .-]?[0-9]+)*$",
-        r"^\+(1|7|2[07]|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])", r"^\+0", r"(?i)phone|tel|call|mobile|fax|cell|whatsapp", 9, 15,
+        "+", r"\+[0-9][\x20().0-9-]+[0-9]", r"^\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]+\)?([ .-]?[0-9]+)*$", r"(?i)phone|tel|call|mobile|fax|cell|whatsapp", 9, 15,
     ),
     "secret": Source(
         "", r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
-        r"(?i)[=:]\s*[\"']?(?=[^\"']*[0-9])(?=[^\"']*[a-z])[A-Za-z0-9+/_.-]{10,}", r"(?i)^(token|password|passwd|secret|api|access|private)", r"(?i)example|changeme|x{6}",
-        r"(?i)auth|login|export|set|user|key",
+        r"(?i)[=:]\s*[\"']?(?=[^\"']*[0-9])(?=[^\"']*[a-z])[A-Za-z0-9+/_.-]{10,}", r"(?i)auth|login|export|set|user|key",
     ),
-    "ssn": Source("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", r"^(000|666|9)", r"(?i)ssn|social|security|tax"),
-    "iban": Source("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}", r"^(DE|FR|ES|IT|GB|NL|BE|CH|AT|PL|SE|DK|NO|FI|PT|IE|LU)", r"^XX", r"(?i)iban|account|bank|konto|cuenta|compte"),
-    "local_phone": Source("", r"(?<![0-9+().-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", r"^(\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$", r"^\(?[2-9][0-9]{2}", r"^\(?[01]", r"(?i)phone|tel|call|mobile|fax|cell"),
-    "spelled_email": Source("", r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}){1,4}", r"(?i)dot", r"(?i)(com|org|net|edu|de|fr|es)$", r"^$", r"(?i)mail|contact|write|reach"),
+    "ssn": Source("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"^[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"(?i)ssn|social|security|tax"),
+    "iban": Source("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"^[A-Z]{2}[0-9]{2}", r"(?i)iban|account|bank|konto|cuenta|compte"),
+    "local_phone": Source("", r"(?<![0-9+().-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])", r"^(\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$", r"(?i)phone|tel|call|mobile|fax|cell"),
+    "spelled_email": Source("", r"(?i)(?<![A-Za-z0-9._-])[a-z0-9._-]{1,64} ?[\[(] ?at ?[\])] ?[a-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?[a-z0-9-]{1,63}){1,4}", r"(?i)dot", r"(?i)mail|contact|write|reach"),
 }
+#: Fixed values, the gazetteers: top-level domains in wide use and endings of file names and test hosts.
+DOMAINS = tuple("ai app ar at au be biz br ca cc ch cl cn co com cz de dev dk edu es eu fi fr gov gr hk hu id ie il in info int io it jp kr me mil mx nl no nz org pl pt ro ru se sg sk tr tv tw ua uk us za net".split())
+NO_DOMAINS = tuple("css csv example gif html invalid jpeg jpg js json local localhost md pdf png py svg test txt xml".split())
+#: Country calling codes.
+CALLING = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 220 221 225 233 234 237 243 244 250 251 254 255 256 260 263 "
+    "351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 382 385 386 387 389 420 421 423 502 503 504 505 506 507 509 591 593 595 598 852 853 855 856 880 886 960 961 962 963 964 965 966 967 968 971 972 973 974 975 976 977 992 993 994 995 996 998".split()
+)
+#: Leading digits of card issuers, by how many digits say it.
+ISSUERS = {1: ("4",), 2: ("34", "36", "37", "38", "50", "51", "52", "53", "54", "55", "56", "57", "58", "62", "63", "65", "67"), 4: ("6011", "2221", "2720"), 3: ("222", "223", "224", "225", "226", "227", "228", "229", "300", "301", "302", "303", "304", "305", "644", "645", "646", "647", "648", "649")}
+ISSUERS_TWO_SERIES = ("23", "24", "25", "26", "270", "271")
+#: First octets that no public host has, and first pairs of them.
+RESERVED, RESERVED_PAIRS = ("0", "10", "127", *map(str, range(224, 256))), ("169.254", "192.168", *(f"172.{n}" for n in range(16, 32)))
+#: Countries of account numbers with the number's length.
+ACCOUNTS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26}
+#: Names of keys, and values that only stand for one.
+KEY_NAMES, DUMMIES = ("token", "password", "passwd", "secret", "apikey", "accesskey", "privatekey", "pwd"), ("changeme", "password", "yourtoken", "yourpassword", "yourkey", "xxxxxxxx", "example", "placeholder")
 #: Cheap patterns that every text with candidates of the kind matches: each says only what its pattern demands.
 GATES = {"card": r"[0-9](?:[\x20-]?[0-9]){12}", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "phone": r"\+[0-9][\x20().0-9-]", "email": r"@[A-Za-z0-9-]+\.", "secret": r"(?i)(?:token|secret|passw(?:or)?d|pwd|key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8}", "ssn": r"-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "local_phone": r"[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}", "spelled_email": r"(?i)[\[(] ?dot ?[\])]"}
 
@@ -104,17 +117,66 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _known(kind: str, value: Column) -> Column:
+    """The gazetteer's vote: 1 for a key of the span that its table has, -1 for one that speaks against it, 0 without."""
+    digits = _digits(value)
+    leads = lambda table: F.substring(digits, 1, len(table[0])).isin(*table)
+    if kind in ("email", "spelled_email"):
+        key = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+        yes, no = key.isin(*DOMAINS), key.isin(*NO_DOMAINS)
+    elif kind == "ip":
+        parts = F.split(value, r"\.")
+        no = parts[0].isin(*RESERVED) | F.concat_ws(".", parts[0], parts[1]).isin(*RESERVED_PAIRS)
+        yes = ~no & ~parts[0].startswith("0")
+    elif kind == "card":
+        yes, no = reduce(lambda a, b: a | b, map(leads, [*ISSUERS.values(), ISSUERS_TWO_SERIES[:4], ISSUERS_TWO_SERIES[4:]])), digits.startswith("0")
+    elif kind == "phone":
+        yes = reduce(lambda a, b: a | b, (leads([c for c in CALLING if len(c) == n]) for n in (1, 2, 3)))
+        no = digits.startswith("0")
+    elif kind == "secret":
+        held = F.lower(F.regexp_replace(F.regexp_extract(value, r"[=:]\s*[\"']?([^\"']*)", 1), "[^A-Za-z0-9]", ""))
+        yes, no = F.lower(F.regexp_replace(F.regexp_extract(value, "^([A-Za-z_-]+)", 1), "[_-]", "")).isin(*KEY_NAMES), held.isin(*DUMMIES)
+    elif kind == "ssn":
+        area = F.substring(value, 1, 3)
+        no = area.isin("000", "666") | area.startswith("9")
+        yes = ~no
+    elif kind == "iban":
+        sizes = F.create_map(*(F.lit(x) for pair in ACCOUNTS.items() for x in pair))
+        size = F.try_element_at(sizes, F.substring(value, 1, 2))
+        yes, no = F.coalesce(size == F.length(F.regexp_replace(value, " ", "")), F.lit(False)), size.isNull()
+    else:
+        yes, no = digits.rlike("^[2-9][0-9]{2}[2-9]"), digits.rlike("^[01]|^[0-9]{3}[01]")
+    return F.when(no, -1).when(yes, 1).otherwise(0)
+
+
+#: What a span looks like, each part with its number of values; no labeler sees it.
+SHAPE = {"length": 6, "digits": 3, "upper": 2, "lower": 2, "before": 3, "after": 3}
+
+
+def _shape(text: Column, s: Column) -> Column:
+    """One number for the parts of a span's shape."""
+    side = lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), 2).when(F.trim(c) == "", 0).otherwise(1)
+    size, value = s["stop"] - s["start"], s["value"]
+    digits = F.length(_digits(value))
+    parts = {
+        "length": F.when(size <= 8, 0).when(size <= 12, 1).when(size <= 16, 2).when(size <= 24, 3).when(size <= 48, 4).otherwise(5),
+        "digits": F.when(digits == 0, 0).when(2 * digits < size, 1).otherwise(2),
+        "upper": value.rlike("[A-Z]").cast("int"), "lower": value.rlike("[a-z]").cast("int"),
+        "before": F.when(s["start"] == 0, 0).otherwise(side(F.substring(text, s["start"], F.lit(1)))), "after": side(F.substring(text, s["stop"] + 1, F.lit(1))),
+    }
+    return reduce(lambda code, name: code * SHAPE[name] + parts[name], SHAPE, F.lit(0)).cast("int")
+
+
 def _found(kind: str, text: Column) -> Column:
-    """The spans of one kind with their votes."""
+    """The spans of one kind with their votes and shape."""
     source = SOURCES[kind]
 
     def voted(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        known = F.when(s["value"].rlike(source.unknown), -1).when(s["value"].rlike(source.known), 1).otherwise(0)
         context = F.when(before.rlike(source.context), 1).when(before.rlike(r"(?i)isbn|version|figure|section|order (no|number)|ref\."), -1).otherwise(0)
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
-            F.when(s["value"].rlike(source.strict), 1).otherwise(-1).alias("strict"), known.alias("known"), context.alias("context"),
+            F.when(s["value"].rlike(source.strict), 1).otherwise(-1).alias("strict"), _known(kind, s["value"]).alias("known"), context.alias("context"), _shape(text, s).alias("shape"),
         )
 
     valid = F.transform(F.filter(matches(text, source.pattern), lambda s: _holds(kind, s["value"])), voted)
@@ -128,7 +190,7 @@ def candidates(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Classifier:
-    """Logistic weights of the bias, the three votes and the kinds; and the labelers' reliabilities."""
+    """Logistic weights of the bias, the three votes, the kinds and the parts of a shape; and the labelers' reliabilities."""
 
     weights: tuple[float, ...]
     reliability: tuple[float, ...]
@@ -138,18 +200,32 @@ class Classifier:
         total = F.lit(self.weights[0])
         for w, name in zip(self.weights[1:4], ("strict", "known", "context")):
             total = total + F.lit(w) * span[name]
-        for k, w in enumerate(self.weights[4:]):
-            total = total + F.when(span["kind"] == k, F.lit(w)).otherwise(0.0)
+        at = 4 + len(KINDS)
+        total = total + F.get(F.array(*map(F.lit, self.weights[4:at])), span["kind"])
+        code = span["shape"]
+        for (name, size), first in reversed(list(zip(SHAPE.items(), at + np.cumsum([0, *SHAPE.values()])[:-1]))):
+            total = total + F.get(F.array(*map(F.lit, self.weights[first : first + size])), code % size)
+            code = F.floor(code / size).cast("int")
         return 1 / (1 + F.exp(-total))
 
 
-def fitted(counts: list[tuple[int, int, int, int, int]], rounds: int = 50) -> Classifier:
-    """From (kind, strict, known, context, n), one row for each combination: at most 27 for a kind."""
+def _inputs(kinds: np.ndarray, votes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """What the classifier sees, a row for each combination."""
+    parts = [np.ones((len(kinds), 1)), votes, np.eye(len(KINDS))[kinds]]
+    codes, columns = shapes.copy(), []
+    for size in reversed(SHAPE.values()):
+        columns.append(np.eye(size)[codes % size])
+        codes //= size
+    return np.concatenate([*parts, *reversed(columns)], axis=1)
+
+
+def fitted(counts: list[tuple[int, int, int, int, int, int]], rounds: int = 50) -> Classifier:
+    """From (kind, strict, known, context, shape, n), one row for each combination: at most 27 votes by 648 shapes for a kind."""
     start = (0.75, 0.75, 0.65)
     if not counts:
-        return Classifier((0.0, 1.0, 1.0, 0.5, *[0.0] * len(KINDS)), start, 0.5)
+        return Classifier((0.0, 1.0, 1.0, 0.5, *[0.0] * (len(KINDS) + sum(SHAPE.values()))), start, 0.5)
     table = np.array(counts, np.float64)
-    kinds, votes, n = table[:, 0].astype(int), table[:, 1:4], table[:, 4]
+    kinds, votes, shapes, n = table[:, 0].astype(int), table[:, 1:4], table[:, 4].astype(int), table[:, 5]
     right, prior = np.array(start), np.full(len(KINDS), 0.6)
     for _ in range(rounds):
         odds = np.log(prior[kinds] / (1 - prior[kinds])) + votes @ np.log(right / (1 - right))
@@ -162,30 +238,45 @@ def fitted(counts: list[tuple[int, int, int, int, int]], rounds: int = 50) -> Cl
             prior[k] = np.clip(((post * n)[kinds == k].sum() + 6) / (n[kinds == k].sum() + 10), 0.05, 0.95)
     odds = np.log(prior[kinds] / (1 - prior[kinds])) + votes @ np.log(right / (1 - right))
     post = 1 / (1 + np.exp(-odds))
-    x = np.concatenate([np.ones((len(n), 1)), votes, np.eye(len(KINDS))[kinds]], axis=1)
+    x = _inputs(kinds, votes, shapes)
     w, share = np.zeros(x.shape[1]), n / n.sum()
-    for _ in range(200):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-x @ w))
-        gradient = x.T @ (share * (p - post)) + 1e-4 * w
-        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        w = w - np.linalg.solve(hessian, gradient)
+    for _ in range(100):  # Newton steps with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (share * (p - post)) + 1e-3 * w
+        hessian = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
     return Classifier(tuple(map(float, w)), tuple(map(float, right)), float((post * share).sum()))
 
 
-def classifier(spans: DataFrame) -> Classifier:
-    """Counts the votes of all candidates in column ``_spans`` and fits to the counts."""
-    votes = spans.select(F.explode("_spans").alias("s")).groupBy("s.kind", "s.strict", "s.known", "s.context").count()
-    return fitted([tuple(r) for r in votes.orderBy("kind", "strict", "known", "context").collect()])
+def classifier(spans: DataFrame, name: str = "_spans") -> Classifier:
+    """Counts the votes and shapes of all candidates in a column and fits to the counts."""
+    votes = spans.select(F.explode(name).alias("s")).groupBy("s.kind", "s.strict", "s.known", "s.context", "s.shape").count()
+    return fitted(sorted(tuple(r) for r in votes.collect()))
+
+
+#: Base spans looked through together; a text of n spans costs about n * n / CHUNK short steps.
+CHUNK = 128
 
 
 def accepted(spans: Column, model: Classifier, least: float = 0.5) -> Column:
     """Base spans, and those others that the classifier accepts and that no base span overlaps."""
+    is_base = lambda s: s["kind"] < len(BASE)
 
-    def kept(base: Column) -> Column:
-        clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return F.filter(spans, lambda s: (s["kind"] < len(BASE)) | ((model.probability(s) >= least) & clear(s)))
+    def kept(parts: Column) -> Column:
+        meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+        clear = lambda s: ~F.exists(parts, lambda p: meets(p, s) & F.exists(p["spans"], lambda b: meets(b, s)))
+        return F.filter(spans, lambda s: is_base(s) | ((model.probability(s) >= least) & clear(s)))
 
-    return let(F.filter(spans, lambda s: s["kind"] < len(BASE)), kept)
+    def parted(base: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(base) - 1) / CHUNK), F.lit(0)).cast("int"))
+        parts = F.filter(F.transform(cuts, lambda c: F.slice(base, c * CHUNK + 1, F.lit(CHUNK))), lambda p: F.size(p) > 0)
+        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["stop"])).alias("stop"), p.alias("spans")))
+
+    ordered = F.sort_array(F.transform(F.filter(spans, is_base), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
+    return F.when(F.exists(spans, lambda s: ~is_base(s)), let(ordered, lambda base: let(parted(base), kept))).otherwise(spans)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -202,17 +293,22 @@ def described(spans: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets, and ``n_chars``, where there is one, counted anew."""
-    spans = docs.withColumn("_spans", candidates(F.coalesce("text", F.lit(""))))
-    model = classifier(spans)
-    # in order of place; a span that begins inside an earlier one is covered by it
-    placed = F.sort_array(F.transform(accepted(F.col("_spans"), model), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    held = fresh(docs, "spans")
+    spans = written(docs.withColumn(held, candidates(F.coalesce("text", F.lit("")))), "spans")
+    model = classifier(spans, held)
     names = F.array(*map(F.lit, KINDS))
-    built = F.aggregate(
-        F.col("_placed"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["stop"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]")))).alias("out"))
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
-    changed = spans.withColumn("_placed", placed).withColumn("text", F.when(F.size("_placed") > 0, built).otherwise(F.col("text"))).drop("_spans", "_placed")
+    text = F.col("text")
+
+    def built(placed: Column) -> Column:
+        return F.aggregate(
+            placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
+                F.struct(s["stop"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]")))).alias("out"))
+            ),
+            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
+        )
+
+    # in order of place; a span that begins inside an earlier one is covered by it
+    placed = F.sort_array(F.transform(accepted(F.col(held), model), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    changed = spans.withColumn("text", F.when(F.size(held) > 0, let(placed, built)).otherwise(text)).drop(held)
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed

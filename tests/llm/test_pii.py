@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.llm import pii, registry
@@ -58,7 +60,7 @@ def test_redaction_takes_effect(spark):
 
 def test_reliabilities():
     # a labeler that the others contradict half the time is trusted less
-    rows = [(0, 1, 1, 1, 400), (0, 1, 1, -1, 400), (0, -1, -1, 1, 100), (0, -1, -1, -1, 100)]
+    rows = [(0, 1, 1, 1, 0, 400), (0, 1, 1, -1, 0, 400), (0, -1, -1, 1, 0, 100), (0, -1, -1, -1, 0, 100)]
     model = pii.fitted(rows)
     assert model.reliability[0] > 0.9 and model.reliability[2] < 0.7
     assert pii.fitted([]).prior == 0.5
@@ -82,3 +84,49 @@ def test_gates_are_necessary(spark):
     passwords = [(1, "my password = hunter2hunter2 ok"), (2, "passwd: hunter2hunter2"), (3, f"auth token: {token} ok")]
     got = {r.doc_id: r.text for r in pii.redacted(spark.createDataFrame(passwords, "doc_id long, text string")).collect()}
     assert got == {1: "my [SECRET] ok", 2: "[SECRET]", 3: "auth [SECRET] ok"}
+
+
+def test_shapes_tell_where_votes_do_not(spark):
+    """Spans on which all labelers abstain or split are judged by what spans of their shape mostly are."""
+    secret = pii.KINDS.index("secret")
+    rows = [(secret, 1, 1, 1, 7, 5000), (secret, -1, -1, -1, 300, 5000), (secret, -1, 1, 0, 7, 5), (secret, -1, 1, 0, 300, 5)]
+    model = pii.fitted(rows)
+    spans = spark.sql(f"SELECT array(named_struct('kind', {secret}, 'start', 0, 'stop', 9, 'strict', -1, 'known', 1, 'context', 0, 'shape', 7), named_struct('kind', {secret}, 'start', 0, 'stop', 9, 'strict', -1, 'known', 1, 'context', 0, 'shape', 300)) AS s")
+    a, b = spans.select(F.transform("s", model.probability)).first()[0]
+    assert a > b + 0.05
+    x = pii._inputs(np.array([secret]), np.array([[-1, 1, 0]]), np.array([300]))
+    assert abs(1 / (1 + np.exp(-(x @ np.array(model.weights))[0])) - b) < 1e-9  # the expression is the fitted function
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(3)
+    spans = []
+    for kind in range(len(pii.KINDS)):
+        at = 0
+        for _ in range(300):
+            at += rng.randint(1, 90)
+            spans.append((kind, at, at + rng.randint(1, 12), 1, 1, 1, 0))
+            at = spans[-1][2]
+    model = pii.Classifier((9.0, *[0.0] * (3 + len(pii.KINDS) + sum(pii.SHAPE.values()))), (0.7,) * 3, 0.5)
+    got = spark.createDataFrame([(spans,)], f"s {pii.SPAN}").select(pii.accepted(F.col("s"), model)).first()[0]
+    base = [s for s in spans if s[0] < len(pii.BASE)]
+    assert [tuple(s) for s in got] == [s for s in spans if s[0] < len(pii.BASE) or not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+
+
+def test_empty_table_and_clashing_names(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string, n_chars int")
+    assert pii.found(empty).count() == 0 and pii.redacted(empty).count() == 0
+    names = ["_spans", "spans", "_placed", "shape", "kind", "s", "_spans1"]
+    docs = spark.createDataFrame([(1, "write to a@b.com", 16), (2, None, None)], "doc_id long, text string, n_chars int").selectExpr("*", *(f"n_chars as {n}" for n in names))
+    got = pii.redacted(docs)
+    assert got.schema == docs.schema
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].text == "write to [EMAIL]" and all(rows[1][n] == 16 for n in names if n != "text") and rows[1].n_chars == 16 and rows[2].text is None
+
+
+def test_gazetteers(spark):
+    want = {"email": [("a@b.com", 1), ("a@b.png", -1), ("a@b.zz", 0)], "ip": [("8.8.8.8", 1), ("10.1.1.1", -1), ("192.168.0.1", -1)], "card": [("4441958802365443", 1), ("9999", 0), ("0444", -1)],
+            "phone": [("+49 891", 1), ("+380 44 1", 1), ("+0 1", -1)], "iban": [("DE89 3704 0044 0532 0130 00", 1), ("XX89 3704", -1), ("DE89 3704", 0)], "secret": [("api_key = abc12345", 1), ("token: changeme", -1)], "ssn": [("123-45-6789", 1), ("900-45-6789", -1)]}
+    for kind, cases in want.items():
+        rows = spark.createDataFrame(cases, "v string, w int").select(pii._known(kind, F.col("v")).alias("g"), "w").collect()
+        assert [r.g for r in rows] == [r.w for r in rows], kind
