@@ -4,13 +4,14 @@ A payload byte becomes one 8 x 8 block of a baseline grey JPEG: its DC coefficie
 sample itself in each pixel, exactly. The entropy tables give every DC difference twelve bits in all (code plus magnitude)
 and the end of a block four, so that a block is two bytes, no byte needs stuffing, and whole clips are written and read as
 numpy arrays. A frame holds 192 blocks. The container has the usual RIFF lists and an idx1 index, which reading goes by.
+Other motion-JPEG clips are read too: frames of any size and any baseline coding, whose levels are those of their pixels.
 
 Shots: grey histograms of following frames are compared; a cut is where the difference exceeds the mean of the differences
 before it by so many standard deviations, both over a sliding window.
 
 Defined cases: a null or empty text is one frame of spaces; texts are stored whole (a RIFF file ends at 4 GB); equal texts
 give equal bytes and features; repeated rows and null ids are converted each; an empty table gives an empty result; other
-columns do not matter. Frames that are not grey baseline JPEG with codes of constant length raise ValueError.
+columns do not matter. Files without an index and frames that are not baseline JPEG raise ValueError.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import utf8
+from colloquy.llm import jpeg
+from colloquy.llm.common import slices, utf8
 
 COLUMNS, ROWS = 16, 12
 FRAME = COLUMNS * ROWS
@@ -93,7 +95,7 @@ def encoded(data: bytes) -> bytes:
 @dataclass(frozen=True)
 class Clip:
     rate: float
-    frames: np.ndarray  # samples, a row for each frame
+    frames: np.ndarray | list[np.ndarray]  # samples of each frame, in an array of rows where all frames have as many
 
 
 def _chunks(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
@@ -103,30 +105,26 @@ def _chunks(data: bytes, start: int, stop: int) -> Iterator[tuple[bytes, int, in
         start += 8 + size + size % 2
 
 
-def _header(frame: bytes) -> tuple[int, np.ndarray, int]:
-    """Where a frame's scan begins, the difference for each 16-bit block, and its quantiser."""
+def _header(frame: bytes) -> tuple[int, np.ndarray, int] | None:
+    """Where a frame's scan begins, the difference for each 16-bit block, and its quantiser; None for other frames."""
     at, codes, quantiser, blocks = 2, {}, 1, 0
-    while True:
+    while at + 4 <= len(frame):
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body, at = frame[at + 4 : at + 2 + size], at + 2 + size
-        if marker == 0xDB:
+        if marker == 0xDB and len(body) == 65:
             quantiser = body[1]
         elif marker == 0xC0:
             height, width, parts = struct.unpack_from(">HHB", body, 1)
-            blocks = (height // 8) * (width // 8) if parts == 1 else 0
+            blocks = (height // 8) * (width // 8) if parts == 1 and height % 8 == width % 8 == 0 else 0
         elif marker == 0xC4:
-            code, k, table = 0, 17, []
-            for length in range(1, 17):
-                for _ in range(body[length]):
-                    table.append((length, code, body[k]))
-                    code, k = code + 1, k + 1
-                code <<= 1
-            codes[body[0]] = table
+            codes[body[0]] = jpeg.codes(body[1:17], body[17 : 17 + sum(body[1:17])])
+        elif marker == 0xDD:
+            return None
         elif marker == 0xDA:
             break
     dc, ac = codes.get(0x00, []), codes.get(0x10, [])
-    if not blocks or len(ac) != 1 or ac[0][2] != 0 or {n + c for n, _, c in dc} != {16 - ac[0][0]}:
-        raise ValueError("not a grey baseline frame with blocks of two bytes")
+    if len(frame) != at + 2 * blocks + 2 or not blocks or len(ac) != 1 or ac[0][2] != 0 or {n + c for n, _, c in dc} != {16 - ac[0][0]}:
+        return None
     lookup, end = np.full(1 << 16, -32768, np.int16), ac[0]
     for length, code, category in dc:
         bits = np.arange(1 << category)
@@ -135,6 +133,25 @@ def _header(frame: bytes) -> tuple[int, np.ndarray, int]:
     return at, lookup, quantiser
 
 
+def _at_once(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """All frames of a clip whose blocks are two bytes each and whose headers are equal; None for other clips."""
+    size = int(sizes[0])
+    header = _header(data[starts[0] : starts[0] + size]) if (sizes == size).all() else None
+    if header is None:
+        return None
+    scan, lookup, quantiser = header
+    whole = np.frombuffer(data, np.uint8)
+    if len(starts) > 1 and (np.diff(starts) == starts[1] - starts[0]).all():
+        frames = np.lib.stride_tricks.as_strided(whole[starts[0] :], (len(starts), size), (int(starts[1] - starts[0]), 1))
+    else:
+        frames = whole[starts[:, None] + np.arange(size)]
+    differences = lookup[np.ascontiguousarray(frames[:, scan:-2]).view(">u2")]
+    if (frames[:, :scan] != frames[0, :scan]).any() or (differences == -32768).any():
+        return None
+    levels = np.cumsum(differences, axis=1, dtype=np.int32) * quantiser // 8 + 128
+    return levels.astype(np.uint8)
+
+
 def decoded(data: bytes) -> Clip:
     """The frames that the index of an AVI lists, in its order."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -143,7 +160,7 @@ def decoded(data: bytes) -> Clip:
     for name, a, b in _chunks(data, 12, len(data)):
         if name == b"LIST" and data[a : a + 4] == b"hdrl":
             for inner, c, _ in _chunks(data, a + 4, b):
-                if inner == b"avih":
+                if inner == b"avih" and struct.unpack_from("<I", data, c)[0]:
                     rate = 1_000_000 / struct.unpack_from("<I", data, c)[0]
         elif name == b"LIST" and data[a : a + 4] == b"movi":
             movie = a
@@ -151,32 +168,35 @@ def decoded(data: bytes) -> Clip:
             index = np.frombuffer(data, [("id", "S4"), ("flags", "<u4"), ("offset", "<u4"), ("size", "<u4")], (b - a) // 16, a)
     if index is None or not movie:
         raise ValueError("no index")
-    index = index[index["id"] == b"00dc"]
-    starts = movie + index["offset"].astype(np.int64) + 8
-    size = int(index["size"][0])
-    if (index["size"] != size).any():
-        raise ValueError("frames of unequal size")
-    scan, lookup, quantiser = _header(data[starts[0] : starts[0] + size])
-    whole = np.frombuffer(data, np.uint8)
-    if len(starts) > 1 and (np.diff(starts) == starts[1] - starts[0]).all():
-        frames = np.lib.stride_tricks.as_strided(whole[starts[0] :], (len(starts), size), (int(starts[1] - starts[0]), 1))
-    else:
-        frames = whole[starts[:, None] + np.arange(size)]
-    if (frames[:, :scan] != frames[0, :scan]).any():
-        raise ValueError("frames with unlike tables")
-    words = np.ascontiguousarray(frames[:, scan:-2]).view(">u2")
-    differences = lookup[words]
-    if (differences == -32768).any():
-        raise ValueError("a code that the tables do not have")
-    levels = np.cumsum(differences, axis=1, dtype=np.int32) * quantiser // 8 + 128
-    return Clip(rate, levels.astype(np.uint8))
-
-
-def shots(frames: np.ndarray) -> list[int]:
+    # compressed or plain frames of the first stream; an empty one repeats the frame before it
+    index = index[np.isin(index["id"], (b"00dc", b"00db"))]
+    if not len(index):
+        raise ValueError("no frames")
+    offsets = index["offset"].astype(np.int64)
+    base = movie if offsets[0] < movie else 0  # offsets count from the list, or from the file's start
+    starts, sizes = base + offsets + 8, index["size"].astype(np.int64)
+    if (frames := _at_once(data, starts, sizes)) is not None:
+        return Clip(rate, frames)
+    tables, read = jpeg.standard_tables(), []
+    for a, size in zip(starts.tolist(), sizes.tolist()):
+        if size or not read:
+            read.append(jpeg.grey(data[a : a + size], tables).ravel())
+        else:
+            read.append(read[-1])
+    return Clip(rate, np.stack(read) if len({len(f) for f in read}) == 1 else read)
+
+
+def _histograms(frames: np.ndarray | list[np.ndarray]) -> np.ndarray:
+    """Samples by level, a row for each frame, as whole numbers out of ``FRAME``."""
+    if isinstance(frames, np.ndarray) and frames.shape[1] == FRAME:
+        key = (np.arange(len(frames))[:, None] * BINS + frames // (256 // BINS)).ravel()
+        return np.bincount(key, minlength=len(frames) * BINS).reshape(len(frames), BINS)
+    return np.stack([np.bincount(f // (256 // BINS), minlength=BINS) * FRAME // len(f) for f in frames])
+
+
+def shots(frames: np.ndarray | list[np.ndarray]) -> list[int]:
     """First frames of the shots. All sums are of whole numbers, so equal clips have equal cuts."""
-    n = len(frames)
-    key = (np.arange(n)[:, None] * BINS + frames // (256 // BINS)).ravel()
-    histograms = np.bincount(key, minlength=n * BINS).reshape(n, BINS)
+    histograms = _histograms(frames)
     change = np.abs(np.diff(histograms, axis=0)).sum(axis=1)
     sums, squares = (np.concatenate([[0], np.cumsum(change**k)]) for k in (1, 2))
     at = np.arange(len(change))
@@ -191,15 +211,15 @@ def shots(frames: np.ndarray) -> list[int]:
     return cuts
 
 
-def clip_rows(data: bytes) -> list[tuple[int, int, int, float, float, float]]:
-    """(clip, first frame, end frame, start and end in seconds, mean level) of each shot of an AVI."""
-    clip = decoded(data)
+def clip_rows(clip: Clip) -> list[tuple[int, int, int, float, float, float]]:
+    """(clip, first frame, end frame, start and end in seconds, mean level) of each shot."""
     cuts = [*shots(clip.frames), len(clip.frames)]
-    sums = np.concatenate([[0], np.cumsum(clip.frames.sum(axis=1, dtype=np.int64))])
-    return [
-        (i, a, b, a / clip.rate, b / clip.rate, float(sums[b] - sums[a]) / ((b - a) * clip.frames.shape[1]))
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ]
+    if isinstance(clip.frames, np.ndarray):
+        totals, lengths = clip.frames.sum(axis=1, dtype=np.int64), np.full(len(clip.frames), clip.frames.shape[1])
+    else:
+        totals, lengths = ([int(f.sum(dtype=np.int64)) for f in clip.frames], [len(f) for f in clip.frames])
+    sums, sizes = (np.concatenate([[0], np.cumsum(x)]) for x in (totals, lengths))
+    return [(i, a, b, a / clip.rate, b / clip.rate, float(sums[b] - sums[a]) / float(sizes[b] - sizes[a])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -208,9 +228,10 @@ def media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for row, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, 1), pa.array([encoded(payload(data[a:b].tobytes()))], pa.binary())], ["doc_id", "avi"])
+            for first, last in slices(batch.column("text"), 1 << 22):
+                data, offsets = utf8(batch.column("text").slice(first, last - first))
+                files = [encoded(payload(data[a:b].tobytes())) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(files, pa.binary())], ["doc_id", "avi"])
 
     return rows.mapInArrow(run, rows.select("doc_id", F.lit(b"").alias("avi")).schema)
 
@@ -222,7 +243,7 @@ def clips(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data in enumerate(batch.column("avi")):
-                found = clip_rows(data.as_py())
+                found = clip_rows(decoded(data.as_py()))
                 columns = [pa.array(c) for c in zip(*found)]
                 kinds = [pa.int32()] * 3 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([row] * len(found))), *(c.cast(k) for c, k in zip(columns, kinds))], schema.names)
@@ -234,14 +255,13 @@ DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 
 def described(text: bytes) -> tuple[int, int, str, int, int, str, str]:
-    """What DIGEST names, from the stored bytes read back."""
+    """What DIGEST names, from the stored bytes read back; the feature tells the clip rows: how many, and a hash of all."""
     avi = encoded(payload(text))
     clip = decoded(avi)
     back = clip.frames.tobytes()
-    cuts = [*shots(clip.frames), len(clip.frames)]
-    longest = max(b - a for a, b in zip(cuts, cuts[1:]))
-    level = int(clip.frames.sum(dtype=np.int64)) // clip.frames.size
-    feature = f"frames={len(clip.frames)};shots={len(cuts) - 1};longest={longest};level={level};cuts={','.join(map(str, cuts[1:17]))}"
+    found = clip_rows(clip)
+    told = ";".join(f"{a}-{b}@{start:.2f}-{end:.2f}:{level:.3f}" for _, a, b, start, end, level in found)
+    feature = f"frames={len(clip.frames)};shots={len(found)};longest={max(b - a for _, a, b, *_ in found)};clips={hashlib.sha256(told.encode()).hexdigest()[:32]}"
     return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(avi), hashlib.sha256(avi).hexdigest(), feature
 
 

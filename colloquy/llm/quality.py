@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import distinct_labels, held_out, lowered, runs, slices, utf8, word_hashes
+from colloquy.llm.common import distinct_labels, fresh, held_out, lowered, runs, slices, utf8, word_hashes
 
 SAMPLE = 20_000
 THRESHOLD = 0.7
@@ -200,10 +200,11 @@ def scored(docs: DataFrame, model: Ensemble | None, name: str = "score") -> Data
     """``docs`` with the score as a further column."""
     if model is None:
         return docs.withColumn(name, F.lit(1.0))
-    measured_ = docs.withColumn("_statistics", statistics("text"))
-    return measured_.withColumn(name, model.score("_statistics")).drop("_statistics")
+    held = fresh(docs, "statistics")
+    return docs.withColumn(held, statistics("text")).withColumn(name, model.score(held)).drop(held)
 
 
 def filtered(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose score is under ``least``."""
-    return scored(docs, fitted(docs, labels), "_quality").filter(F.col("_quality") >= least).drop("_quality")
+    name = fresh(docs, "quality")
+    return scored(docs, fitted(docs, labels), name).filter(F.col(name) >= least).drop(name)

@@ -55,3 +55,17 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_statistics_of_nothing():
     assert np.isfinite(quality.measured(*utf8(pa.array([None, ""], pa.string())))).all()
+
+
+def test_stages_over_nothing_nulls_and_clashing_names(spark, tmp_path):
+    rows, _ = tables(spark, tmp_path)
+    nulls = [(None, None, None, None, None), (5, None, None, None, None), (None, "null id " * 30, "en", "s", 1), (6, "", "en", "s", 0), (6, "x" * 100_000, "en", "s", 1)]
+    names = ["_row", "_spans", "_gone", "_quality", "_statistics", "_key", "root", "kind", "length", "_first"]
+    docs = spark.createDataFrame(nulls, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"1 as {n}" for n in names))
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, str(tmp_path))
+            assert out.columns == docs.columns, name
+            assert out.count() <= given.count(), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path))
+        assert packed.select("doc_id", "text" if "text" in packed.columns else "piece").distinct().count() >= (given.count() > 0)

@@ -60,3 +60,15 @@ def test_statistics_one_by_one():
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert quality.filtered(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 1
+
+
+def test_filtered_keeps_all_columns_and_an_empty_table(spark):
+    names = ["_quality", "_statistics", "score", "words", "_quality1"]
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").selectExpr("*", *(f"7 as {n}" for n in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.filtered(docs, labels)
+    assert got.columns == docs.columns and [tuple(r)[2:] for r in got.collect()] == [(7,) * 5] * 2
+    model = quality.Ensemble(0.0, ((((0, True, 0.1),), 3.0), (((0, False, 0.1),), -3.0)))
+    rows = quality.scored(docs, model, "q").collect()
+    assert {r.doc_id: r.q > 0.5 for r in rows} == {1: True, 2: False} and all(r._statistics == 7 for r in rows)
+    assert quality.filtered(docs.limit(0), labels).count() == 0
