@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset a temporary one, but only on a local master."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
@@ -28,6 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once and reread from a Parquet table in the shared folder; for wide rows, which it compresses."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables and checkpoints of this application; results that were not stored elsewhere can no longer be read.
+
+    Nothing does so by itself: a result may be read at any later time. For a next run, checkpoints go to a new folder.
+    """
+    context = spark.sparkContext
+    folder = shared_dir(spark)
+    for path in (_tables(spark), folder):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    context.setCheckpointDir(folder.rsplit("/", 1)[0])
