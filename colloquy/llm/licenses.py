@@ -3,7 +3,7 @@
 Base phrases are found at every place. Beyond them, several hundred signatures run in order of priority: hand-written ones
 of the licenses' own sentences, headers, exceptions, ranges and dual licensing (``license_texts``), and license families in
 the forms that identifiers, links, tags and plain sentences give them. A signature's regex runs on a text only if one of its keywords is in it,
-and no signature runs unless one gate pattern matches. Every match is an interval; one that lies inside a match of no lower
+and no signature runs unless the words of one gate are there. Every match is an interval; one that lies inside a match of no lower
 priority is suppressed, of equal intervals the earlier rule stays, and the rest name the labels. The names of one identifier
 expression stand beside each other.
 
@@ -13,8 +13,8 @@ are scanned each; an empty table gives an empty result; other columns do not mat
 
 from __future__ import annotations
 
-import json
 import re
+from collections import Counter
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import license_texts
-from colloquy.llm.spans import matches
+from colloquy.llm.spans import let, matches
 
 #: A word's characters after A-Z in lower case, said so that letters of either case are in it.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -50,7 +50,7 @@ FAMILIES = (
     ("bsd-4-clause", "bsd", r"(?:4|four)[- ]clause bsd|original bsd", r"bsd-4-clause"),
     ("bsd", "berkeley|bsd", r"(?:berkeley software distribution|bsd)(?:-style)?", r"bsd"),
     ("0bsd", "bsd", r"zero[- ]clause bsd|0bsd", r"0bsd"),
-    ("isc", "isc|internet", r"isc|internet systems consortium", r"isc"),
+    ("isc", "isc|internet", r"(?:isc|internet systems consortium)", r"isc"),
     ("mpl-1", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?1\.[01]", r"mpl-1\.[01]"),
     ("mpl-2", "mozilla|mpl", r"mozilla public license,? ?(?:version|v)? ?2(?:\.0)?", r"mpl-2\.0"),
     ("mpl", "mozilla|mpl", r"mozilla public license", r"mpl"),
@@ -95,12 +95,8 @@ FAMILIES = (
 #: What stands for a space of a signature: white space and the marks of wrapped comments.
 GAP = r"[\s*#/>]+"
 #: Words before the name in a licensing sentence.
-UNDER = r"(?:licensed|released|distributed|available|published|covered|provided)(?: \w+)? under"
-#: Every rule and base phrase demands one of these; names that can stand without the word license have their own.
-GATE = rf"(?i)licen[cs]|spdx|copyright|permi(?:ssion|tted)|redistribut|waive|public{GAP}domain|rights{GAP}reserved|proprietary|unauthorized|creative{GAP}?commons|cc{BREAK}*by|cc0|altered{GAP}source|just{GAP}do{GAP}what|{UNDER.replace(' ', GAP)}|apache|bsd|(?<!\w)isc(?!\w)|wtfpl|gnu{GAP}gpl|open{GAP}?rail|do{GAP}what{GAP}the|anyone{GAP}is{GAP}free|advertising|openssl|cryptographic{GAP}software|php{GAP}software|this{GAP}(?:stuff|font)|independent{GAP}jpeg|bcp{GAP}78|subject{GAP}to|(?:used|available){GAP}(?:for|to){GAP}(?:good|third)|special{GAP}exception|foss{GAP}exception|runtime{GAP}library|gpl{GAP}exception|font{GAP}|grants{GAP}to{GAP}you|managed{GAP}service|change{GAP}date|datenlizenz|mpl{GAP}1|no{GAP}restrictions|apple{GAP}software"
-
-
-_TABLE = "array<struct<keys:array<string>,rules:array<struct<rule:int,label:string,pattern:string,priority:int,score:double>>>>"
+VERBS = ("licensed", "released", "distributed", "available", "published", "covered", "provided")
+UNDER = rf"(?:{'|'.join(VERBS)})(?: \w+)? under"
 #: Names of one expression begin at its tag, so none of them hides another; they hide all that is weaker.
 EXPRESSION = 5
 DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
@@ -109,7 +105,7 @@ DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: str  # alternatives, with bars between; single words, which no line break can part
+    keywords: str  # bars between alternatives, blanks between the words of one, all of which a match holds; no break parts a word
     pattern: str
     priority: int
     score: float
@@ -120,11 +116,28 @@ def _spaced(pattern: str) -> str:
     return pattern.replace(", ", ",? ").replace(" ", GAP)
 
 
+def _held(phrase: str) -> list[str]:
+    """Words that every match of a hand-written phrase holds: those outside of groups, classes and options."""
+    flat, depth, alternatives = "", 0, False
+    for at, c in enumerate(re.sub(r"\\.", "~", re.sub(r"\[[^\]]*\]\??", "~", phrase))):
+        depth += (c == "(") - (c == ")")
+        alternatives |= c == "|" and depth == 0
+        flat += "~" if depth or c == ")" else c
+    words = [w.strip(",;:-") for w in flat.split()]
+    return [] if alternatives else [w for w in dict.fromkeys(words) if re.fullmatch("[a-z]{4,}", w)]
+
+
 def _written() -> list[Rule]:
-    """The hand-written signatures."""
+    """The hand-written signatures, each behind its keywords and the longest words that it holds besides."""
     parts = [(license_texts.BODIES, 4, 1.0), (license_texts.EXCEPTIONS, 4, 1.0), (license_texts.NOTICES, 3, 0.95), (license_texts.CONTENT, 3, 0.95)]
-    out = [Rule(label, keys, rf"(?<![\w]){_spaced(p)}", priority, score) for rows, priority, score in parts for label, keys, p in rows]
-    return out + [Rule(label, keys, rf"(?<![\w]){_spaced(p)}", 1, score) for label, keys, p, score in license_texts.RIGHTS]
+    rows = [(label, keys, p, priority, score) for part, priority, score in parts for label, keys, p in part]
+    rows += [(label, keys, p, 1, score) for label, keys, p, score in license_texts.RIGHTS]
+    out = []
+    for label, keys, p, priority, score in rows:
+        more = sorted(_held(p), key=lambda w: (w not in TELLING, w in COMMON, -len(w)))[:4]
+        keywords = "|".join(" ".join(dict.fromkeys([*more, k])) for k in keys.split("|"))
+        out.append(Rule(label, keywords, rf"(?<![\w]){_spaced(p)}", priority, score))
+    return out
 
 
 def rules() -> list[Rule]:
@@ -133,19 +146,47 @@ def rules() -> list[Rule]:
     for label, keys, name, spdx in FAMILIES:
         name = _spaced(name)
         whole = rf"{spdx}(?![\w.-])"
+        both = lambda more: "|".join(f"{k} {m}" if m not in k else k for k in keys.split("|") for m in more.split("|"))  # noqa: E731, B023
         forms = (
             # names before this one in an expression are passed by without a step back
-            (rf"spdx-license-identifier:[ \t]*(?:(?!\(*{whole})[\w.+()-]++ (?:or|and|with) )*+\(*{whole}", EXPRESSION, 1.0),
-            (rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
-            (rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
-            (_spaced(UNDER + r"(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
-            (rf"(?<![\w])(?:{name})(?:[- ]style)?[\s*#/>]+licen[cs]e(?![\w])", 2, 0.8),
-            (rf"(?<![\w])(?:{name if 'licen' in name or 'creative' in name else name + r'[\s*#/>]+licen[cs]e'})(?![\w])", 2, 0.7),
+            (both("spdx"), rf"spdx-license-identifier:[ \t]*(?:(?!\(*{whole})[\w.+()-]++ (?:or|and|with) )*+\(*{whole}", EXPRESSION, 1.0),
+            (both("license|licence"), rf"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?{spdx}(?![\w-])", 3, 0.95),
+            (both("licenses"), rf"https?://[\w./-]*/licenses/{spdx}(?![\w-])", 3, 0.95),
+            (both("under"), _spaced(UNDER + r"(?: the)?(?: terms of)?(?: the)?(?: conditions of)?") + rf"[\s*#/>]+(?:the[\s*#/>]+)?(?:{name})(?![\w])", 3, 0.9),
+            (both("license|licence"), rf"(?<![\w])(?:{name})(?:[- ]style)?[\s*#/>]+licen[cs]e(?![\w])", 2, 0.8),
+            (BARE.get(label) or both("license|licence"), rf"(?<![\w])(?:{name if 'licen' in name or 'creative' in name else name + r'[\s*#/>]+licen[cs]e'})(?![\w])", 2, 0.7),
         )
-        out += [Rule(label, keys, pattern, priority, score) for pattern, priority, score in forms]
+        out += [Rule(label, keywords, pattern, priority, score) for keywords, pattern, priority, score in forms]
     return sorted(dict.fromkeys(out), key=lambda r: -r.priority)
 
 
+#: Words so common that to find one says nothing.
+COMMON = frozenset("this that with from under have been were which what your will would their there about other some such only also into more than most made make used uses using like over when where each them they then these those shall must without within between after before file files code work text name names terms notice software program version public source free copy copies form forms make rights document documents data made part following provided available distributed released published covered good just want contents change date third service special subject person purpose other either".split())
+#: Names that can stand without the word license.
+BARE = {
+    "apache-2": "apache", "apache-1": "apache", "gpl": "gnu gpl|gnu license", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "bsd-4-clause": "bsd", "0bsd": "bsd", "wtfpl": "wtfpl|want license",
+    "cc0": "cc0|creative commons", "openrail": "open rail", **dict.fromkeys(("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd"), "cc by|creative commons"),
+}
+#: Words that most licenses have one of.
+TELLING = ("license", "licence", "licensed", "permission", "copyright", "redistribution")
+
+
+def gates(known: list[Rule]) -> list[tuple[str, ...]]:
+    """Few sets of words of which every match of any rule holds one whole: telling words that most rules share, taken one by
+    one, and for rules without any all their words."""
+    left = {frozenset(a.split()) for r in known for a in r.keywords.split("|")}
+    left = {a for a in left if len(a) != 2 or not ("under" in a or a == {"cc", "by"})}  # these ``gated`` looks for apart
+    found: list[tuple[str, ...]] = []
+    while left:
+        counts = Counter(w for a in left for w in a if w not in COMMON and len(w) > 3)
+        if not counts:
+            return found + sorted(tuple(sorted(a, key=lambda w: (w in COMMON, -len(w)))) for a in left)
+        word = min(counts, key=lambda w: (-counts[w], w))
+        found.append((word,))
+        left = {a for a in left if not any(word in w for w in a)}
+    return found
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -154,14 +195,24 @@ def _phrase(phrase: str) -> str:
     return rf"(?i)(?<!{WORD}){rf'{BREAK}+'.join(map(re.escape, phrase.split()))}(?!{WORD})"
 
 
+def _said(value: object) -> str:
+    """A list, record, string or number as a SQL literal."""
+    if isinstance(value, list):
+        return f"array({', '.join(map(_said, value))})"
+    if isinstance(value, dict):
+        return f"named_struct({', '.join(f'{_said(k)}, {_said(v)}' for k, v in value.items())})"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     """What stays of all matches in a lower-cased text: an array of (start, stop, label, score) in order of place."""
     known = known if known is not None else rules()
     families: dict[str, list[dict]] = {}
     for i, r in enumerate(known):
         families.setdefault(r.keywords, []).append({"rule": i, **asdict(r)})
-    # one literal, which is parsed once when the plan is made
-    table = F.from_json(F.lit(json.dumps([{"keys": k.split("|"), "rules": v} for k, v in families.items()])), _TABLE)
+    table = F.expr(_said([{"keys": [a.split() for a in k.split("|")], "rules": v} for k, v in families.items()]))  # folded when the plan is made
 
     def matched(rule: Column) -> Column:
         return F.transform(
@@ -172,7 +223,9 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
             ),
         )
 
-    present = F.filter(table, lambda f: F.exists(f["keys"], lambda k: F.contains(lower, k)))
+    every_word = F.expr(_said(sorted({w for k in families for w in k.replace("|", " ").split()})))
+    # each word is looked for once in the text, and the rules' keywords among the few that are there
+    present = let(F.filter(every_word, lambda w: F.contains(lower, w)), lambda there: F.filter(table, lambda f: F.exists(f["keys"], lambda words: F.forall(words, lambda w: F.array_contains(there, w)))))
     every = F.sort_array(F.flatten(F.transform(F.flatten(F.transform(present, lambda f: f["rules"])), matched)))
     levels = sorted({r.priority for r in known})
     # in this order a match lies inside an earlier one of its priority or above iff the furthest stop of those reaches its own
@@ -188,6 +241,23 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     return F.aggregate(every, state, step, lambda a: a["kept"])
 
 
+#: The short name of a license whose words are too common to look for apart.
+CC_BY = rf"(?i)cc{BREAK}+by"
+
+
+def gated(text: Column, known: list[Rule]) -> Column:
+    """(rules, base): whether any rule, and whether a base phrase, may match a text. It is put in lower case once."""
+    every = lambda low, words: reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in words))
+
+    def opened(low: Column) -> Column:
+        short = F.contains(low, F.lit("cc")) & F.contains(low, F.lit("by")) & low.rlike(CC_BY)
+        under = F.contains(low, F.lit("under")) & reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in VERBS))
+        rule = reduce(lambda a, b: a | b, (every(low, g) for g in gates(known)), under | short)
+        return F.struct(rule.alias("rules"), (F.contains(low, F.lit("license")) | short).alias("base"))
+
+    return let(F.lower(text), opened)
+
+
 def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{WORD}+"))
 
@@ -197,10 +267,12 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     phrases = {label: _phrase(phrase) for phrase, label in BASE.items()}
     any_phrase = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in phrases.values())
-    found = docs.select("doc_id", text.alias("_text")).withColumn("_gated", F.col("_text").rlike(GATE))
-    counted = found.withColumn("_base", F.when(F.col("_gated"), F.regexp_count("_text", F.lit(any_phrase))).otherwise(0)).withColumn(
-        "_lower", F.when(F.col("_gated"), ascii_lower(F.col("_text")))
-    )
+    known = known if known is not None else rules()
+    found = docs.select("doc_id", text.alias("_text"), gated(text, known).alias("_open"))
+    counted = found.select(
+        "doc_id", "_text", F.col("_open.rules").alias("_gated"), F.when(F.col("_open.base"), F.regexp_count("_text", F.lit(any_phrase))).otherwise(0).alias("_base"),
+        F.when(F.col("_open.rules"), ascii_lower(F.col("_text"))).alias("_lower"),
+    )
     has = F.col("_base") > 0
     pieces = F.split("_text", any_phrase, -1)
     tail = F.element_at(pieces, -1)
