@@ -99,6 +99,7 @@ VERBS = ("licensed", "released", "distributed", "available", "published", "cover
 UNDER = rf"(?:{'|'.join(VERBS)})(?: \w+)? under"
 #: Names of one expression begin at its tag, so none of them hides another; they hide all that is weaker.
 EXPRESSION = 5
+_TABLE = "array<struct<keys:array<array<string>>,rules:array<struct<rule:int,label:string,keywords:string,pattern:string,priority:int,score:double>>>>"
 DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
 
 
@@ -212,7 +213,7 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     families: dict[str, list[dict]] = {}
     for i, r in enumerate(known):
         families.setdefault(r.keywords, []).append({"rule": i, **asdict(r)})
-    table = F.expr(_said([{"keys": [a.split() for a in k.split("|")], "rules": v} for k, v in families.items()]))  # folded when the plan is made
+    table = F.expr(_said([{"keys": [a.split() for a in k.split("|")], "rules": v} for k, v in families.items()])).cast(_TABLE)  # folded when the plan is made
 
     def matched(rule: Column) -> Column:
         return F.transform(
@@ -223,7 +224,7 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
             ),
         )
 
-    every_word = F.expr(_said(sorted({w for k in families for w in k.replace("|", " ").split()})))
+    every_word = F.expr(_said(sorted({w for k in families for w in k.replace("|", " ").split()}))).cast("array<string>")
     # each word is looked for once in the text, and the rules' keywords among the few that are there
     present = let(F.filter(every_word, lambda w: F.contains(lower, w)), lambda there: F.filter(table, lambda f: F.exists(f["keys"], lambda words: F.forall(words, lambda w: F.array_contains(there, w)))))
     every = F.sort_array(F.flatten(F.transform(F.flatten(F.transform(present, lambda f: f["rules"])), matched)))
