@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: The letters of a second script beside Latin; its words need two letters at least.
 OTHER_SCRIPT = "\\x{1000}-\\x{109F}"
 LATIN_WORD = r"[A-Za-z][A-Za-z0-9+#-]*"
-URL = r"https?://[^\s<>\"')\]]+"
+URL = r"(?i:https?://)\S+"
 #: Word boundaries that combining marks do not disturb.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -63,16 +63,23 @@ def with_before(tokens: Column) -> Column:
 
 def windows(text: Column, size: int = 1500) -> Column:
     """Fixed windows of a stripped text, in order, without overlap; none of a blank one."""
-    body = strip(text)
-    cuts = F.sequence(F.lit(0), F.floor((F.length(body) - 1) / size).cast("int"))
-    return F.when(F.length(body) > 0, F.transform(cuts, lambda i: F.substring(body, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(strip(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def contains_any(text: Column, hints: Sequence[str]) -> Column:
-    """Whether any hint is a substring, case aside: one alternation rather than a scan for each hint."""
-    if not hints:
-        return F.lit(False)
-    return F.coalesce(F.lower(text).rlike("|".join(quoted(h.lower()) for h in hints)), F.lit(False))
+    """Whether any hint is a substring, case aside."""
+    return let(F.lower(text), lambda low: has_any(low, hints))
+
+
+def has_any(lowered: Column, hints: Sequence[str]) -> Column:
+    """Whether a text that is in lower case has any of the hints; literal searches, the shortest first."""
+    found = (F.contains(lowered, F.lit(h.lower())) for h in sorted(set(hints), key=lambda h: (len(h), h)))
+    return F.coalesce(reduce(lambda a, b: a | b, found, F.lit(False)), F.lit(False))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clipped(text: Column, most: int, mark: str = "") -> Column:
@@ -84,20 +91,42 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 
 
+def squeezed(text: Column) -> Column:
+    """Runs of blanks and tabs as one blank, none at the ends."""
+    return strip(F.regexp_replace(text, r"[ \t]+", " "))
+
+
 def without_markdown(text: Column) -> Column:
-    """Fences to a space, links and inline code to their inner text, marks to spaces."""
-    steps = ((r"(?s)```.*?```", " "), (r"`([^`]*)`", "$1"), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"[#*_>]+", " "))
+    """Fences to a space, inline code and links that hold something to what they hold, marks to spaces."""
+    steps = ((r"(?s)```.*?```", " "), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[#*_>]+", " "))
     return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
 
 
-def without_parentheses(text: Column, keep_script: str | None = None, depth: int = 8) -> Column:
-    """Innermost parentheses removed until none is left (nesting to ``depth``), but those that hold the kept script."""
+def without_code(text: Column) -> Column:
+    """Fenced blocks and inline code to a space each."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), "`[^`]+`", " ")
+
+
+def _depth(marks: Column, opening: str) -> Column:
+    """The most parentheses of a string of parentheses that are open at once, read from the side ``opening`` opens."""
+    step = lambda a, c: F.when(c == opening, F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).otherwise(F.struct(F.greatest(a["now"] - 1, F.lit(0)).alias("now"), a["most"].alias("most")))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
+def without_parentheses(text: Column, keep_script: str | None = None, mark: str = " ") -> Column:
+    """Parentheses to a space, the innermost first, until none is left but those that hold the kept script (and what is
+    around these). As many passes as they are nested deep, which no nesting of both sides exceeds."""
     guard = f"(?![^()]*[{keep_script}])" if keep_script else ""
-    return reduce(lambda t, _: F.regexp_replace(t, rf"\({guard}[^()]*\)", ""), range(depth), text)
+    marks = F.regexp_replace(text, "[^()]", "")
+    deep = let(marks, lambda m: F.least(_depth(m, "("), _depth(F.reverse(m), ")")))
+    passes = F.when(F.contains(text, F.lit("(")), deep).otherwise(0)
+    step = lambda t, _: F.regexp_replace(t, rf"\({guard}[^()]*\)", mark)
+    return F.when(passes > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), text, step)).otherwise(text)
 
 
 def without_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    """Addresses to a space, then blanks and empty lines collapsed."""
+    return strip(collapsed(F.regexp_replace(text, URL, " ")))
 
 
 def outside_urls(text: Column, change: Callable[[Column], Column]) -> Column:
@@ -107,32 +136,66 @@ def outside_urls(text: Column, change: Callable[[Column], Column]) -> Column:
     return F.array_join(parts, "")
 
 
-def is_table_row(line: Column) -> Column:
-    return strip(line).rlike(r"^\|.*\|$")
+def is_table_separator(line: Column) -> Column:
+    """A rule of dashes, colons and bars."""
+    return strip(line).rlike(r"(?U)^\|?[\s:|-]+\|?$") & F.contains(line, F.lit("-"))
 
 
-def is_table_separator(line: Column) -> Column:
-    return strip(line).rlike(r"^\|?[\s:|-]*-[\s:|-]*\|?$") & line.contains("|")
+def is_table_row(line: Column) -> Column:
+    return strip(line).rlike(r"(?s)^\|.*\|") & ~is_table_separator(line)
 
 
 def row_phrase(line: Column, joint: str = "၊ ") -> Column:
     """The cells of a table row, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != ""), joint)
+    return F.array_join(F.filter(F.transform(F.split(line, r"\|"), squeezed), lambda c: c != ""), joint)
 
 
 def sentences(text: Column) -> Column:
     """Split after ``။``, ``?``, ``!`` and after dots that end a sentence: before white space or the end, and neither in a
-    number nor after an abbreviation of one to three letters."""
+    number nor after an abbreviation of one to three letters. Blanks are squeezed."""
     marked = F.regexp_replace(text, r"([။?!])", "$1\u0001")
-    marked = F.regexp_replace(marked, r"(?<![A-Za-z])(?<!(?<![A-Za-z])[A-Za-z]{1,3})\.(?=\s|$)|(?<=[A-Za-z]{4})\.(?=\s|$)", ".\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: s != "")
+    marked = F.regexp_replace(marked, r"(?U)(?<![A-Za-z])\.(?=[\s\x1c-\x1f]|\z)|(?<=[A-Za-z]{4})\.(?=[\s\x1c-\x1f]|\z)", ".\u0001")
+    return F.filter(F.transform(F.split(marked, "\u0001"), squeezed), lambda s: s != "")
+
+
+#: Words of courtesy that cannot stand as a sentence, and the marks that end one.
+COURTESY, ENDS = "ခင်ဗျာ|ရှင်|ဗျာ", "။?!"
+#: What parts the phrases of a speech.
+PAUSE = "\u001e"
+
+
+def courtesy_joined(text: Column) -> Column:
+    """A word of courtesy that stands as a sentence of its own made the end of the sentence before it."""
+    pattern = rf"(?U)[{ENDS}]\s+({COURTESY})\s*([{ENDS}])"
+    many = F.regexp_count(text, F.lit(pattern))
+    step = lambda t, _: F.regexp_replace(t, pattern, " $1$2")
+    # a chain loses one link of each in a pass, and no chain has more links than the text has matches, its own ends included
+    return F.when(many > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(rf"(?U)\s({COURTESY})\s*[{ENDS}]")), F.lit(1))), text, step)).otherwise(text)
+
+
+def courtesy_merged(parts: Column) -> Column:
+    """Phrases of courtesy alone joined to the phrase before, whose end mark gives way to theirs."""
+    word = lambda p: F.regexp_extract(strip(p), rf"(?U)^({COURTESY})\s*[{ENDS}]+$", 1)
+
+    def step(done: Column, part: Column) -> Column:
+        before = F.regexp_replace(F.regexp_replace(F.element_at(done, -1), r"(?U)\s+\z", ""), rf"(?U)[{ENDS}]+\s*\z", "")
+        joined = F.concat(before, F.lit(" "), word(part), F.regexp_extract(strip(part), f"([{ENDS}]+)$", 1))
+        return F.when((F.size(done) > 0) & (word(part) != ""), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(part)))
+
+    return F.when(F.exists(parts, lambda p: word(p) != ""), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
 
 
 def phrases(text: Column) -> Column:
     """Speakable phrases of markdown: table rows as one phrase each, other lines by sentence, in order."""
-    clean = without_parentheses(without_markdown(text), OTHER_SCRIPT)
-    lines = F.filter(F.split(clean, "\n"), lambda s: (strip(s) != "") & ~is_table_separator(s))
-    return F.flatten(F.transform(lines, lambda s: F.when(is_table_row(s), F.array(row_phrase(s))).otherwise(sentences(s))))
+    clean = without_parentheses(without_markdown(courtesy_joined(text)), OTHER_SCRIPT)
+    # only lines with a bar or a dash can be of a table
+    spoken = lambda s: F.when(~s.rlike("[|-]"), sentences(s)).when(is_table_separator(s), F.array().cast("array<string>")).when(is_table_row(s), F.filter(F.array(row_phrase(s)), lambda p: p != "")).otherwise(sentences(s))
+    return courtesy_merged(F.flatten(F.transform(F.split(clean, "\n"), spoken)))
+
+
+def speakable_text(text: Column) -> Column:
+    """All phrases, parted by pauses."""
+    return strip(F.array_join(phrases(text), PAUSE))
 
 
 def leading_particles_off(text: Column, particles: Sequence[str], joints: str = "၊, \t\n\r") -> Column:
@@ -219,13 +282,29 @@ def table_repaired(text: Column) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
 
 
+#: What Python's splitlines and a Spark user's eye take for the end of a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def session_title(text: Column, most: int = 80) -> Column:
-    """A title by rule: who is asked about, what was uploaded, or else the first line."""
-    first = strip(F.split(F.coalesce(strip(text), F.lit("")), "\n")[0])
-    who = F.regexp_extract(first, r"(?i)^who(?: is|'s) (.+?)\??$", 1)
-    uploaded = F.regexp_extract(first, r"^Uploaded \"([^\"]+)\"", 1)
-    title = F.when(who != "", F.concat(F.lit("Who is "), who)).when(uploaded != "", uploaded).otherwise(first)
-    return F.when(title == "", "New chat").otherwise(clipped(title, most))
+    """The first line, or the file name of an upload note; "New chat" for a blank text."""
+    first = strip(F.split(strip(F.coalesce(text, F.lit(""))), LINE_END)[0])
+    named = F.when(F.lower(first).startswith('uploaded "'), strip(F.regexp_replace(F.substring(first, 11, 1 << 30), '"\\z', ""))).otherwise(first)
+    return F.when(named == "", "New chat").otherwise(clipped(named, most))
+
+
+def profile_title(text: Column, canonical: Column, asks_who: Column, most: int = 80) -> Column:
+    """A title by the matched profile: who is asked about, or the fallback if it has the surname; null without a profile."""
+    surname = F.lower(F.element_at(F.split(strip(canonical), r"\s+"), -1))
+    plain = session_title(text, most)
+    return F.when(asks_who, clipped(F.concat(F.lit("Who is "), canonical), most)).when(F.contains(F.lower(plain), surname) & (plain != "New chat"), plain)
+
+
+def corrected_title(title: Column, text: Column, canonical: Column, asks_who: Column, most: int = 80) -> Column:
+    """A generated title that does not have the surname of the text's profile gives way to the rule's."""
+    surname = F.lower(F.element_at(F.split(strip(canonical), r"\s+"), -1))
+    right = canonical.isNull() | F.contains(F.lower(title), surname)
+    return F.when(right, title).otherwise(F.coalesce(profile_title(text, canonical, asks_who, most), clipped(F.concat(F.lit("Who is "), canonical), most)))
 
 
 def content_key(*parts: Column, length: int = 64) -> Column:
@@ -233,12 +312,19 @@ def content_key(*parts: Column, length: int = 64) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, length)
 
 
+def unfenced(reply: Column) -> Column:
+    """A model's reply without a code fence around it."""
+    return strip(F.regexp_replace(strip(F.coalesce(reply, F.lit(""))), r"(?i)\A```(?:json)?\s*|\s*```\z", ""))
+
+
 def route_of_reply(reply: Column, routes: Sequence[str]) -> Column:
-    """A model's route: the JSON field, or for what is not JSON the first token bare of quotes; null if unknown."""
-    body = strip(F.regexp_replace(reply, r"^\s*```(?:json)?|```\s*$", ""))
-    field = F.lower(F.trim(F.get_json_object(body, "$.route")))
-    token = F.lower(F.translate(F.split(body, r"\s+")[0], "\"{}:,'", ""))
-    route = F.when(body.startswith("{") & F.get_json_object(body, "$").isNotNull(), field).otherwise(token)
+    """A model's route: the field of a JSON object, or for what is not JSON the first token bare of marks at its ends; null
+    if unknown, and for JSON that is no object."""
+    body = unfenced(reply)
+    parsed = F.try_parse_json(body)
+    field = F.lower(strip(F.get_json_object(body, "$.route")))
+    token = F.regexp_replace(F.lower(F.split(body, r"(?U)\s+")[0]), r"\A[\"{}:,]+|[\"{}:,]+\z", "")
+    route = F.when(parsed.isNull(), token).when(F.schema_of_variant(parsed).startswith("OBJECT"), field)
     return F.when(route.isin(*routes), route)
 
 
@@ -248,19 +334,28 @@ def voice(message: Column, content: Column, session: Column, markers: dict[str,
     return F.coalesce(F.nullif(message, F.lit("")), told, session)
 
 
-def error_class(message: Column, code: Column) -> Column:
-    low = F.lower(message)
-    return (
-        F.when((code == 429) | low.rlike("quota|rate limit|resource_exhausted"), "quota")
-        .when(code.isin(500, 502, 503, 504) | low.rlike("overloaded|unavailable"), "overloaded")
-        .when((code == 404) | low.contains("not found"), "missing")
-        .when(low.rlike("timeout|timed out|connection"), "transient")
-        .otherwise("other")
-    )
+#: Forms in which services say what went wrong.
+QUOTA = ("429", "resource exhausted", "resourceexhausted", "quota", "rate limit", "rate_limit", "too many requests")
+OVERLOAD = ("503", "unavailable", "high demand", "overloaded")
+MISSING = ("(404)", "not_found", "not found")
+
+
+def is_quota(message: Column) -> Column:
+    return contains_any(message, QUOTA)
+
+
+def is_overload(message: Column, code: Column) -> Column:
+    """By the words, or by a status of the server's side other than "not implemented"."""
+    return contains_any(message, OVERLOAD) | F.coalesce((code >= 500) & (code < 600) & (code != 501), F.lit(False))
+
+
+def is_missing(message: Column) -> Column:
+    return contains_any(message, MISSING)
 
 
-def retry_delay(message: Column, attempt: Column, quota: Column, cap: int = 60) -> Column:
-    """Seconds to wait: what the message asks and one more, 50 for a quota without it, else doubling up to a cap."""
-    asked = F.regexp_extract(F.lower(message), r"retry in ([0-9.]+)s", 1)
-    doubled = F.least(F.pow(F.lit(2.0), attempt), F.lit(float(cap)))
-    return F.when(quota, F.coalesce(asked.try_cast("double") + 1, F.lit(50.0))).otherwise(doubled)
+def retry_delay(message: Column, attempt: Column, quota: Column, overload: Column | None = None) -> Column:
+    """Seconds to wait: what a quota's message asks and one more, 50 without it; for an overload five, doubling up to 30;
+    else one, doubling up to 60."""
+    asked = F.regexp_extract(F.lower(message), r"retry in ([0-9.]+)s", 1).try_cast("double") + 1
+    slow = F.least(5 * F.pow(F.lit(2.0), attempt), F.lit(30.0))
+    return F.when(quota, F.coalesce(asked, F.lit(50.0))).when(F.lit(False) if overload is None else overload, slow).otherwise(F.least(F.pow(F.lit(2.0), attempt), F.lit(60.0)))

@@ -29,12 +29,13 @@ def boxes(words: DataFrame, group: list[str], order: str) -> DataFrame:
     return out.withColumn("width", F.col("_right") - F.col("x")).withColumn("height", F.col("_bottom") - F.col("y")).drop("_right", "_bottom")
 
 
-def phrase_matches(words: DataFrame, terms: DataFrame, group: list[str], order: str, most: int = 6) -> DataFrame:
+def phrase_matches(words: DataFrame, terms: DataFrame, group: list[str], order: str) -> DataFrame:
     """For each group and term the first place where following words of a page begin with the term's parts.
 
-    ``words``: (group, order, page, text); ``terms``: (term, parts), parts lower-cased and at most ``most``. Words meet terms
-    through the first letter of a part, an equi-join.
+    ``words``: (group, order, page, text); ``terms``: (term, parts), parts lower-cased. Words meet terms through the first
+    letter of a part, an equi-join, and look ahead as far as the longest term.
     """
+    most = terms.agg(F.coalesce(F.max(F.size("parts")), F.lit(1))).first()[0]
     w = Window.partitionBy(*group, "page").orderBy(order)
     following = F.array_compact(F.array(*(F.lower(F.lead("text", i).over(w)) for i in range(most))))
     ahead = words.withColumn("_next", following).withColumn("_letter", F.substring(F.lower("text"), 1, 1))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.functions.text import scoring_tokens
 
@@ -40,21 +43,46 @@ def ranking(gold: DataFrame, ranked: DataFrame, query: str, key: str, k: int = 3
     return rows.select(query, F.when(F.col("_best") <= k, 1.0).otherwise(0.0).alias("recall"), F.coalesce(1 / F.col("_best"), F.lit(0.0)).alias("reciprocal"))
 
 
-def means(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in columns))
-
-
 def exact_match(answer: Column, spans: Column) -> Column:
     """1 if all gold spans, one at least, are in the answer, case aside."""
     low = F.lower(F.coalesce(answer, F.lit("")))
     return F.when((F.size(spans) > 0) & F.forall(spans, lambda s: F.contains(low, F.lower(s))), 1.0).otherwise(0.0)
 
 
+def _ids(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array of lists of longs and the row of each."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+
+
+@F.arrow_udf(T.DoubleType())
+def _multiset_f1(answer: pa.Array, gold: pa.Array) -> pa.Array:
+    """2 * common / all of two multisets of hashes in each row; 0 where either is empty."""
+    (a, a_row), (g, g_row) = _ids(answer), _ids(gold)
+    value, row, mine = np.concatenate([a, g]), np.concatenate([a_row, g_row]), np.concatenate([np.ones(len(a)), np.zeros(len(g))])
+    order = np.lexsort((value, row))
+    value, row, mine = value[order], row[order], mine[order]
+    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])) if len(value) else np.zeros(0, int)
+    ours = np.add.reduceat(mine, first) if len(first) else mine
+    sizes = np.diff(np.append(first, len(value)))
+    both = np.bincount(row[first], np.minimum(ours, sizes - ours), len(answer))
+    return pa.array(2 * both / np.maximum(np.bincount(row, minlength=len(answer)), 1))
+
+
 def token_f1(rows: DataFrame, key: str, answer: str, gold: str) -> DataFrame:
-    """(key, f1) by the multisets of tokens of both texts."""
-    counted = lambda c: rows.select(key, F.explode(scoring_tokens(F.col(c))).alias("t")).groupBy(key, "t").agg(F.count("*").alias(f"n_{c}"))
-    both = counted(answer).join(counted(gold), [key, "t"], "full").groupBy(key).agg(
-        F.sum(F.least(F.coalesce(f"n_{answer}", F.lit(0)), F.coalesce(f"n_{gold}", F.lit(0)))).alias("_both"), F.sum(f"n_{answer}").alias("_a"), F.sum(f"n_{gold}").alias("_g")
-    )
-    f1 = F.coalesce(F.try_divide(2.0 * F.col("_both"), F.col("_a") + F.col("_g")), F.lit(0.0))
-    return rows.select(key).join(both, key, "left").select(key, F.coalesce(f1, F.lit(0.0)).alias("f1"))
+    """(key, f1) by the multisets of tokens of both texts, row by row."""
+    hashed = lambda c: F.transform(F.coalesce(scoring_tokens(F.col(c)), F.array().cast("array<string>")), lambda t: F.xxhash64(t))
+    return rows.select(key, _multiset_f1(hashed(answer), hashed(gold)).alias("f1"))
+
+
+def report(routes: DataFrame, retrieval: DataFrame, answers: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """One row with all figures of an evaluation, to four places.
+
+    ``routes``: (gold, pred); ``retrieval``: (recall, reciprocal) of items with gold rows; ``answers``: (em, f1) of items with
+    gold spans, whose means are null where there are none.
+    """
+    mean = lambda c: F.round(F.avg(c), 4)
+    ranked = retrieval.agg(F.count("*").alias("retrieval_n"), F.coalesce(mean("recall"), F.lit(0.0)).alias("recall_at_k"), F.coalesce(mean("reciprocal"), F.lit(0.0)).alias("mrr"))
+    spoken = answers.agg(F.count("*").alias("generation_n"), mean("em").alias("exact_match"), mean("f1").alias("token_f1"))
+    agreed = accuracy(routes).crossJoin(macro_f1(routes, labels)).crossJoin(routes.agg(F.count("*").alias("route_n")))  # one row each
+    return agreed.crossJoin(ranked).crossJoin(spoken).withColumns({c: F.round(c, 4) for c in ("accuracy", "macro_f1")})

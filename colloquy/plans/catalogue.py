@@ -6,36 +6,19 @@ and their id the doc_id; knowledge vectors are embeddings, the category the labe
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as t
-from colloquy.functions.vectors import cosine, literal
+from colloquy.functions.vectors import cosine
 from colloquy.operators import context, layout, metrics, retrieval, routing, sessions
+from colloquy.plans.registry import query
+from colloquy.plans.registry import table as _table
 from colloquy.sources import ingest
 from colloquy.streaming import status
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), "role", "text")
 
@@ -122,8 +105,7 @@ def patch_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id AS id, max(turn) AS updated FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 ORDER BY updated DESC, id LIMIT 30""")
 def sidebar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.collect_list(F.when(F.col("role") == "user", F.struct(F.col("text").alias("question"))))
-    rows = _messages(spark, sf_dir).groupBy(F.col("session_id").alias("id")).agg(F.max("created_at").alias("updated"), turns.alias("turns"))
+    rows = _messages(spark, sf_dir).groupBy(F.col("session_id").alias("id")).agg(F.max("created_at").alias("updated"), F.count_if(F.col("role") == "user").alias("questions"))
     return sessions.sidebar(rows, 30).select("id", "updated")
 
 
@@ -172,14 +154,13 @@ def vec_topk_adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_PAIRS_SQL}, m AS (SELECT *, (label = 3 AND query_id % 40 = 0) AS hit FROM p),
-f AS (SELECT *, max(hit::INT) OVER (PARTITION BY query_id) AS any_hit FROM m)
-SELECT query_id, count(*)::BIGINT AS n, min(vec_id) AS first_id FROM f WHERE hit OR any_hit = 0 GROUP BY query_id""")
+@query(f"""WITH {_PAIRS_SQL}, m AS (SELECT *, query_id // 20 % 13 AS pool FROM p), f AS (SELECT * FROM m WHERE label = pool OR pool NOT IN (SELECT label FROM embeddings))
+SELECT query_id, vec_id, round(s, 6) AS score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS n FROM f) WHERE n <= 5""")
 def pool_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows = _vectors(spark, sf_dir)
-    pairs = rows.select("vec_id", "label").join(F.broadcast(asked.select("query_id")))
-    kept = retrieval.pooled(pairs, "query_id", (F.col("label") == 3) & (F.col("query_id") % 40 == 0))
-    return kept.groupBy("query_id").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
+    scoped = asked.drop("label").withColumn("label", (F.floor(F.col("query_id") / 20) % 13).cast("int"))
+    found = retrieval.in_pool(scoped, rows, "query_id", "vec_id", "label")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,25 +180,31 @@ def token_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substring(lower(text), i, 3))) AS g FROM benchmark),
+_GRAMS_SQL = """q AS (SELECT item_id AS query_id, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substring(lower(text), i, 3))) AS g FROM benchmark),
 r AS (SELECT doc_id, list_distinct(list_concat(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substring(lower(text), i, 3)), list_transform(range(1, greatest(length(doc_id::VARCHAR) - 2, 1) + 1), lambda i: substring(doc_id::VARCHAR, i, 3)))) AS g FROM documents),
-c AS (SELECT query_id, doc_id, count(*) / any_value(size) AS s FROM (SELECT query_id, len(g) AS size, unnest(g) AS w FROM q) JOIN (SELECT doc_id, unnest(g) AS w FROM r) USING (w) GROUP BY query_id, doc_id)
+c AS (SELECT query_id, doc_id, count(*) / any_value(size) AS s FROM (SELECT query_id, len(g) AS size, unnest(g) AS w FROM q) JOIN (SELECT doc_id, unnest(g) AS w FROM r) USING (w) GROUP BY query_id, doc_id)"""
+
+
+@query(f"""WITH {_GRAMS_SQL}
 SELECT query_id, doc_id, round(s, 6) AS score, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM c) WHERE n <= 5""")
 def ngram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.by_ngrams(_asked(spark, sf_dir), _table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_PAIRS_SQL}, v AS (SELECT query_id, vec_id AS id, s FROM p WHERE s >= 0.6 AND vec_id <> query_id),
-f AS (SELECT query_id, vec_id AS id, s FROM p WHERE label = q_label AND vec_id <> query_id AND query_id NOT IN (SELECT query_id FROM v)),
-u AS (SELECT *, 0 AS stage FROM v UNION ALL SELECT *, 1 FROM f)
-SELECT query_id, id, stage, round(s, 6) AS score FROM u""")
+@query(f"""WITH {_PAIRS_SQL}, {_GRAMS_SQL}, v AS (SELECT query_id, vec_id AS id, s FROM p WHERE s >= 0.6 AND vec_id <> query_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM c),
+g AS (SELECT a.vec_id AS query_id, doc_id AS id, s FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) a JOIN o ON o.query_id = a.vec_id // 20 WHERE n <= 5 AND a.vec_id NOT IN (SELECT query_id FROM v)),
+u AS (SELECT *, 0 AS stage FROM v UNION ALL SELECT *, 1 FROM g) SELECT query_id, id, stage, round(s, 6) AS score FROM u""")
 def retrieval_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are near enough, else character n-grams of the question over the texts."""
     asked, rows = _vectors(spark, sf_dir)
-    near = retrieval.by_vector(asked.drop("label"), rows, "query_id", "vec_id", k=1_000_000, least=0.6).filter("vec_id <> query_id")
-    same = retrieval.by_vector(asked, rows, "query_id", "vec_id", k=1_000_000, same=["label"]).filter("vec_id <> query_id")
-    columns = ["query_id", F.col("vec_id").alias("id"), "score"]
-    found = retrieval.first_with_result(asked, [near.select(*columns), same.select(*columns)], "query_id")
+    near = retrieval.by_vector(asked.drop("label"), rows, "query_id", "vec_id", k=None, least=0.6).filter("vec_id <> query_id")
+    items = _table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("question"))
+    questions = items.join(asked.select("query_id"), "query_id", "left_semi")
+    grams = retrieval.by_ngrams(questions, _table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
+    stages = [near.select("query_id", F.col("vec_id").alias("id"), "score"), grams.select("query_id", F.col("doc_id").alias("id"), "score")]
+    found = retrieval.first_with_result(asked, stages, "query_id")
     return found.select("query_id", "id", "stage", F.round("score", 6).alias("score"))
 
 
@@ -304,7 +291,7 @@ def followup_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, CASE WHEN coalesce(route, inherited) = 'programming' THEN 'programming' WHEN coalesce(route, inherited) = 'domain' OR turn % 2 = 1 THEN 'domain' ELSE 'programming' END AS final FROM i""")
 def final_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = routing.inherited(_routed(spark, sf_dir), "conv_id", "turn", "route")
-    route = routing.resolved(F.col("route"), F.col("inherited"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False))
+    route = routing.resolved(F.lit(True), F.col("route"), F.col("inherited"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False), F.lit(False))
     return rows.select("conv_id", "turn", routing.final_route(route, F.col("inherited"), F.col("turn") % 2).alias("final"))
 
 
@@ -424,7 +411,7 @@ _CDC_SQL = """o AS (SELECT source AS source_file, doc_id AS record_id, sha256(CA
 i AS (SELECT source AS source_file, doc_id AS record_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0)"""
 
 
-@query(f"WITH {_CDC_SQL} SELECT source_file, record_id, CASE WHEN o.h IS NULL THEN 'insert' WHEN i.h IS NULL THEN 'delete' WHEN o.h = i.h THEN 'noop' ELSE 'update' END AS action FROM o FULL JOIN i USING (source_file, record_id)")
+@query(f"WITH {_CDC_SQL} SELECT source_file, record_id, CASE WHEN o.h IS NULL THEN 'insert' WHEN i.h IS NULL THEN 'delete' WHEN o.h = i.h THEN 'noop' ELSE 'update' END AS action, (i.h IS NOT NULL)::BIGINT AS copies FROM o FULL JOIN i USING (source_file, record_id)")
 def cdc_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.changes(*_store(spark, sf_dir), ["source_file", "record_id"]).drop("content_hash")
 
@@ -434,30 +421,20 @@ def cdc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.applied(*_store(spark, sf_dir), ["source_file", "record_id"]).drop("text")
 
 
-@query("SELECT page_id, md5(regexp_replace(html, 'https?://[^\\s<>\"'')\\]]+', '', 'g')) AS digest FROM pages")
-def url_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.without_urls(F.col("html"))).alias("digest"))
-
-
-@query("SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '`([^`]*)`', '\\1', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[#*_>]+', ' ', 'g')) AS digest FROM pages")
-def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.without_markdown(F.col("html"))).alias("digest"))
+_URLS_SQL = "trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?i)https?://\\S+', ' ', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-@query()
-def outside_url_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = t.outside_urls(F.col("html"), lambda part: t.replaced(part, {"the": "THE", "then": "THEN"}, whole_words=True))
-    return _table(spark, sf_dir, "pages").select("page_id", F.md5(changed).alias("digest"))
+@query(f"SELECT page_id, md5({_URLS_SQL.format(x='html')}) AS digest FROM pages")
+def url_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.without_urls(F.col("html"))).alias("digest"))
 
 
-@query()
-def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("at", "sentence"))
+_MARKDOWN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)```.*?```', ' ', 'g'), '`([^`]+)`', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#*_>]+', ' ', 'g')"
 
 
-@query()
-def speech_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.phrases(F.col("text"))).alias("at", "phrase"))
+@query(f"SELECT page_id, md5({_MARKDOWN_SQL.format(x='html')}) AS digest FROM pages")
+def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.without_markdown(F.col("html"))).alias("digest"))
 
 
 @query("SELECT doc_id, md5(replace(replace(replace(text, 'tion', 'SHUN'), 'the', 'ze'), 'er', 'uh')) AS digest FROM documents")
@@ -476,11 +453,6 @@ def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("token").agg(F.count("*").alias("n")).withColumn("kind", t.token_kind(F.col("token")))
 
 
-@query()
-def spell_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", t.spelled(F.col("source"), {"S": "ess", "R": "ar", "C": "see"}).alias("spoken"))
-
-
 @query("""SELECT before, token, count(*)::BIGINT AS n FROM (SELECT token, lag(token) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
 SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9]+)', 1) AS w FROM documents))) GROUP BY ALL""")
 def prev_token_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -489,7 +461,10 @@ def prev_token_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("w.before", "w.token").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark),
+k AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(ch, '[a-zA-Z]') THEN 'latin' WHEN regexp_matches(ch, '\\p{L}') THEN 'other' END IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY i), 'latin') AS kind FROM c),
+n AS (SELECT *, coalesce((lag(kind) OVER (PARTITION BY item_id ORDER BY i) <> kind)::INT, 0) AS new FROM k), r AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY i) AS run FROM n)
+SELECT item_id, run::INT AS run, any_value(kind) AS kind, string_agg(ch, '' ORDER BY i) AS text FROM r GROUP BY item_id, run""")
 def script_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("char").rlike("[a-zA-Z]"), "latin").when(F.col("char").rlike(r"\p{L}"), "other")
     return layout.script_runs(_table(spark, sf_dir, "benchmark"), "item_id", "text", kind, "latin")
@@ -500,12 +475,6 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type END AS route FROM events")
-def json_route_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('```json\n{"route": "'), F.upper("event_type"), F.lit('"}\n```'))).otherwise(F.concat(F.lit('"'), "event_type", F.lit('": yes')))
-    return _table(spark, sf_dir, "events").select("event_id", t.route_of_reply(reply, ["view", "click"]).alias("route"))
-
-
 @query("""SELECT doc_id, md5(string_agg(word, ' ' ORDER BY i)) AS digest FROM (SELECT doc_id, word, min(i) AS i FROM (
 SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z]+)', 1) AS w FROM documents)) GROUP BY doc_id, word) GROUP BY doc_id""")
 def ordered_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,13 +482,6 @@ def ordered_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").withColumn("_words", words).filter(F.size("_words") > 0).select("doc_id", F.md5(F.array_join("_words", " ")).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN first = '' THEN 'New chat' WHEN length(first) > 80 THEN rtrim(substring(first, 1, 80), ' ') ELSE first END AS title FROM (
-SELECT conv_id, turn, trim(split_part(trim(text), chr(10), 1)) AS first FROM conversations WHERE role = 'user')""")
-def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return rows.select("conv_id", "turn", t.session_title(F.col("text")).alias("title"))
-
-
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("at", "text"))
     return words.select("item_id", "at", F.lit(1).alias("page"), "text", (F.col("at") % 8 * 10.0).alias("x"), (F.floor(F.col("at") / 8) * 12.0).alias("y"), F.lit(9.0).alias("width"), F.lit(10.0).alias("height"))
@@ -575,18 +537,3 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS s FROM embeddings""")
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("s"))
-
-
-@query()
-def embedding_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").select("vec_id", literal(F.col("embedding")).alias("literal"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'quota' WHEN event_id % 5 = 1 THEN 'overloaded' WHEN event_id % 5 = 2 THEN 'missing' WHEN event_id % 5 = 3 THEN 'transient' ELSE 'other' END AS class,
-CASE WHEN event_id % 5 = 0 THEN 8.5 ELSE least(pow(2, event_id % 9), 60) END AS delay FROM events""")
-def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = (F.col("event_id") % 5).cast("int")
-    messages = F.array(*map(F.lit, ("Quota exceeded, retry in 7.5s", "model is overloaded", "Not found", "read timed out", "bad key")))
-    message = F.element_at(messages, kind + 1)
-    label = t.error_class(message, F.lit(400))
-    return _table(spark, sf_dir, "events").select("event_id", label.alias("class"), t.retry_delay(message, F.col("event_id") % 9, label == "quota").alias("delay"))

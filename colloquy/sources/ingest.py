@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.functions.text import content_key, nonblank, strip, windows
+from colloquy.functions.text import content_key, nonblank, quoted, strip, windows
 
 NOTE = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "text", "sources")])
 INDEX = "embed_model string, built_at string, chunks array<struct<id:string,text:string,sources:array<string>,embedding:array<double>>>"
@@ -98,25 +99,80 @@ def chunked(rows: DataFrame, id_column: str, text: str = "text", size: int = 150
     return out.withColumn("chunk_id", F.concat(F.col(id_column).cast("string"), F.lit("-"), F.col("_at") + 1)).drop("_at")
 
 
+def _first(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the row that the scan meets first, its hash, and how many rows the key has."""
+    met = incoming.select(*keys, "text", content_key(F.col("text")).alias("content_hash"), F.monotonically_increasing_id().alias("_at"))
+    one = met.groupBy(*keys).agg(F.min_by(F.struct("text", "content_hash"), "_at").alias("_r"), F.count("*").alias("copies"))
+    return one.select(*keys, "_r.*", "copies")
+
+
 def changes(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed: DataFrame | None = None) -> DataFrame:
     """Keys and what is to be done with each: insert, update, noop or delete.
 
-    ``current`` has the keys and ``content_hash``, ``incoming`` the keys and ``text``; of a key that comes twice the
-    smallest hash counts. Keys in ``failed`` stay as they are: neither changed nor deleted.
+    ``current`` has the keys and ``content_hash``, ``incoming`` the keys and ``text``; of a key that comes more than once the
+    first row in the order of the scan counts, and ``copies`` says how many there were. Keys in ``failed`` stay as they are:
+    neither changed nor deleted.
     """
-    new = incoming.select(*keys, content_key(F.col("text")).alias("_new")).groupBy(*keys).agg(F.min("_new").alias("_new"))
+    new = _first(incoming, keys).select(*keys, F.col("content_hash").alias("_new"), "copies")
     both = current.select(*keys, F.col("content_hash").alias("_old")).join(new, list(keys), "full")
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") == F.col("_new"), "noop").otherwise("update")
     if failed is not None:
         both = both.join(failed.select(*keys).distinct().withColumn("_failed", F.lit(True)), list(keys), "left")
         action = F.when(F.col("_failed") & F.col("_old").isNull(), "skip").when(F.col("_failed"), "noop").otherwise(action)
-    return both.select(*keys, action.alias("action"), F.coalesce("_new", "_old").alias("content_hash"))
+    return both.select(*keys, action.alias("action"), F.coalesce("_new", "_old").alias("content_hash"), F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
 def applied(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed: DataFrame | None = None) -> DataFrame:
     """The store after the changes: keys, text and content_hash."""
     todo = changes(current, incoming, keys, failed)
-    hashed = incoming.select(*keys, "text", content_key(F.col("text")).alias("content_hash")).dropDuplicates([*keys, "content_hash"])
-    fresh = hashed.join(todo.filter("action in ('insert', 'update')").drop("action"), [*keys, "content_hash"], "left_semi")
+    fresh = _first(incoming, keys).drop("copies").join(todo.filter("action in ('insert', 'update')").select(*keys), list(keys), "left_semi")
     old = current.select(*keys, "text", "content_hash").join(todo.filter("action = 'noop'").select(*keys), list(keys), "left_semi")
     return old.unionByName(fresh.select(old.columns))
+
+
+def file_kind(name: Column) -> Column:
+    """pdf, image or other, by the ending of a file name."""
+    low = F.lower(name)
+    return F.when(low.endswith(".pdf"), "pdf").when(low.rlike(r"\.(?:png|jpe?g|webp)\z"), "image").otherwise("other")
+
+
+def stored_ending(name: Column) -> Column:
+    """The ending under which an upload is kept."""
+    found = F.regexp_extract(F.lower(name), r"(\.(?:pdf|png|jpe?g|webp))\z", 1)
+    return F.when(found == ".jpeg", ".jpg").when(found == "", ".bin").otherwise(found)
+
+
+def image_kind(content: Column) -> Column:
+    """png, jpeg or webp by the first bytes; png for what has none of them."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.when(head.startswith("FFD8"), "jpeg").when(head.startswith("52494646") & head.endswith("57454250"), "webp").otherwise("png")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A file's place below a folder; its name alone where it lies elsewhere."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.contains(path, F.lit(base)), F.element_at(F.split(path, quoted(base), -1), -1)).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def saved(rows: DataFrame, path: str) -> None:
+    """Replaces a stored table: written beside it in full, then moved to its place, so that no reader meets half a table."""
+    context = rows.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path
+    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    system = place(path).getFileSystem(context._jsc.hadoopConfiguration())
+    system.delete(place(path), True)
+    if not system.rename(place(staged), place(path)):
+        raise OSError(f"{staged} could not be moved to {path}")
+
+
+def index_written(rows: DataFrame, vectors: DataFrame, key: str, model: str, path: str) -> int:
+    """Writes rows with their vectors as JSON lines under a header on each; every row must have one. How many were written."""
+    out = indexed(rows, vectors, key, model).withColumn("built_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    out.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.json(path).count()

@@ -1,0 +1,46 @@
+"""Keys of a service dealt in turn, those that met a limit left out for a while: state by pool, in batch or stream."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "pool string, time double, key int"
+
+
+def served(events: pd.DataFrame, next_: int, cool: list[float], cooling: float) -> tuple[list[tuple[float, int]], int, list[float]]:
+    """Events (time, cooled) in order of time: null takes a key, a number says which key met its limit. Gives the keys taken."""
+    taken, many = [], len(cool)
+    for time, cooled in zip(events["time"], events["cooled"]):
+        if pd.notna(cooled):
+            cool[int(cooled)] = time + cooling
+            continue
+        turn = [(next_ + i) % many for i in range(many)]
+        ready = next((i for i in turn if cool[i] <= time), None)
+        next_ = (turn[-1] if ready is None else ready) + 1
+        taken.append((time, min(range(many), key=cool.__getitem__) if ready is None else ready))
+    return taken, next_, cool
+
+
+def dealt(events: DataFrame, keys: Sequence[str], cooling: float = 60.0) -> DataFrame:
+    """(pool, time, cooled) to (pool, time, key): which of the keys each request of a pool gets; if all cool, the one that is
+    ready first. A stream keeps a pool's turn and cooling times as state."""
+    many = len(keys)
+    if events.isStreaming:
+
+        def step(pool: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            next_, cool = state.get if state.exists else (0, [0.0] * many)
+            taken, next_, cool = served(pd.concat(list(parts)).sort_values("time", kind="stable"), int(next_), list(cool), cooling)
+            state.update((next_, cool))
+            yield pd.DataFrame([(pool[0], t, k) for t, k in taken], columns=["pool", "time", "key"])
+
+        return events.groupBy("pool").applyInPandasWithState(step, OUT, "next int, cool array<double>", "append", GroupStateTimeout.NoTimeout)
+
+    def whole(pool: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        taken, _, _ = served(rows.sort_values("time", kind="stable"), 0, [0.0] * many, cooling)
+        return pd.DataFrame([(pool[0], t, k) for t, k in taken], columns=["pool", "time", "key"])
+
+    return events.groupBy("pool").applyInPandas(whole, OUT)

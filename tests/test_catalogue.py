@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from colloquy.plans.catalogue import ORACLE_SQL, QUERIES
+from colloquy.plans.queries import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 

@@ -5,11 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.functions import replies
 from colloquy.functions import text as t
 from colloquy.functions.vectors import cosine
-from colloquy.operators import context, layout, metrics, retrieval, routing, sessions
+from colloquy.operators import context, layout, metrics, retrieval, routing, sessions, speech
 from colloquy.sources import ingest
-from colloquy.streaming import status
+from colloquy.streaming import keys, status
 
 
 def value(spark, column, *literals):
@@ -67,13 +68,125 @@ def test_sentences(spark, text, parts):
 
 
 def test_speech_text(spark):
-    assert value(spark, t.without_parentheses(F.col("c0")), "a (b (c) d) e") == "a  e"
-    assert value(spark, t.without_urls(F.col("c0")), "see https://x.org/a now") == "see  now"
+    assert value(spark, t.without_parentheses(F.col("c0")), "a (b (c) d) e") == "a   e"
+    deep = "(" * 40 + "x" + ")" * 40
+    assert value(spark, t.without_parentheses(F.col("c0")), f"a {deep} ((( b )( c") == "a   (( ( c"
+    assert value(spark, t.without_parentheses(F.col("c0"), t.OTHER_SCRIPT), "a (မြန်မာ (b)) (c)") == "a (မြန်မာ  )  "
+    assert value(spark, t.without_urls(F.col("c0")), " see https://x.org/a now\n\n\n\nend ") == "see now\n\nend"
+    assert value(spark, t.phrases(F.col("c0")), "## Head\n| a |  | b  c |\n|---|:-:|\n- one. Two?  x\n| cut") == ["Head", "a၊ b c", "- one.", "Two?", "x", "| cut"]
+    assert value(spark, t.phrases(F.col("c0")), "စာ။ ခင်ဗျာ။") == ["စာ ခင်ဗျာ။"]
+    assert value(spark, t.courtesy_merged(F.array(F.lit("One။"), F.lit("ရှင်။"), F.col("c0"))), "two") == ["One ရှင်။", "two"]
+    assert value(spark, t.without_markdown(F.col("c0")), "![x](y) [](z) `` `a`") == "!x [](z) `` a"
     assert value(spark, t.row_phrase(F.col("c0"), ", "), "| a |  | b |") == "a, b"
+    spoken = speech.prepared(F.col("c0"), names=[("Win Aye", "WA")], titles=[("Dr", "Doctor")], lexicon={"ab": "AB"})
+    assert value(spark, spoken, "Ask dr. win aye (no） at http://x.y/z about ab, cab.") == "Ask Doctor WA at about AB, cab."
     assert value(spark, t.outside_urls(F.col("c0"), F.upper), "go http://a.b/c on") == "GO http://a.b/c ON"
     assert [value(spark, t.token_kind(F.col("c0")), x) for x in ("II", "I", "ID", "Room", "B2")] == ["roman", "word", "spell", "word", "spell"]
 
 
+def test_replies_and_titles(spark):
+    routes = ["miit", "other"]
+    cases = {'"miit"': None, "miit now": "miit", '{"route": " MIIT "}': "miit", '```json\n{"route": "other"}\n```': "other", "[1]": None, "": None, '{"a": 1}': None, "{other}:": "other", "null": None}
+    assert {k: value(spark, t.route_of_reply(F.col("c0"), routes), k) for k in cases} == cases
+    titles = {"Who is Tom?": "Who is Tom?", 'UPLOADED "a b.pdf"': "a b.pdf", " ": "New chat", "x" * 90: "x" * 80, "one\r\ntwo": "one"}
+    assert {k: value(spark, t.session_title(F.col("c0")), k) for k in titles} == titles
+    who = t.profile_title(F.col("c0"), F.lit("Dr. Win Aye"), F.lit(False))
+    assert value(spark, who, "About aye") == "About aye" and value(spark, who, "About") is None
+    assert value(spark, t.corrected_title(F.lit("On Tom"), F.col("c0"), F.lit("Dr. Win Aye"), F.lit(False)), "q") == "Who is Dr. Win Aye"
+    quota = {"HTTP 429 Too Many Requests": True, "rate_limit": True, "ResourceExhausted": True, "other": False}
+    assert {k: value(spark, t.is_quota(F.col("c0")), k) for k in quota} == quota
+    assert value(spark, t.is_overload(F.col("c0"), F.lit(520)), "x") and not value(spark, t.is_overload(F.col("c0"), F.lit(501)), "x") and value(spark, t.is_overload(F.col("c0"), F.lit(None).cast("int")), "high demand")
+    assert value(spark, replies.embedding_of(F.col("c0")), '{"embedding": {"values": [1, 2.5]}}') == [1.0, 2.5] and value(spark, replies.embedding_of(F.col("c0")), "[]") is None
+    assert value(spark, replies.descriptions(F.array(F.col("c0"), F.lit(None).cast("string"), F.lit("b"))), "a") == "a\n\nb"
+    boxes = value(spark, replies.annotations_of(replies.annotations_json(replies.annotations_of(F.col("c0")))), '[{"term": "a", "definition": "b", "page": "2", "x": 1, "y": "0.5", "width": 3, "height": 4}]')
+    assert boxes[0].page == 2 and boxes[0].y == 0.5
+
+
+def test_names_and_cache(spark):
+    known = ["Win Aye", "Tom May"]
+    cases = {"Dr. Win Aye": True, "tom may": True, "a@b.c": False, "ABC": False, "Dr.": False, "Other": False}
+    assert {k: value(spark, speech.is_known_person(F.col("c0"), known, ["Dr", "Prof"]), k) for k in cases} == cases
+    assert value(spark, speech.is_keepable_key(F.col("c0"), known, ["Dr"], ["Sir"]), "Sir")
+    assert value(spark, speech.name_of_stem(F.col("c0")), "win_aye__x") == "Win Aye X"
+    assert value(spark, speech.overlaid(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))), "") == {"a": 1, "b": 3}
+    tokens = speech.latin_tokens(spark.createDataFrame([(1, "Part I of II, I said ID")], "id int, text string"), "id")
+    assert {(r.token, r.numeral) for r in tokens.collect()} == {("Part", False), ("I", True), ("of", False), ("II", False), ("said", False), ("ID", False)}
+
+
+def test_keys_in_turn(spark):
+    rows = [(0, None), (1, None), (2, 0), (3, None), (4, None), (5, 1), (6, 2), (7, None), (63, None)]
+    events = spark.createDataFrame([("p", float(a), None if b is None else float(b)) for a, b in rows], "pool string, time double, cooled double")
+    assert [(r.time, r.key) for r in keys.dealt(events, ["a", "b", "c"]).orderBy("time").collect()] == [(0, 0), (1, 1), (3, 2), (4, 1), (7, 0), (63, 0)]
+
+
+def test_stream_of_keys_keeps_its_turn(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = keys.dealt(spark.readStream.schema("pool string, time double, cooled double").json(str(tmp_path / "in")), ["a", "b"])
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(f'{{"pool": "p", "time": {k}}}')
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(90)
+    assert [r.key for r in spark.read.parquet(str(tmp_path / "out")).orderBy("time").collect()] == [0, 1, 0]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    for _ in range(2):
+        ingest.appended(rows, str(tmp_path / "log"))
+        ingest.saved(rows, str(tmp_path / "store"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 4 and spark.read.parquet(str(tmp_path / "store")).count() == 2
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, embedding array<double>")
+    assert ingest.index_written(rows, vectors, "id", "m", str(tmp_path / "index")) == 2
+    assert {(r.embed_model, r.id) for r in spark.read.json(str(tmp_path / "index")).collect()} == {("m", "a"), ("m", "b")}
+    with pytest.raises(Exception, match="no vector for b"):
+        ingest.index_written(rows, vectors.filter("id = 'a'"), "id", "m", str(tmp_path / "index"))
+    content = spark.createDataFrame([(bytes.fromhex("ffd8ff"),), (b"RIFFxxxxWEBP",), (b"",)], "c binary")
+    assert [r[0] for r in content.select(ingest.image_kind(F.col("c"))).collect()] == ["jpeg", "webp", "png"]
+
+
+def test_stored_files_are_read(spark, tmp_path):
+    (tmp_path / "store.json").write_text(json.dumps({"active_id": "zz", "conversations": [{"id": "a", "turns": [{"question": "q"}]}, {"id": "b", "turns": []}], "deleted_ids": ["x"]}))
+    (tmp_path / "broken.json").write_text("{oops")
+    store = ingest.chat_store(spark, str(tmp_path / "store.json")).first()
+    assert store.active_id == "b" and store.deleted_ids == ["x"]
+    (tmp_path / "items.jsonl").write_text('{"id": "1", "question": "q", "gold_route": "miit", "gold_spans": ["s"]}\n')
+    assert ingest.evaluation_items(spark, str(tmp_path / "items.jsonl")).first().gold_spans == ["s"]
+    (tmp_path / "k" / "x").mkdir(parents=True)
+    (tmp_path / "k" / "x" / "n.jsonl").write_text('{"id": "1", "text": "t", "sources": "u"}\n')
+    assert [tuple(r) for r in ingest.categories(spark, str(tmp_path / "k"), ["x"]).select("id", "category", "sources").collect()] == [("1", "x", ["u"])]
+    assert ingest.notes(spark, str(tmp_path / "k" / "x")).count() == 1 and ingest.freshness(spark, str(tmp_path / "k")).first().stamp > 0
+    (tmp_path / "index.json").write_text(json.dumps({"embed_model": "m", "built_at": "t", "chunks": [{"id": "1", "text": "t", "sources": [], "embedding": [1.0]}, {"id": "2", "text": " ", "embedding": [1.0]}]}))
+    assert ingest.index(spark, str(tmp_path / "index.json")).count() == 1
+
+
+def test_most_shared_terms_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    docs = spark.createDataFrame([(k, f"alpha beta{k % 3} gamma") for k in range(40)], "doc int, text string").repartition(5)
+    asked = spark.createDataFrame([(q, f"beta{q} Alpha none") for q in range(4)], "q int, question string")
+    got = {}
+    for r in retrieval.by_tokens(asked, docs, "q", "doc", k=3).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.doc, r.score))
+    assert {q: [(d, s) for _, d, s in sorted(v)] for q, v in got.items()} == {0: [(0, 2.0), (3, 2.0), (6, 2.0)], 1: [(1, 2.0), (4, 2.0), (7, 2.0)], 2: [(2, 2.0), (5, 2.0), (8, 2.0)], 3: [(0, 1.0), (1, 1.0), (2, 1.0)]}
+
+
+def test_first_of_repeated_keys_counts(spark):
+    new = spark.createDataFrame([(1, "z"), (1, "a"), (2, "b")], "id int, text string").coalesce(1)
+    old = new.limit(0).withColumn("content_hash", F.lit(""))
+    assert {(r.id, r.text) for r in ingest.applied(old, new, ["id"]).collect()} == {(1, "z"), (2, "b")}
+    assert {(r.id, r.copies) for r in ingest.changes(old, new, ["id"]).collect()} == {(1, 2), (2, 1)}
+
+
+def test_other_text_functions(spark):
+    assert value(spark, t.titles_spoken(F.col("c0"), {"Dr": "Doctor"}), "dr. x Drum") == "Doctor x Drum"
+    assert value(spark, t.last_kept(F.col("c0"), "pa"), "a pa b pa") == "a  b pa"
+    assert value(spark, t.leading_particles_off(F.col("c0"), ["pa", "ko"]), "pa, ko go") == "go"
+    assert value(spark, t.orphans_merged(F.split("c0", ";"), lambda p: F.length(p) < 2), "ab;c;de") == ["ab c", "de"]
+    assert value(spark, t.table_repaired(F.col("c0")), "x | a | b | |---|---| | c | d |").count("\n") >= 2
+    assert value(spark, t.voice(F.lit(None).cast("string"), F.col("c0"), F.lit("s"), {"m": ["he"]}), "HE is") == "m"
+    assert value(spark, t.has_latin(F.col("c0")), "မြ a")
+    assert value(spark, context.picked(F.col("c0"), ["a", "b"]), "k") in ("a", "b")
+
+
 def test_routes_inherit_and_resolve(spark):
     turns = spark.createDataFrame([(1, 1, "domain"), (1, 2, None), (1, 3, None), (2, 1, None)], "thread int, turn int, route string")
     got = {(r["thread"], r["turn"]): r["inherited"] for r in routing.inherited(turns, "thread", "turn", "route").collect()}
