@@ -117,11 +117,10 @@ def without_parentheses(text: Column, keep_script: str | None = None, mark: str
     """Parentheses to a space, the innermost first, until none is left but those that hold the kept script (and what is
     around these). As many passes as they are nested deep, which no nesting of both sides exceeds."""
     guard = f"(?![^()]*[{keep_script}])" if keep_script else ""
-    marks = F.regexp_replace(text, "[^()]", "")
-    deep = let(marks, lambda m: F.least(_depth(m, "("), _depth(F.reverse(m), ")")))
-    passes = F.when(F.contains(text, F.lit("(")), deep).otherwise(0)
     step = lambda t, _: F.regexp_replace(t, rf"\({guard}[^()]*\)", mark)
-    return F.when(passes > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))), text, step)).otherwise(text)
+    deep = lambda m: F.least(_depth(m, "("), _depth(F.reverse(m), ")"))
+    peeled = lambda t: let(let(F.regexp_replace(t, "[^()]", ""), deep), lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), t, step)).otherwise(t))
+    return let(text, lambda t: F.when(F.contains(t, F.lit("(")), peeled(t)).otherwise(t))
 
 
 def without_urls(text: Column) -> Column:
@@ -167,10 +166,10 @@ PAUSE = "\u001e"
 def courtesy_joined(text: Column) -> Column:
     """A word of courtesy that stands as a sentence of its own made the end of the sentence before it."""
     pattern = rf"(?U)[{ENDS}]\s+({COURTESY})\s*([{ENDS}])"
-    many = F.regexp_count(text, F.lit(pattern))
     step = lambda t, _: F.regexp_replace(t, pattern, " $1$2")
-    # a chain loses one link of each in a pass, and no chain has more links than the text has matches, its own ends included
-    return F.when(many > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(rf"(?U)\s({COURTESY})\s*[{ENDS}]")), F.lit(1))), text, step)).otherwise(text)
+    # a chain loses a link in each pass, and no chain has more links than the text has such words
+    joined = lambda t: F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(t, F.lit(rf"(?U)\s({COURTESY})\s*[{ENDS}]")), F.lit(1))), t, step)
+    return let(text, lambda t: F.when(t.rlike(pattern), joined(t)).otherwise(t))
 
 
 def courtesy_merged(parts: Column) -> Column:
@@ -182,7 +181,7 @@ def courtesy_merged(parts: Column) -> Column:
         joined = F.concat(before, F.lit(" "), word(part), F.regexp_extract(strip(part), f"([{ENDS}]+)$", 1))
         return F.when((F.size(done) > 0) & (word(part) != ""), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(part)))
 
-    return F.when(F.exists(parts, lambda p: word(p) != ""), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
+    return let(parts, lambda ps: F.when(F.exists(ps, lambda p: word(p) != ""), F.aggregate(ps, F.array().cast("array<string>"), step)).otherwise(ps))
 
 
 def phrases(text: Column) -> Column:
