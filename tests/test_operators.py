@@ -76,7 +76,7 @@ def test_speech_text(spark):
     assert value(spark, t.phrases(F.col("c0")), "## Head\n| a |  | b  c |\n|---|:-:|\n- three. Two?  x\n| cut") == ["Head", "a၊ b c", "- three.", "Two?", "x", "| cut"]
     assert value(spark, t.phrases(F.col("c0")), "စာ။ ခင်ဗျာ။") == ["စာ ခင်ဗျာ။"]
     assert value(spark, t.courtesy_merged(F.array(F.lit("One။"), F.lit("ရှင်။"), F.col("c0"))), "two") == ["One ရှင်။", "two"]
-    assert value(spark, t.without_markdown(F.col("c0")), "![x](y) [](z) `` `a`") == "!x [](z) `` a"
+    assert value(spark, t.without_markdown(F.col("c0")), "![x](y) [](z) `` `a`") == "!x [](z) ` a`"
     assert value(spark, t.row_phrase(F.col("c0"), ", "), "| a |  | b |") == "a, b"
     spoken = speech.prepared(F.col("c0"), names=[("Win Aye", "WA")], titles=[("Dr", "Doctor")], lexicon={"ab": "AB"})
     assert value(spark, spoken, "Ask dr. win aye (no） at http://x.y/z about ab, cab.") == "Ask Doctor WA at about AB, cab."
