@@ -58,11 +58,11 @@ _FIRST = "trim(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)
 
 
 @query(f"""WITH f AS (SELECT conv_id, turn, CASE WHEN text = '' THEN '' WHEN conv_id % 3 = 0 THEN rtrim(substring('file ' || {_FIRST}, 1, 80), ' ') ELSE rtrim(substring({_FIRST}, 1, 80), ' ') END AS plain FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN plain = '' THEN 'New chat' ELSE plain END AS title, CASE WHEN turn % 4 = 0 THEN 'Who is Dr. Win Data' WHEN turn % 4 = 1 AND contains(lower(plain), 'data') THEN plain END AS by_profile FROM f""")
+SELECT conv_id, turn, CASE WHEN plain = '' THEN 'New chat' ELSE plain END AS title, CASE WHEN turn % 4 = 0 THEN 'Who is Dr. Ann Data' WHEN turn % 4 = 1 AND contains(lower(plain), 'data') THEN plain END AS by_profile FROM f""")
 def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
     text = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('uPloaded "file '), t.strip("text"), F.lit('"'))).otherwise(F.col("text"))
-    canonical = F.when(F.col("turn") % 4 < 2, "Dr. Win Data")
+    canonical = F.when(F.col("turn") % 4 < 2, "Dr. Ann Data")
     return rows.select("conv_id", "turn", t.session_title(text).alias("title"), t.profile_title(text, canonical, F.col("turn") % 4 == 0).alias("by_profile"))
 
 

@@ -55,7 +55,7 @@ def test_metrics_by_hand(spark):
     gold = spark.createDataFrame([("q", "x")], "query string, key string")
     ranked = spark.createDataFrame([("q", "y", 1), ("q", "x", 2)], "query string, key string, rank int")
     assert metrics.ranking(gold, ranked, "query", "key").first().asDict() == {"query": "q", "recall": 1.0, "reciprocal": 0.5}
-    answers = spark.createDataFrame([(1, "Win Aye of Mandalay", "win aye"), (2, "", "x"), (3, None, None)], "id int, answer string, gold string")
+    answers = spark.createDataFrame([(1, "Ann Lee of Oldtown", "ann lee"), (2, "", "x"), (3, None, None)], "id int, answer string, gold string")
     assert {r["id"]: round(r["f1"], 4) for r in metrics.token_f1(answers, "id", "answer", "gold").collect()} == {1: 0.6667, 2: 0.0, 3: 0.0}
 
 
@@ -78,21 +78,21 @@ def test_speech_text(spark):
     assert value(spark, t.courtesy_merged(F.array(F.lit("One။"), F.lit("ရှင်။"), F.col("c0"))), "two") == ["One ရှင်။", "two"]
     assert value(spark, t.without_markdown(F.col("c0")), "![x](y) [](z) `` `a`") == "!x [](z) ` a`"
     assert value(spark, t.row_phrase(F.col("c0"), ", "), "| a |  | b |") == "a, b"
-    spoken = speech.prepared(F.col("c0"), names=[("Win Aye", "WA")], titles=[("Dr", "Doctor")], lexicon={"ab": "AB"})
-    assert value(spark, spoken, "Ask dr. win aye (no） at http://x.y/z about ab, cab.") == "Ask Doctor WA at about AB, cab."
+    spoken = speech.prepared(F.col("c0"), names=[("Ann Lee", "WA")], titles=[("Dr", "Doctor")], lexicon={"ab": "AB"})
+    assert value(spark, spoken, "Ask dr. ann lee (no） at http://x.y/z about ab, cab.") == "Ask Doctor WA at about AB, cab."
     assert value(spark, t.outside_urls(F.col("c0"), F.upper), "go http://a.b/c on") == "GO http://a.b/c ON"
     assert [value(spark, t.token_kind(F.col("c0")), x) for x in ("II", "I", "ID", "Room", "B2")] == ["roman", "word", "spell", "word", "spell"]
 
 
 def test_replies_and_titles(spark):
-    routes = ["miit", "other"]
-    cases = {'"miit"': None, "miit now": "miit", '{"route": " MIIT "}': "miit", '```json\n{"route": "other"}\n```': "other", "[1]": None, "": None, '{"a": 1}': None, "{other}:": "other", "null": None}
+    routes = ["local", "other"]
+    cases = {'"local"': None, "local now": "local", '{"route": " LOCAL "}': "local", '```json\n{"route": "other"}\n```': "other", "[1]": None, "": None, '{"a": 1}': None, "{other}:": "other", "null": None}
     assert {k: value(spark, t.route_of_reply(F.col("c0"), routes), k) for k in cases} == cases
     titles = {"Who is Tom?": "Who is Tom?", 'UPLOADED "a b.pdf"': "a b.pdf", " ": "New chat", "x" * 90: "x" * 80, "one\r\ntwo": "one"}
     assert {k: value(spark, t.session_title(F.col("c0")), k) for k in titles} == titles
-    who = t.profile_title(F.col("c0"), F.lit("Dr. Win Aye"), F.lit(False))
-    assert value(spark, who, "About aye") == "About aye" and value(spark, who, "About") is None
-    assert value(spark, t.corrected_title(F.lit("On Tom"), F.col("c0"), F.lit("Dr. Win Aye"), F.lit(False)), "q") == "Who is Dr. Win Aye"
+    who = t.profile_title(F.col("c0"), F.lit("Dr. Ann Lee"), F.lit(False))
+    assert value(spark, who, "About lee") == "About lee" and value(spark, who, "About") is None
+    assert value(spark, t.corrected_title(F.lit("On Tom"), F.col("c0"), F.lit("Dr. Ann Lee"), F.lit(False)), "q") == "Who is Dr. Ann Lee"
     quota = {"HTTP 429 Too Many Requests": True, "rate_limit": True, "ResourceExhausted": True, "other": False}
     assert {k: value(spark, t.is_quota(F.col("c0")), k) for k in quota} == quota
     assert value(spark, t.is_overload(F.col("c0"), F.lit(520)), "x") and not value(spark, t.is_overload(F.col("c0"), F.lit(501)), "x") and value(spark, t.is_overload(F.col("c0"), F.lit(None).cast("int")), "high demand")
@@ -103,11 +103,11 @@ def test_replies_and_titles(spark):
 
 
 def test_names_and_cache(spark):
-    known = ["Win Aye", "Tom May"]
-    cases = {"Dr. Win Aye": True, "tom may": True, "a@b.c": False, "ABC": False, "Dr.": False, "Other": False}
+    known = ["Ann Lee", "Tom May"]
+    cases = {"Dr. Ann Lee": True, "tom may": True, "a@b.c": False, "ABC": False, "Dr.": False, "Other": False}
     assert {k: value(spark, speech.is_known_person(F.col("c0"), known, ["Dr", "Prof"]), k) for k in cases} == cases
     assert value(spark, speech.is_keepable_key(F.col("c0"), known, ["Dr"], ["Sir"]), "Sir")
-    assert value(spark, speech.name_of_stem(F.col("c0")), "win_aye__x") == "Win Aye X"
+    assert value(spark, speech.name_of_stem(F.col("c0")), "ann_lee__x") == "Ann Lee X"
     assert value(spark, speech.overlaid(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))), "") == {"a": 1, "b": 3}
     tokens = speech.latin_tokens(spark.createDataFrame([(1, "Part I of II, I said ID")], "id int, text string"), "id")
     assert {(r.token, r.numeral) for r in tokens.collect()} == {("Part", False), ("I", True), ("of", False), ("II", False), ("said", False), ("ID", False)}
@@ -149,7 +149,7 @@ def test_stored_files_are_read(spark, tmp_path):
     (tmp_path / "broken.json").write_text("{oops")
     store = ingest.chat_store(spark, str(tmp_path / "store.json")).first()
     assert store.active_id == "b" and store.deleted_ids == ["x"]
-    (tmp_path / "items.jsonl").write_text('{"id": "1", "question": "q", "gold_route": "miit", "gold_spans": ["s"]}\n')
+    (tmp_path / "items.jsonl").write_text('{"id": "1", "question": "q", "gold_route": "local", "gold_spans": ["s"]}\n')
     assert ingest.evaluation_items(spark, str(tmp_path / "items.jsonl")).first().gold_spans == ["s"]
     (tmp_path / "k" / "x").mkdir(parents=True)
     (tmp_path / "k" / "x" / "n.jsonl").write_text('{"id": "1", "text": "t", "sources": "u"}\n')
