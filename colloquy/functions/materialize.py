@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(frames: Iterable[DataFrame], name: str) -> DataFrame:
+    """All rows of ``frames`` (at least one, of one schema), each computed once into one Parquet table in the shared folder."""
+    path = None
+    for df in frames:
+        path = path or f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
 
