@@ -130,3 +130,34 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     other = fresh(rows, "gone")
     few = broadcastable(gone.select(F.col(key).alias(other)).distinct())
     return rows.join(few, rows[key].eqNullSafe(few[other]), "left_anti")
+
+
+#: A key of more than a thousandth of all rows is looked up where its rows are, in any join of ``looked_up``.
+HEAVY = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str | Sequence[str], weight: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key (null is a key too) and the key's rows as ``weight``.
+
+    A small table is broadcast whole. Of a larger one the keys of many rows are, at most ``HEAVY`` of them, and all others are
+    joined by a shuffle, in which no key has more than a small share of the rows.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    table = cut(table)
+
+    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        other = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & left[k].eqNullSafe(other[f"_key{i}"])
+        out = left.join(F.broadcast(other) if right is often else other, same, how)
+        return out if how == "left_anti" else out.drop(*(f"_key{i}" for i in range(len(keys))))
+
+    n = table.agg(F.count("*").alias("keys"), F.coalesce(F.sum(weight), F.lit(0)).alias("rows")).first()
+    if n["keys"] <= BROADCAST_ROWS:
+        often = table
+        return joined(rows, often)
+    heavy = F.col(weight) > n["rows"] / HEAVY
+    often = table.filter(heavy)
+    rest = joined(rows, often, "left_anti")
+    return joined(rows, often).unionByName(joined(rest, table.filter(~heavy)))

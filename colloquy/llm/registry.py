@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import decontaminate, licenses, media, mixing, packing, pii, quality, sharding, simhash, toxicity
+from colloquy.llm import codes, decontaminate, kdtree, licenses, media, mixing, packing, pii, quality, sharding, simhash, toxicity
 from colloquy.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,49 @@ def op10_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.scored(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", held_out(parts=7, part=2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op12_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.encoded(_read(spark, sf_dir, "embeddings"), keep=("label",))
+    rows = codes.with_label_error(coded)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _assigned(name: str, books: str) -> str:
+    """SQL of the nearest entry of each part: the smallest (distance, entry)."""
+    return f"""{name} AS (SELECT vec_id, label, p, part, min(struct_pack(d := d, e := e)) AS best FROM (
+  SELECT v.vec_id, v.label, v.p, v.part, b.e, list_sum(list_transform(list_zip(v.part, b.entry), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM parts v JOIN {books} b USING (p)
+) GROUP BY vec_id, label, p, part)"""
+
+
+def _refined(name: str, assigned: str, books: str) -> str:
+    return f"""{name} AS (SELECT b.p, b.e, coalesce(n.entry, b.entry) AS entry FROM {books} b LEFT JOIN (
+  SELECT p, e, list(x ORDER BY i) AS entry FROM (SELECT p, best.e AS e, i, floor(sum(part[i])::DOUBLE / count(*))::BIGINT AS x FROM {assigned}, range(1, 5) AS r(i) GROUP BY ALL) GROUP BY p, e
+) n ON b.p = n.p AND b.e = n.e)"""
+
+
+ORACLE_SQL["op12_annular_vector_codes"] = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[4 * p + 1 : 4 * p + 4] AS part FROM kept, range(16) AS r(p)),
+b0 AS (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, part AS entry FROM parts JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{_assigned("a0", "b0")}, {_refined("b1", "a0", "b0")}, {_assigned("a1", "b1")}, {_refined("b2", "a1", "b1")}, {_assigned("a2", "b2")},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM coded
+"""
+
+
+@query
+def op13_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op13_kdtree_topk"] = """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM kept q JOIN kept c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY rank <= 10
+"""
