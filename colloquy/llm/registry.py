@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import codes, decontaminate, kdtree, licenses, media, mixing, packing, pii, quality, sharding, simhash, toxicity
+from colloquy.llm import codes, decontaminate, kdtree, licenses, media, mixing, packing, pii, quality, sharding, simhash, toxicity, trie
 from colloquy.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,33 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BI
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
 QUALIFY rank <= 10
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id = F.col("conv_id")
+    head = F.crc32(id.cast("string").cast("binary")) % 6
+    return trie.trie(_read(spark, sf_dir, "conversations"), head, id - id % 100, most=5)
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLE_SQL["op11_conversation_trie"] = f"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS j
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h, n FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+r AS (SELECT c.conv_id, t.j AS pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.j <= c.h
+  UNION ALL SELECT c.conv_id, t.j - c.h + least(c.h, coalesce(b.n, 0)), t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.j > c.h LEFT JOIN c b ON b.conv_id = c.base),
+s AS (SELECT conv_id, coalesce(seq, []) AS seq, len(coalesce(seq, [])) AS n FROM c LEFT JOIN (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS seq FROM r GROUP BY conv_id) USING (conv_id)),
+m AS (SELECT conv_id, n, unnest(range(n + 1)) AS depth, seq FROM s),
+p AS (SELECT conv_id, n, depth, seq[1:depth] AS path FROM m),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(path[depth].text), 0) AS own,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS k FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN children USING (path)),
+below AS (SELECT a.path, sum((b.k = 0)::INT) AS n_leaves, sum(b.own) AS saved_tokens FROM nodes a JOIN full_nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.k::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below USING (path) LEFT JOIN nodes u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]
+"""
