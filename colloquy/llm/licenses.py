@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import license_texts
-from colloquy.llm.spans import let, matches
+from colloquy.llm.spans import folded, let, matches
 
 #: A word's characters after A-Z in lower case, said so that letters of either case are in it.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -100,7 +100,7 @@ UNDER = rf"(?:{'|'.join(VERBS)})(?: \w+)? under"
 #: Names of one expression begin at its tag, so none of them hides another; they hide all that is weaker.
 EXPRESSION = 5
 _TABLE = "array<struct<keys:array<array<string>>,rules:array<struct<rule:int,label:string,keywords:string,pattern:string,priority:int,score:double>>>>"
-DETECTIONS = "array<struct<start:int,stop:int,label:string,score:double>>"
+DETECTION = "struct<start:int,stop:int,label:string,score:double>"
 
 
 @dataclass(frozen=True)
@@ -230,16 +230,17 @@ def detections(lower: Column, known: list[Rule] | None = None) -> Column:
     every = F.sort_array(F.flatten(F.transform(F.flatten(F.transform(present, lambda f: f["rules"])), matched)))
     levels = sorted({r.priority for r in known})
     # in this order a match lies inside an earlier one of its priority or above iff the furthest stop of those reaches its own
-    state = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels), F.array().cast(DETECTIONS).alias("kept"))
+    reached = F.struct(*(F.lit(-1).alias(f"p{p}") for p in levels))
 
-    def step(a: Column, d: Column) -> Column:
+    def reach(a: Column, d: Column) -> Column:
+        return F.struct(*(F.when(d["weakness"] == -p, F.greatest(a[f"p{p}"], -d["last"])).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels))
+
+    def kept(a: Column, d: Column) -> Column:
         stop, priority = -d["last"], -d["weakness"]
         covered = reduce(lambda x, y: x | y, (((priority < p) if p == EXPRESSION else (priority <= p)) & (a[f"p{p}"] >= stop) for p in levels))
-        reach = (F.when(priority == p, F.greatest(a[f"p{p}"], stop)).otherwise(a[f"p{p}"]).alias(f"p{p}") for p in levels)
-        new = F.struct(d["start"].alias("start"), stop.alias("stop"), d["label"].alias("label"), d["score"].alias("score"))
-        return F.struct(*reach, F.when(covered, a["kept"]).otherwise(F.concat(a["kept"], F.array(new))).alias("kept"))
+        return F.when(~covered, F.struct(d["start"].alias("start"), stop.alias("stop"), d["label"].alias("label"), d["score"].alias("score")))
 
-    return F.aggregate(every, state, step, lambda a: a["kept"])
+    return let(every, lambda found: F.filter(folded(found, reached, reach, kept, DETECTION), lambda d: d.isNotNull()))
 
 
 #: The short name of a license whose words are too common to look for apart.
@@ -287,7 +288,7 @@ def scanned(docs: DataFrame, known: list[Rule] | None = None) -> DataFrame:
         F.when(has, F.array_sort(F.array_compact(labels))).otherwise(F.array().cast("array<string>")).alias("_labels"),
         F.when(has, F.size(F.split(F.element_at(F.regexp_extract_all("_text", F.lit(any_phrase), F.lit(0)), -1), f"{BREAK}+"))).alias("_size"),
     )
-    own = F.flatten(F.transform(F.coalesce("detections", F.array().cast(DETECTIONS)), lambda d: F.split(d["label"], r"\|")))
+    own = F.flatten(F.transform(F.coalesce("detections", F.array().cast(f"array<{DETECTION}>")), lambda d: F.split(d["label"], r"\|")))
     best = F.array_max(F.transform("detections", lambda d: d["score"]))
     return table.select(
         "doc_id", "n_words", F.col("_base").cast("long").alias("n_base"), "first_word",

@@ -14,6 +14,7 @@ all the classifier keeps its prior; other columns are kept by ``redacted`` only,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.materialize import cut, written
 from colloquy.llm.common import fresh
-from colloquy.llm.spans import let, matches
+from colloquy.llm.spans import blocks, folded, let, matches, part
 
 #: Kinds in the order of reports; the first four are the base.
 BASE = ("email", "ip", "card", "phone")
@@ -120,28 +121,31 @@ def _holds(kind: str, value: Column) -> Column:
 def _known(kind: str, value: Column) -> Column:
     """The gazetteer's vote: 1 for a key of the span that its table has, -1 for one that speaks against it, 0 without."""
     digits = _digits(value)
-    leads = lambda table: F.substring(digits, 1, len(table[0])).isin(*table)
+    # one pattern for a table: thousands of literals would make the plan slow to build
+    among = lambda column, table, whole=True: column.rlike(f"^(?:{'|'.join(map(re.escape, table))}){'$' if whole else ''}")
+    leads = lambda table: among(digits, table, whole=False)
     if kind in ("email", "spelled_email"):
         key = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
-        yes, no = key.isin(*DOMAINS), key.isin(*NO_DOMAINS)
+        yes, no = among(key, DOMAINS), among(key, NO_DOMAINS)
     elif kind == "ip":
         parts = F.split(value, r"\.")
-        no = parts[0].isin(*RESERVED) | F.concat_ws(".", parts[0], parts[1]).isin(*RESERVED_PAIRS)
+        no = among(parts[0], RESERVED) | among(F.concat_ws(".", parts[0], parts[1]), RESERVED_PAIRS)
         yes = ~no & ~parts[0].startswith("0")
     elif kind == "card":
-        yes, no = reduce(lambda a, b: a | b, map(leads, [*ISSUERS.values(), ISSUERS_TWO_SERIES[:4], ISSUERS_TWO_SERIES[4:]])), digits.startswith("0")
+        yes, no = leads([*(i for n in ISSUERS.values() for i in n), *ISSUERS_TWO_SERIES]), digits.startswith("0")
     elif kind == "phone":
-        yes = reduce(lambda a, b: a | b, (leads([c for c in CALLING if len(c) == n]) for n in (1, 2, 3)))
+        yes = leads(CALLING)
         no = digits.startswith("0")
     elif kind == "secret":
         held = F.lower(F.regexp_replace(F.regexp_extract(value, r"[=:]\s*[\"']?([^\"']*)", 1), "[^A-Za-z0-9]", ""))
-        yes, no = F.lower(F.regexp_replace(F.regexp_extract(value, "^([A-Za-z_-]+)", 1), "[_-]", "")).isin(*KEY_NAMES), held.isin(*DUMMIES)
+        yes, no = F.lower(F.regexp_replace(F.regexp_extract(value, "^([A-Za-z_-]+)", 1), "[_-]", "")), held
+        yes, no = among(yes, KEY_NAMES), among(no, DUMMIES)
     elif kind == "ssn":
         area = F.substring(value, 1, 3)
         no = area.isin("000", "666") | area.startswith("9")
         yes = ~no
     elif kind == "iban":
-        sizes = F.create_map(*(F.lit(x) for pair in ACCOUNTS.items() for x in pair))
+        sizes = F.expr(f"map({', '.join(f"'{c}', {n}" for c, n in ACCOUNTS.items())})")
         size = F.try_element_at(sizes, F.substring(value, 1, 2))
         yes, no = F.coalesce(size == F.length(F.regexp_replace(value, " ", "")), F.lit(False)), size.isNull()
     else:
@@ -154,7 +158,7 @@ SHAPE = {"length": 6, "digits": 3, "upper": 2, "lower": 2, "before": 3, "after":
 
 
 def _shape(text: Column, s: Column) -> Column:
-    """One number for the parts of a span's shape."""
+    """One number for the parts of a span's shape; ``text`` in blocks."""
     side = lambda c: F.when(c.rlike("^[A-Za-z0-9]$"), 2).when(F.trim(c) == "", 0).otherwise(1)
     size, value = s["stop"] - s["start"], s["value"]
     digits = F.length(_digits(value))
@@ -162,30 +166,41 @@ def _shape(text: Column, s: Column) -> Column:
         "length": F.when(size <= 8, 0).when(size <= 12, 1).when(size <= 16, 2).when(size <= 24, 3).when(size <= 48, 4).otherwise(5),
         "digits": F.when(digits == 0, 0).when(2 * digits < size, 1).otherwise(2),
         "upper": value.rlike("[A-Z]").cast("int"), "lower": value.rlike("[a-z]").cast("int"),
-        "before": F.when(s["start"] == 0, 0).otherwise(side(F.substring(text, s["start"], F.lit(1)))), "after": side(F.substring(text, s["stop"] + 1, F.lit(1))),
+        "before": F.when(s["start"] == 0, 0).otherwise(side(part(text, s["start"] - 1, s["start"]))), "after": side(part(text, s["stop"], s["stop"] + 1)),
     }
     return reduce(lambda code, name: code * SHAPE[name] + parts[name], SHAPE, F.lit(0)).cast("int")
 
 
 def _found(kind: str, text: Column) -> Column:
-    """The spans of one kind with their votes and shape."""
-    source = SOURCES[kind]
+    """The spans of one kind with the votes that need nothing but the span."""
+    source, valid = SOURCES[kind], "array<struct<kind:int,start:int,stop:int,value:string,strict:int,known:int>>"
 
     def voted(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        context = F.when(before.rlike(source.context), 1).when(before.rlike(r"(?i)isbn|version|figure|section|order (no|number)|ref\."), -1).otherwise(0)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
-            F.when(s["value"].rlike(source.strict), 1).otherwise(-1).alias("strict"), _known(kind, s["value"]).alias("known"), context.alias("context"), _shape(text, s).alias("shape"),
+            F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"),
+            F.when(s["value"].rlike(source.strict), 1).otherwise(-1).alias("strict"), _known(kind, s["value"]).alias("known"),
         )
 
-    valid = F.transform(F.filter(matches(text, source.pattern), lambda s: _holds(kind, s["value"])), voted)
-    return F.when(text.rlike(GATES[kind]), valid).otherwise(F.array()).cast(SPAN)
+    spans = F.transform(F.filter(matches(text, source.pattern), lambda s: _holds(kind, s["value"])), voted)
+    return F.when(text.rlike(GATES[kind]), spans).otherwise(F.array()).cast(valid)
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, by kind and then place."""
-    return F.concat(*(_found(kind, text) for kind in KINDS))
+    """All candidate spans of a text with their votes and shape, by kind and then place."""
+    contexts = F.expr("array(" + ", ".join("'" + SOURCES[k].context.replace("\\", "\\\\") + "'" for k in KINDS) + ")")
+
+    def seen(s: Column, cut_up: Column) -> Column:
+        before = part(cut_up, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+        context = F.when(F.regexp_like(before, F.get(contexts, s["kind"])), 1).when(before.rlike(r"(?i)isbn|version|figure|section|order (no|number)|ref\."), -1).otherwise(0)
+        return F.struct(*(s[n].alias(n) for n in ("kind", "start", "stop", "strict", "known")), context.alias("context"), _shape(cut_up, s).alias("shape"))
+
+    every = F.concat(*(_found(kind, text) for kind in KINDS))
+    found = let(every, lambda spans: F.when(F.size(spans) > 0, let(blocks(text), lambda cut_up: F.transform(spans, lambda s: seen(s, cut_up)))))
+    return F.coalesce(found, F.array()).cast(SPAN)
+
+
+def _doubles(values: tuple[float, ...]) -> Column:
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
 
 
 @dataclass(frozen=True)
@@ -201,10 +216,10 @@ class Classifier:
         for w, name in zip(self.weights[1:4], ("strict", "known", "context")):
             total = total + F.lit(w) * span[name]
         at = 4 + len(KINDS)
-        total = total + F.get(F.array(*map(F.lit, self.weights[4:at])), span["kind"])
+        total = total + F.get(_doubles(self.weights[4:at]), span["kind"])
         code = span["shape"]
         for (name, size), first in reversed(list(zip(SHAPE.items(), at + np.cumsum([0, *SHAPE.values()])[:-1]))):
-            total = total + F.get(F.array(*map(F.lit, self.weights[first : first + size])), code % size)
+            total = total + F.get(_doubles(self.weights[first : first + size]), code % size)
             code = F.floor(code / size).cast("int")
         return 1 / (1 + F.exp(-total))
 
@@ -257,26 +272,31 @@ def classifier(spans: DataFrame, name: str = "_spans") -> Classifier:
     return fitted(sorted(tuple(r) for r in votes.collect()))
 
 
-#: Base spans looked through together; a text of n spans costs about n * n / CHUNK short steps.
-CHUNK = 128
-
-
 def accepted(spans: Column, model: Classifier, least: float = 0.5) -> Column:
-    """Base spans, and those others that the classifier accepts and that no base span overlaps."""
-    is_base = lambda s: s["kind"] < len(BASE)
+    """Base spans, and those others that the classifier accepts and that no base span overlaps, by kind and place.
 
-    def kept(parts: Column) -> Column:
-        meets = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-        clear = lambda s: ~F.exists(parts, lambda p: meets(p, s) & F.exists(p["spans"], lambda b: meets(b, s)))
-        return F.filter(spans, lambda s: is_base(s) | ((model.probability(s) >= least) & clear(s)))
+    In order of place, a base span meets another one if the furthest stop of those before it, or the least start of those behind
+    it, lies inside; both are carried along.
+    """
+    is_base = lambda s: s["kind"] < len(BASE)
+    kind = "struct<span:struct<start:int,kind:int,stop:int,strict:int,known:int,context:int,shape:int>,kept:boolean>"
+    beyond = F.lit(1 << 30)
 
-    def parted(base: Column) -> Column:
-        cuts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(base) - 1) / CHUNK), F.lit(0)).cast("int"))
-        parts = F.filter(F.transform(cuts, lambda c: F.slice(base, c * CHUNK + 1, F.lit(CHUNK))), lambda p: F.size(p) > 0)
-        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["stop"])).alias("stop"), p.alias("spans")))
+    def kept(placed: Column) -> Column:
+        forward = folded(
+            placed, F.lit(0), lambda far, s: F.when(is_base(s), F.greatest(far, s["stop"])).otherwise(far),
+            lambda far, s: F.struct(s.alias("span"), (is_base(s) | ((far <= s["start"]) & (model.probability(s) >= least))).alias("kept")), kind,
+        )
+        backward = folded(
+            F.reverse(F.filter(forward, lambda x: x["kept"])), beyond, lambda near, x: F.when(is_base(x["span"]), F.least(near, x["span"]["start"])).otherwise(near),
+            lambda near, x: F.struct(x["span"].alias("span"), (is_base(x["span"]) | (near >= x["span"]["stop"])).alias("kept")), kind,
+        )
+        names = ("kind", "start", "stop", "strict", "known", "context", "shape")
+        return F.sort_array(F.transform(F.filter(backward, lambda x: x["kept"]), lambda x: F.struct(*(x["span"][n].alias(n) for n in names))))
 
-    ordered = F.sort_array(F.transform(F.filter(spans, is_base), lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"))))
-    return F.when(F.exists(spans, lambda s: ~is_base(s)), let(ordered, lambda base: let(parted(base), kept))).otherwise(spans)
+    # in place a base span stands before others that begin where it does
+    by_place = F.sort_array(F.transform(spans, lambda s: F.struct(*(s[n].alias(n) for n in ("start", "kind", "stop", "strict", "known", "context", "shape")))))
+    return F.when(F.exists(spans, lambda s: ~is_base(s)), let(by_place, kept)).otherwise(spans)
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -300,13 +320,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def built(placed: Column) -> Column:
-        return F.aggregate(
-            placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-            lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
-                F.struct(s["stop"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]")))).alias("out"))
-            ),
-            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
+        # each span with the end of the one before, or nothing where it begins inside that one
+        spread = folded(
+            placed, F.lit(0), lambda at, s: F.greatest(at, s["stop"]),
+            lambda at, s: F.when(s["start"] >= at, F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), "struct<at:int,start:int,kind:int>",
         )
+        shown = lambda cut_up: F.transform(F.filter(spread, lambda s: s.isNotNull()), lambda s: F.concat(part(cut_up, s["at"], s["start"]), F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]")))
+        last = F.array_max(F.transform(placed, lambda s: s["stop"]))
+        return let(blocks(text), lambda cut_up: F.concat(F.array_join(shown(cut_up), ""), part(cut_up, last, F.length(text))))
 
     # in order of place; a span that begins inside an earlier one is covered by it
     placed = F.sort_array(F.transform(accepted(F.col(held), model), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))

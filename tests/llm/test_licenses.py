@@ -1,3 +1,5 @@
+import time
+
 import random
 import re
 from dataclasses import replace
@@ -136,3 +138,16 @@ def test_gated_equal_ungated(spark):
     for r in licenses.scanned(docs).join(ungated, "doc_id").collect():
         assert (r.detections or []) == r.want
         assert (r.score > 0) == (texts[r.doc_id] != "nothing here"), texts[r.doc_id]
+
+
+def test_many_matches_in_one_text_cost_in_proportion(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "licensed under the mit license. " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = licenses.scanned(docs).select("n_base", "labels").first()
+        assert row.n_base == n and "mit" in row.labels
+        return time.perf_counter() - began
+
+    seconds(1)
+    # the square of 16 would be 256
+    assert seconds(64_000) < 30 * max(seconds(4_000), 0.5)
