@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.functions.text import strip
+
 
 def lines(words: DataFrame, group: list[str], order: str, slant: float = 0.35, back: float = 2.0) -> DataFrame:
     """Each word's line number from 0: a new line where x falls back, or where centres differ by more than a share of the
@@ -29,31 +31,66 @@ def boxes(words: DataFrame, group: list[str], order: str) -> DataFrame:
     return out.withColumn("width", F.col("_right") - F.col("x")).withColumn("height", F.col("_bottom") - F.col("y")).drop("_right", "_bottom")
 
 
-def phrase_matches(words: DataFrame, terms: DataFrame, group: list[str], order: str) -> DataFrame:
-    """For each group and term the first place where following words of a page begin with the term's parts.
+def placed(words: DataFrame, group: list[str], order: str) -> DataFrame:
+    """``words`` with their place ``pos`` on their page, from 0."""
+    return words.withColumn("pos", F.row_number().over(Window.partitionBy(*group, "page").orderBy(order)) - 1)
+
 
-    ``words``: (group, order, page, text); ``terms``: (term, parts), parts lower-cased. Words meet terms through the first
-    letter of a part, an equi-join, and look ahead as far as the longest term.
+def phrase_places(placed_words: DataFrame, terms: DataFrame, group: list[str]) -> DataFrame:
+    """(group, page, pos, id, parts): all places where following words of a page begin with the parts of a term.
+
+    ``placed_words``: (group, page, pos, text); ``terms``: (id, parts) and, if terms belong to a group, its columns; parts in
+    lower case. A term is looked for by its longest part: each distinct word of a group meets, as one of its own beginnings, the
+    part that equals it, so no key is shared by words that have nothing in common. Places found so are then compared part by
+    part, each with the one word that must have it; the plan is the same for terms of any length.
     """
-    most = terms.agg(F.coalesce(F.max(F.size("parts")), F.lit(1))).first()[0]
-    w = Window.partitionBy(*group, "page").orderBy(order)
-    following = F.array_compact(F.array(*(F.lower(F.lead("text", i).over(w)) for i in range(most))))
-    ahead = words.withColumn("_next", following).withColumn("_letter", F.substring(F.lower("text"), 1, 1))
-    asked = terms.withColumn("_letter", F.substring(F.col("parts")[0], 1, 1))
-    fits = F.forall(F.zip_with("parts", F.slice("_next", 1, F.size("parts")), lambda p, t: F.coalesce(F.startswith(t, p), F.lit(False))), lambda x: x)
-    found = ahead.join(asked, "_letter").filter((F.size("_next") >= F.size("parts")) & fits)
-    first = found.groupBy(*group, "term").agg(F.min(order).alias("start"), F.first(F.size("parts")).alias("n"))
-    return first
-
-
-def annotations(words: DataFrame, terms: DataFrame, group: list[str], order: str) -> DataFrame:
-    """One box for each line of the first match of each distinct term of two letters or more. ``terms``: (term, definition)."""
-    low = terms.filter(F.length(F.trim("term")) >= 2).groupBy(F.lower(F.trim("term")).alias("term")).agg(F.min("definition").alias("definition"))
-    split_up = low.withColumn("parts", F.split("term", r"\s+"))
-    places = phrase_matches(words, split_up, group, order)
-    spread = places.select(*group, "term", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias(order))
-    matched = words.join(spread, [*group, order])
-    return boxes(lines(matched, [*group, "term"], order), [*group, "term", "page", "line"], order).join(low, "term")
+    own = [c for c in group if c in terms.columns]
+    low = placed_words.select(*group, "page", "pos", F.lower("text").alias("word"))
+    longest = F.array_max(F.transform("parts", lambda p, k: F.struct(F.length(p).alias("size"), (-k).alias("k"), p.alias("part"))))
+    anchored = terms.filter(F.size("parts") > 0).withColumn("_a", longest).select(*own, "id", "parts", F.col("_a.part").alias("_part"), (-F.col("_a.k")).alias("_k"))
+    most = anchored.agg(F.coalesce(F.max(F.length("_part")), F.lit(0))).first()[0]
+    vocabulary = low.select(*own, "word").filter("word <> ''").distinct()
+    beginnings = vocabulary.select(*own, "word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(max(most, 1)))), lambda n: F.substring("word", F.lit(1), n))).alias("_part"))
+    hits = beginnings.join(anchored, [*own, "_part"]).drop("_part")
+    places = low.join(hits, [*own, "word"]).withColumn("pos", F.col("pos") - F.col("_k")).filter("pos >= 0").select(*group, "page", "pos", "id", "parts")
+    single = places.filter(F.size("parts") == 1)
+    wanted = places.filter(F.size("parts") > 1).select("*", F.posexplode("parts").alias("_k", "_part"))
+    met = wanted.withColumn("_at", F.col("pos") + F.col("_k")).join(low.withColumnRenamed("pos", "_at"), [*group, "page", "_at"]).filter(F.startswith("word", F.col("_part")))
+    several = met.groupBy(*group, "page", "pos", "id").agg(F.first("parts").alias("parts"), F.count("*").alias("_n")).filter(F.col("_n") == F.size("parts"))
+    return single.unionByName(several.drop("_n"))
+
+
+def phrase_matches(words: DataFrame, terms: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, term, start, n): for each group and term the first place in ``order`` where following words of a page begin with
+    the term's parts. ``terms``: (term, parts) and, if terms belong to a group, its columns."""
+    numbered = placed(words, group, order)
+    at = numbered.select(*group, "page", "pos", F.col(order).alias("start"))
+    places = phrase_places(numbered, terms.withColumnRenamed("term", "id"), group).join(at, [*group, "page", "pos"])
+    return places.groupBy(*group, "id").agg(F.min("start").alias("start"), F.first(F.size("parts")).alias("n")).withColumnRenamed("id", "term")
+
+
+def distinct_terms(terms: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, id, term, definition, parts): terms of two characters or more, each once for its lower-case form (``id``), as the
+    first in ``order`` spells and defines it. Terms without the columns of ``group`` hold for all groups."""
+    own = [c for c in group if c in terms.columns]
+    trimmed = terms.withColumns({"term": strip(F.coalesce("term", F.lit(""))), "definition": strip(F.coalesce("definition", F.lit("")))}).filter(F.length("term") >= 2)
+    first = trimmed.groupBy(*own, F.lower("term").alias("id")).agg(F.min_by(F.struct("term", "definition"), F.struct(order, "term", "definition")).alias("_t"))
+    return first.select(*own, "id", "_t.term", "_t.definition", F.filter(F.split("id", r"(?U)\s+"), lambda p: p != "").alias("parts"))
+
+
+def annotations(words: DataFrame, terms: DataFrame, group: list[str], order: str, term_order: str) -> DataFrame:
+    """(group, term, definition, page, line, text, x, y, width, height): one box for each line of the first match of each distinct
+    term, as it was first spelled and defined. ``terms``: (term, definition, ``term_order``) and, if they belong to a group, its columns."""
+    kept = distinct_terms(terms, group, term_order)
+    own = [c for c in group if c in kept.columns]
+    numbered = placed(words, group, order)
+    at = numbered.select(*group, "page", "pos", F.col(order).alias("_start"))
+    places = phrase_places(numbered, kept.select(*own, "id", "parts"), group).join(at, [*group, "page", "pos"])
+    first = places.groupBy(*group, "id").agg(F.min_by(F.struct("page", "pos", F.size("parts").alias("n")), "_start").alias("_m"))
+    spread = first.select(*group, "id", "_m.page", F.explode(F.sequence(F.col("_m.pos"), F.col("_m.pos") + F.col("_m.n") - 1)).alias("pos"))
+    matched = numbered.join(spread, [*group, "page", "pos"])
+    boxed = boxes(lines(matched, [*group, "id"], order), [*group, "id", "page", "line"], order)
+    return boxed.join(kept.select(*own, "id", "term", "definition"), [*own, "id"]).drop("id")
 
 
 def script_runs(texts: DataFrame, key: str, text: str, kind: Column, default: str) -> DataFrame:

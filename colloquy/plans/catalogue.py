@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from colloquy.functions import text as t
 from colloquy.functions.vectors import cosine
@@ -500,17 +501,55 @@ def merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.boxes(layout.lines(_words(spark, sf_dir), ["item_id"], "at"), ["item_id", "line"], "at")
 
 
-@query(f"""WITH {_BOXES_SQL}, n AS (SELECT *, lead(text) OVER (PARTITION BY item_id ORDER BY "at") AS after FROM w)
-SELECT item_id, term, min("at")::INT AS start FROM n, (VALUES ('th', NULL), ('er', 'th'), ('on', NULL)) t(term, next) WHERE starts_with(lower(text), term) AND (next IS NULL OR starts_with(lower(after), next)) GROUP BY item_id, term""")
+#: Whole texts set in lines of 80 characters, 40 lines a page, a word where the characters before it put it.
+_SET_SQL = """t AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS l FROM documents)),
+o AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT - length(text) - 1 AS c FROM t),
+w AS (SELECT doc_id, pos, text, (c // 3200)::INT AS page, (c % 80)::DOUBLE AS x, (c // 80 % 40 * 12)::DOUBLE AS y, length(text)::DOUBLE AS width, 10 + (doc_id % 3)::DOUBLE AS height FROM o),
+d AS (SELECT doc_id, list(text ORDER BY pos) AS l FROM t GROUP BY doc_id),
+terms AS (SELECT doc_id, 1 AS ordinal, l[3] || ' ' || l[4] AS term, 'a pair' AS definition FROM d UNION ALL SELECT doc_id, 2, translate(l[3] || '  ' || l[4], 'aeint', 'AEINT'), 'once more' FROM d
+UNION ALL SELECT doc_id, 3, substring(l[7], 1, 2), 'a beginning' FROM d UNION ALL SELECT doc_id, 4, ' ' || array_to_string(l[9:9 + doc_id % 50], ' ') || ' ', 'a passage' FROM d UNION ALL SELECT doc_id, 5, substring(l[1], 1, 1), 'short' FROM d),
+kept AS (SELECT doc_id, lower(trim(term)) AS id, arg_min(trim(term), ordinal) AS term, arg_min(definition, ordinal) AS definition, string_split_regex(lower(trim(term)), '\\s+') AS parts FROM terms WHERE length(trim(term)) >= 2 GROUP BY doc_id, lower(trim(term))),
+p AS (SELECT doc_id, page, list(lower(text) ORDER BY pos) AS l, min(pos) AS first FROM w GROUP BY doc_id, page),
+found AS (SELECT k.doc_id, k.id, any_value(k.term) AS term, any_value(k.definition) AS definition, any_value(len(k.parts)) AS n, min(p.first + i) AS start
+  FROM kept k JOIN p USING (doc_id), unnest(range(len(p.l))) AS r(i) WHERE starts_with(p.l[i + 1], k.parts[1]) AND i + len(k.parts) <= len(p.l)
+  AND len(list_filter(list_zip(p.l[i + 1:i + len(k.parts)], k.parts), lambda z: NOT starts_with(z[1], z[2]))) = 0 GROUP BY k.doc_id, k.id)"""
+
+
+def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words of documents in lines and pages, and terms of each document taken from its own text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "").alias("l"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    words = docs.select("doc_id", F.posexplode("l").alias("at", "text")).withColumn("at", F.col("at") + 1)
+    words = words.withColumn("c", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    words = words.select(
+        "doc_id", "at", "text", F.floor(F.col("c") / 3200).cast("int").alias("page"), (F.col("c") % 80).cast("double").alias("x"), (F.floor(F.col("c") / 80) % 40 * 12).cast("double").alias("y"),
+        F.length("text").cast("double").alias("width"), (10 + F.col("doc_id") % 3).cast("double").alias("height"),
+    )
+    word = lambda i: F.get("l", F.lit(i))
+    made = [
+        (F.concat(word(2), F.lit(" "), word(3)), "a pair"), (F.translate(F.concat(word(2), F.lit("  "), word(3)), "aeint", "AEINT"), "once more"), (F.substring(word(6), 1, 2), "a beginning"),
+        (F.concat(F.lit(" "), F.array_join(F.slice("l", F.lit(9), (F.col("doc_id") % 50 + 1).cast("int")), " "), F.lit(" ")), "a passage"), (F.substring(word(0), 1, 1), "short"),
+    ]
+    each = F.array(*(F.struct(F.lit(k + 1).alias("ordinal"), term.alias("term"), F.lit(definition).alias("definition")) for k, (term, definition) in enumerate(made)))
+    return words, docs.select("doc_id", F.explode(each).alias("t")).select("doc_id", "t.*")
+
+
+@query(f"WITH {_SET_SQL} SELECT doc_id, id AS term, start::INT AS start, n::INT AS n FROM found")
 def phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("th", ["th"]), ("er", ["er", "th"]), ("on", ["on"])], "term string, parts array<string>")
-    return layout.phrase_matches(_words(spark, sf_dir), terms, ["item_id"], "at").select("item_id", "term", "start")
+    """The first place of each document's own terms, of 1 to 50 parts, among its words."""
+    words, terms = _set(spark, sf_dir)
+    kept = layout.distinct_terms(terms, ["doc_id"], "ordinal").select("doc_id", F.col("id").alias("term"), "parts")
+    return layout.phrase_matches(words, kept, ["doc_id"], "at")
 
 
-@query()
+@query(f"""WITH {_SET_SQL}, m AS (SELECT f.doc_id, f.id, f.term, f.definition, w.* EXCLUDE (doc_id) FROM found f JOIN w ON w.doc_id = f.doc_id AND w.pos BETWEEN f.start AND f.start + f.n - 1),
+b AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py, lag(height) OVER v AS ph FROM m WINDOW v AS (PARTITION BY doc_id, id ORDER BY pos)),
+g AS (SELECT *, sum(CASE WHEN px IS NULL THEN 0 WHEN x + 2 < px OR ((height + ph) / 2 > 0 AND abs(y + height / 2 - py - ph / 2) > 0.35 * (height + ph) / 2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS line FROM b)
+SELECT doc_id, term, definition, page, line::INT AS line, arg_min(text, pos) AS text, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height FROM g GROUP BY doc_id, id, term, definition, page, line""")
 def term_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("The", "an article"), ("the", "the article"), ("er th", "two words"), ("a", "too short")], "term string, definition string")
-    return layout.annotations(_words(spark, sf_dir), terms, ["item_id"], "at")
+    """Boxes of each document's own terms, as first spelled and defined, a box for each line of the first match."""
+    words, terms = _set(spark, sf_dir)
+    return layout.annotations(words, terms, ["doc_id"], "at", "ordinal")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")

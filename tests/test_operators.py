@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import replies
 from colloquy.functions import text as t
 from colloquy.functions.vectors import cosine
-from colloquy.operators import context, layout, metrics, retrieval, routing, sessions, speech
+from colloquy.operators import context, metrics, retrieval, routing, sessions, speech
 from colloquy.sources import ingest
 from colloquy.streaming import keys, status
 
@@ -241,15 +241,6 @@ def test_session_without_user_message_stands_by_creation(spark):
     assert sessions.recent_sessions(s, m, F.col("owner") == 0, offset=5).collect() == []
 
 
-def test_wrapped_phrase_gives_a_box_for_each_line(spark):
-    words = spark.createDataFrame(
-        [(1, 0, 1, "big", 80.0, 0.0, 9.0, 10.0), (1, 1, 1, "data", 0.0, 12.0, 9.0, 10.0), (1, 2, 1, "big", 20.0, 12.0, 9.0, 10.0)],
-        "doc int, at int, page int, text string, x double, y double, width double, height double",
-    )
-    terms = spark.createDataFrame([("Big data", "d"), ("b", "short")], "term string, definition string")
-    assert layout.annotations(words, terms, ["doc"], "at").count() == 2
-
-
 def test_streamed_ingest_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text('{"id": "a"}\n{"id": "b"}')
