@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -197,13 +197,37 @@ def speakable_text(text: Column) -> Column:
     return strip(F.array_join(phrases(text), PAUSE))
 
 
-def leading_particles_off(text: Column, particles: Sequence[str], joints: str = "၊, \t\n\r") -> Column:
-    return F.regexp_replace(text, rf"^\s*((?:{'|'.join(map(quoted, particles))})[{joints}]*)+", "")
+def leading_particles_off(text: Column, particles: Sequence[str] = tuple(COURTESY.split("|")), joints: str = "၊, \t\n\r") -> Column:
+    """Without white space, particles and what joins them at the beginning."""
+    bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+", "")
+    return F.regexp_replace(bare, rf"^((?:{'|'.join(map(quoted, particles))})[{joints}]*+)++", "")
 
 
-def last_kept(text: Column, particle: str) -> Column:
-    """All but the last place of a sentence-final particle removed."""
-    return F.regexp_replace(text, f"(?s){quoted(particle)}(?=.*{quoted(particle)})", "")
+#: The polite ending that takes the place of a particle, and endings that need none.
+POLITE, POLITE_ENDINGS = "ပါ", ("ပါ", "တယ်")
+
+
+def finals_thinned(text: Column, particles: str = COURTESY, polite: str = POLITE, endings: Sequence[str] = POLITE_ENDINGS, marks: str = ENDS) -> Column:
+    """All sentence-final particles but the last give way to the polite ending, or to nothing after a text that ends so.
+
+    The text is cut once at the particles, with the white space and the mark after each; pieces are put together in order.
+    """
+    pattern = rf"(?U)({particles})(\s*)([{marks}])"
+    group = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+
+    def joined(parts: Column) -> Column:
+        before, spaces, ends, whole = (parts[n] for n in ("before", "spaces", "ends", "whole"))
+
+        def piece(m: Column, i: Column) -> Column:
+            prefix = F.get(before, i)
+            said = reduce(lambda a, b: a | b, (F.endswith(prefix, F.lit(e)) for e in endings))
+            new = F.concat(F.when(said, F.lit("")).otherwise(F.lit(polite)), F.get(spaces, i), F.get(ends, i))
+            return F.concat(prefix, F.when(i < F.size(whole) - 1, new).otherwise(m))
+
+        return F.concat(F.array_join(F.transform(whole, piece), ""), F.element_at(before, -1))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("before"), group(2).alias("spaces"), group(3).alias("ends"), group(0).alias("whole"))
+    return F.when(text.rlike(pattern), let(parts, joined)).otherwise(text)
 
 
 def orphans_merged(parts: Column, is_orphan: Callable[[Column], Column], joint: str = " ") -> Column:
@@ -216,15 +240,22 @@ def orphans_merged(parts: Column, is_orphan: Callable[[Column], Column], joint:
 
 
 def name_candidates(text: Column, blocked: Sequence[str]) -> Column:
-    """Spans of two to four capitalised words, "Dr" before them allowed, none blocked, case-folded distinct in order."""
-    spans = F.regexp_extract_all(text, F.lit(r"((?:Dr\.?[ ]+)?[A-Z][a-z]+(?:[ ]+[A-Z][a-z]+){1,3})"), F.lit(1))
-    clear = F.filter(spans, lambda s: ~F.arrays_overlap(F.split(F.lower(s), " +"), F.array(*map(F.lit, blocked)))) if blocked else spans
+    """Spans of two to four capitalised words, "Dr" before them allowed, outside addresses, none blocked (full stops at its ends
+    aside), case-folded distinct in order."""
+    spans = F.regexp_extract_all(F.regexp_replace(text, URL, "\n"), F.lit(r"((?:Dr\.?[ ]+)?[A-Z][a-z]+(?:[ ]+[A-Z][a-z]+){1,3})"), F.lit(1))
+    words = lambda s: F.transform(F.split(F.regexp_replace(F.lower(s), r"^dr\.?\s+", ""), " +"), lambda w: F.regexp_replace(w, r"^\.+|\.+\z", ""))
+    clear = F.filter(spans, lambda s: ~F.arrays_overlap(words(s), F.array(*map(F.lit, blocked)))) if blocked else spans
     return first_of_each(clear)
 
 
 def first_of_each(values: Column) -> Column:
     """Distinct by lower case; the first spelling stays."""
-    return F.aggregate(values, F.array().cast("array<string>"), lambda a, v: F.when(F.exists(a, lambda x: F.lower(x) == F.lower(v)), a).otherwise(F.concat(a, F.array(v))))
+    low = lambda vs: F.transform(vs, F.lower)
+    # sorted by (lower case, place), the first of each run of equals; then back in order of place
+    placed = lambda vs: F.array_sort(F.transform(vs, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("i"), v.alias("v"))))
+    first = lambda ps: F.filter(F.transform(ps, lambda p, k: F.when((k == 0) | (F.get(ps, k - 1)["low"] != p["low"]), F.struct(p["i"].alias("i"), p["v"].alias("v")))), lambda p: p.isNotNull())
+    sifted = lambda vs: F.transform(F.array_sort(let(placed(vs), first)), lambda p: p["v"])
+    return let(values, lambda vs: F.when(F.size(F.array_distinct(low(vs))) == F.size(vs), vs).otherwise(sifted(vs)))
 
 
 def replaced(text: Column, entries: dict[str, str], whole_words: bool = False, ignore_case: bool = False) -> Column:
@@ -242,16 +273,36 @@ def titles_spoken(text: Column, titles: dict[str, str]) -> Column:
     return text
 
 
-ROMAN = r"^(?:X{0,3})(?:IX|IV|V?I{0,3})$"
+#: Numerals and letters as they sound, and numerals that are words or letters as well.
+NUMERALS = {
+    "I": "ဝမ်း", "II": "တူး", "III": "သရီး", "IV": "ဖိုး", "V": "ဖိုက်", "VI": "ဆစ်", "VII": "ဆဗင်း", "VIII": "အိတ်", "IX": "နိုင်း", "X": "တန်း",
+    "XI": "အီလဲဗန်း", "XII": "တွဲ", "XIII": "သာတင်း", "XIV": "ဖိုးတင်း", "XV": "ဖစ်တင်း", "XVI": "ဆစ်တင်း", "XVII": "ဆဗင်းတင်း", "XVIII": "အိတ်တင်း", "XIX": "နိုင်းတင်း", "XX": "ထွယ်တီ",
+}
+LETTERS = {
+    "A": "အေ", "B": "ဘီ", "C": "စီ", "D": "ဒီ", "E": "အီ", "F": "အက်ဖ်", "G": "ဂျီ", "H": "အိပ်ချ်", "I": "အိုင်", "J": "ဂျေ", "K": "ကေ", "L": "အယ်လ်", "M": "အမ်",
+    "N": "အန်", "O": "အို", "P": "ပီ", "Q": "ကျူ", "R": "အာရ်", "S": "အက်စ်", "T": "တီ", "U": "ယူ", "V": "ဗွီ", "W": "ဒဗလျူ", "X": "အိတ်စ်", "Y": "ဝိုင်", "Z": "ဇက်ဒ်",
+    "0": "ဇီးရိုး", "1": "ဝမ်း", "2": "တူး", "3": "သရီး", "4": "ဖိုး", "5": "ဖိုက်", "6": "ဆစ်", "7": "ဆဗင်း", "8": "အိတ်", "9": "နိုင်း",
+}
+AMBIGUOUS = ("I", "V", "X")
+
+
+def is_ambiguous(token: Column) -> Column:
+    return F.upper(token).isin(*AMBIGUOUS)
+
+
+def is_roman(token: Column, numerals: Iterable[str] = tuple(NUMERALS)) -> Column:
+    """A numeral, in capitals or not, that can be nothing else."""
+    sure = [n for n in numerals if n not in AMBIGUOUS and len(n) > 1]
+    return F.upper(token).isin(*sure) & ~token.rlike("[0-9]")
 
 
-def token_kind(token: Column) -> Column:
+def token_kind(token: Column, numerals: Iterable[str] = tuple(NUMERALS)) -> Column:
     """roman, word or spell: what to do with a Latin token that nothing else explains."""
-    upper, mixed = token.rlike("^[A-Z]+$"), token.rlike("[a-z]") & token.rlike("[A-Z]")
+    mixed = token.rlike("[a-z]") & token.rlike("[A-Z]")
     return (
-        F.when(token.isin("I", "V", "X"), "word")
-        .when(upper & token.rlike(ROMAN) & (F.length(token) > 0), "roman")
-        .when(upper & (F.length(token) == 2), "spell")
+        F.when(is_roman(token, numerals), "roman")
+        .when(is_ambiguous(token), "word")
+        .when((F.length(token) == 2) & (F.upper(token) == token) & token.rlike("[A-Z]"), "spell")
         .when(token.rlike("[A-Za-z]") & token.rlike("[0-9]"), "spell")
         .when(mixed & (F.length(token) >= 8), "spell")
         .otherwise("word")
@@ -266,19 +317,45 @@ def spelled(token: Column, letters: dict[str, str]) -> Column:
 
 
 def script_share(text: Column, script: str = OTHER_SCRIPT) -> Column:
-    """The share of a script's characters, between 0 and 1, to four places."""
-    count = F.length(F.regexp_replace(text, f"[^{script}]", ""))
-    return F.round(F.least(count / F.greatest(F.length(text), F.lit(1)), F.lit(1.0)), 4)
+    """The share of a script's characters among those outside code that are no white space, to four places; 0 for a blank text."""
+    bare = F.regexp_replace(without_code(text), r"(?U)[\s\x1c-\x1f]+", "")
+    return let(bare, lambda b: F.round(F.length(F.regexp_replace(b, f"[^{script}]", "")) / F.greatest(F.length(b), F.lit(1)), 4))
+
+
+def mix_penalty(text: Column, script: str = OTHER_SCRIPT) -> Column:
+    """Latin words of four letters or more outside code for each eight characters of the script, at most 1; 1 without any such
+    character; to four places."""
+    def share(bare: Column) -> Column:
+        own = F.length(F.regexp_replace(bare, f"[^{script}]", ""))
+        words = F.regexp_count(bare, F.lit(f"{BEFORE}[A-Za-z]{{4,}}+{AFTER}"))
+        return F.when(own == 0, F.lit(1.0)).otherwise(F.round(F.least(words / F.greatest(own / 8, F.lit(1.0)), F.lit(1.0)), 4))
+
+    return let(without_code(text), share)
+
+
+def ends_with(text: Column, mark: str = "။") -> Column:
+    return F.endswith(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", ""), F.lit(mark))
 
 
 def has_latin(text: Column) -> Column:
     return text.rlike("[A-Za-z]")
 
 
+#: Fixed patterns: a row, a row of dashes, and what parts two rows on one line.
+_ROW, _DASHES = r"\|[^|\n]+(?:\|[^|\n]+)+\|", r"\|[-:\s|]+\|"
+
+
 def table_repaired(text: Column) -> Column:
-    """Line breaks put back into a markdown table that was collapsed into one line."""
-    steps = ((r"([^\n|]) (\|[^|\n]+\|[^|\n]+\|)", "$1\n$2"), (r"\| (\|[ :]*-{2,})", "|\n$1"), (r"(-{2,}[ :]*\|) (\|)", "$1\n$2"))
-    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
+    """Line breaks put back into markdown tables whose rows stand on one line: before and after the dashes, then between rows."""
+    steps = ((rf"(?U)({_ROW})\s+({_DASHES})", "$1\n$2"), (rf"(?U)({_DASHES})\s+({_ROW})", "$1\n$2"), (rf"(?U)({_ROW})\s+(?=\|[^|\n-])", "$1\n"))
+    return F.when(F.contains(text, F.lit("|")), reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)).otherwise(text)
+
+
+def generated_title(title: Column, most: int = 80) -> Column:
+    """What a model says a title is, without quotes around it and a full stop, cut; "New chat" if nothing is left."""
+    bare = strip(F.regexp_replace(strip(F.coalesce(title, F.lit(""))), "^[\"']+|[\"']+\\z", ""))
+    body = let(bare, lambda t: F.when(F.endswith(t, F.lit(".")), strip(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t))
+    return let(body, lambda t: F.when(t == "", "New chat").otherwise(clipped(t, most)))
 
 
 #: What Python's splitlines and a Spark user's eye take for the end of a line.
@@ -334,7 +411,7 @@ def voice(message: Column, content: Column, session: Column, markers: dict[str,
 
 
 #: Forms in which services say what went wrong.
-QUOTA = ("429", "resource exhausted", "resourceexhausted", "quota", "rate limit", "rate_limit", "too many requests")
+QUOTA = ("429", "resource_exhausted", "resource exhausted", "resourceexhausted", "quota", "rate limit", "rate_limit", "too many requests")
 OVERLOAD = ("503", "unavailable", "high demand", "overloaded")
 MISSING = ("(404)", "not_found", "not found")
 

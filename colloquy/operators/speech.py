@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import AFTER, BEFORE, OTHER_SCRIPT, clipped, quoted, replaced, speakable_text, strip, without_urls
-
-TOKEN = "[A-Za-z0-9]+"
-#: Numerals that are words or letters as well, and the words after which they are numerals.
-AMBIGUOUS = ("I", "V", "X")
-UNITS = ("chapter", "part", "section", "unit", "lesson", "year", "semester", "phase", "level", "volume", "grade", "module", "type", "class", "stage", "step", "act", "book", "world")
-ROMAN = r"^(?=..)X{0,3}(?:IX|IV|V?I{0,3})$"
+from colloquy.functions.text import (
+    BEFORE, LETTERS, NUMERALS, OTHER_SCRIPT, is_ambiguous, is_roman, name_candidates, nonblank, outside_urls, quoted, replaced, speakable_text, spelled, strip, token_kind, without_urls,
+)
+from colloquy.operators.patterns import replaced_by_row, replaced_in_turn, replaced_tokens
+
+TOKEN = "[A-Za-z][A-Za-z0-9]*"
+#: Words after which an ambiguous numeral is one.
+UNITS = (
+    "english", "physics", "mathematics", "math", "programming", "electronics", "semester", "lab", "chemistry", "language",
+    "year", "chapter", "volume", "part", "type", "level", "generation", "machine", "learning",
+)
+KINDS = ("word", "spell", "roman")
 MOST = 4000
 
 
 def prepared(text: Column, names: Sequence[tuple[str, str]] = (), titles: Sequence[tuple[str, str]] = (), people: dict[str, str] | None = None, lexicon: dict[str, str] | None = None, most: int = MOST) -> Column:
     """The chain from an answer to what is spoken: no addresses, no Latin asides, names and titles as they sound, phrases
-    parted by pauses, the lexicon last, and at most so many characters."""
+    parted by pauses, the lexicon's keys (parts of words too) last, and at most so many characters."""
+    spoken = speakable_text(replaced(before_names(text, names, titles), people or {}))
+    return strip(F.substring(replaced(spoken, lexicon or {}), 1, most))
+
+
+def before_names(text: Column, names: Sequence[tuple[str, str]] = (), titles: Sequence[tuple[str, str]] = ()) -> Column:
+    """No addresses, no Latin asides, fixed names and titles as they sound."""
     once = lambda t: F.regexp_replace(t, r"[ \t]{2,}", " ")
     spoken = once(F.regexp_replace(without_urls(text), rf"[(（](?![^()（）]*[{OTHER_SCRIPT}])[^()（）]*[)）]", ""))
     for name, sound in names:
         spoken = F.regexp_replace(spoken, "(?i)" + quoted(name), sound)
     for title, sound in titles:
         spoken = F.regexp_replace(spoken, rf"(?i){BEFORE}{quoted(title)}\.?(?=\s|\z)", sound)
-    spoken = speakable_text(replaced(strip(once(spoken)), people or {}))
-    return strip(F.substring(replaced(spoken, lexicon or {}, whole_words=True), 1, most))
+    return strip(once(spoken))
 
 
 def is_speakable(text: Column, warning: str, prompt: str) -> Column:
@@ -60,40 +70,98 @@ def is_keepable_key(source: Column, known: Sequence[str], titles: Sequence[str],
     return strip(source).isin(*honorifics) | is_known_person(source, known, titles)
 
 
-def is_roman(token: Column) -> Column:
-    """A numeral that can be nothing else."""
-    return token.rlike(ROMAN) & ~token.isin(*AMBIGUOUS)
-
-
-def latin_tokens(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+def latin_tokens(texts: DataFrame, key: str, text: str = "text", units: Sequence[str] = UNITS) -> DataFrame:
     """(key, token, numeral): a text's Latin tokens, each once, and whether one of its places makes it a numeral: an ambiguous
     one after a unit word."""
     words = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    pairs = F.arrays_zip(words.alias("token"), F.concat(F.array(F.lit("")), words).alias("before"))
-    rows = texts.select(key, F.explode(pairs).alias("p")).select(key, F.col("p.token").alias("token"), F.lower("p.before").alias("before")).filter("token is not null")
-    numeral = F.col("token").isin(*AMBIGUOUS) & F.col("before").isin(*UNITS)
-    return rows.groupBy(key, "token").agg(F.max(numeral).alias("numeral"))
+    unit = F.array(*map(F.lit, units))
+    after_unit = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(is_ambiguous(w) & (i > 0) & F.array_contains(unit, F.lower(F.get(ws, i - 1))), w)), lambda w: w.isNotNull())
+    found = texts.select(key, words.alias("_w")).select(key, F.array_distinct("_w").alias("_once"), F.array_distinct(after_unit(F.col("_w"))).alias("_numerals"))
+    return found.select(key, F.explode("_once").alias("token"), "_numerals").select(key, "token", F.array_contains("_numerals", F.col("token")).alias("numeral"))
 
 
-def resolved_kinds(tokens: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, fallback: Column) -> DataFrame:
+def resolved_kinds(tokens: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, fallback: Column | None = None, numerals: Sequence[str] = tuple(NUMERALS)) -> DataFrame:
     """(key, token, kind, stored): what each token is, and the kind that the cache should learn.
 
     Numerals by their place or shape come first; then what the cache knows, but not of ambiguous ones; then the model's word
     (``model``: key, token, kind), or the fallback where the model said anything for the text. Tokens of the lexicon keep what
     the cache knows.
     """
-    known = cache.select("token", F.col("kind").alias("_cached"))
+    kept = cache.filter(F.col("kind").isin(*KINDS) & ~is_ambiguous(F.col("token")))
+    known = kept.select("token", F.col("kind").alias("_cached"))
     listed = lexicon.select("token").distinct().withColumn("_listed", F.lit(True))
-    said = model.select(key, "token", F.col("kind").alias("_said")).dropDuplicates([key, "token"])
-    spoke = model.select(key).distinct().withColumn("_spoke", F.lit(True))
+    said = model.filter(F.col("kind").isin(*KINDS)).groupBy(key, "token").agg(F.max("kind").alias("_said"))
+    spoke = said.join(tokens.select(key, "token"), [key, "token"], "left_semi").select(key).distinct().withColumn("_spoke", F.lit(True))
     rows = tokens.join(known, "token", "left").join(listed, "token", "left").join(said, [key, "token"], "left").join(spoke, key, "left")
-    roman, unsure = is_roman(F.col("token")), F.col("token").isin(*AMBIGUOUS)
+    roman, unsure = is_roman(F.col("token"), numerals), is_ambiguous(F.col("token"))
     pending = F.col("_listed").isNull() & ~roman & ~F.col("numeral") & (F.col("_cached").isNull() | unsure)
-    new = F.when(pending, F.coalesce("_said", F.when(F.col("_spoke"), fallback)))
+    new = F.when(pending, F.coalesce("_said", F.when(F.col("_spoke"), token_kind(F.col("token"), numerals) if fallback is None else fallback)))
     kind = F.when(F.col("numeral") | roman, "roman").otherwise(F.coalesce(new, "_cached"))
     return rows.select(key, "token", kind.alias("kind"), F.when(roman, "roman").when(~unsure, new).alias("stored"))
 
 
+def merged_kinds(cache: DataFrame, entries: DataFrame, order: str, numerals: Sequence[str] = tuple(NUMERALS)) -> DataFrame:
+    """(token, kind) of a cache after ``entries`` (token, kind, ``order``): the last of a token wins, of those and the cache's what is
+    blank, of no kind or ambiguous goes, and a sure numeral is one."""
+    rows = cache.select("token", "kind", F.lit(None).alias(order)).unionByName(entries.select("token", "kind", order))
+    rows = rows.withColumns({"token": strip(F.col("token")), "kind": strip(F.col("kind"))}).filter((F.col("token") != "") & F.col("kind").isin(*KINDS) & ~is_ambiguous(F.col("token")))
+    last = rows.groupBy("token").agg(F.max_by("kind", F.struct(F.col(order).isNotNull(), order, "kind")).alias("kind"))
+    return last.withColumn("kind", F.when(is_roman(F.col("token"), numerals), "roman").otherwise(F.col("kind")))
+
+
+def merged_lexicon(lexicon: DataFrame, entries: DataFrame, order: str, keepable: Callable[[Column], Column]) -> DataFrame:
+    """(source, value) of a lexicon after ``entries`` (source, value, ``order``): the last of a source wins; blank and other keys, the
+    lexicon's too, go."""
+    rows = lexicon.select("source", "value", F.lit(None).alias(order)).unionByName(entries.select("source", "value", order))
+    kept = rows.filter(nonblank(F.col("source")) & nonblank(F.col("value")) & keepable(F.col("source")))
+    return kept.groupBy("source").agg(F.max_by("value", F.struct(F.col(order).isNotNull(), order, "value")).alias("value"))
+
+
+def tokens_spoken(texts: DataFrame, kinds: DataFrame, key: str, text: str = "text", numerals: dict[str, str] = NUMERALS, letters: dict[str, str] = LETTERS) -> DataFrame:
+    """``texts`` with numerals as they sound and letters spelled out, by the kind (key, token, kind) of each whole token."""
+    sounds = F.create_map(*(F.lit(x) for pair in numerals.items() for x in pair))
+    token = F.col("token")
+    value = F.when(F.col("kind") == "roman", F.try_element_at(sounds, F.upper(token))).when(F.col("kind") == "spell", spelled(token, letters))
+    on = [c for c in (key, "token") if c in kinds.columns]
+    return replaced_tokens(texts, kinds.select(*on, value.alias("value")).filter("value is not null"), key, text)
+
+
+def text_key(text: Column) -> Column:
+    """What is found for a text is stored under this."""
+    return F.substring(F.sha2(text.cast("binary"), 256), 1, 32)
+
+
+def names_spoken(texts: DataFrame, names: DataFrame, key: str, text: str = "text", blocked: Sequence[str] = ()) -> DataFrame:
+    """``texts`` with the names that were found for them, outside addresses and in any case of letters, as they sound.
+
+    ``names``: (text_key, at, source, value) in order ``at``; blank ones and those of a blocked word go, the longest comes first.
+    A text without a name's form is not looked up.
+    """
+    words = F.split(F.lower(F.regexp_replace(F.col("source"), r"(?iU)^Dr\.?\s+", "")), r"(?U)\s+")
+    dotless = F.transform(words, lambda w: F.regexp_replace(w, r"^\.+|\.+\z", ""))
+    clear = ~F.arrays_overlap(dotless, F.array(*map(F.lit, blocked))) if blocked else F.lit(True)
+    trimmed = names.withColumns({"source": strip(F.col("source")), "value": strip(F.col("value"))}).filter((F.col("source") != "") & (F.col("value") != "")).filter(clear)
+    listed = trimmed.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("at", "source", "value"))).alias("_names"))
+    asked = texts.filter(F.size(name_candidates(F.col(text), blocked)) > 0).select(key, text_key(F.col(text)).alias("text_key"))
+    found = asked.join(listed, "text_key").select(key, "_names")
+    spoken = outside_urls(F.col(text), lambda part: replaced_by_row(part, F.col("_names")))
+    return texts.join(found, key, "left").withColumn(text, F.when(F.col("_names").isNull(), F.col(text)).otherwise(spoken)).drop("_names")
+
+
+def answers_prepared(
+    texts: DataFrame, key: str, text: str = "text", names: Sequence[tuple[str, str]] = (), titles: Sequence[tuple[str, str]] = (), blocked: Sequence[str] = (), found: DataFrame | None = None,
+    lexicon: DataFrame | None = None, kinds: Callable[[DataFrame], DataFrame] | None = None, most: int = MOST,
+) -> DataFrame:
+    """The whole chain over a table: fixed names and titles, names found for the text (``found``), phrases, the lexicon (source, value)
+    one key after the other, Latin tokens by what ``kinds`` says of the texts so far, and the cut. ``key`` names one row."""
+    rows = texts.withColumn(text, before_names(F.col(text), names, titles))
+    rows = rows if found is None else names_spoken(rows, found, key, text, blocked)
+    rows = rows.withColumn(text, speakable_text(F.col(text)))
+    rows = rows if lexicon is None else replaced_in_turn(rows, lexicon, text)
+    rows = rows if kinds is None else tokens_spoken(rows, kinds(rows), key, text)
+    return rows.withColumn(text, strip(F.substring(text, 1, most)))
+
+
 def overlaid(base: Column, later: Column) -> Column:
     """Two maps as one; of a key in both the later value."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(later, k)), later)

@@ -219,6 +219,8 @@ def specialist_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "doc_id", "specialist", F.col("position").cast("long").alias("position"))
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"
+_TRIMMED = f"trim({{x}}, {_BLANKS})"
 #: Hints of the queries on synthetic texts; real ones are the caller's.
 HINTS = {"license": ["license", "apache"], "contact": ["@mail", "token ="], "junk": ["!!", "###", " | "]}
 
@@ -254,13 +256,42 @@ def all_match_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join("profiles", ",").alias("profiles"))
 
 
-@query(f"""SELECT doc_id, md5(CASE WHEN len({_LABELS_SQL}) > 0 THEN text || ' ' || array_to_string(list_transform({_LABELS_SQL}, lambda x: 'about ' || x), ' ') ELSE text END) AS digest FROM documents""")
+@query(f"""SELECT doc_id, md5(CASE WHEN len({_LABELS_SQL}) > 0 THEN {_TRIMMED.format(x='text')} || chr(10) || array_to_string(list_transform({_LABELS_SQL}, lambda x: 'about ' || x), ' ') ELSE {_TRIMMED.format(x='text')} END) AS digest FROM documents""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([(name, f"about {name}") for name in HINTS], "profile string, terms string")
     rows = routing.expanded(_table(spark, sf_dir, "documents").select("doc_id", "text"), _profiles(spark), terms, "doc_id")
     return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
+@query("""WITH v AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(text, '\\w+'), lambda w: length(w) >= 6)) AS hint FROM benchmark)
+SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n, min(item_id) AS first FROM documents d JOIN v ON contains(d.text, v.hint) OR contains(lower(d.text), v.hint) GROUP BY doc_id""")
+def hint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with any of the longer words of a benchmark item in them: a table of hints that grows with the data."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))
+    hints = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("profile"), F.col("item_id").alias("ordinal"), words.alias("hint")).filter(F.length("hint") >= 6)
+    found = routing.matched_profiles(_table(spark, sf_dir, "documents"), hints, "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("profile").alias("first"))
+
+
+_SEEKS = ["paper", "the the", "ence"]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(text, {_BLANKS}) AS q, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS h FROM conversations),
+p AS (SELECT * FROM (VALUES ('a', 0, 'ention', 'about a'), ('a', 0, 'icht', 'about a'), ('b', 1, 'that', 'about b'), ('b', 1, 'Que la', 'about b'), ('c', 2, 'hablar', 'about c')) AS p(profile, ordinal, hint, terms)),
+o AS (SELECT conv_id, turn, string_agg(terms, ' ' ORDER BY ordinal) AS own FROM (SELECT DISTINCT conv_id, turn, profile, ordinal, terms FROM t JOIN p ON contains(q, hint) OR contains(lower(q), hint)) GROUP BY ALL),
+e AS (SELECT conv_id, turn, string_agg(terms, ' ' ORDER BY ordinal) AS earlier FROM (SELECT DISTINCT conv_id, turn, profile, ordinal, terms FROM t JOIN p ON contains(trim(h, {_BLANKS}), hint) OR contains(lower(trim(h, {_BLANKS})), hint)) GROUP BY ALL),
+s AS (SELECT t.*, own, earlier, contains(lower(q), 'paper') OR contains(lower(q), 'the the') OR contains(lower(q), 'ence') AS seeks, contains(lower(q), 'then') OR (length(q) > 0 AND length(q) <= 48) AS follows, q || coalesce(chr(10) || own, '') AS base FROM t LEFT JOIN o USING (conv_id, turn) LEFT JOIN e USING (conv_id, turn))
+SELECT conv_id, turn, md5(CASE WHEN own IS NOT NULL THEN base || CASE WHEN seeks THEN chr(10) || 'research papers' ELSE '' END WHEN earlier IS NOT NULL AND (follows OR seeks) THEN base || chr(10) || earlier || CASE WHEN seeks THEN ' papers of the thread' ELSE '' END ELSE base END) AS digest FROM s""")
+def thread_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the terms of the profiles that they, or the turns before, name."""
+    hints = spark.createDataFrame([("a", 0, "ention"), ("a", 0, "icht"), ("b", 1, "that"), ("b", 1, "Que la"), ("c", 2, "hablar")], "profile string, ordinal int, hint string")
+    terms = spark.createDataFrame([(p, f"about {p}") for p in "abc"], "profile string, terms string")
+    earlier = F.array_join(F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), "\n")
+    turns = _table(spark, sf_dir, "conversations").withColumn("history", earlier).withColumn("at", F.concat_ws(":", "conv_id", "turn"))
+    rows = routing.expanded(turns, hints, terms, "at", followup=["then"], research=_SEEKS, added=("research papers", "papers of the thread"))
+    return rows.select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
 PRIMARY, PROGRAMMING = ["explain", "what"], ["code", "python", "function"]
 
 
@@ -385,9 +416,20 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.token_f1(rows, "doc_id", "answer", "gold").select("doc_id", F.round("f1", 6).alias("f1"))
 
 
-@query("SELECT doc_id, round(least(length(regexp_replace(text, '[^éèêçäöüßñíó]', '', 'g')) / greatest(length(text), 1), 1), 4) AS share FROM documents")
+#: A text with code in it, and the same text without: the script is that of accented Latin letters here, as no text has another.
+_CODED = "'`an inline' || chr(10) || 'command` ' || text || chr(10) || '```py' || chr(10) || 'printing = 1' || chr(10) || '``` ' || CASE WHEN doc_id % 3 = 0 THEN 'ende! ' ELSE '' END"
+_UNCODED = f"regexp_replace(regexp_replace({_CODED}, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g')"
+
+
+@query(f"""WITH b AS (SELECT doc_id, {_UNCODED} AS t FROM documents), c AS (SELECT *, length(regexp_replace(t, '[^éèêçäöüßñíó]', '', 'g')) AS own, length(regexp_replace(t, '\\s+', '', 'g')) AS size FROM b)
+SELECT doc_id, round(own / greatest(size, 1), 4) AS share, CASE WHEN own = 0 THEN 1 ELSE round(least(len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{4,}}'))) / greatest(own / 8, 1), 1), 4) END AS mix,
+doc_id % 3 = 0 AS ended FROM c""")
 def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", t.script_share(F.col("text"), "éèêçäöüßñíó").alias("share"))
+    """What tells the language of an answer: a script's share, the mix with Latin words, and how it ends; code aside."""
+    lead, code = F.lit("`an inline\ncommand` "), F.lit("\n```py\nprinting = 1\n``` ")
+    text = F.concat(lead, "text", code, F.when(F.col("doc_id") % 3 == 0, "ende! ").otherwise(""))
+    letters = "éèêçäöüßñíó"
+    return _table(spark, sf_dir, "documents").select("doc_id", t.script_share(text, letters).alias("share"), t.mix_penalty(text, letters).alias("mix"), t.ends_with(text, "!").alias("ended"))
 
 
 @query("""SELECT doc_id, doc_id || '-' || (i + 1) AS chunk_id, md5(substring(body, i * 1500 + 1, 1500)) AS digest FROM (
@@ -446,8 +488,8 @@ def dictionary_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS_SQL = "SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z0-9]+)', 1)) AS token FROM documents"
 
 
-@query(f"""SELECT token, count(*)::BIGINT AS n, CASE WHEN token IN ('I', 'V', 'X') THEN 'word' WHEN regexp_matches(token, '^[A-Z]+$') AND regexp_matches(token, '^(?:X{{0,3}})(?:IX|IV|V?I{{0,3}})$') THEN 'roman'
-WHEN regexp_matches(token, '^[A-Z]{{2}}$') THEN 'spell' WHEN regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]') THEN 'spell'
+@query(f"""SELECT token, count(*)::BIGINT AS n, CASE WHEN upper(token) IN ('I', 'V', 'X') THEN 'word' WHEN regexp_matches(upper(token), '^(X?(IX|IV|V?I{{0,3}})|XX)$') THEN 'roman'
+WHEN regexp_matches(token, '^[A-Z][A-Z0-9]$|^[0-9][A-Z]$') THEN 'spell' WHEN regexp_matches(token, '[A-Za-z]') AND regexp_matches(token, '[0-9]') THEN 'spell'
 WHEN regexp_matches(token, '[a-z]') AND regexp_matches(token, '[A-Z]') AND length(token) >= 8 THEN 'spell' ELSE 'word' END AS kind FROM ({_WORDS_SQL}) GROUP BY token""")
 def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("token"))

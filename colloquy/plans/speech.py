@@ -67,10 +67,10 @@ _ASIDE = "regexp_replace(regexp_replace({x}, '[(（][^()（）]*[)）]', '', 'g'
 p AS (SELECT doc_id, array_to_string(flatten(list_transform(string_split(t, chr(10)), lambda p: {_LINE})), chr(30)) AS t FROM bare)
 SELECT doc_id, md5({_STRIP.format(x="substring(replace(replace(t, 'tion', 'SHUN'), 'the', 'ze'), 1, 4000)")}) AS digest FROM p""")
 def speech_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain; the lexicon's keys need not be whole words here, as the SQL cannot look around."""
-    spoken = speech.prepared(F.col("text"), names=[("src1", "source one")], most=1 << 30)
-    lexicon = t.replaced(spoken, {"the": "ze", "tion": "SHUN"})
-    return _spoken(spark, sf_dir).select("doc_id", F.md5(t.strip(F.substring(lexicon, 1, speech.MOST))).alias("digest"))
+    """The whole chain with a fixed name, a lexicon from a table, and the cut."""
+    lexicon = spark.createDataFrame([("the", "ze"), ("tion", "SHUN")], "source string, value string")
+    rows = speech.answers_prepared(_spoken(spark, sf_dir), "doc_id", names=[("src1", "source one")], lexicon=lexicon)
+    return rows.select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("""WITH w AS (SELECT page_id, html, regexp_extract_all(html, '(?i)https?://\\S+') AS urls FROM pages), n AS (SELECT *, regexp_split_to_array(html, '(?i)https?://\\S+') AS parts FROM w)
@@ -109,24 +109,94 @@ def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.size("names") > 0).select("doc_id", F.size("names").cast("long").alias("n"), F.md5(F.array_join("names", ",")).alias("digest"))
 
 
-_KINDS = """CASE WHEN regexp_matches(token, '^[A-Za-z]+$') AND regexp_matches(upper(token), '^(?:X{0,3})(?:IX|IV|V?I{0,3})$') AND length(token) > 1 AND token = upper(token) THEN 'roman' END"""
-
-
-@query(f"""WITH w AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS l FROM documents)),
-k AS (SELECT doc_id, token, max(token IN ('I', 'V', 'X') AND i > 1 AND lower(l[i - 1]) IN ('chapter', 'part', 'section', 'unit', 'lesson', 'year', 'semester', 'phase', 'level', 'volume', 'grade', 'module', 'type', 'class', 'stage', 'step', 'act', 'book', 'world')) AS numeral FROM w GROUP BY doc_id, token),
-c AS (SELECT DISTINCT token, 'word' AS kind FROM k WHERE length(token) % 3 = 0), x AS (SELECT DISTINCT token FROM k WHERE token LIKE 'b%'), m AS (SELECT doc_id, token, 'spell' AS kind FROM k WHERE doc_id % 2 = 0 AND length(token) = 4),
+_UNIT_WORDS = ["that", "une", "wh", *speech.UNITS]
+_NUMERAL = "regexp_matches(upper({x}), '^(X?(IX|IV|V?I{{0,3}})|XX)$') AND length({x}) > 1"
+#: Texts in which numerals and codes stand after some words.
+_NUMBERED = "replace(replace(replace(text, ' that ', ' that I part ii '), ' une ', ' une V ID ID2 '), ' und ', ' x IXa XV3 ')"
+_RESOLVED = f"""w AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i, l FROM (SELECT doc_id, regexp_extract_all({_NUMBERED}, '[A-Za-z][A-Za-z0-9]*') AS l FROM documents)),
+k AS (SELECT doc_id, token, max(upper(token) IN ('I', 'V', 'X') AND i > 1 AND lower(l[i - 1]) IN ({", ".join(f"'{u}'" for u in _UNIT_WORDS)})) AS numeral FROM w GROUP BY doc_id, token),
+c AS (SELECT DISTINCT token, CASE WHEN length(token) % 2 = 0 THEN 'spell' ELSE 'word' END AS kind FROM k WHERE length(token) % 3 = 0 AND upper(token) NOT IN ('I', 'V', 'X')), x AS (SELECT DISTINCT token FROM k WHERE token LIKE 'b%'), m AS (SELECT doc_id, token, 'spell' AS kind FROM k WHERE doc_id % 2 = 0 AND length(token) = 4),
 s AS (SELECT DISTINCT doc_id FROM m),
-j AS (SELECT k.*, c.kind AS cached, m.kind AS said, s.doc_id IS NOT NULL AS spoke, ({_KINDS}) IS NOT NULL AS roman, k.token IN ('I', 'V', 'X') AS unsure, x.token IS NOT NULL AS listed FROM k LEFT JOIN c USING (token) LEFT JOIN x ON k.token = x.token LEFT JOIN m ON k.doc_id = m.doc_id AND k.token = m.token LEFT JOIN s ON k.doc_id = s.doc_id),
-n AS (SELECT *, CASE WHEN NOT listed AND NOT roman AND NOT numeral AND (cached IS NULL OR unsure) THEN coalesce(said, CASE WHEN spoke THEN 'word' END) END AS new FROM j)
-SELECT CASE WHEN numeral OR roman THEN 'roman' ELSE coalesce(new, cached) END AS kind, CASE WHEN roman THEN 'roman' WHEN NOT unsure THEN new END AS stored, count(*)::BIGINT AS n FROM n GROUP BY ALL""")
-def spell_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What becomes of the Latin tokens of all texts, by a cache, a lexicon and a model's word on them."""
-    tokens = speech.latin_tokens(table(spark, sf_dir, "documents"), "doc_id")
+j AS (SELECT k.*, c.kind AS cached, m.kind AS said, s.doc_id IS NOT NULL AS spoke, {_NUMERAL.format(x="k.token")} AS roman, upper(k.token) IN ('I', 'V', 'X') AS unsure, x.token IS NOT NULL AS listed FROM k LEFT JOIN c USING (token) LEFT JOIN x ON k.token = x.token LEFT JOIN m ON k.doc_id = m.doc_id AND k.token = m.token LEFT JOIN s ON k.doc_id = s.doc_id),
+n AS (SELECT *, CASE WHEN NOT listed AND NOT roman AND NOT numeral AND (cached IS NULL OR unsure) THEN coalesce(said, CASE WHEN spoke THEN CASE WHEN unsure THEN 'word' WHEN regexp_matches(token, '^[A-Z][A-Z0-9]$|[0-9]') OR (length(token) >= 8 AND token <> lower(token) AND token <> upper(token)) THEN 'spell' ELSE 'word' END END) END AS new FROM j),
+kinds AS (SELECT doc_id, token, CASE WHEN numeral OR roman THEN 'roman' ELSE coalesce(new, cached) END AS kind, CASE WHEN roman THEN 'roman' WHEN NOT unsure THEN new END AS stored FROM n)"""
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Texts, and what becomes of their Latin tokens by a cache, a lexicon and a model's word on them."""
+    numbered = F.col("text")
+    for old, new in ((" that ", " that I part ii "), (" une ", " une V ID ID2 "), (" und ", " x IXa XV3 ")):
+        numbered = F.replace(numbered, F.lit(old), F.lit(new))
+    texts = table(spark, sf_dir, "documents").select("doc_id", numbered.alias("text"))
+    tokens = speech.latin_tokens(texts, "doc_id", units=_UNIT_WORDS)
     distinct = tokens.select("token").distinct()
-    cache = distinct.filter(F.length("token") % 3 == 0).withColumn("kind", F.lit("word"))
+    cache = distinct.filter(F.length("token") % 3 == 0).withColumn("kind", F.when(F.length("token") % 2 == 0, "spell").otherwise("word"))
     said = tokens.filter((F.col("doc_id") % 2 == 0) & (F.length("token") == 4)).select("doc_id", "token", F.lit("spell").alias("kind"))
-    kinds = speech.resolved_kinds(tokens, cache, distinct.filter("token like 'b%'"), said, "doc_id", F.lit("word"))
-    return kinds.groupBy("kind", "stored").agg(F.count("*").alias("n"))
+    return texts, speech.resolved_kinds(tokens, cache, distinct.filter("token like 'b%'"), said, "doc_id")
+
+
+@query(f"WITH {_RESOLVED} SELECT kind, stored, count(*)::BIGINT AS n FROM kinds GROUP BY ALL")
+def spell_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir)[1].groupBy("kind", "stored").agg(F.count("*").alias("n"))
+
+
+_SOUND = "CASE upper(r.token) " + " ".join(f"WHEN '{n}' THEN '{s}'" for n, s in t.NUMERALS.items()) + " END"
+_LETTER = "CASE upper(ch) " + " ".join(f"WHEN '{n}' THEN '{s}'" for n, s in t.LETTERS.items()) + " ELSE ch END"
+
+
+@query(f"""WITH {_RESOLVED}, r AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS i, g[generate_subscripts(l, 1)] AS gap, g[len(l) + 1] AS last FROM (SELECT doc_id, regexp_extract_all({_NUMBERED}, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+') AS l, regexp_split_to_array({_NUMBERED}, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+') AS g FROM documents)),
+v AS (SELECT r.*, coalesce(CASE kind WHEN 'roman' THEN {_SOUND} WHEN 'spell' THEN array_to_string(list_transform(string_split(r.token, ''), lambda ch: {_LETTER}), ' ') END, r.token) AS value FROM r LEFT JOIN kinds USING (doc_id, token))
+SELECT doc_id, md5(string_agg(gap || value, '' ORDER BY i) || any_value(last)) AS digest FROM v GROUP BY doc_id""")
+def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with their numerals as they sound and their codes spelled out."""
+    texts, kinds = _kinds(spark, sf_dir)
+    rows = speech.tokens_spoken(texts, kinds, "doc_id").filter(F.regexp_like("text", F.lit(r"(?U)\w")))
+    return rows.select("doc_id", F.md5("text").alias("digest"))
+
+
+_CAPITAL = "array_to_string(list_transform(string_split(text, ' '), lambda w: translate(substring(w, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || lower(substring(w, 2))), ' ')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CAPITAL} AS text FROM documents), w AS (SELECT *, string_split(text, ' ') AS l, len(list_filter(regexp_extract_all(text, '((?:Dr\\.?[ ]+)?[A-Z][a-z]+(?:[ ]+[A-Z][a-z]+){{1,3}})', 1), lambda s: NOT list_has_any(string_split(lower(s), ' '), ['the', 'and']))) AS n FROM c),
+e AS (SELECT DISTINCT text, {_STRIP.format(x="l[3] || ' ' || l[4]")} AS pair, {_STRIP.format(x="lower(l[4])")} AS single FROM w WHERE doc_id % 3 = 0 AND n > 0),
+k AS (SELECT *, length(pair) > length(single) AND NOT list_has_any(list_transform(string_split_regex(lower(pair), '\\s+'), lambda x: trim(x, '.')), ['the', 'and']) AS one,
+  single <> '' AND NOT list_has_any(list_transform(string_split_regex(single, '\\s+'), lambda x: trim(x, '.')), ['the', 'and']) AS two FROM e),
+p AS (SELECT *, CASE WHEN one THEN regexp_replace(text, '(?i)' || regexp_escape(pair), 'NAME $1', 'g') ELSE text END AS t1 FROM k)
+SELECT w.doc_id, md5(coalesce(CASE WHEN two THEN regexp_replace(t1, '(?i)' || regexp_escape(single), 'Zwei', 'g') ELSE t1 END, w.text)) AS digest FROM w LEFT JOIN p USING (text)""")
+def names_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names found for a third of the texts, stored under the texts' keys, as they sound."""
+    capital = F.array_join(F.transform(F.split("text", " "), lambda w: F.concat(F.translate(F.substring(w, 1, 1), ascii_lowercase, ascii_uppercase), F.lower(F.substring(w, 2, 1 << 30)))), " ")
+    texts = table(spark, sf_dir, "documents").select("doc_id", capital.alias("text"))
+    words = F.split("text", " ")
+    entries = F.array(
+        F.struct(F.lit(0).alias("at"), F.lower(F.get(words, F.lit(3))).alias("source"), F.lit("Zwei").alias("value")),
+        F.struct(F.lit(1).alias("at"), F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3))).alias("source"), F.lit("NAME $1").alias("value")),
+    )
+    found = texts.filter("doc_id % 3 = 0").select(speech.text_key(F.col("text")).alias("text_key"), F.explode(entries).alias("e")).select("text_key", "e.*").distinct()
+    return speech.names_spoken(texts, found, "doc_id", blocked=["the", "and"]).select("doc_id", F.md5("text").alias("digest"))
+
+
+_POLITE = "replace(replace(text, '. ', ' ရှင် ။ '), ', ', 'ပါဗျာ? ') || 'တယ်ခင်ဗျာ။'"
+_FINAL = "'(?:ခင်ဗျာ|ရှင်|ဗျာ)(\\s*)(။|\\?|!)'"
+
+
+@query(f"""WITH s AS (SELECT doc_id, regexp_split_to_array(t, {_FINAL}) AS b, regexp_extract_all(t, {_FINAL}, 1) AS g, regexp_extract_all(t, {_FINAL}, 2) AS m, regexp_extract_all(t, {_FINAL}, 0) AS w FROM (SELECT doc_id, {_POLITE} AS t FROM documents))
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(w) + 1), lambda i: b[i] || CASE WHEN i = len(w) THEN w[i] ELSE CASE WHEN ends_with(b[i], 'ပါ') OR ends_with(b[i], 'တယ်') THEN '' ELSE 'ပါ' END || g[i] || m[i] END), '') || b[-1]) AS digest FROM s""")
+def finals_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a particle at the end of each sentence, of which the last stays."""
+    text = F.concat(F.replace(F.replace("text", F.lit(". "), F.lit(" ရှင် ။ ")), F.lit(", "), F.lit("ပါဗျာ? ")), F.lit("တယ်ခင်ဗျာ။"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.finals_thinned(text)).alias("digest"))
+
+
+@query("""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '| ' || source || ' | ' || lang || ' |' || chr(10) || '|---|:--|' || chr(10) || '| c | d |' || chr(10) || '| e | f |' || chr(10) || chr(10) || replace(text, '|', '/')
+WHEN 1 THEN '| ' || source || ' | b |' || chr(10) || '| ' || lang || ' | d | ' || replace(text, '|', '/') ELSE replace(text, '|', '/') END) AS digest FROM documents""")
+def table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that were collapsed into one line, before whole texts."""
+    rest = F.replace("text", F.lit("|"), F.lit("/"))
+    flat = F.concat(F.lit("| "), "source", F.lit(" | "), "lang", F.lit(" | |---|:--| | c | d | | e | f |\n\n"), rest)
+    glued = F.concat(F.lit("| "), "source", F.lit(" | b |  | "), "lang", F.lit(" | d | "), rest)
+    text = F.when(F.col("doc_id") % 3 == 0, flat).when(F.col("doc_id") % 3 == 1, glued).otherwise(rest)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.table_repaired(text)).alias("digest"))
 
 
 @query("SELECT conv_id, turn, trim(text) <> '' AND NOT starts_with(trim(text), 'Sure') AND trim(text) <> 'Thanks!' AS speakable FROM conversations")
@@ -161,9 +231,9 @@ def json_route_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", t.route_of_reply(reply, ["view", "click"]).alias("route"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(m, '429|resource exhausted|resourceexhausted|quota|rate limit|rate_limit|too many requests') AS quota,
+@query("""SELECT conv_id, turn, regexp_matches(m, '429|resource_exhausted|resource exhausted|resourceexhausted|quota|rate limit|rate_limit|too many requests') AS quota,
 regexp_matches(m, '503|unavailable|high demand|overloaded') OR code BETWEEN 500 AND 599 AND code <> 501 AS overload, regexp_matches(m, '\\(404\\)|not_found|not found') AS missing,
-CASE WHEN regexp_matches(m, '429|resource exhausted|resourceexhausted|quota|rate limit|rate_limit|too many requests') THEN coalesce(try_cast(nullif(regexp_extract(m, 'retry in ([0-9.]+)s', 1), '') AS DOUBLE) + 1, 50)
+CASE WHEN regexp_matches(m, '429|resource_exhausted|resource exhausted|resourceexhausted|quota|rate limit|rate_limit|too many requests') THEN coalesce(try_cast(nullif(regexp_extract(m, 'retry in ([0-9.]+)s', 1), '') AS DOUBLE) + 1, 50)
 WHEN regexp_matches(m, '503|unavailable|high demand|overloaded') OR code BETWEEN 500 AND 599 AND code <> 501 THEN least(5 * pow(2, turn % 9), 30) ELSE least(pow(2, turn % 9), 60) END::DOUBLE AS delay
 FROM (SELECT conv_id, turn, lower(CASE conv_id % 7 WHEN 0 THEN 'HTTP 429 Too Many Requests: ' WHEN 1 THEN 'The model is in high demand. ' WHEN 2 THEN 'Error (404) ' WHEN 3 THEN 'Quota met, retry in ' || turn || '.5s: ' ELSE '' END || text) AS m, 400 + (conv_id * 13 + turn) % 150 AS code FROM conversations)""")
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
