@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions.replies import annotations_of
-from colloquy.functions.text import session_title, strip
+from colloquy.functions.text import clipped, strip
 from colloquy.sources.ingest import file_kind
 
 
@@ -98,7 +98,7 @@ def finalized(conversations: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def has_question(turns: Column) -> Column:
-    return F.exists(F.coalesce(turns, F.array().cast("array<struct<question:string>>")), lambda t: strip(F.coalesce(t["question"], F.lit(""))) != "")
+    return F.coalesce(F.exists(turns, lambda t: strip(F.coalesce(t["question"], F.lit(""))) != ""), F.lit(False))
 
 
 def message_read(messages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -138,15 +138,25 @@ def normal_turn(turn: Column) -> Column:
     return F.struct(*body, *(F.nullif(strip(turn[c]), F.lit("")).alias(c) for c in META))
 
 
-def normal_conversations(raw: DataFrame, now: Column, key: Column, most: int = 80) -> DataFrame:
+#: The title of a conversation in which nothing was asked; marks that no title ends with.
+NEW, TRAILING = "New chat", "။?!.,;:…"
+
+
+def conversation_title(turns: Column, most: int = 32) -> Column:
+    """The first question of normal turns that holds more than marks, without those at its end, cut with an ellipsis."""
+    bare = lambda q: strip(F.regexp_replace(strip(F.coalesce(q, F.lit(""))), f"[{TRAILING}]+\\z", ""))
+    asked = F.filter(F.transform(turns, lambda t: bare(t["question"])), lambda q: q != "")
+    return F.coalesce(clipped(F.get(asked, F.lit(0)), most, "…"), F.lit(NEW))
+
+
+def normal_conversations(raw: DataFrame, now: Column, key: Column, most: int = 32) -> DataFrame:
     """Conversations as the store keeps them: turns normal, title by the first question, id and time filled in.
 
     ``raw``: (id, updated, turns); ``key`` is the id of one that has none.
     """
     turns = F.transform(F.coalesce("turns", F.array().cast(raw.schema["turns"].dataType)), normal_turn)
     filled = raw.select(F.coalesce(F.nullif(strip("id"), F.lit("")), key).alias("id"), F.coalesce(F.nullif(strip("updated"), F.lit("")), now).alias("updated"), turns.alias("turns"))
-    asked = F.filter("turns", lambda t: t["question"] != "")
-    return filled.withColumn("title", session_title(F.get(asked, F.lit(0))["question"], most))
+    return filled.withColumn("title", conversation_title(F.col("turns"), most))
 
 
 def normal_deleted(ids: Column, most: int = 200) -> Column:
