@@ -83,8 +83,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def clipped(text: Column, most: int, mark: str = "") -> Column:
-    """At most so many characters, trailing blanks off, with a mark where something was cut."""
-    return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit(mark))).otherwise(text)
+    """At most so many characters, white space off the end, with a mark where something was cut."""
+    cut = F.regexp_replace(F.substring(text, F.lit(1), F.lit(most)), r"(?U)[\s\x1c-\x1f]+\z", "")
+    return F.when(F.length(text) > most, F.concat(cut, F.lit(mark))).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:

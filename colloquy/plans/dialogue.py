@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions import text as t
-from colloquy.operators import context, metrics, retrieval, routing, sessions
+from colloquy.functions.materialize import shared_dir
+from colloquy.operators import chats, context, metrics, retrieval, routing, sessions
 from colloquy.plans import catalogue
 from colloquy.plans.registry import query, table
-from colloquy.sources import ingest
-from colloquy.streaming import keys
+from colloquy.sources import ingest, versions
+from colloquy.streaming import status
 
 PRIMARY, PROGRAMMING = catalogue.PRIMARY, catalogue.PROGRAMMING
 _RULE = """CASE WHEN regexp_matches(lower(q), 'explain|what') OR regexp_matches(lower(code), 'explain|what') THEN 'domain' WHEN trim(code) <> '' OR regexp_matches(lower(q), 'code|python|function') THEN 'programming' END"""
@@ -144,8 +148,9 @@ def request_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("refusal"))
 
 
-@query("""WITH t AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS q, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id)
-SELECT CASE WHEN conv_id % 2 = 0 THEN 'id' || conv_id ELSE 'new' || conv_id END AS id, CASE WHEN conv_id % 3 = 0 THEN 'now' ELSE 'then' END AS updated, n, CASE WHEN q IS NULL THEN 'New chat' ELSE rtrim(substring(trim(string_split_regex(trim(q, ' ' || chr(9) || chr(10) || chr(13)), '\\r\\n|\\n|\\r')[1]), 1, 80), ' ') END AS title FROM t""")
+@query("""WITH b AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN trim(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[။?!.,;:…]+$', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE '' END AS q FROM conversations),
+t AS (SELECT conv_id, arg_min(q, turn) FILTER (q <> '') AS q, count(*)::BIGINT AS n FROM b GROUP BY conv_id)
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'id' || conv_id ELSE 'new' || conv_id END AS id, CASE WHEN conv_id % 3 = 0 THEN 'now' ELSE 'then' END AS updated, n, CASE WHEN q IS NULL THEN 'New chat' WHEN length(q) > 32 THEN rtrim(substring(q, 1, 32), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '…' ELSE q END AS title FROM t""")
 def store_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("role") == "user", F.concat(F.lit(" "), "text")).otherwise(" ")
     turn = F.struct("turn", said.alias("question"), F.col("text").alias("answer"), *(F.lit(" ").alias(c) for c in sessions.META))
@@ -205,11 +210,87 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.report(catalogue._predicted(spark, sf_dir), found, answers, [0, 1, 2])
 
 
-@query()
-def key_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of three keys each event of a user takes; an error cools the key of its id for a minute."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("pool"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("time"), F.when(F.col("event_type") == "error", F.col("event_id") % 3).cast("double").alias("cooled"))
-    return keys.dealt(events, ["a", "b", "c"], cooling=60e6)
+@query("""WITH l AS (SELECT event_id % 3 AS key, ts FROM events WHERE event_type = 'error'), m AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY key ORDER BY ts) + INTERVAL 1 HOUR < ts THEN 1 ELSE 0 END AS new FROM l),
+r AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT key, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS stop, count(*)::BIGINT AS limits FROM r GROUP BY key, run""")
+def key_cooldowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each of three keys was out of use: an error is a limit of the key that its event names, after which it rests an hour."""
+    limits = table(spark, sf_dir, "events").filter("event_type = 'error'").select((F.col("event_id") % 3).alias("key"), "ts")
+    return status.cooling(limits, "key", "ts", timedelta(hours=1))
+
+
+_JOB_KINDS = {"click": status.QUEUED, "view": status.QUEUED, "purchase": status.CACHED, "error": status.FAILED}
+
+
+@query("""WITH n AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS t FROM events), j AS (SELECT user_id * 7 + event_id % 7 AS job, ts, event_type FROM events, n WHERE ts <= t),
+l AS (SELECT job, bool_or(event_type = 'purchase') AS ready, max((ts, event_type IN ('click', 'view'))) FILTER (event_type IN ('click', 'view', 'error')) AS last FROM j GROUP BY job)
+SELECT job, ready, NOT ready AND coalesce(last[2] AND last[1] + INTERVAL 2 DAY > (SELECT t FROM n), false) AS pending FROM l""".replace("last[2]", "struct_extract_at(last, 2)").replace("last[1]", "struct_extract_at(last, 1)"))
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which jobs are ready or pending in the middle of the log; one that was begun two days before is dropped."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.lit(None)
+    for said, is_ in _JOB_KINDS.items():
+        kind = F.when(F.col("event_type") == said, is_).otherwise(kind)
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    jobs = events.select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("job"), "ts", kind.alias("kind"))
+    return status.job_states(jobs, "job", "ts", "kind", F.lit(span.a + (span.b - span.a) / 2), timedelta(days=2))
+
+
+#: A command for each event of a user; the conversation that it is about is one of the user's own, or none.
+_COMMANDS_SQL = """e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'select' WHEN 'view' THEN 'upsert' WHEN 'purchase' THEN 'delete' ELSE 'finalize' END AS kind,
+CASE WHEN event_id % 4 > 0 THEN coalesce(lag('c' || event_id, (1 + event_id % 5)::INT) OVER (PARTITION BY user_id ORDER BY event_id), user_id || '-first') END AS id, 'c' || event_id AS new_id, lpad(event_id::VARCHAR, 9, '0') AS t,
+CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Why ' || event_type || ' ' || event_id || '?' END AS q FROM events),"""
+_BLANK = "struct_pack(id := {id}, title := 'New chat', updated := t, q := '', n := 0)"
+
+
+@query(f"""WITH RECURSIVE {_COMMANDS_SQL}
+st AS (SELECT user_id, 0::BIGINT AS k, user_id || '-first' AS active, [{_BLANK.format(id="user_id || '-first'")}] AS convs, []::VARCHAR[] AS gone FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, CASE kind WHEN 'start' THEN CASE WHEN an = 0 THEN a ELSE new_id END WHEN 'select' THEN CASE WHEN known THEN id ELSE active END WHEN 'finalize' THEN CASE WHEN aq = '' THEN a ELSE new_id END
+  WHEN 'upsert' THEN coalesce(target, active) ELSE CASE WHEN id IS NULL THEN active WHEN len(rest) = 0 OR active = id THEN new_id WHEN len(list_filter(rest, lambda c: c.id = active)) > 0 THEN active ELSE list_filter(rest, lambda c: c.updated = newest)[1].id END END,
+ CASE kind WHEN 'start' THEN CASE WHEN an = 0 THEN ac ELSE list_append(ac, blank) END WHEN 'select' THEN convs WHEN 'finalize' THEN list_append(list_filter(ac, lambda c: c.q <> ''), CASE WHEN aq = '' THEN list_filter(ac, lambda c: c.id = a)[1] ELSE blank END)
+  WHEN 'upsert' THEN CASE WHEN target IS NULL THEN convs ELSE list_transform(CASE WHEN id IS NOT NULL THEN convs WHEN q <> '' THEN ac ELSE list_append(convs, blank) END, lambda c: CASE WHEN c.id = target THEN struct_pack(id := target, title := CASE WHEN q = '' THEN 'New chat' ELSE rtrim(q, '?') END, updated := t, q := q, n := 1) ELSE c END) END
+  ELSE CASE WHEN id IS NULL THEN convs WHEN len(rest) = 0 THEN [blank] WHEN active = id THEN list_append(list_filter(rest, lambda c: c.q <> ''), blank) ELSE rest END END,
+ CASE WHEN kind = 'delete' AND id IS NOT NULL AND NOT list_contains(gone, id) THEN list_append(gone, id) ELSE gone END
+FROM (SELECT *, list_filter(ac, lambda c: c.id = a)[1].n AS an, list_filter(ac, lambda c: c.id = a)[1].q AS aq, list_max(list_transform(rest, lambda c: c.updated)) AS newest,
+  CASE WHEN id IS NOT NULL THEN CASE WHEN known AND NOT list_contains(gone, id) THEN id END WHEN q <> '' THEN a ELSE new_id END AS target FROM (
+ SELECT *, CASE WHEN held THEN active WHEN len(idle) > 0 THEN idle[1].id ELSE new_id END AS a, CASE WHEN held OR len(idle) > 0 THEN convs ELSE list_append(convs, blank) END AS ac FROM (
+ SELECT st.user_id, e.k, st.active, st.convs, st.gone, e.kind, e.id, e.new_id, e.t, e.q, {_BLANK.format(id="new_id")} AS blank, list_filter(convs, lambda c: c.q = '') AS idle, len(list_filter(convs, lambda c: c.id = active)) > 0 AS held,
+  coalesce(len(list_filter(convs, lambda c: c.id = e.id)) > 0, false) AS known, list_filter(convs, lambda c: c.id <> e.id) AS rest FROM st JOIN e ON e.user_id = st.user_id AND e.k = st.k + 1))))
+SELECT user_id, arg_max(active, k) AS active_id, len(arg_max(convs, k))::BIGINT AS n, md5(array_to_string(list_transform(arg_max(convs, k), lambda c: c.id || '|' || c.title || '|' || c.updated || '|' || c.n), ';')) AS digest, array_to_string(arg_max(gone, k), ',') AS deleted FROM st GROUP BY user_id""")
+def store_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat store of each user after all commands of the log, in order."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    event, kind = F.col("event_id"), F.lit("finalize")
+    for said, is_ in {"signup": "start", "click": "select", "view": "upsert", "purchase": "delete"}.items():
+        kind = F.when(F.col("event_type") == said, is_).otherwise(kind)
+    new = F.concat(F.lit("c"), event.cast("string"))
+    back = F.lit(None).cast("string")
+    for n in range(5):
+        back = F.when(event % 5 == n, F.lag(new, n + 1).over(w)).otherwise(back)
+    asked = F.when(event % 5 == 0, "").otherwise(F.concat(F.lit("Why "), "event_type", F.lit(" "), event.cast("string"), F.lit("?")))
+    turn = F.struct(asked.alias("question"), F.lit("").alias("answer"), *(F.lit(None).cast("string").alias(c) for c in sessions.META))
+    commands = table(spark, sf_dir, "events").select(
+        "user_id", event.alias("at"), kind.alias("kind"), F.when(event % 4 > 0, F.coalesce(back, F.concat(F.col("user_id").cast("string"), F.lit("-first")))).alias("id"),
+        F.array(turn).alias("turns"), new.alias("new_id"), F.lpad(event.cast("string"), 9, "0").alias("time"),
+    )
+    after = chats.mutated(commands, "user_id")
+    told = F.transform("conversations", lambda c: F.concat_ws("|", c["id"], c["title"], c["updated"], F.size(c["turns"]).cast("string")))
+    return after.select("user_id", "active_id", F.size("conversations").cast("long").alias("n"), F.md5(F.array_join(told, ";")).alias("digest"), F.array_join("deleted_ids", ",").alias("deleted"))
+
+
+@query("""SELECT source AS source_file, doc_id AS record_id, sha256(CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 1 THEN 'new ' ELSE '' END || text) AS content_hash FROM documents
+WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR source NOT IN (SELECT source FROM documents WHERE doc_id % 3 <> 0))""")
+def synced_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches applied to a stored table, two of them handed over twice: all notes, then other texts without a third of
+    them for each file, then a file that has none."""
+    path = f"{shared_dir(spark)}/synced-{uuid.uuid4().hex}"
+    notes = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("record_id"), "text")
+    renewed = notes.filter("record_id % 3 <> 0").withColumn("text", F.concat(F.when(F.col("record_id") % 4 == 1, "new ").otherwise(""), "text"))
+    none = notes.limit(1).select(F.lit("no such file").alias("source_file"), F.lit(-1).cast("long").alias("record_id"), F.lit(None).cast("string").alias("text"))
+    apply = versions.once(path, "notes", ingest.synced(["source_file", "record_id"], ["source_file"]))
+    for number, batch in enumerate((notes, renewed, none)):
+        apply(batch, number)
+        apply(notes, number // 2)
+    return versions.read(spark, path).drop("text")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a/' || source || '.jsonl' ELSE source || '.jsonl' END AS place FROM documents")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,18 +58,21 @@ def categories(spark: SparkSession, root: str, names: Sequence[str]) -> DataFram
     return out
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a stored index with text and vector, and the index's header on each."""
-    rows = spark.read.schema(INDEX).option("multiLine", True).json(path)
+def index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Chunks of a stored index with text and vector, and the index's header on each. The index is one JSON document, or, with
+    ``lines``, one in each line, as ``index_written`` writes it."""
+    rows = spark.read.schema(INDEX).option("multiLine", not lines).json(path)
     chunks = rows.select("embed_model", "built_at", F.explode("chunks").alias("c")).select("embed_model", "built_at", "c.*")
     return chunks.filter(nonblank(F.col("text")) & (F.size("embedding") > 0))
 
 
 def indexed(rows: DataFrame, vectors: DataFrame, key: str, model: str) -> DataFrame:
-    """Rows with their vectors under a header; a row without one is an error."""
-    joined = rows.join(vectors.select(key, "embedding"), key, "left")
-    checked = F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no vector for "), F.col(key).cast("string")))).otherwise(F.col("embedding"))
-    return joined.withColumn("embedding", checked).withColumn("embed_model", F.lit(model))
+    """Rows with their vectors under a header; a row without one, and a key with several, are errors."""
+    one = vectors.groupBy(key).agg(F.first("embedding").alias("embedding"), F.count("*").alias("_n"))
+    several = F.raise_error(F.concat(F.lit("several vectors for "), F.col(key).cast("string")))
+    none = F.raise_error(F.concat(F.lit("no vector for "), F.col(key).cast("string")))
+    checked = F.when(F.col("_n") > 1, several).when(F.col("embedding").isNull(), none).otherwise(F.col("embedding"))
+    return rows.join(one, key, "left").withColumn("embedding", checked).drop("_n").withColumn("embed_model", F.lit(model))
 
 
 def freshness(spark: SparkSession, path: str) -> DataFrame:
@@ -99,11 +101,20 @@ def chunked(rows: DataFrame, id_column: str, text: str = "text", size: int = 150
     return out.withColumn("chunk_id", F.concat(F.col(id_column).cast("string"), F.lit("-"), F.col("_at") + 1)).drop("_at")
 
 
-def _first(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of each key the row that the scan meets first, its hash, and how many rows the key has."""
+def _met(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed: DataFrame | None) -> DataFrame:
+    """Both sides of each key, ``_old`` and ``_new``, with the action; each side is read and hashed once.
+
+    Of a key that comes more than once the first row in the order of the scan counts.
+    """
     met = incoming.select(*keys, "text", content_key(F.col("text")).alias("content_hash"), F.monotonically_increasing_id().alias("_at"))
-    one = met.groupBy(*keys).agg(F.min_by(F.struct("text", "content_hash"), "_at").alias("_r"), F.count("*").alias("copies"))
-    return one.select(*keys, "_r.*", "copies")
+    new = met.groupBy(*keys).agg(F.min_by(F.struct("text", "content_hash"), "_at").alias("_new"), F.count("*").alias("copies"))
+    held = [c for c in ("text", "content_hash") if c in current.columns]
+    both = current.select(*keys, F.struct(*held).alias("_old")).join(new, list(keys), "full")
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old.content_hash") == F.col("_new.content_hash"), "noop").otherwise("update")
+    if failed is not None:
+        both = both.join(failed.select(*keys).distinct().withColumn("_failed", F.lit(True)), list(keys), "left")
+        action = F.when(F.col("_failed") & F.col("_old").isNull(), "skip").when(F.col("_failed"), "noop").otherwise(action)
+    return both.withColumn("action", action)
 
 
 def changes(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed: DataFrame | None = None) -> DataFrame:
@@ -113,21 +124,34 @@ def changes(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed
     first row in the order of the scan counts, and ``copies`` says how many there were. Keys in ``failed`` stay as they are:
     neither changed nor deleted.
     """
-    new = _first(incoming, keys).select(*keys, F.col("content_hash").alias("_new"), "copies")
-    both = current.select(*keys, F.col("content_hash").alias("_old")).join(new, list(keys), "full")
-    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old") == F.col("_new"), "noop").otherwise("update")
-    if failed is not None:
-        both = both.join(failed.select(*keys).distinct().withColumn("_failed", F.lit(True)), list(keys), "left")
-        action = F.when(F.col("_failed") & F.col("_old").isNull(), "skip").when(F.col("_failed"), "noop").otherwise(action)
-    return both.select(*keys, action.alias("action"), F.coalesce("_new", "_old").alias("content_hash"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    both = _met(current, incoming, keys, failed)
+    return both.select(*keys, "action", F.coalesce("_new.content_hash", "_old.content_hash").alias("content_hash"), F.coalesce("copies", F.lit(0)).alias("copies"))
 
 
 def applied(current: DataFrame, incoming: DataFrame, keys: Sequence[str], failed: DataFrame | None = None) -> DataFrame:
     """The store after the changes: keys, text and content_hash."""
-    todo = changes(current, incoming, keys, failed)
-    fresh = _first(incoming, keys).drop("copies").join(todo.filter("action in ('insert', 'update')").select(*keys), list(keys), "left_semi")
-    old = current.select(*keys, "text", "content_hash").join(todo.filter("action = 'noop'").select(*keys), list(keys), "left_semi")
-    return old.unionByName(fresh.select(old.columns))
+    both = _met(current, incoming, keys, failed).filter("action in ('insert', 'update', 'noop')")
+    stays = F.col("action") == "noop"
+    return both.select(*keys, *(F.when(stays, F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("text", "content_hash")))
+
+
+def synced(keys: Sequence[str], scope: Sequence[str], failed: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """For ``versions.once``: a batch holds all rows of each ``scope`` (such as a file) that it has any of, null texts for none.
+
+    Rows of these scopes are changed by content hash, those that are no longer there go, and those of ``failed(batch)`` stay as
+    they are; rows of other scopes stay.
+    """
+
+    def change(before: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = batch.filter("text is not null")
+        if before is None:
+            before = rows.select(*keys, "text", F.lit("").alias("content_hash")).limit(0)
+        touched = F.broadcast(batch.select(*scope).distinct())
+        here = before.join(touched, list(scope), "left_semi")
+        after = applied(here, rows, keys, failed(batch) if failed else None)
+        return before.join(touched, list(scope), "left_anti").select(after.columns).unionByName(after)
+
+    return change
 
 
 def file_kind(name: Column) -> Column:
@@ -159,20 +183,15 @@ def appended(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def saved(rows: DataFrame, path: str) -> None:
-    """Replaces a stored table: written beside it in full, then moved to its place, so that no reader meets half a table."""
-    context = rows.sparkSession.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
-    system = place(path).getFileSystem(context._jsc.hadoopConfiguration())
-    system.delete(place(path), True)
-    if not system.rename(place(staged), place(path)):
-        raise OSError(f"{staged} could not be moved to {path}")
-
-
 def index_written(rows: DataFrame, vectors: DataFrame, key: str, model: str, path: str) -> int:
-    """Writes rows with their vectors as JSON lines under a header on each; every row must have one. How many were written."""
-    out = indexed(rows, vectors, key, model).withColumn("built_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
-    out.write.mode("overwrite").json(path)
-    return rows.sparkSession.read.json(path).count()
+    """Writes rows (``key`` as id, text, sources) with their vectors, an index document of one chunk in each line; ``index`` reads it
+    with ``lines``. Every row must have one vector and every vector a row. How many were written."""
+    many = rows.count(), vectors.count()
+    if many[0] != many[1]:
+        raise ValueError(f"{many[0]} rows and {many[1]} vectors")
+    out = indexed(rows, vectors, key, model)
+    sources = F.col("sources") if "sources" in rows.columns else F.array().cast("array<string>")
+    chunk = F.struct(F.col(key).cast("string").alias("id"), F.col("text"), F.coalesce(sources, F.array().cast("array<string>")).alias("sources"), F.col("embedding").cast("array<double>").alias("embedding"))
+    built = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    out.select("embed_model", built.alias("built_at"), F.array(chunk).alias("chunks")).write.mode("overwrite").json(path)
+    return many[0]
