@@ -22,15 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.materialize import cut
-from colloquy.llm.common import utf8
+from colloquy.llm.common import looked_up, utf8
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 #: Fingerprints in a block of a tile.
 BLOCK = 4096
-#: Fingerprints that may each hold 1 / HOT of the rows.
-HOT = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -181,10 +179,11 @@ def contracted(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most):
         both = edges.union(edges.select("b", "a"))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").selectExpr("explode(array(struct(a, m as b), struct(b as a, m as b))) as e").select("e.*")
+        # a star's centre may have most of the links: such are looked up where the links are
+        lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+        large = looked_up(both, lowest, "a", "_n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = looked_up(large, lowest, "a", "_n").selectExpr("explode(array(struct(a, m as b), struct(b as a, m as b))) as e").select("e.*")
         now = cut(small.filter("a != b").distinct())
         change = now.exceptAll(edges).isEmpty() and edges.exceptAll(now).isEmpty()
         edges = now
@@ -200,14 +199,9 @@ def with_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = cut(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")))
     roots = contracted(links(classes.select("_fp"), radius))
     moved = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root"))
-    least = moved.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = cut(moved.join(least, "_root").select("_fp", "_root", "_n", "component_id"))
-    # a fingerprint of many rows does not gather them: such, HOT in number at most, are looked up where the rows are
-    total = classes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
-    hot = F.col("_n") > max(total / HOT, 1000)
-    often = F.broadcast(named.filter(hot))
-    rest = prints.join(often.select("_fp"), "_fp", "left_anti").join(named.filter(~hot), "_fp")
-    return prints.join(often, "_fp").unionByName(rest).drop("_n")
+    least = moved.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_size"))
+    named = looked_up(moved, least, "_root", "_size").select("_fp", "_root", "_n", "component_id")
+    return looked_up(prints, named, "_fp", "_n").drop("_n")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

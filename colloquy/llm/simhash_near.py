@@ -6,7 +6,7 @@ three steps take its place. Texts of equal shingle sets are one class. Classes t
 and bit counts, at a radius that a pair at 0.8 exceeds once in about four thousand times and one of 0.3 rarely keeps. The
 components of these links are compared exactly: the shingles that a component's texts share are bits, a tile of texts is
 compared with others by exclusive-or and bit counts, tiles whose population counts exclude the similarity are skipped, and
-each tile pair gives a spanning forest of what is alike. Only true similarities of ``least`` or more join documents.
+each tile pair gives a spanning forest of what is alike. Where the bits would take more than ``MATRIX``, sorted lists say the same. Only true similarities of ``least`` or more join documents.
 
 Blocks and components of any size are cut into parts of bounded size, pairs of which are separate tasks; no step gives out
 a pair for each two members.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.materialize import cut, written
-from colloquy.llm.common import broadcastable, fresh, lowered, runs, scrambled, slices, utf8, without, word_hashes
+from colloquy.llm.common import broadcastable, fresh, looked_up, lowered, runs, scrambled, slices, utf8, without, word_hashes
 from colloquy.llm.simhash import contracted
 
 SHINGLE = 5
@@ -168,34 +168,65 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edges(found)
 
 
+def _by_bits(back: np.ndarray, shared: np.ndarray, starts: np.ndarray, ends: np.ndarray, columns: int):
+    """Shingles that row i and each of rows js have in common, by exclusive-or and bit counts of dense rows of bits."""
+    bits = np.zeros((len(starts), columns // 64 + 1), np.uint64)
+    for row, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
+        here = np.zeros(bits.shape[1] * 64, bool)
+        here[shared[back[a:b]][shared[back[a:b]] >= 0]] = True
+        bits[row] = np.packbits(here, bitorder="little").view("<u8")
+    own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+    def common(i: int, js: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(js), np.int64)
+        step = max(1, (1 << 20) // bits.shape[1])
+        for k in range(0, len(js), step):
+            some = js[k : k + step]
+            out[k : k + step] = (own[some] + own[i] - np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
+        return out
+
+    return common
+
+
+def _by_lists(back: np.ndarray, starts: np.ndarray, ends: np.ndarray, many: int):
+    """The same by marks of row i's shingles that the rows js are looked up in, for many short rows of unlike shingles."""
+    marks = np.zeros(many, bool)
+
+    def common(i: int, js: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(js), np.int64)
+        mine = back[starts[i] : ends[i]]
+        marks[mine] = True
+        sizes = ends[js] - starts[js]
+        for k in range(0, len(js), 4096):
+            some, n = js[k : k + 4096], sizes[k : k + 4096]
+            row = np.repeat(np.arange(len(some)), n)
+            place = np.arange(n.sum()) + np.repeat(starts[some] - (np.cumsum(n) - n), n)
+            out[k : k + 4096] = np.bincount(row, marks[back[place]], len(some))
+        marks[mine] = False
+        return out
+
+    return common
+
+
+#: Bytes of the bits of a part at most; a part that would need more is compared by lists.
+MATRIX = 1 << 26
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, side, set, size, fp0, fp1, text), sorted by key, to a forest of the sets that are alike."""
     found = []
     for group in _groups(batches):
         side, names, size, *words = (group.column(k).to_numpy() for k in range(1, 6))
         sets = shingle_sets(*utf8(group.column(6)))
-        shingles = np.concatenate(sets)
-        distinct, back, n = np.unique(shingles, return_inverse=True, return_counts=True)
-        shared = np.cumsum(n > 1) - 1  # the number of each shingle that two texts have
-        bits = np.zeros((len(sets), int(shared[-1]) // 64 + 1 if len(shared) else 1), np.uint64)
+        distinct, back, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         ends = np.cumsum([len(s) for s in sets])
-        for row, (a, b) in enumerate(zip((ends - [len(s) for s in sets]).tolist(), ends.tolist())):
-            here = np.zeros(bits.shape[1] * 64, bool)
-            own = back[a:b]
-            here[shared[own[n[own] > 1]]] = True
-            bits[row] = np.packbits(here, bitorder="little").view("<u8")
-        common = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-
-        def alike(i: int, js: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(js), bool)
-            step = max(1, (1 << 20) // bits.shape[1])
-            for k in range(0, len(js), step):
-                some = js[k : k + step]
-                apart = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                both = (common[some] + common[i] - apart) // 2
-                out[k : k + step] = both >= LEAST * (size[some] + size[i] - both) - 1e-9
-            return out
-
+        starts = ends - [len(s) for s in sets]
+        columns = int((n > 1).sum())  # shingles that two texts have
+        if len(sets) * (columns // 64 + 1) * 8 <= MATRIX:
+            common = _by_bits(back, np.where(n > 1, np.cumsum(n > 1) - 1, -1), starts, ends, columns)
+        else:
+            common = _by_lists(back, starts, ends, len(distinct))
+        alike = lambda i, js: (both := common(i, js)) >= LEAST * (size[js] + size[i] - both) - 1e-9
         i, j = forest(side, size, np.stack(words, axis=1).view(np.uint64), RADIUS, alike)
         found.append((names[i], names[j]))
         if len(found) > 1000:
@@ -232,8 +263,8 @@ def _roots(classes: DataFrame, marked: DataFrame, row: str) -> DataFrame:
     near = contracted(_linked(_paired(_blocked(keyed), "_key", F.ceil(F.col("_n") / PART).cast("int")), _near, prints))
     named = near.select(F.col("node").alias("_set"), "root").unionByName(near.select(F.col("root").alias("_set"), "root").distinct())
     members = cut(classes.select(*prints, row).join(named, "_set"))
-    parts = members.groupBy("root").agg(F.ceil(F.sum("_size") / PART_SHINGLES).cast("int").alias("_n"))
-    few = broadcastable(members.join(parts, "root"))
+    parts = members.groupBy("root").agg(F.ceil(F.sum("_size") / PART_SHINGLES).cast("int").alias("_n"), F.count("*").alias("_members"))
+    few = broadcastable(looked_up(members, parts, "root", "_members").drop("_members"))
     texts = marked.select(row, "text").join(few, row)
     return contracted(_linked(_paired(texts, "root", F.col("_n")), _compared, [*prints, "text"]))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 
-from colloquy.llm import simhash
+from colloquy.llm import common, simhash
 
 
 def brute(rows):
@@ -68,3 +68,16 @@ def test_a_fingerprint_of_many_rows(spark):
     rows = [(k, "one two three four") for k in range(1100)] + [(2000, "another text is here"), (2001, "one two three four")]
     got = {r.doc_id: r.component_id for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows) and got[2001] == got[1099] == 0 and got[2000] == 2000
+
+
+def test_one_component_and_one_star_hold_most_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(common, "HEAVY", 10)
+    star = [(0, i) for i in range(1, 3000)]  # a centre of most links
+    chain = [(i, i + 1) for i in range(5000, 5040)]
+    edges = spark.createDataFrame([*star, *chain, (9, 9), (2999, 1)], "a long, b long").repartition(5)
+    got = {(r.node, r.root) for r in simhash.contracted(edges).collect()}
+    assert got == {(i, 0) for i in range(1, 3000)} | {(i, 5000) for i in range(5001, 5041)}
+    prints = spark.range(4000).selectExpr("id as doc_id", "if(id < 3000, (id % 60) * 0, id * 1000003) as _fp")
+    same = {r.component_id for r in simhash.with_components(simhash.cut(prints)).filter("_fp = 0").collect()}
+    assert same == {0}

@@ -97,3 +97,45 @@ def test_shingles_are_those_of_words():
 
 def test_empty_table(spark):
     assert simhash_near.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lists_say_what_bits_say(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(30):
+        base = [rng.choice(vocabulary) for _ in range(40)]
+        rows += [(len(rows) + 1, " ".join(base)), (len(rows) + 2, " ".join(base[:-2] + ["x", "y"])), (len(rows) + 3, " ".join(base[:20]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_by_all_pairs(rows)
+    assert sorted(r.doc_id for r in simhash_near.deduplicated(docs).collect()) == want
+    # the workers make bits or lists by the module's bound, so the two are compared here
+    texts = pa.array([t for _, t in rows])
+    sets = simhash_near.shingle_sets(*utf8(texts))
+    distinct, back, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) for s in sets])
+    starts = ends - [len(s) for s in sets]
+    bits = simhash_near._by_bits(back, np.where(n > 1, np.cumsum(n > 1) - 1, -1), starts, ends, int((n > 1).sum()))
+    lists = simhash_near._by_lists(back, starts, ends, len(distinct))
+    every = np.arange(len(sets))
+    for i in range(len(sets)):
+        real = [len(np.intersect1d(sets[i], s)) for s in sets]
+        js = every[every != i]
+        assert bits(i, js).tolist() == lists(i, js).tolist() == [real[j] for j in js]
+
+
+def test_many_short_texts_in_a_part_need_no_matrix():
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 1 << 40, (100_000, 4))
+    texts = [" ".join(f"w{x}" for x in row) + " a b" for row in words.tolist()]
+    texts[1::2] = texts[::2]  # each twice, so that all shingles are shared
+    n = len(texts)
+    columns = [np.zeros(n, np.int64), np.full(n, 2, np.int8), np.arange(n), np.full(n, 2), np.arange(n, dtype=np.int64) // 2, np.zeros(n, np.int64)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts)], ["key", "side", "set", "size", "fp0", "fp1", "text"])
+    sets = simhash_near.shingle_sets(*utf8(batch.column(6)))
+    distinct, back, _ = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(s) for s in sets])
+    starts = ends - [len(s) for s in sets]
+    assert len(sets) * (len(distinct) // 64 + 1) * 8 > simhash_near.MATRIX
+    common = simhash_near._by_lists(back, starts, ends, len(distinct))
+    assert common(0, np.arange(1, n))[0] == 2 and common(0, np.arange(2, n)).max() <= 1
