@@ -200,23 +200,43 @@ u AS (SELECT *, 0 AS stage FROM v UNION ALL SELECT *, 1 FROM g) SELECT query_id,
 def retrieval_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors that are near enough, else character n-grams of the question over the texts."""
     asked, rows = _vectors(spark, sf_dir)
-    near = retrieval.by_vector(asked.drop("label"), rows, "query_id", "vec_id", k=None, least=0.6).filter("vec_id <> query_id")
-    items = _table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("question"))
-    questions = items.join(asked.select("query_id"), "query_id", "left_semi")
-    grams = retrieval.by_ngrams(questions, _table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
-    stages = [near.select("query_id", F.col("vec_id").alias("id"), "score"), grams.select("query_id", F.col("doc_id").alias("id"), "score")]
-    found = retrieval.first_with_result(asked, stages, "query_id")
+
+    def near(queries: DataFrame) -> DataFrame:
+        found = retrieval.by_vector(queries, rows, "query_id", "vec_id", k=None, least=0.6).filter("vec_id <> query_id")
+        return found.select("query_id", F.col("vec_id").alias("id"), "score")
+
+    def grams(queries: DataFrame) -> DataFrame:
+        items = _table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("question"))
+        questions = items.join(queries.select("query_id"), "query_id", "left_semi")
+        found = retrieval.by_ngrams(questions, _table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
+        return found.select("query_id", F.col("doc_id").alias("id"), "score")
+
+    found = retrieval.first_with_result(asked.drop("label"), [near, grams], "query_id")
     return found.select("query_id", "id", "stage", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_OVERLAP_SQL}, s AS (SELECT query_id, doc_id, n, CASE lang WHEN 'fr' THEN 'faculty' WHEN 'de' THEN 'courses' ELSE 'campus' END AS specialist FROM o JOIN documents USING (doc_id) WHERE n <= 8)
-SELECT query_id, doc_id, specialist, row_number() OVER (PARTITION BY query_id ORDER BY CASE specialist WHEN 'faculty' THEN 0 WHEN 'campus' THEN 1 ELSE 2 END, n) AS position FROM s""")
+#: Ids as a note's would be: a name by the language, an institute's own or not.
+_ID_SQL = "CASE lang WHEN 'fr' THEN 'Tin-' WHEN 'de' THEN 'cse-y' WHEN 'es' THEN 'plan-' ELSE 'institute-' END || doc_id"
+PARTS = {"faculty": ["tin", "zar"], "courses": ["cse", "ece"], "campus": ["institute"]}
+TITLES = {"faculty": "Faculty:", "campus": "Campus:", "courses": "Courses:"}
+
+
+@query(f"""WITH {_OVERLAP_SQL}, s AS (SELECT query_id, doc_id, n, text, {_ID_SQL} AS id FROM o JOIN documents USING (doc_id) WHERE n <= 8),
+f AS (SELECT *, count(*) FILTER (starts_with(id, 'institute-')) OVER (PARTITION BY query_id) AS own FROM s),
+k AS (SELECT *, CASE WHEN contains(lower(id), 'tin') OR contains(lower(id), 'zar') THEN 'faculty' WHEN contains(lower(id), 'cse') OR contains(lower(id), 'ece') THEN 'courses' ELSE 'campus' END AS specialist FROM f WHERE query_id % 3 <> 0 OR own = 0 OR starts_with(id, 'institute-')),
+w AS (SELECT *, CASE query_id % 4 WHEN 1 THEN specialist = 'faculty' WHEN 2 THEN specialist IN ('courses', 'campus') ELSE true END AS fits FROM k), a AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS any_fits FROM w)
+SELECT query_id, doc_id, specialist, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN NOT any_fits THEN 0 WHEN specialist = 'faculty' THEN 0 WHEN specialist = 'campus' THEN 1 ELSE 2 END, n) AS position,
+md5(CASE WHEN any_fits THEN CASE specialist WHEN 'faculty' THEN 'Faculty:' WHEN 'campus' THEN 'Campus:' ELSE 'Courses:' END || chr(10) || text ELSE text END) AS digest FROM a WHERE fits OR NOT any_fits""")
 def specialist_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by specialist: an overview's own rows, wanted specialists only, titles; unchanged where nothing would be left."""
     docs = _table(spark, sf_dir, "documents")
-    found = retrieval.by_tokens(_asked(spark, sf_dir), docs.select("doc_id", "text"), "query_id", "doc_id", k=8).join(docs.select("doc_id", "lang"), "doc_id")
-    name = F.when(F.col("lang") == "fr", "faculty").when(F.col("lang") == "de", "courses").otherwise("campus")
-    rows = retrieval.regrouped(found, "query_id", name, ["faculty", "campus", "courses"])
-    return rows.select("query_id", "doc_id", "specialist", F.col("position").cast("long").alias("position"))
+    lead = F.when(F.col("lang") == "fr", "Tin-").when(F.col("lang") == "de", "cse-y").when(F.col("lang") == "es", "plan-").otherwise("institute-")
+    named = docs.select("doc_id", "text", F.concat(lead, F.col("doc_id").cast("string")).alias("id"))
+    found = retrieval.by_tokens(_asked(spark, sf_dir), docs.select("doc_id", "text"), "query_id", "doc_id", k=8).join(named, "doc_id")
+    routes = F.when(F.col("query_id") % 4 == 1, F.array(F.lit("faculty"))).when(F.col("query_id") % 4 == 2, F.array(F.lit("courses"), F.lit("campus"))).otherwise(F.array().cast("array<string>"))
+    about = (F.col("query_id") % 3 != 0) | F.startswith("id", F.lit("institute-"))
+    rows = retrieval.regrouped(found.withColumn("routes", routes), "query_id", retrieval.specialist_of(F.col("id"), PARTS, "campus"), ["faculty", "campus", "courses"], "routes", about, TITLES)
+    return rows.select("query_id", "doc_id", "specialist", F.col("position").cast("long").alias("position"), F.md5("text").alias("digest"))
 
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"

@@ -78,11 +78,18 @@ g AS (SELECT v.query_id, id, s AS score FROM v JOIN a USING (query_id) WHERE n <
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors, rows = catalogue._vectors(spark, sf_dir)
     asked = vectors.select("query_id", (F.col("query_id") % 60 != 0).alias("gate"), (F.col("query_id") % 40 == 0).alias("available"))
-    near = retrieval.top(retrieval.by_vector(vectors.drop("label"), rows, "query_id", "vec_id", k=None, least=0.55).filter("vec_id <> query_id"), "query_id", "vec_id", 5)
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("question")).join(asked, "query_id", "left_semi")
-    words = retrieval.by_tokens(items, table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
-    columns = lambda df, c: df.select("query_id", F.col(c).alias("id"), "score")
-    return asked, retrieval.gated(asked, "gate", "available", columns(near, "vec_id"), columns(words, "doc_id"), "query_id")
+    questions = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("question"))
+
+    def near(queries: DataFrame) -> DataFrame:
+        found = retrieval.by_vector(vectors.drop("label").join(queries.select("query_id"), "query_id", "left_semi"), rows, "query_id", "vec_id", k=None, least=0.55)
+        return retrieval.top(found.filter("vec_id <> query_id"), "query_id", "vec_id", 5).select("query_id", F.col("vec_id").alias("id"), "score")
+
+    def words(queries: DataFrame) -> DataFrame:
+        items = questions.join(queries.select("query_id"), "query_id", "left_semi")
+        found = retrieval.by_tokens(items, table(spark, sf_dir, "documents").select("doc_id", "text"), "query_id", "doc_id")
+        return found.select("query_id", F.col("doc_id").alias("id"), "score")
+
+    return asked, retrieval.gated(asked, "gate", "available", near, words)
 
 
 @query(f"WITH {_DOCS} SELECT query_id, id, round(score, 6) AS score FROM g")
