@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from colloquy.functions import text as t
 from colloquy.functions.materialize import shared_dir
-from colloquy.operators import chats, context, metrics, retrieval, routing, sessions
+from colloquy.operators import chats, context, evaluation, metrics, retrieval, routing, sessions
 from colloquy.plans import catalogue
 from colloquy.plans.registry import query, table
 from colloquy.sources import ingest, versions
@@ -304,3 +304,81 @@ def synced_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(F.col("doc_id") % 2 == 0, "file:///notes/root/a/").otherwise("file:///else/"), "source", F.lit(".jsonl"))
     return table(spark, sf_dir, "documents").select("doc_id", ingest.relative(path, "/notes/root").alias("place"))
+
+
+#: Rows of three categories with texts and vectors, and what is asked of them: routes by words, vectors for two of three turns.
+CATEGORIES = {"faculty": "Faculty knowledge:", "campus": "Campus knowledge:", "courses": "Course knowledge:"}
+_CHAIN = """w AS (SELECT vec_id AS id, ['faculty', 'campus', 'courses'][label % 3 + 1] AS category, text, source, embedding FROM embeddings JOIN documents ON doc_id = vec_id),
+t AS (SELECT conv_id * 8 + turn AS id, text AS q, conv_id % 5 AS k5, CASE WHEN conv_id % 3 < 2 THEN (SELECT embedding FROM embeddings e WHERE e.vec_id = conv_id) END AS v,
+  contains(lower(text), 'the') OR contains(lower(text), 'einen') AS f, contains(lower(text), 'que') OR contains(lower(text), 'und') AS c, contains(lower(text), 'ing') AS o, conv_id % 4 = 0 AS p FROM conversations WHERE role = 'user'),
+a AS (SELECT id, q, v, category, CASE WHEN k5 = 0 THEN 8 ELSE 3 END AS k FROM (SELECT *, unnest(list_filter([CASE WHEN f THEN 'faculty' END, CASE WHEN c THEN 'campus' END, CASE WHEN o THEN 'courses' END], lambda x: x IS NOT NULL)) AS category FROM t)),
+n AS (SELECT a.id, a.category, a.k, w.id AS row, list_cosine_similarity(w.embedding::DOUBLE[], a.v::DOUBLE[]) AS s FROM a JOIN w USING (category) WHERE a.v IS NOT NULL),
+x AS (SELECT * FROM n WHERE s >= 0.15 QUALIFY row_number() OVER (PARTITION BY id, category ORDER BY s DESC, row) <= k),
+l AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = a.id AND x.category = a.category)),
+qg AS (SELECT id, category, k, list_distinct(CASE WHEN length(q) >= 3 THEN list_transform(range(1, length(q) - 1), lambda i: substring(lower(q), i, 3)) ELSE [lower(q)] END) AS g FROM l),
+wg AS (SELECT id AS row, category, unnest(list_distinct(list_concat(CASE WHEN length(text) >= 3 THEN list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3)) ELSE [lower(text)] END, CASE WHEN length(id::VARCHAR) >= 3 THEN list_transform(range(1, length(id::VARCHAR) - 1), lambda i: substring(id::VARCHAR, i, 3)) ELSE [id::VARCHAR] END))) AS gram FROM w),
+gs AS (SELECT id, category, any_value(k) AS k, row, count(*) / any_value(size) AS s FROM (SELECT id, category, k, len(g) AS size, unnest(g) AS gram FROM qg) JOIN wg USING (category, gram) GROUP BY id, category, row),
+y AS (SELECT id, category, k, row, s FROM gs QUALIFY row_number() OVER (PARTITION BY id, category ORDER BY s DESC, row) <= k),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, category ORDER BY s DESC, row) AS rank FROM (SELECT id, category, row, s FROM x UNION ALL SELECT id, category, row, s FROM y)),
+b AS (SELECT r.id, r.category, string_agg('- (' || row || ') ' || text || ' [sources: ' || source || ', x]', chr(10) ORDER BY rank) AS lines FROM r JOIN w ON w.id = r.row GROUP BY r.id, r.category),
+z AS (SELECT id, CASE category WHEN 'faculty' THEN 0 WHEN 'campus' THEN 1 ELSE 2 END AS at_, CASE category WHEN 'faculty' THEN 'Faculty' WHEN 'campus' THEN 'Campus' ELSE 'Course' END || ' knowledge:' || chr(10) || lines AS blob FROM b
+  UNION ALL SELECT id, 3, 'Session document:' || chr(10) || 'pages of ' || id FROM t WHERE p AND id % 16 <> 0)"""
+
+
+@query(f"WITH {_CHAIN}, j AS (SELECT id, string_agg(blob, chr(10) || chr(10) ORDER BY at_) AS blob FROM z GROUP BY id) SELECT t.id, md5(coalesce(blob, '(none)')) AS digest FROM t LEFT JOIN j USING (id)")
+def knowledge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the specialists that each question is routed to find, and its document: routes that a turn has not are never searched."""
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("label") % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.array(F.col("source"), F.lit("x")).alias("sources"))
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = vectors.join(docs, "vec_id").select(F.col("vec_id").alias("id"), category.alias("category"), "text", "sources", "embedding")
+    hints = {"faculty": ["the", "einen"], "campus": ["que", "und"], "courses": ["ing"]}
+    own = vectors.select(F.col("vec_id").alias("conv_id"), F.col("embedding").alias("_v"))
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").join(own, "conv_id", "left")
+    id, pdf = F.col("conv_id") * 8 + F.col("turn"), F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("pdf"))).otherwise(F.array().cast("array<string>"))
+    turns = asked.select(
+        id.alias("turn_id"), F.col("text").alias("question"), F.when(F.col("conv_id") % 3 < 2, F.col("_v")).alias("vector"), F.concat(routing.labels(F.col("text"), hints), pdf).alias("routes"),
+        F.when(id % 16 == 0, " (none) ").otherwise(F.concat(F.lit(" pages of "), id.cast("string"), F.lit("\n"))).alias("document"), F.when(F.col("conv_id") % 5 == 0, 8).otherwise(3).alias("k"),
+    )
+    found = context.knowledge(turns, rows, "turn_id", CATEGORIES, F.col("k"), 0.15)
+    return found.select(F.col("turn_id").alias("id"), F.md5("knowledge").alias("digest"))
+
+
+_ITEMS = f"""u AS (SELECT conv_id, turn, text AS q, CASE WHEN conv_id % 7 = 0 THEN 'x = 1' ELSE '' END AS code, regexp_matches(lower(text), 'tion|ung') AS dom, regexp_matches(lower(text), 'that|que') AS prog FROM conversations WHERE role = 'user'),
+h AS (SELECT *, conv_id * 8 + turn AS id, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2, last_value(CASE WHEN dom THEN 'domain' WHEN prog THEN 'programming' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT *, CASE WHEN contains(lower(q), 'then') OR length(trim(q)) <= 48 THEN past END AS earlier, CASE WHEN dom OR regexp_matches(code, 'tion|ung') THEN 'domain' WHEN code <> '' OR prog THEN 'programming' END AS rule, array_to_string(list_filter([trim(q2), trim(q1), trim(q)], lambda x: x <> ''), ' ') AS query FROM h),
+qt AS (SELECT id AS query_id, unnest({catalogue._TOKENS_SQL.format(x='query')}) AS w FROM i), dt AS (SELECT doc_id, unnest({catalogue._TOKENS_SQL.format(x='text')}) AS w FROM documents WHERE lang <> 'en'),
+c AS (SELECT query_id, doc_id, count(*) AS s FROM qt JOIN dt USING (w) GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS n FROM c QUALIFY n <= 5),
+p AS (SELECT i.*, CASE coalesce(rule, earlier) WHEN 'programming' THEN 'programming' WHEN 'domain' THEN 'domain' ELSE CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.query_id = i.id) THEN 'domain' ELSE 'programming' END END AS pred, ['domain', 'programming', 'other'][conv_id % 3 + 1] AS gold FROM i),
+m AS (SELECT p.id, min(n) AS best FROM p LEFT JOIN o ON o.query_id = p.id AND o.doc_id IN (conv_id, conv_id + 1, conv_id + 2) WHERE conv_id % 2 = 0 GROUP BY p.id),
+e AS (SELECT p.id, coalesce(a.text, '') AS answer, string_split(p.q, ' ')[1] AS span, string_split(p.q, ' ')[2] AS span2 FROM p LEFT JOIN conversations a ON a.conv_id = p.conv_id AND a.turn = p.turn + 1 WHERE p.conv_id % 3 = 0),
+em AS (SELECT id, CASE WHEN contains(lower(answer), lower(span)) AND contains(lower(answer), lower(coalesce(span2, ''))) THEN 1.0 ELSE 0.0 END AS em, regexp_extract_all(lower(answer), '[a-z0-9]+') AS at_, regexp_extract_all(lower(concat_ws(' ', span, span2)), '[a-z0-9]+') AS gt FROM e),
+f AS (SELECT id, em, len(at_) AS na, len(gt) AS ng, coalesce((SELECT sum(least(len(list_filter(at_, lambda y: y = w)), len(list_filter(gt, lambda y: y = w)))) FROM (SELECT unnest(list_distinct(gt)) AS w)), 0) AS shared_ FROM em)"""
+
+
+@query(f"""WITH {_ITEMS}, l AS (SELECT unnest(['domain', 'programming', 'other']) AS label), s AS (SELECT label, count(*) FILTER (gold = label AND pred = label) AS tp, count(*) FILTER ((gold = label) <> (pred = label)) AS off_ FROM l, p GROUP BY label)
+SELECT (SELECT count(*) FROM p)::BIGINT AS n_items, (SELECT round(avg((gold = pred)::INT), 4) FROM p) AS accuracy, (SELECT round(avg(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2.0 * tp + off_) END), 4) FROM s) AS macro_f1,
+(SELECT array_to_string(list(n ORDER BY g, q), ',') FROM (SELECT a.g, b.q, (SELECT count(*) FROM p WHERE gold = ['domain', 'programming', 'other'][a.g] AND pred = ['domain', 'programming', 'other'][b.q]) AS n FROM range(1, 4) a(g), range(1, 4) b(q))) AS confusion,
+(SELECT count(*) FROM m)::BIGINT AS retrieval_n, (SELECT round(avg(CASE WHEN best <= 3 THEN 1 ELSE 0 END), 4) FROM m) AS recall_at_3, (SELECT round(avg(coalesce(1 / best, 0)), 4) FROM m) AS mrr,
+(SELECT count(*) FROM f)::BIGINT AS generation_n, (SELECT round(avg(em), 4) FROM f) AS exact_match, (SELECT round(avg(CASE WHEN na = 0 OR ng = 0 THEN 0 ELSE 2.0 * shared_ / (na + ng) END), 4) FROM f) AS token_f1""")
+def evaluation_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From items, with the questions before them, through routes, retrieval and answers to the figures of a report."""
+    turns = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    asked = turns.withColumn("answer", F.lead("text").over(w)).filter("role = 'user'")
+    history = F.collect_list(F.struct(F.col("text").alias("question"), F.lit("").alias("answer"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    c, word = F.col("conv_id"), F.split("text", " ")
+    gold = F.element_at(F.array(*map(F.lit, ("domain", "programming", "other"))), (c % 3 + 1).cast("int"))
+    spans = F.array_compact(F.array(F.get(word, F.lit(0)), F.get(word, F.lit(1))))
+    items = asked.select(
+        (c * 8 + F.col("turn")).alias("id"), F.col("text").alias("question"), F.when(c % 7 == 0, "x = 1").otherwise("").alias("code"), history.alias("history"), gold.alias("gold_route"),
+        F.when(c % 2 == 0, F.array(c, c + 1, c + 2)).alias("gold_chunk_ids"), F.when(c % 3 == 0, spans).alias("gold_spans"), "answer",
+    )
+    docs = table(spark, sf_dir, "documents").filter("lang <> 'en'").select("doc_id", "text")
+    retrieve = lambda questions: retrieval.by_tokens(questions, docs, "id", "doc_id").select("id", F.col("doc_id").alias("chunk_id"), "rank")
+    rows = evaluation.job(items.drop("answer"), retrieve, items.select("id", "answer"), ["tion", "ung"], ["that", "que"], ["then"])
+    one = evaluation.summary(rows, ["domain", "programming", "other"])
+    return one.select(
+        "n_items", "route.accuracy", "route.macro_f1", F.array_join(F.flatten("route.confusion"), ",").alias("confusion"), F.col("retrieval.n").alias("retrieval_n"), "retrieval.recall_at_3", "retrieval.mrr",
+        F.col("generation.n").alias("generation_n"), "generation.exact_match", "generation.token_f1",
+    )
