@@ -161,3 +161,21 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str | Sequence[str], weigh
     often = table.filter(heavy)
     rest = joined(rows, often, "left_anti")
     return joined(rows, often).unionByName(joined(rest, table.filter(~heavy)))
+
+
+#: Rows of one key that a task can always hold.
+LIGHT = 10_000
+
+
+def joined_apart(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` to ``table``, which has a row for each key and its number of rows as ``weight``, by a shuffle; keys of
+    more than a thousandth of ``total`` rows (at most ``HEAVY`` of them), if any, by a broadcast. Nothing is materialised."""
+    least = max(total // HEAVY, LIGHT)
+    if total <= least:
+        return rows.join(table.drop(weight), key)
+    heavy = F.col(weight) > least
+    if table.filter(heavy).isEmpty():
+        return rows.join(table.drop(weight), key)
+    often = F.broadcast(table.filter(heavy).drop(weight))
+    rest = rows.join(often.select(key), key, "left_anti").join(table.filter(~heavy).drop(weight), key)
+    return rows.join(often, key).unionByName(rest)

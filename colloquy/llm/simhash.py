@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.materialize import cut
-from colloquy.llm.common import looked_up, utf8
+from colloquy.llm.common import joined_apart, looked_up, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -180,10 +180,11 @@ def contracted(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         both = edges.union(edges.select("b", "a"))
         # a star's centre may have most of the links: such are looked up where the links are
+        total = 2 * edges.count()
         lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-        large = looked_up(both, lowest, "a", "_n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = joined_apart(both, lowest, "a", "_n", total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-        small = looked_up(large, lowest, "a", "_n").selectExpr("explode(array(struct(a, m as b), struct(b as a, m as b))) as e").select("e.*")
+        small = joined_apart(large, lowest, "a", "_n", total).selectExpr("explode(array(struct(a, m as b), struct(b as a, m as b))) as e").select("e.*")
         now = cut(small.filter("a != b").distinct())
         change = now.exceptAll(edges).isEmpty() and edges.exceptAll(now).isEmpty()
         edges = now

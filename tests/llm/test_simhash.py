@@ -73,6 +73,7 @@ def test_a_fingerprint_of_many_rows(spark):
 def test_one_component_and_one_star_hold_most_of_the_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
     monkeypatch.setattr(common, "HEAVY", 10)
+    monkeypatch.setattr(common, "LIGHT", 100)
     star = [(0, i) for i in range(1, 3000)]  # a centre of most links
     chain = [(i, i + 1) for i in range(5000, 5040)]
     edges = spark.createDataFrame([*star, *chain, (9, 9), (2999, 1)], "a long, b long").repartition(5)
