@@ -165,24 +165,29 @@ PAUSE = "\u001e"
 
 
 def courtesy_joined(text: Column) -> Column:
-    """A word of courtesy that stands as a sentence of its own made the end of the sentence before it."""
-    pattern = rf"(?U)[{ENDS}]\s+({COURTESY})\s*([{ENDS}])"
-    step = lambda t, _: F.regexp_replace(t, pattern, " $1$2")
-    # a chain loses a link in each pass, and no chain has more links than the text has such words
-    joined = lambda t: F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(t, F.lit(rf"(?U)\s({COURTESY})\s*[{ENDS}]")), F.lit(1))), t, step)
-    return let(text, lambda t: F.when(t.rlike(pattern), joined(t)).otherwise(t))
+    """A word of courtesy that stands as a sentence of its own made the end of the sentence before it, whose marks it takes the
+    place of; chains of them too, as the mark after each is looked at only."""
+    # a run of marks is tried from its first one
+    pattern = rf"(?U)(?<![{ENDS}]\s{{0,8}})[{ENDS}](?:\s*+[{ENDS}])*+\s+({COURTESY})\s*(?=[{ENDS}])"
+    return F.regexp_replace(text, pattern, " $1")
+
+
+#: Before a part, and before one that is joined to the part before.
+_PART, _JOINT = "\u0001", "\u0001\u0001"
+
+
+def _joined(parts: Column, belongs: Callable[[Column], Column], shown: Callable[[Column], Column], before: str) -> Column:
+    """Parts that belong to the part before, as ``shown``, joined to it in one pass; what matches ``before`` in front of them goes."""
+    placed = F.transform(parts, lambda p, i: F.when((i > 0) & belongs(p), F.concat(F.lit(_JOINT), shown(p))).otherwise(F.concat(F.lit(_PART), p)))
+    whole = F.regexp_replace(F.array_join(placed, ""), f"(?U)(?:{before}){_JOINT}", "")
+    return F.slice(F.split(whole, _PART, -1), 2, F.greatest(F.size(parts), F.lit(1)))
 
 
 def courtesy_merged(parts: Column) -> Column:
     """Phrases of courtesy alone joined to the phrase before, whose end mark gives way to theirs."""
     word = lambda p: F.regexp_extract(strip(p), rf"(?U)^({COURTESY})\s*[{ENDS}]+$", 1)
-
-    def step(done: Column, part: Column) -> Column:
-        before = F.regexp_replace(F.regexp_replace(F.element_at(done, -1), r"(?U)\s+\z", ""), rf"(?U)[{ENDS}]+\s*\z", "")
-        joined = F.concat(before, F.lit(" "), word(part), F.regexp_extract(strip(part), f"([{ENDS}]+)$", 1))
-        return F.when((F.size(done) > 0) & (word(part) != ""), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(part)))
-
-    return let(parts, lambda ps: F.when(F.exists(ps, lambda p: word(p) != ""), F.aggregate(ps, F.array().cast("array<string>"), step)).otherwise(ps))
+    shown = lambda p: F.concat(F.lit(" "), word(p), F.regexp_extract(strip(p), f"([{ENDS}]+)$", 1))
+    return let(parts, lambda ps: F.when(F.exists(ps, lambda p: word(p) != ""), _joined(ps, lambda p: word(p) != "", shown, rf"[{ENDS}]+\s*|\s*")).otherwise(ps))
 
 
 def phrases(text: Column) -> Column:
@@ -233,11 +238,7 @@ def finals_thinned(text: Column, particles: str = COURTESY, polite: str = POLITE
 
 def orphans_merged(parts: Column, is_orphan: Callable[[Column], Column], joint: str = " ") -> Column:
     """Phrases that cannot stand alone joined to the phrase before; chains of them too."""
-    def step(done: Column, part: Column) -> Column:
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(joint, F.element_at(done, -1), part)))
-        return F.when((F.size(done) > 0) & is_orphan(part), joined).otherwise(F.concat(done, F.array(part)))
-
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    return let(parts, lambda ps: F.when(F.exists(ps, is_orphan), _joined(ps, is_orphan, lambda p: F.concat(F.lit(joint), p), "")).otherwise(ps))
 
 
 def name_candidates(text: Column, blocked: Sequence[str]) -> Column:
@@ -268,12 +269,6 @@ def replaced(text: Column, entries: dict[str, str], whole_words: bool = False, i
     return text
 
 
-def titles_spoken(text: Column, titles: dict[str, str]) -> Column:
-    for short, spoken in titles.items():
-        text = F.regexp_replace(text, rf"(?i){BEFORE}{quoted(short)}\.?(?=\s|$)", spoken)
-    return text
-
-
 #: Numerals and letters as they sound, and numerals that are words or letters as well.
 NUMERALS = {
     "I": "ဝမ်း", "II": "တူး", "III": "သရီး", "IV": "ဖိုး", "V": "ဖိုက်", "VI": "ဆစ်", "VII": "ဆဗင်း", "VIII": "အိတ်", "IX": "နိုင်း", "X": "တန်း",

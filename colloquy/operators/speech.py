@@ -100,6 +100,14 @@ def resolved_kinds(tokens: DataFrame, cache: DataFrame, lexicon: DataFrame, mode
     return rows.select(key, "token", kind.alias("kind"), F.when(roman, "roman").when(~unsure, new).alias("stored"))
 
 
+def accepted_entries(entries: DataFrame, lexicon: DataFrame, known: Sequence[str], titles: Sequence[str], honorifics: Sequence[str]) -> DataFrame:
+    """Of what a model says (source, spoken, kind), trimmed, as (source, value): honorifics that are ones, names of known people, nothing
+    blank, and nothing that the lexicon has."""
+    rows = entries.select(*(strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("source", "spoken", "kind"))).filter("source <> '' and spoken <> ''")
+    right = ((F.col("kind") == "honorific") & F.col("source").isin(*honorifics)) | ((F.col("kind") == "person_name") & is_known_person(F.col("source"), known, titles))
+    return rows.filter(right).join(lexicon.select("source").distinct(), "source", "left_anti").select("source", F.col("spoken").alias("value"))
+
+
 def merged_kinds(cache: DataFrame, entries: DataFrame, order: str, numerals: Sequence[str] = tuple(NUMERALS)) -> DataFrame:
     """(token, kind) of a cache after ``entries`` (token, kind, ``order``): the last of a token wins, of those and the cache's what is
     blank, of no kind or ambiguous goes, and a sure numeral is one."""

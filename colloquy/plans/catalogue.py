@@ -614,10 +614,11 @@ def term_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.annotations(words, terms, ["doc_id"], "at", "ordinal")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT DISTINCT user_id * 7 + event_id % 7 AS job FROM events WHERE event_type = 'click' AND user_id * 7 + event_id % 7 NOT IN (SELECT user_id * 7 + event_id % 7 FROM events WHERE event_type = 'purchase')")
 def prefetch_scope_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
-    return status.out_of_scope(events.filter("event_type = 'click'").select("user_id").distinct(), events.filter("event_type = 'purchase'"), "user_id")
+    """Jobs that were begun and that no conversation in scope asks for."""
+    events = _table(spark, sf_dir, "events").withColumn("job", F.col("user_id") * 7 + F.col("event_id") % 7)
+    return status.out_of_scope(events.filter("event_type = 'click'").select("job").distinct(), events.filter("event_type = 'purchase'"), "job")
 
 
 @query("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type")

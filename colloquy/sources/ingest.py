@@ -49,9 +49,13 @@ def tolerant_notes(spark: SparkSession, path: str, extra: Sequence[str] = ("name
     )
 
 
-def categories(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
-    """The tolerant notes of each category's folder, in one table."""
+def categories(spark: SparkSession, root: str, names: Sequence[str], handouts: DataFrame | None = None, category: str = "courses") -> DataFrame:
+    """The tolerant notes of each category's folder, in one table, and the chunks of ``handouts`` (source_file, page texts in
+    ``text``) under ``category``: ``{source_file}-{n}``, blank texts left out."""
     parts = [tolerant_notes(spark, f"{root}/{name}").withColumn("category", F.lit(name)) for name in names]
+    if handouts is not None:
+        cut = chunked(handouts.filter(nonblank(F.col("text"))).select("source_file", "text"), "source_file")
+        parts.append(cut.select(F.col("chunk_id").alias("id"), "text", F.array("source_file").alias("sources"), "source_file", F.lit(category).alias("category")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

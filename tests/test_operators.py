@@ -155,7 +155,6 @@ def test_first_of_repeated_keys_counts(spark):
 
 
 def test_other_text_functions(spark):
-    assert value(spark, t.titles_spoken(F.col("c0"), {"Dr": "Doctor"}), "dr. x Drum") == "Doctor x Drum"
     assert value(spark, t.orphans_merged(F.split("c0", ";"), lambda p: F.length(p) < 2), "ab;c;de") == ["ab c", "de"]
     assert value(spark, t.voice(F.lit(None).cast("string"), F.col("c0"), F.lit("s"), {"m": ["he"]}), "HE is") == "m"
     assert value(spark, t.has_latin(F.col("c0")), "မြ a")
