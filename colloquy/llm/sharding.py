@@ -2,7 +2,7 @@
 
 Equal texts form a group and stay together where they fit. Spark sums each group's rows, bytes and tokens. Groups that weigh
 enough to matter for the balance, a bounded number, are placed one by one; all others are dealt by their text's hash into a
-fixed number of bundles, which are placed like groups. A group larger than a shard's share is first cut into parts by the
+fixed number of bundles, which are placed like groups. Tokens are blanks and line feeds plus one, a count that needs no tokenizer. A group larger than a shard's share is first cut into parts by the
 hash of its rows. Each is placed, largest first, in the shard where the dot product of its demand with the residual
 capacity is highest, among those whose residual bytes leave the sizes nearest to equal. The plan is broadcast: its size
 depends on the number of shards only.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.materialize import cut
-from colloquy.llm.common import joined_apart, looked_up, utf8
+from colloquy.llm.common import joined_apart, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -201,8 +201,10 @@ def with_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = contracted(links(classes.select("_fp"), radius))
     moved = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root"))
     least = moved.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_size"))
-    named = looked_up(moved, least, "_root", "_size").select("_fp", "_root", "_n", "component_id")
-    return looked_up(prints, named, "_fp", "_n").drop("_n")
+    # neither a component's fingerprints nor a fingerprint's rows are gathered where there are many
+    total = prints.count()
+    named = cut(joined_apart(moved, least, "_root", "_size", total).select("_fp", "_root", "_n", "component_id"))
+    return joined_apart(prints, named, "_fp", "_n", total)
 
 
 def components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

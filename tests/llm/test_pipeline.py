@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from colloquy.functions import materialize
 from colloquy.llm import packing, quality
 from colloquy.llm.common import utf8
 
@@ -69,3 +72,17 @@ def test_stages_over_nothing_nulls_and_clashing_names(spark, tmp_path):
             assert out.count() <= given.count(), name
         packed = corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path))
         assert packed.select("doc_id", "text" if "text" in packed.columns else "piece").distinct().count() >= (given.count() > 0)
+
+
+def test_run_keeps_no_tables_but_the_last_stage_s(spark, tmp_path):
+    tables(spark, tmp_path)
+    folder = Path(urlparse(materialize._tables(spark)).path)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert "stage-pii" in left and not left & {"stage-quality", "stage-near_duplicates", "stage-decontamination", "near-duplicates", "spans"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert key(rows) == key(docs)
