@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +45,34 @@ def collected(frames: Iterable[DataFrame], name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders, below the application's, of what is being made now.
+_scopes: list[str] = []
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, as a table of its own, and its folder; the tables that were written for it are deleted."""
+    scope = uuid.uuid4().hex
+    _scopes.append(scope)
+    try:
+        df = make()
+        spark = df.sparkSession
+        inside = _tables(spark)
+    finally:
+        _scopes.remove(scope)
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    dropped(spark, inside)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _tables(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark)}/colloquy-{spark.sparkContext.applicationId}", *_scopes])
 
 
 def clear(spark: SparkSession) -> None:
@@ -57,6 +83,5 @@ def clear(spark: SparkSession) -> None:
     context = spark.sparkContext
     folder = shared_dir(spark)
     for path in (_tables(spark), folder):
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        dropped(spark, path)
     context.setCheckpointDir(folder.rsplit("/", 1)[0])

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.functions.materialize import written
+from colloquy.functions.materialize import dropped, settled
 from colloquy.llm import decontaminate, packing, pii, quality, simhash_near
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,8 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's rows are written and read again in the shared folder, and what a stage has written
+    for itself goes when they are, its predecessor's rows too."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
