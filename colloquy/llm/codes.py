@@ -34,41 +34,55 @@ ROUNDS = 2
 SCALE = 256
 #: Entries nearest in norm that give a part its first distance, and pairs compared at once.
 FIRST = 4
-PAIRS = 1 << 19
+PAIRS = 1 << 14
 
 
 def nearest(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each point (a row of whole numbers) the nearest entry, the lowest of several, and the squared distance."""
+    """For each point (a row of whole numbers) the nearest entry (of at most 256), the lowest of several, and the squared distance."""
     norms = np.sqrt((entries.astype(np.float64) ** 2).sum(axis=1))
     order = np.argsort(norms, kind="stable")
-    norms, ranked = norms[order], entries[order]
+    norms = norms[order]
     own = np.sqrt((points.astype(np.float64) ** 2).sum(axis=1))
     index, distance = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
     if not len(points):
         return index, distance
+    # a component at a time, as one-dimensional arrays
+    sides = [(np.ascontiguousarray(points[:, c]), np.ascontiguousarray(entries[order, c])) for c in range(points.shape[1])]
+
+    def apart(of: Callable[[np.ndarray], np.ndarray], entry: np.ndarray) -> np.ndarray:
+        total = np.zeros(entry.shape, np.int64)
+        for mine, theirs in sides:
+            difference = of(mine) - theirs[entry]
+            difference *= difference
+            total += difference
+        return total
+
     at = np.searchsorted(norms, own)
     best = np.full(len(points), np.iinfo(np.int64).max)
     for step in range(-(FIRST // 2), FIRST - FIRST // 2):
-        near = ranked[np.clip(at + step, 0, len(ranked) - 1)]
-        np.minimum(best, ((points - near) ** 2).sum(axis=1), out=best)
+        np.minimum(best, apart(lambda mine: mine, np.clip(at + step, 0, len(norms) - 1)), out=best)
     # a little wider than the distance, so that rounding of norms excludes nothing
     reach = np.sqrt(best.astype(np.float64))
     reach += 1e-9 * (1 + own + reach)
     low, high = np.searchsorted(norms, own - reach, "left"), np.searchsorted(norms, own + reach, "right")
-    ends = np.cumsum(high - low)
+    counts = high - low
+    ends = np.cumsum(counts)
     first = 0
     while first < len(points):
         before = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
-        counts = (high - low)[first:last]
-        starts = ends[first:last] - counts - before
-        row = np.repeat(np.arange(first, last), counts)
-        entry = np.arange(counts.sum()) + np.repeat(low[first:last] - starts, counts)
-        apart = ((points[row] - ranked[entry]) ** 2).sum(axis=1)
-        least = np.minimum.reduceat(apart, starts)
-        distance[first:last] = least
-        named = np.where(apart == np.repeat(least, counts), order[entry], len(entries))
-        index[first:last] = np.minimum.reduceat(named, starts)
+        here = counts[first:last]
+        starts = ends[first:last] - here - before
+        entry = np.arange(int(here.sum())) + np.repeat(low[first:last] - starts, here)
+        each = apart(lambda mine: np.repeat(mine[first:last], here), entry)
+        if each.max() < 1 << 54:
+            # distance and entry in one number, so that the least of it has both
+            least = np.minimum.reduceat(each << 8 | order[entry], starts)
+            distance[first:last], index[first:last] = least >> 8, least & 255
+        else:
+            least = np.minimum.reduceat(each, starts)
+            distance[first:last] = least
+            index[first:last] = np.minimum.reduceat(np.where(each == np.repeat(least, here), order[entry], len(entries)), starts)
         first = last
     return index, distance
 
