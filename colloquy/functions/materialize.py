@@ -49,16 +49,19 @@ def collected(frames: Iterable[DataFrame], name: str) -> DataFrame:
 _scopes: list[str] = []
 
 
-def settled(make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
-    """What ``make`` gives, as a table of its own, and its folder; the tables that were written for it are deleted."""
+def scoped(make: Callable[[], DataFrame], spark: SparkSession) -> tuple[DataFrame, str]:
+    """What ``make`` gives, and the folder of the tables that were written for it, which it may still read."""
     scope = uuid.uuid4().hex
     _scopes.append(scope)
     try:
-        df = make()
-        spark = df.sparkSession
-        inside = _tables(spark)
+        return make(), _tables(spark)
     finally:
         _scopes.remove(scope)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, as a table of its own, and its folder; the tables that were written for it are deleted."""
+    df, inside = scoped(make, spark)
     path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     dropped(spark, inside)
