@@ -91,7 +91,7 @@ def test_numerals_letters_and_context(spark):
 
 
 def test_chain_over_a_table(spark):
-    texts = spark.createDataFrame([(1, "Ask dr. Ann Lee (no) at http://x.y/z about Semester II, ID and MIIT. Tom May too."), (2, " "), (3, "x" * 5000)], TEXTS)
+    texts = spark.createDataFrame([(1, "Ask dr. Ann Lee (no) at http://x.y/z about Semester II, ID and KLMN. Tom May too."), (2, " "), (3, "x" * 5000)], TEXTS)
     ready = speech.answers_prepared(texts, "id", names=[("Ann Lee", "WA")], titles=[("Dr", "Doctor")]).filter("id = 1").first().text
     found = spark.createDataFrame([(None, 0, "tom may", "TM"), (None, 1, "Doctor", "never")], "text_key string, at int, source string, value string")
     before = texts.select("id", speech.before_names(F.col("text"), [("Ann Lee", "WA")], [("Dr", "Doctor")]).alias("text"))
@@ -100,14 +100,14 @@ def test_chain_over_a_table(spark):
     def kinds(rows):
         tokens = speech.latin_tokens(rows, "id")
         none = spark.createDataFrame([], "id int, token string, kind string")
-        cache = spark.createDataFrame([("MIIT", "spell"), ("ID", "spell"), ("I", "spell")], "token string, kind string")
+        cache = spark.createDataFrame([("KLMN", "spell"), ("ID", "spell"), ("I", "spell")], "token string, kind string")
         return speech.resolved_kinds(tokens, cache, none.select("token"), none, "id")
 
     lexicon = spark.createDataFrame([("Ask", "Tell"), ("ell", "ELL")], "source string, value string")
     got = {r.id: r.text for r in speech.answers_prepared(texts, "id", names=[("Ann Lee", "WA")], titles=[("Dr", "Doctor")], blocked=["doctor"], found=found, lexicon=lexicon, kinds=kinds).collect()}
     assert "Tom May" in ready and ready.startswith("Ask Doctor WA")
     spelled = lambda w: " ".join(t.LETTERS[c] for c in w)
-    assert got[1] == ready.replace("Tom May", "TM").replace("Ask", "TELL").replace("II,", t.NUMERALS["II"] + ",").replace("ID", spelled("ID")).replace("MIIT", spelled("MIIT")).replace("TELL", "TELL")
+    assert got[1] == ready.replace("Tom May", "TM").replace("Ask", "TELL").replace("II,", t.NUMERALS["II"] + ",").replace("ID", spelled("ID")).replace("KLMN", spelled("KLMN")).replace("TELL", "TELL")
     assert got[2] == "" and len(got[3]) == speech.MOST
 
 
