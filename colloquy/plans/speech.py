@@ -215,7 +215,7 @@ def known_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: round(x * 1000)::BIGINT), ',') || ']' AS literal FROM embeddings")
 def embedding_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", literal(F.transform("embedding", lambda x: F.round(x * 1000).cast("long"))).alias("literal"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", literal(F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("long"))).alias("literal"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 2 AND event_type IN ('view', 'click') THEN event_type END AS route FROM events""")
