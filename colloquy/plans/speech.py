@@ -170,7 +170,7 @@ def names_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ")
     entries = F.array(
         F.struct(F.lit(0).alias("at"), F.lower(F.get(words, F.lit(3))).alias("source"), F.lit("Zwei").alias("value")),
-        F.struct(F.lit(1).alias("at"), F.concat_ws(" ", F.get(words, F.lit(2)), F.get(words, F.lit(3))).alias("source"), F.lit("NAME $1").alias("value")),
+        F.struct(F.lit(1).alias("at"), F.concat(F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3))).alias("source"), F.lit("NAME $1").alias("value")),
     )
     found = texts.filter("doc_id % 3 = 0").select(speech.text_key(F.col("text")).alias("text_key"), F.explode(entries).alias("e")).select("text_key", "e.*").distinct()
     return speech.names_spoken(texts, found, "doc_id", blocked=["the", "and"]).select("doc_id", F.md5("text").alias("digest"))
