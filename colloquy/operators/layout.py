@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from colloquy.functions.text import strip
 
+#: Pages that a task takes apart at a time.
+PAGES = 256
+
 
 def lines(words: DataFrame, group: list[str], order: str, slant: float = 0.35, back: float = 2.0) -> DataFrame:
     """Each word's line number from 0: a new line where x falls back, or where centres differ by more than a share of the
@@ -60,12 +67,56 @@ def phrase_places(placed_words: DataFrame, terms: DataFrame, group: list[str]) -
     return single.unionByName(several.drop("_n"))
 
 
+def _own_places(words: DataFrame, terms: DataFrame, group: list[str], own: list[str], order: str) -> DataFrame:
+    """(group, id, page, words): the words of the first place in ``order`` of each term of a group, all columns of theirs.
+
+    Words are moved once, to their group, where each page is one list that meets the group's terms; only matched words go on.
+    """
+    columns = [c for c in words.columns if c not in (*group, "page")]
+    pages = words.groupBy(*group, "page").agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in columns if c != order)))).alias("_words"))
+    each = terms.filter(F.size("parts") > 0).groupBy(*own).agg(F.collect_list(F.struct("id", "parts")).alias("_terms"))
+    met = pages.join(each.hint("shuffle_hash"), own).select(*group, "page", "_words", F.transform("_words", lambda w: F.lower(w["text"])).alias("_low"), "_terms")
+    schema = T.StructType([*(met.schema[c] for c in (*group, "page")), T.StructField("id", terms.schema["id"].dataType), T.StructField("words", met.schema["_words"].dataType)])
+    found = met.mapInArrow(_first_places, schema)
+    first = found.groupBy(*group, "id").agg(F.min_by(F.struct("page", "words"), F.get("words", F.lit(0))[order]).alias("_m"))
+    return first.select(*group, "id", "_m.page", "_m.words")
+
+
+def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, page, _words, _low, _terms) to (group, page, id, words): where on its page a term's parts first begin following words."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES):
+            batch = whole.slice(at, PAGES)
+            lists, low = batch.column("_words"), batch.column("_low").to_pylist()
+            rows, ids, taken, ends = [], [], [], [0]
+            for row, terms in enumerate(batch.column("_terms").to_pylist()):
+                said, base = low[row], lists.offsets[row].as_py()
+                for term in terms:
+                    parts = term["parts"]
+                    longest = max(range(len(parts)), key=lambda i: len(parts[i]))
+                    part, last = parts[longest], len(said) - len(parts)
+                    for place in (i - longest for i, w in enumerate(said) if w is not None and w.startswith(part)):
+                        if 0 <= place <= last and all(w is not None and w.startswith(p) for w, p in zip(said[place : place + len(parts)], parts)):
+                            rows.append(row)
+                            ids.append(term["id"])
+                            taken += range(base + place, base + place + len(parts))
+                            ends.append(len(taken))
+                            break
+            kept = batch.select([c for c in batch.schema.names if not c.startswith("_")]).take(pa.array(rows, pa.int64()))
+            words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.values.take(pa.array(taken, pa.int64())))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ids, batch.column("_terms").type.value_type.field("id").type), words], [*kept.schema.names, "id", "words"])
+
+
 def phrase_matches(words: DataFrame, terms: DataFrame, group: list[str], order: str) -> DataFrame:
     """(group, term, start, n): for each group and term the first place in ``order`` where following words of a page begin with
     the term's parts. ``terms``: (term, parts) and, if terms belong to a group, its columns."""
+    own, terms = [c for c in group if c in terms.columns], terms.withColumnRenamed("term", "id")
+    if own:
+        first = _own_places(words.select(*group, "page", order, "text"), terms, group, own, order)
+        return first.select(*group, F.col("id").alias("term"), F.get("words", F.lit(0))[order].alias("start"), F.size("words").alias("n"))
     numbered = placed(words, group, order)
     at = numbered.select(*group, "page", "pos", F.col(order).alias("start"))
-    places = phrase_places(numbered, terms.withColumnRenamed("term", "id"), group).join(at, [*group, "page", "pos"])
+    places = phrase_places(numbered, terms, group).join(at, [*group, "page", "pos"])
     return places.groupBy(*group, "id").agg(F.min("start").alias("start"), F.first(F.size("parts")).alias("n")).withColumnRenamed("id", "term")
 
 
@@ -83,12 +134,15 @@ def annotations(words: DataFrame, terms: DataFrame, group: list[str], order: str
     term, as it was first spelled and defined. ``terms``: (term, definition, ``term_order``) and, if they belong to a group, its columns."""
     kept = distinct_terms(terms, group, term_order)
     own = [c for c in group if c in kept.columns]
-    numbered = placed(words, group, order)
-    at = numbered.select(*group, "page", "pos", F.col(order).alias("_start"))
-    places = phrase_places(numbered, kept.select(*own, "id", "parts"), group).join(at, [*group, "page", "pos"])
-    first = places.groupBy(*group, "id").agg(F.min_by(F.struct("page", "pos", F.size("parts").alias("n")), "_start").alias("_m"))
-    spread = first.select(*group, "id", "_m.page", F.explode(F.sequence(F.col("_m.pos"), F.col("_m.pos") + F.col("_m.n") - 1)).alias("pos"))
-    matched = numbered.join(spread, [*group, "page", "pos"])
+    if own:
+        matched = _own_places(words, kept.select(*own, "id", "parts"), group, own, order).select(*group, "id", "page", F.inline("words"))
+    else:
+        numbered = placed(words, group, order)
+        at = numbered.select(*group, "page", "pos", F.col(order).alias("_start"))
+        places = phrase_places(numbered, kept.select("id", "parts"), group).join(at, [*group, "page", "pos"])
+        first = places.groupBy(*group, "id").agg(F.min_by(F.struct("page", "pos", F.size("parts").alias("n")), "_start").alias("_m"))
+        spread = first.select(*group, "id", "_m.page", F.explode(F.sequence(F.col("_m.pos"), F.col("_m.pos") + F.col("_m.n") - 1)).alias("pos"))
+        matched = numbered.join(spread, [*group, "page", "pos"])
     boxed = boxes(lines(matched, [*group, "id"], order), [*group, "id", "page", "line"], order)
     return boxed.join(kept.select(*own, "id", "term", "definition"), [*own, "id"]).drop("id")
 

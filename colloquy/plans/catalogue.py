@@ -579,7 +579,8 @@ found AS (SELECT k.doc_id, k.id, any_value(k.term) AS term, any_value(k.definiti
 
 def _set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Words of documents in lines and pages, and terms of each document taken from its own text."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "").alias("l"))
+    whole = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts move before they are words
+    docs = whole.select("doc_id", F.filter(F.split("text", "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "").alias("l"))
     before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     words = docs.select("doc_id", F.posexplode("l").alias("at", "text")).withColumn("at", F.col("at") + 1)
     words = words.withColumn("c", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))

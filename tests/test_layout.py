@@ -73,3 +73,12 @@ def test_no_words_no_terms(spark):
     terms = spark.createDataFrame([("Big", "d", 1)], "term string, definition string, n int")
     assert layout.annotations(words.limit(0), terms, ["doc"], "at", "n").count() == 0
     assert layout.annotations(words, terms.limit(0), ["doc"], "at", "n").count() == 0
+
+
+def test_words_of_groups_with_own_terms_are_moved_once(spark):
+    words = spark.createDataFrame(rows_of(1, ["The", "Big", "Dataset"]) + rows_of(2, ["a", None, "big"]), WORD)
+    terms = spark.createDataFrame([(1, "big data", ["big", "data"]), (2, "big", ["big"]), (2, "a big", ["a", "big"])], "doc int, term string, parts array<string>")
+    found = layout.phrase_matches(words, terms, ["doc"], "at")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert {tuple(r) for r in found.collect()} == {(1, "big data", 1, 2), (2, "big", 2, 1)}
+    assert plan.count("Exchange hashpartitioning") <= 4  # words, terms, places; before, nine
