@@ -81,4 +81,4 @@ def test_words_of_groups_with_own_terms_are_moved_once(spark):
     found = layout.phrase_matches(words, terms, ["doc"], "at")
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert {tuple(r) for r in found.collect()} == {(1, "big data", 1, 2), (2, "big", 2, 1)}
-    assert plan.count("Exchange hashpartitioning") <= 4  # words, terms, places; before, nine
+    assert plan.count("Exchange hashpartitioning") <= 4  # words, terms, places
