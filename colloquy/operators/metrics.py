@@ -38,8 +38,8 @@ def macro_f1(rows: DataFrame, labels: Sequence, gold: str = "gold", pred: str =
 
 def ranking(gold: DataFrame, ranked: DataFrame, query: str, key: str, k: int = 3) -> DataFrame:
     """(query, recall, reciprocal): whether a gold row is among the first k, and 1 / rank of the best one; 0 without."""
-    hits = ranked.join(gold.select(query, key).distinct(), [query, key], "left_semi").groupBy(query).agg(F.min("rank").alias("_best"))
-    rows = gold.select(query).distinct().join(hits, query, "left")
+    best = ranked.select(query, key, F.col("rank").alias("_rank"))
+    rows = gold.select(query, key).distinct().join(best, [query, key], "left").groupBy(query).agg(F.min("_rank").alias("_best"))
     return rows.select(query, F.when(F.col("_best") <= k, 1.0).otherwise(0.0).alias("recall"), F.coalesce(1 / F.col("_best"), F.lit(0.0)).alias("reciprocal"))
 
 

@@ -6,8 +6,6 @@ and their id the doc_id; knowledge vectors are embeddings, the category the labe
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +13,7 @@ from pyspark.sql.window import Window
 from colloquy.functions import text as t
 from colloquy.functions.vectors import cosine
 from colloquy.operators import context, layout, metrics, retrieval, routing, sessions
+from colloquy.operators.patterns import occurring
 from colloquy.plans.registry import query
 from colloquy.plans.registry import table as _table
 from colloquy.sources import ingest
@@ -407,9 +406,10 @@ _GOLD_SQL = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN d
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    found = [docs.join(F.broadcast(b), F.col("text").contains(F.col("question"))).select("query_id", "doc_id") for b in retrieval.blocks(_asked(spark, sf_dir), "query_id")]
-    return reduce(DataFrame.unionByName, found)
+    docs, asked = _table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    found = occurring(docs, asked.select(F.col("query_id").alias("pattern_id"), F.col("question").alias("pattern")), "doc_id", "text", fold_case=False)
+    all_ = docs.filter("text is not null").crossJoin(F.broadcast(asked.filter("question = ''").select("query_id")))  # an empty question is in every text
+    return found.select(F.col("pattern_id").alias("query_id"), "doc_id").unionByName(all_.select("query_id", "doc_id"))
 
 
 @query(f"""WITH {_OVERLAP_SQL}, {_GOLD_SQL}, b AS (SELECT query_id, min(n) AS best FROM o JOIN gold USING (query_id, doc_id) WHERE n <= 10 GROUP BY query_id)

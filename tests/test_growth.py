@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from colloquy.operators import retrieval
-from colloquy.plans import dialogue
+from colloquy.operators import metrics, retrieval
+from colloquy.plans import catalogue, dialogue
 from tests.test_catalogue import SF_DIR
+from tests.test_odd_tables import both
 
 
 def plan(df):
@@ -50,3 +51,17 @@ def test_no_more_near_rows_than_are_wanted_leave_a_task(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "by_vector", lambda *a, **k: asked.append(k.get("k")) or kept(*a, **k))
     dialogue.hybrid_retrieval(spark, SF_DIR)
     assert asked == [6]
+
+
+def test_gold_is_found_in_one_pass_and_read_once(spark, tmp_path):
+    docs = {"doc_id": pa.array([1, 2, 3, 4], pa.int64()), "text": ["The fox ran", "the fox ran home", None, ""]}
+    items = {"item_id": pa.array([1, 2, 3], pa.int64()), "text": ["fox ran", "Fox", ""]}
+    got, expected = both(spark, tmp_path, "recall_and_mrr", documents=docs, benchmark=items)
+    assert got == expected and len(got) == 2
+    searched = plan(catalogue._gold(spark, str(tmp_path)))
+    assert "MapInArrow" in searched
+    spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "q int, d int").write.parquet(f"{tmp_path}/gold")
+    ranked = spark.createDataFrame([(1, 1, 2), (1, 1, 1)], "q int, d int, rank int")
+    rows = metrics.ranking(spark.read.parquet(f"{tmp_path}/gold"), ranked, "q", "d")
+    assert plan(rows).count("FileScan") == 1
+    assert sorted((r.q, r.recall, r.reciprocal) for r in rows.collect()) == [(1, 1.0, 1.0), (2, 0.0, 0.0)]
