@@ -54,13 +54,6 @@ def ngrams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(low) >= n, whole).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
 
 
-def with_before(tokens: Column) -> Column:
-    """(before, token) for each token of an array, in order; the first has null before it."""
-    before = F.concat(F.array(F.lit(None).cast("string")), tokens)
-    pairs = F.zip_with(tokens, before, lambda t, b: F.struct(b.alias("before"), t.alias("token")))
-    return F.filter(pairs, lambda p: p["token"].isNotNull())  # the last has nothing after it
-
-
 def windows(text: Column, size: int = 1500) -> Column:
     """Fixed windows of a stripped text, in order, without overlap; none of a blank one."""
     return F.regexp_extract_all(strip(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))

@@ -9,16 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from colloquy.functions.materialize import collected, cut, written
 
 #: Characters of the patterns that every task holds at a time.
 BLOCK_CHARS = 1 << 21
+#: Bytes of texts whose words are paired at a time; one text at least.
+PAIR_BYTES = 1 << 24
 
 
 def _automaton(patterns: list[str]) -> ahocorasick.Automaton | None:
@@ -148,3 +152,35 @@ def replaced_tokens(texts: DataFrame, table: DataFrame, key: str, text: str, tok
     return joined.withColumn(text, F.when(F.col("_values").isNull(), F.col(text)).otherwise(whole)).drop("_tokens", "_gaps", "_values")
 
 
+def pairs_counted(texts: DataFrame, text: str, letters: str) -> DataFrame:
+    """(before, token, n): how often each word, a run of ``letters`` (a regex class of ASCII characters), follows each other one in
+    a text; before the first one null. Words are numbered and their pairs counted where the texts are."""
+    schema = StructType([StructField("before", StringType()), StructField("token", StringType()), StructField("n", LongType())])
+    counts = texts.select(F.col(text).cast("string").alias("_text")).filter("_text is not null").mapInArrow(_paired(letters), schema)
+    return counts.groupBy("before", "token").agg(F.sum("n").alias("n"))
+
+
+def _paired(letters: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counted(texts: pa.Array) -> pa.RecordBatch:
+        parts = pc.split_pattern_regex(texts, f"[^{letters}]+")
+        words, row = parts.flatten(), pc.list_parent_indices(parts)
+        full = pc.greater(pc.binary_length(words), 0)  # nothing stands before a text's first gap and after its last
+        coded, row = words.filter(full).dictionary_encode(), row.filter(full).to_numpy()
+        code, many = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+        before = np.full(len(code), -1)
+        before[1:] = np.where(row[1:] == row[:-1], code[:-1], -1)
+        pair, n = np.unique((before + 1) * max(many, 1) + code, return_counts=True)
+        first = pair // max(many, 1) - 1
+        left = coded.dictionary.take(pa.array(np.maximum(first, 0), mask=first < 0))
+        return pa.RecordBatch.from_arrays([left, coded.dictionary.take(pa.array(pair % max(many, 1))), pa.array(n.astype(np.int64))], ["before", "token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < len(ends):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIR_BYTES, "right")))
+                yield counted(batch.column(0).slice(first, last - first))
+                first = last
+
+    return run

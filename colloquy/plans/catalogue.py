@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from colloquy.functions import text as t
 from colloquy.functions.vectors import cosine
 from colloquy.operators import context, layout, metrics, retrieval, routing, sessions
-from colloquy.operators.patterns import occurring
+from colloquy.operators.patterns import occurring, pairs_counted
 from colloquy.plans.registry import query
 from colloquy.plans.registry import table as _table
 from colloquy.sources import ingest
@@ -519,9 +519,7 @@ def token_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT before, token, count(*)::BIGINT AS n FROM (SELECT token, lag(token) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
 SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9]+)', 1) AS w FROM documents))) GROUP BY ALL""")
 def prev_token_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))
-    rows = _table(spark, sf_dir, "documents").select(t.with_before(words).alias("_words")).select(F.explode("_words").alias("w"))
-    return rows.groupBy("w.before", "w.token").agg(F.count("*").alias("n"))
+    return pairs_counted(_table(spark, sf_dir, "documents"), "text", "A-Za-z0-9")
 
 
 @query("""WITH RECURSIVE c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark),

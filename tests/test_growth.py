@@ -1,13 +1,16 @@
 """What a query does for each row, pair or place, as that is what grows with the tables."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from colloquy.operators import metrics, retrieval
+from colloquy.operators import metrics, patterns, retrieval
 from colloquy.plans import catalogue, dialogue
+from colloquy.plans.queries import QUERIES
 from tests.test_catalogue import SF_DIR
 from tests.test_odd_tables import both
 
@@ -65,3 +68,16 @@ def test_gold_is_found_in_one_pass_and_read_once(spark, tmp_path):
     rows = metrics.ranking(spark.read.parquet(f"{tmp_path}/gold"), ranked, "q", "d")
     assert plan(rows).count("FileScan") == 1
     assert sorted((r.q, r.recall, r.reciprocal) for r in rows.collect()) == [(1, 1.0, 1.0), (2, 0.0, 0.0)]
+
+
+@pytest.mark.parametrize("size", [1 << 24, 8])
+def test_pairs_of_words_are_counted_where_the_texts_are(spark, monkeypatch, size):
+    monkeypatch.setattr(patterns, "PAIR_BYTES", size)
+    texts = ["a b a b", "", None, " ", "É a1-b, a1 b.", "Zß9x", "...a", "b"] * 3
+    got = patterns.pairs_counted(spark.createDataFrame([(x,) for x in texts], "text string").repartition(2), "text", "A-Za-z0-9").collect()
+    expected = Counter()
+    for x in texts:
+        words = re.findall("[A-Za-z0-9]+", x or "")
+        expected.update(zip([None, *words], words))
+    assert {(r.before, r.token): r.n for r in got} == expected and len(got) == len(expected)
+    assert "Generate" not in plan(QUERIES["prev_token_context"](spark, SF_DIR))
