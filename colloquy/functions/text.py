@@ -107,11 +107,21 @@ def _depth(marks: Column, opening: str) -> Column:
     return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
 
+def up_to_last(text: Column, marks: str, change: Callable[[Column], Column]) -> Column:
+    """``change`` of a text up to its last one of ``marks``; what is behind it stays as it is and is not searched."""
+    def last(t: Column) -> Column:
+        back = let(F.reverse(t), lambda r: F.array(*(F.locate(m, r) for m in marks)))
+        return let(F.array_min(F.filter(back, lambda n: n > 0)), lambda n: F.coalesce(F.length(t) - n + 1, F.lit(0)))
+
+    return let(text, lambda t: let(last(t), lambda n: F.concat(change(F.substring(t, F.lit(1), n)), F.substring(t, n + 1, F.length(t)))))
+
+
 def without_parentheses(text: Column, keep_script: str | None = None, mark: str = " ") -> Column:
     """Parentheses to a space, the innermost first, until none is left but those that hold the kept script (and what is
     around these). As many passes as they are nested deep, which no nesting of both sides exceeds."""
-    guard = f"(?![^()]*[{keep_script}])" if keep_script else ""
-    step = lambda t, _: F.regexp_replace(t, rf"\({guard}[^()]*\)", mark)
+    # possessive, so that one that is never closed is read once and not again from each of its places
+    guard = f"(?![^(){keep_script}]*+[{keep_script}])" if keep_script else ""
+    step = lambda t, _: F.regexp_replace(t, rf"\({guard}[^()]*+\)", mark)
     deep = lambda m: F.least(_depth(m, "("), _depth(F.reverse(m), ")"))
     peeled = lambda t: let(let(F.regexp_replace(t, "[^()]", ""), deep), lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), t, step)).otherwise(t))
     return let(text, lambda t: F.when(F.contains(t, F.lit("(")), peeled(t)).otherwise(t))
@@ -162,7 +172,7 @@ def courtesy_joined(text: Column) -> Column:
     place of; chains of them too, as the mark after each is looked at only."""
     # a run of marks is tried from its first one
     pattern = rf"(?U)(?<![{ENDS}]\s{{0,8}})[{ENDS}](?:\s*+[{ENDS}])*+\s+({COURTESY})\s*(?=[{ENDS}])"
-    return F.regexp_replace(text, pattern, " $1")
+    return F.when(reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in COURTESY.split("|"))), F.regexp_replace(text, pattern, " $1")).otherwise(text)
 
 
 #: Before a part, and before one that is joined to the part before.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import (
-    BEFORE, LETTERS, NUMERALS, OTHER_SCRIPT, is_ambiguous, is_roman, name_candidates, nonblank, outside_urls, quoted, replaced, speakable_text, spelled, strip, token_kind, without_urls,
+    BEFORE, LETTERS, NUMERALS, OTHER_SCRIPT, is_ambiguous, is_roman, name_candidates, nonblank, outside_urls, quoted, replaced, speakable_text, spelled, strip, token_kind, up_to_last, without_urls,
 )
 from colloquy.operators.patterns import replaced_by_row, replaced_in_turn, replaced_tokens
 
@@ -32,7 +32,8 @@ def prepared(text: Column, names: Sequence[tuple[str, str]] = (), titles: Sequen
 def before_names(text: Column, names: Sequence[tuple[str, str]] = (), titles: Sequence[tuple[str, str]] = ()) -> Column:
     """No addresses, no Latin asides, fixed names and titles as they sound."""
     once = lambda t: F.regexp_replace(t, r"[ \t]{2,}", " ")
-    spoken = once(F.regexp_replace(without_urls(text), rf"[(（](?![^()（）]*[{OTHER_SCRIPT}])[^()（）]*[)）]", ""))
+    aside = lambda t: F.regexp_replace(t, rf"[(（](?![^()（）{OTHER_SCRIPT}]*+[{OTHER_SCRIPT}])[^()（）]*+[)）]", "")
+    spoken = once(up_to_last(without_urls(text), ")）", aside))
     for name, sound in names:
         spoken = F.regexp_replace(spoken, "(?i)" + quoted(name), sound)
     for title, sound in titles:

@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from colloquy.operators import metrics, patterns, retrieval
+from colloquy.functions import text as t
+from colloquy.operators import metrics, patterns, retrieval, speech
 from colloquy.plans import catalogue, dialogue
 from colloquy.plans.queries import QUERIES
 from tests.test_catalogue import SF_DIR
@@ -81,3 +83,31 @@ def test_pairs_of_words_are_counted_where_the_texts_are(spark, monkeypatch, size
         expected.update(zip([None, *words], words))
     assert {(r.before, r.token): r.n for r in got} == expected and len(got) == len(expected)
     assert "Generate" not in plan(QUERIES["prev_token_context"](spark, SF_DIR))
+
+
+def test_parentheses_that_stay_open_are_read_once(spark):
+    texts = ["a (b c", "a (b) c", "x (က b) c (d", "((a) b", "( က", "(a（b）c)", "a) (b", "", "(" * 50, "see [src](http://x.org/a) now. more"]
+    own = r"က-႟"
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    found = rows.select("id", speech.before_names(F.col("text")).alias("a"), t.without_parentheses(F.col("text"), t.OTHER_SCRIPT).alias("b"))
+    assert plan(found).count("*+") >= 4
+
+    def aside(x):
+        x = re.sub(r"(?i)https?://\S+", " ", x)
+        x = re.sub(r"[ \t]+", " ", x).strip()
+        x = re.sub(rf"[(（](?![^()（）]*[{own}])[^()（）]*[)）]", "", x)
+        return re.sub(r"[ \t]{2,}", " ", x).strip()
+
+    def bare(x):
+        while (y := re.sub(rf"\((?![^()]*[{own}])[^()]*\)", " ", x)) != x:
+            x = y
+        return x
+
+    got = {r.id: (r.a, r.b) for r in found.collect()}
+    assert got == {i: (aside(x), bare(x)) for i, x in enumerate(texts)}
+
+
+def test_what_is_behind_the_last_mark_is_not_searched(spark):
+    texts = ["a(b)c", "", "none", ")", "x）y)z", "𝄞)𝄞", None]
+    seen = spark.createDataFrame([(x,) for x in texts], "text string").select(t.up_to_last(F.col("text"), ")）", lambda h: F.concat(F.lit("<"), h, F.lit(">"))).alias("v"))
+    assert [r.v for r in seen.collect()] == ["<a(b)>c", "<>", "<>none", "<)>", "<x）y)>z", "<𝄞)>𝄞", None]
