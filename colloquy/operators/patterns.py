@@ -21,6 +21,8 @@ from colloquy.functions.materialize import collected, cut, written
 
 #: Characters of the patterns that every task holds at a time.
 BLOCK_CHARS = 1 << 21
+#: A maximal run of word characters of any script; most are ASCII, of which a run is known as one by what follows it.
+WORD = r"[A-Za-z0-9_]++(?!(?U:\w))|(?U:\w++)"
 #: Bytes of texts whose words are paired at a time; one text at least.
 PAIR_BYTES = 1 << 24
 
@@ -136,20 +138,38 @@ def replaced_by_row(text: Column, entries: Column, ignore_case: bool = True) ->
     return F.aggregate(placed, text, lambda t, e: F.regexp_replace(t, quoted(e["source"]), plain(e["value"])))
 
 
-def replaced_tokens(texts: DataFrame, table: DataFrame, key: str, text: str, token: str = r"(?U)\w+") -> DataFrame:
+@F.arrow_udf(StringType())
+def _put(text: pa.Array, tokens: pa.Array, sources: pa.Array, values: pa.Array) -> pa.Array:
+    """A text with each of its tokens, in order, by the value at its place in the row's sources where there is one; null where none are."""
+    def whole(body: str | None, words: list | None, known: list | None, said: list | None) -> str | None:
+        if body is None or known is None:
+            return None
+        by = {s: v for s, v in zip(known, said) if v is not None}
+        out, done = [], 0
+        for word in words:  # between two tokens nothing can be one, so the next place of its letters is its own
+            at = body.index(word, done)
+            out += (body[done:at], by.get(word, word))
+            done = at + len(word)
+        return "".join([*out, body[done:]])
+
+    return pa.array([whole(*(c[i].as_py() for c in (text, tokens, sources, values))) for i in range(len(text))], pa.string())
+
+
+def replaced_tokens(texts: DataFrame, table: DataFrame, key: str, text: str, token: str = WORD) -> DataFrame:
     """``texts`` with each token, a maximal run of ``token``, that ``table`` has put by its value, what is between as it is.
 
-    ``key`` names one row of ``texts``; ``table``: (token, value), or (key, token, value) where a token's value is a text's own. A
-    text is cut once into tokens and gaps; its distinct tokens, not its places, meet the table.
+    ``key`` names one row of ``texts``; ``table``: (token, value), or (key, token, value) where a token's value is a text's own;
+    of several values the last in order. A text is searched for tokens once; its distinct tokens, not its places, meet the table,
+    and each place is looked up in the values of its text once, however many these are.
     """
-    cut_up = texts.withColumns({"_tokens": F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)), "_gaps": F.split(F.col(text), token, -1)})
-    asked = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)))).alias("token"))
-    on = [key, "token"] if key in table.columns else ["token"]
-    pairs = asked.join(table.select(*on, "value"), on).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
-    joined = cut_up.join(pairs, key, "left")
-    said = F.transform("_tokens", lambda w: F.coalesce(F.try_element_at("_values", w), w))
-    whole = F.array_join(F.zip_with("_gaps", said, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
-    return joined.withColumn(text, F.when(F.col("_values").isNull(), F.col(text)).otherwise(whole)).drop("_tokens", "_gaps", "_values")
+    rows = table.select(*([key] if key in table.columns else []), "token", "value")
+    if key not in table.columns:
+        rows = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)))).alias("token")).join(rows, "token")
+    pairs = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", "value"))).alias("_values"))
+    joined = texts.join(pairs, key, "left")
+    has = F.col("_values").isNotNull()
+    tokens = F.when(has, F.regexp_extract_all(F.col(text), F.lit(token), F.lit(0)))
+    return joined.withColumn(text, F.coalesce(_put(F.when(has, F.col(text)), tokens, F.col("_values.token"), F.col("_values.value")), F.col(text))).drop("_values").select(texts.columns)
 
 
 def pairs_counted(texts: DataFrame, text: str, letters: str) -> DataFrame:

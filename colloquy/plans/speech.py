@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import replies
 from colloquy.functions import text as t
+from colloquy.functions.materialize import written
 from colloquy.functions.vectors import literal
 from colloquy.operators import speech
 from colloquy.plans.registry import query, table
@@ -128,8 +129,9 @@ def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     for old, new in ((" that ", " that I part ii "), (" une ", " une V ID ID2 "), (" und ", " x IXa XV3 ")):
         numbered = F.replace(numbered, F.lit(old), F.lit(new))
     texts = table(spark, sf_dir, "documents").select("doc_id", numbered.alias("text"))
-    tokens = speech.latin_tokens(texts, "doc_id", units=_UNIT_WORDS)
-    distinct = tokens.select("token").distinct()
+    # read by all that is made of them
+    tokens = written(speech.latin_tokens(texts, "doc_id", units=_UNIT_WORDS), "tokens")
+    distinct = written(tokens.select("token").distinct(), "distinct")
     cache = distinct.filter(F.length("token") % 3 == 0).withColumn("kind", F.when(F.length("token") % 2 == 0, "spell").otherwise("word"))
     said = tokens.filter((F.col("doc_id") % 2 == 0) & (F.length("token") == 4)).select("doc_id", "token", F.lit("spell").alias("kind"))
     return texts, speech.resolved_kinds(tokens, cache, distinct.filter("token like 'b%'"), said, "doc_id")

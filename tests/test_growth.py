@@ -85,6 +85,19 @@ def test_pairs_of_words_are_counted_where_the_texts_are(spark, monkeypatch, size
     assert "Generate" not in plan(QUERIES["prev_token_context"](spark, SF_DIR))
 
 
+def test_tokens_of_all_texts_are_made_once(spark):
+    assert "regexp_extract_all" not in plan(QUERIES["spell_cache"](spark, SF_DIR))
+
+
+def test_a_place_is_not_compared_with_all_values_of_its_text(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = spark.createDataFrame([(1, ", ".join(words)), (2, "w1"), (3, None), (4, "…w1 w2")], "id int, text string")
+    values = spark.createDataFrame([(1, w, w.upper()) for w in words] + [(4, "w1", None), (4, "w2", "x"), (9, "w1", "y")], "id int, token string, value string")
+    out = patterns.replaced_tokens(texts, values, "id", "text")
+    assert "element_at" not in plan(out)
+    assert {r.id: r.text for r in out.collect()} == {1: ", ".join(words).upper(), 2: "w1", 3: None, 4: "…w1 x"}
+
+
 def test_parentheses_that_stay_open_are_read_once(spark):
     texts = ["a (b c", "a (b) c", "x (က b) c (d", "((a) b", "( က", "(a（b）c)", "a) (b", "", "(" * 50, "see [src](http://x.org/a) now. more"]
     own = r"က-႟"
@@ -111,3 +124,10 @@ def test_what_is_behind_the_last_mark_is_not_searched(spark):
     texts = ["a(b)c", "", "none", ")", "x）y)z", "𝄞)𝄞", None]
     seen = spark.createDataFrame([(x,) for x in texts], "text string").select(t.up_to_last(F.col("text"), ")）", lambda h: F.concat(F.lit("<"), h, F.lit(">"))).alias("v"))
     assert [r.v for r in seen.collect()] == ["<a(b)>c", "<>", "<>none", "<)>", "<x）y)>z", "<𝄞)>𝄞", None]
+
+
+def test_words_of_any_script(spark):
+    texts = ["abc dé é1 _x-y", "éa aé", "က္ခ ab\u0301c", "x\u200dy", "a\u203fb", "", "中文abc中"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = rows.select(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", patterns.WORD), ("b", r"(?U)\w+")))).collect()
+    assert all(r.a == r.b for r in got)
