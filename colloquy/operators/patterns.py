@@ -138,19 +138,23 @@ def replaced_by_row(text: Column, entries: Column, ignore_case: bool = True) ->
     return F.aggregate(placed, text, lambda t, e: F.regexp_replace(t, quoted(e["source"]), plain(e["value"])))
 
 
+def put(body: str, words: list[str], by: dict[str, str]) -> str:
+    """A text with each of its tokens ``words``, in order, by its value where it has one."""
+    out, done = [], 0
+    for word in words:  # between two tokens nothing can be one, so the next place of its letters is its own
+        at = body.index(word, done)
+        out += (body[done:at], by.get(word, word))
+        done = at + len(word)
+    return "".join([*out, body[done:]])
+
+
 @F.arrow_udf(StringType())
 def _put(text: pa.Array, tokens: pa.Array, sources: pa.Array, values: pa.Array) -> pa.Array:
     """A text with each of its tokens, in order, by the value at its place in the row's sources where there is one; null where none are."""
     def whole(body: str | None, words: list | None, known: list | None, said: list | None) -> str | None:
         if body is None or known is None:
             return None
-        by = {s: v for s, v in zip(known, said) if v is not None}
-        out, done = [], 0
-        for word in words:  # between two tokens nothing can be one, so the next place of its letters is its own
-            at = body.index(word, done)
-            out += (body[done:at], by.get(word, word))
-            done = at + len(word)
-        return "".join([*out, body[done:]])
+        return put(body, words, {s: v for s, v in zip(known, said) if v is not None})
 
     return pa.array([whole(*(c[i].as_py() for c in (text, tokens, sources, values))) for i in range(len(text))], pa.string())
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from colloquy.functions.text import (
-    BEFORE, LETTERS, NUMERALS, OTHER_SCRIPT, is_ambiguous, is_roman, name_candidates, nonblank, outside_urls, quoted, replaced, speakable_text, spelled, strip, token_kind, up_to_last, without_urls,
+    AMBIGUOUS, BEFORE, LETTERS, NUMERALS, OTHER_SCRIPT, is_ambiguous, is_roman, name_candidates, nonblank, outside_urls, quoted, replaced, speakable_text, spelled, strip, token_kind, up_to_last, without_urls,
 )
-from colloquy.operators.patterns import replaced_by_row, replaced_in_turn, replaced_tokens
+from colloquy.operators.patterns import WORD, put, replaced_by_row, replaced_in_turn, replaced_tokens
 
 TOKEN = "[A-Za-z][A-Za-z0-9]*"
 #: Words after which an ambiguous numeral is one.
@@ -20,6 +23,12 @@ UNITS = (
 )
 KINDS = ("word", "spell", "roman")
 MOST = 4000
+#: Characters of the texts whose tokens' kinds are looked up together.
+PART_CHARS = 1 << 25
+#: Texts of a part that are read at a time.
+TEXTS = 500
+#: Stands around each word of a text that has none of it.
+MARK = "\x01"
 
 
 def prepared(text: Column, names: Sequence[tuple[str, str]] = (), titles: Sequence[tuple[str, str]] = (), people: dict[str, str] | None = None, lexicon: dict[str, str] | None = None, most: int = MOST) -> Column:
@@ -74,11 +83,39 @@ def is_keepable_key(source: Column, known: Sequence[str], titles: Sequence[str],
 def latin_tokens(texts: DataFrame, key: str, text: str = "text", units: Sequence[str] = UNITS) -> DataFrame:
     """(key, token, numeral): a text's Latin tokens, each once, and whether one of its places makes it a numeral: an ambiguous
     one after a unit word."""
-    words = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    unit = F.array(*map(F.lit, units))
-    after_unit = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(is_ambiguous(w) & (i > 0) & F.array_contains(unit, F.lower(F.get(ws, i - 1))), w)), lambda w: w.isNotNull())
-    found = texts.select(key, words.alias("_w")).select(key, F.array_distinct("_w").alias("_once"), F.array_distinct(after_unit(F.col("_w"))).alias("_numerals"))
-    return found.select(key, F.explode("_once").alias("token"), "_numerals").select(key, "token", F.array_contains("_numerals", F.col("token")).alias("numeral"))
+    schema = StructType([texts.schema[key], StructField("token", StringType()), StructField("numeral", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(units)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                found = [find(body) for body in batch.column(1).slice(at, TEXTS).to_pylist()]
+                rows = pa.array([at + row for row, own in enumerate(found) for _ in own], pa.int64())
+                tokens, numerals = [t for own in found for t in own], [n for own in found for n in own.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(tokens, pa.string()), pa.array(numerals, pa.bool_())], [key, "token", "numeral"])
+
+    return texts.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+
+def token_set(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token): the Latin tokens of all texts, each once."""
+    schema = StructType([StructField("_part", LongType()), StructField("token", StringType())])
+    return texts.select(F.lit(0).cast("long"), F.col(text).cast("string")).mapInArrow(_tokens_of_parts, schema).select("token").distinct()
+
+
+def _finder(units: Sequence[str]) -> Callable[[str | None], dict[str, bool]]:
+    """A text's Latin tokens, each once, with whether it is a numeral at one of its places."""
+    read, before = re.compile(TOKEN).findall, frozenset(units)
+    ambiguous = frozenset(AMBIGUOUS) | {a.lower() for a in AMBIGUOUS}
+
+    def find(body: str | None) -> dict[str, bool]:
+        words = read(body or "")
+        found = dict.fromkeys(words, False)
+        if not ambiguous.isdisjoint(found):
+            found |= {word: True for last, word in zip(words, words[1:]) if word in ambiguous and last.lower() in before}
+        return found
+
+    return find
 
 
 def resolved_kinds(tokens: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, fallback: Column | None = None, numerals: Sequence[str] = tuple(NUMERALS)) -> DataFrame:
@@ -101,6 +138,124 @@ def resolved_kinds(tokens: DataFrame, cache: DataFrame, lexicon: DataFrame, mode
     return rows.select(key, "token", kind.alias("kind"), F.when(roman, "roman").when(~unsure, new).alias("stored"))
 
 
+def _in_parts(texts: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, text: str, units: Sequence[str], fallback: Column | None, numerals: Sequence[str], more: dict[str, Column], give: Callable, schema: StructType) -> DataFrame:
+    """What ``give`` makes of parts of ``texts`` (key and text, or all columns with ``more``) and of the kinds of each one's Latin tokens, as ``resolved_kinds`` has them.
+
+    Texts are dealt by their key over parts of about ``PART_CHARS`` characters. A token meets the cache and the lexicon once for
+    each part, not for each text, and a part's texts and tokens come together in a task: a text is moved once, its tokens never.
+    """
+    chars = texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-chars // PART_CHARS)))).alias("_part")
+    token = F.col("token")
+    known = cache.filter(F.col("kind").isin(*KINDS) & ~is_ambiguous(token)).select("token", F.col("kind").alias("_cached"))
+    listed = lexicon.select("token").distinct().withColumn("_listed", F.lit(True))
+    asked = texts.select(part, F.col(text).cast("string").alias("_text")).mapInArrow(_tokens_of_parts, StructType([StructField("_part", LongType()), StructField("token", StringType())]))
+    rows = asked.repartition("token").distinct().join(known, "token", "left").join(listed, "token", "left")
+    roman = is_roman(token, numerals)
+    pending = F.col("_listed").isNull() & ~roman & (F.col("_cached").isNull() | is_ambiguous(token))
+    plain = F.when(roman, "roman").otherwise(F.col("_cached"))
+    new = token_kind(token, numerals) if fallback is None else fallback
+    # a token that no row is given for is open and a word
+    known_rows = rows.select("_part", F.lit(None).cast(texts.schema[key].dataType).alias(key), "token", pending.alias("pending"), roman.alias("sure"), plain.alias("plain"), F.when(pending, new).alias("new"))
+    notes = known_rows.filter(~F.col("pending") | ~F.col("new").eqNullSafe(F.lit("word")))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("pending", "boolean"), ("sure", "boolean"), ("plain", "string"))]
+    said = model.filter(F.col("kind").isin(*KINDS) & F.col(key).isNotNull()).select(part, F.col(key).cast(texts.schema[key].dataType).alias(key), "token", *none, F.col("kind").alias("new"))
+    held = texts.withColumns(more).select(part, "*") if more else texts.select(part, key, text)
+    make = lambda left, right: give(left.drop_columns(["_part"]), _kinds(left, right, key, text, units))
+    return held.groupBy("_part").cogroup(notes.unionByName(said).groupBy("_part")).applyInArrow(make, schema)
+
+
+def _tokens_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) to the Latin tokens of each part, once for a batch."""
+    read = re.compile(TOKEN).findall
+    for batch in batches:
+        found: dict[int, set[str]] = {}
+        for at in range(0, batch.num_rows, TEXTS):
+            for part, body in zip(*(c.slice(at, TEXTS).to_pylist() for c in batch.columns)):
+                found.setdefault(part, set()).update(read(body or ""))
+        for part, tokens in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(tokens), pa.int64()), pa.array(list(tokens), pa.string())], ["_part", "token"])
+
+
+def _rows(held: pa.Table, columns: Sequence[str]) -> Iterator[tuple]:
+    for at in range(0, held.num_rows, TEXTS):
+        yield from zip(*(held.column(c).slice(at, TEXTS).to_pylist() for c in columns))
+
+
+def _kinds(held: pa.Table, notes: pa.Table, key: str, text: str, units: Sequence[str]) -> Iterator[dict[str, tuple[str | None, str | None]]]:
+    """For each text the (kind, stored) of its Latin tokens."""
+    find, ambiguous = _finder(units), frozenset(AMBIGUOUS)
+    known: dict[str, tuple[bool, bool, str | None, str | None]] = {}
+    said: dict[object, dict[str, str]] = {}
+    for of, token, *note in zip(*(notes.column(c).to_pylist() for c in (key, "token", "pending", "sure", "plain", "new"))):
+        if of is None:
+            known[token] = tuple(note)
+        else:
+            own = said.setdefault(of, {})
+            own[token] = max(own.get(token, ""), note[-1])
+    for of, body in _rows(held, (key, text)):
+        found, own = find(body), said.get(of, {})
+        spoke = any(token in found for token in own)
+        kinds = {}
+        for token, numeral in found.items():
+            pending, sure, plain, last = known.get(token, (True, False, None, "word"))
+            new = own.get(token, last if spoke else None) if pending and not numeral else None
+            kinds[token] = "roman" if numeral or sure else plain if new is None else new, "roman" if sure else None if token.upper() in ambiguous else new
+        yield kinds
+
+
+def kinds_of_texts(texts: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, text: str = "text", units: Sequence[str] = UNITS, fallback: Column | None = None, numerals: Sequence[str] = tuple(NUMERALS)) -> DataFrame:
+    """``resolved_kinds`` of the texts' own ``latin_tokens``, without a row of a text's token being moved. ``fallback`` is of the token alone."""
+    schema = StructType([texts.schema[key], *(StructField(c, StringType()) for c in ("token", "kind", "stored"))])
+
+    def give(held: pa.Table, kinds: Iterator[dict[str, tuple[str | None, str | None]]]) -> pa.Table:
+        rows, made = [], ([], [], [])
+        for row, own in enumerate(kinds):
+            rows += [row] * len(own)
+            made[0].extend(own)
+            for column, values in zip(made[1:], zip(*own.values())):
+                column.extend(values)
+        return pa.table([held.column(key).take(pa.array(rows, pa.int64())), *(pa.array(m, pa.string()) for m in made)], names=schema.names)
+
+    return _in_parts(texts, cache, lexicon, model, key, text, units, fallback, numerals, {}, give, schema)
+
+
+def texts_spoken(
+    texts: DataFrame, cache: DataFrame, lexicon: DataFrame, model: DataFrame, key: str, text: str = "text", units: Sequence[str] = UNITS, fallback: Column | None = None, numerals: dict[str, str] = NUMERALS, letters: dict[str, str] = LETTERS,
+) -> DataFrame:
+    """``tokens_spoken`` with the kinds of the texts' own tokens. A text of a null key stays as it is."""
+    body = F.col(text).cast("string")
+    clear = ~F.contains(body, F.lit(MARK))
+    more = {text: F.when(clear, F.regexp_replace(body, WORD, f"{MARK}$0{MARK}")).otherwise(body), "_tokens": F.when(~clear, F.regexp_extract_all(body, F.lit(WORD), F.lit(0)))}
+    schema = texts.withColumn(text, body).schema
+
+    def give(held: pa.Table, kinds: Iterator[dict[str, tuple[str | None, str | None]]]) -> pa.Table:
+        spelt: dict[str, str] = {}
+
+        def value(token: str, kind: str | None) -> str | None:
+            if kind == "spell" and token not in spelt:
+                spelt[token] = " ".join(letters.get(c.upper(), c) for c in token)
+            return numerals.get(token.upper()) if kind == "roman" else spelt[token] if kind == "spell" else None
+
+        out, done = [], []
+        for (of, said, words), own in zip(_rows(held, (key, text, "_tokens")), kinds):
+            by = {} if of is None else {token: v for token, (kind, _) in own.items() if (v := value(token, kind)) is not None}
+            if said is not None and words is None:
+                pieces = said.split(MARK)
+                pieces[1::2] = [by.get(word, word) for word in pieces[1::2]]
+                said = "".join(pieces)
+            elif said is not None:
+                said = put(said, words, by)
+            out.append(said)
+            if len(out) == TEXTS:
+                done.append(pa.array(out, pa.string()))
+                out = []
+        texts_ = pa.chunked_array([*done, pa.array(out, pa.string())])
+        return held.set_column(held.column_names.index(text), text, texts_).select(schema.names)
+
+    return _in_parts(texts.withColumn(text, body), cache, lexicon, model, key, text, units, fallback, tuple(numerals), more, give, schema)
+
+
 def accepted_entries(entries: DataFrame, lexicon: DataFrame, known: Sequence[str], titles: Sequence[str], honorifics: Sequence[str]) -> DataFrame:
     """Of what a model says (source, spoken, kind), trimmed, as (source, value): honorifics that are ones, names of known people, nothing
     blank, and nothing that the lexicon has."""

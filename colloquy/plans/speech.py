@@ -123,23 +123,23 @@ n AS (SELECT *, CASE WHEN NOT listed AND NOT roman AND NOT numeral AND (cached I
 kinds AS (SELECT doc_id, token, CASE WHEN numeral OR roman THEN 'roman' ELSE coalesce(new, cached) END AS kind, CASE WHEN roman THEN 'roman' WHEN NOT unsure THEN new END AS stored FROM n)"""
 
 
-def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Texts, and what becomes of their Latin tokens by a cache, a lexicon and a model's word on them."""
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts; a cache, a lexicon and a model's word on their Latin tokens."""
     numbered = F.col("text")
     for old, new in ((" that ", " that I part ii "), (" une ", " une V ID ID2 "), (" und ", " x IXa XV3 ")):
         numbered = F.replace(numbered, F.lit(old), F.lit(new))
     texts = table(spark, sf_dir, "documents").select("doc_id", numbered.alias("text"))
     # read by all that is made of them
-    tokens = written(speech.latin_tokens(texts, "doc_id", units=_UNIT_WORDS), "tokens")
-    distinct = written(tokens.select("token").distinct(), "distinct")
+    distinct = written(speech.token_set(texts), "distinct")
     cache = distinct.filter(F.length("token") % 3 == 0).withColumn("kind", F.when(F.length("token") % 2 == 0, "spell").otherwise("word"))
-    said = tokens.filter((F.col("doc_id") % 2 == 0) & (F.length("token") == 4)).select("doc_id", "token", F.lit("spell").alias("kind"))
-    return texts, speech.resolved_kinds(tokens, cache, distinct.filter("token like 'b%'"), said, "doc_id")
+    tokens = speech.latin_tokens(texts.filter(F.col("doc_id") % 2 == 0), "doc_id", units=_UNIT_WORDS)
+    said = tokens.filter(F.length("token") == 4).select("doc_id", "token", F.lit("spell").alias("kind"))
+    return texts, cache, distinct.filter("token like 'b%'"), said
 
 
 @query(f"WITH {_RESOLVED} SELECT kind, stored, count(*)::BIGINT AS n FROM kinds GROUP BY ALL")
 def spell_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kinds(spark, sf_dir)[1].groupBy("kind", "stored").agg(F.count("*").alias("n"))
+    return speech.kinds_of_texts(*_named(spark, sf_dir), "doc_id", units=_UNIT_WORDS).groupBy("kind", "stored").agg(F.count("*").alias("n"))
 
 
 _SOUND = "CASE upper(r.token) " + " ".join(f"WHEN '{n}' THEN '{s}'" for n, s in t.NUMERALS.items()) + " END"
@@ -151,8 +151,7 @@ v AS (SELECT r.*, coalesce(CASE kind WHEN 'roman' THEN {_SOUND} WHEN 'spell' THE
 SELECT doc_id, md5(string_agg(gap || value, '' ORDER BY i) || any_value(last)) AS digest FROM v GROUP BY doc_id""")
 def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with their numerals as they sound and their codes spelled out."""
-    texts, kinds = _kinds(spark, sf_dir)
-    rows = speech.tokens_spoken(texts, kinds, "doc_id").filter(F.regexp_like("text", F.lit(r"(?U)\w")))
+    rows = speech.texts_spoken(*_named(spark, sf_dir), "doc_id", units=_UNIT_WORDS).filter(F.regexp_like("text", F.lit(r"(?U)\w")))
     return rows.select("doc_id", F.md5("text").alias("digest"))
 
 

@@ -131,3 +131,25 @@ def test_words_of_any_script(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "text string")
     got = rows.select(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", patterns.WORD), ("b", r"(?U)\w+")))).collect()
     assert all(r.a == r.b for r in got)
+
+
+@pytest.mark.parametrize("chars", [1 << 25, 60])
+def test_tokens_are_looked_up_for_parts_of_texts(spark, monkeypatch, chars):
+    monkeypatch.setattr(speech, "PART_CHARS", chars)
+    monkeypatch.setattr(speech, "TEXTS", 2)
+    words = ["part", "I", "i", "v", "X", "II", "XV3", "xv", "ID", "NodeJsApi", "B2", "say", "éID", "ID2", "_I", "KLMN", "bold", "1st"]
+    rng = random.Random(8)
+    texts = [(n, "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "\x01"[: n % 2]]) for _ in range(rng.randrange(14)))) for n in range(60)] + [(60, None), (61, ""), (None, "part I ID II"), (62, "\x01\x01ID\x01")]
+    texts = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    cache = spark.createDataFrame([("ID", "spell"), ("I", "spell"), ("KLMN", "spell"), ("say", "word"), ("B2", "roman"), ("bold", "odd")], "token string, kind string")
+    listed = spark.createDataFrame([("bold",), ("NodeJsApi",), ("ID",)], "token string")
+    model = [(n, w, k) for n in range(0, 60, 3) for w, k in [("say", "spell"), ("B2", "word"), ("I", "spell"), ("never", "word"), ("ID", "word"), ("ID2", "roman"), ("ID2", "word"), ("KLMN", "no")]] + [(None, "ID", "word")]
+    model = spark.createDataFrame(model, "id int, token string, kind string")
+    slow = speech.resolved_kinds(speech.latin_tokens(texts, "id"), cache, listed, model, "id")
+    fast = speech.kinds_of_texts(texts, cache, listed, model, "id")
+    assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+    spoken = speech.texts_spoken(texts, cache, listed, model, "id")
+    assert spoken.schema == texts.schema
+    assert sorted(map(str, spoken.collect())) == sorted(map(str, speech.tokens_spoken(texts, slow, "id").collect()))
+    for name in ("spoken_tokens", "spell_cache"):
+        assert "doc_id" not in " ".join(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[.*", plan(QUERIES[name](spark, SF_DIR))))
